@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lotflow.llm import language, mixing, neighbours, packing, quality, simhash
+from lotflow.llm import audio, edits, language, mixing, neighbours, packing, quality, simhash
 from lotflow.runtime import table
 
 
@@ -17,10 +17,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(audio.text_audio(table(spark, sf_dir, "documents")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,7 +42,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op4_packing, op6_quality, op8_language, op10_neighbours)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_audio, op4_packing, op5_token_counts, op6_quality, op8_language, op10_neighbours)}
 
 
 def oracle_sql() -> dict:
