@@ -49,37 +49,41 @@ def targets(sources: DataFrame, scale: float = 1.5, most: int = 2) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, scale: float = 1.5, most: int = 2, block_words: int = 64, cell_words: int = 1 << 20, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, scale: float = 1.5, most: int = 2, block_words: int = 64, cell_words: int = 1 << 20, seed: int = 7, few_sources: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, and two word ranges) for every row of ``docs``.
 
-    ``docs(doc_id, text, source)``; ``carry`` names further columns to keep. taken = copies x size + the lengths of the
+    ``docs(doc_id, text, source)``; ``carry`` names further columns to keep. The table of sources is broadcast if it has
+    no more than ``few_sources`` rows, else joined. taken = copies x size + the lengths of the
     ranges [first_from, first_to) and [second_from, second_to). A null text has size 0; a document of size 0 takes
     nothing. A null source is a source of its own, after all others. Equal rows are placed one after the other, so the
     result is the same on every run. An empty table gives an empty result.
     """
-    sized = cut(
+    sized = (
         only(docs, *dict.fromkeys(("doc_id", "text", "source", *carry)))
         .withColumn("size", F.coalesce(F.expr(f"regexp_count(text, r'{WORD}')").cast("long"), F.lit(0).cast("long")))
         .withColumn("key", F.expr("case when source is null then 'n' else concat('s', source) end"))
-        .select("doc_id", "source", "size", "key", *carry)
+        .select("doc_id", "source", "size", "key", *[c for c in carry if c != "source"])
     )
+    if not carry:
+        sized = cut(sized)
     sources = targets(sized.groupBy("key").agg(F.max("source").alias("source"), F.sum("size").alias("total")), scale, most)
     sources = cut(
         sources.withColumn("cells", F.expr(f"greatest(1L, cast(ceil(total / {cell_words}D) as bigint))"))
         .withColumn("shards", F.expr("max(cells) over ()"))
         .withColumn("rate", F.expr("case when total > 0 then target / total else 0D end"))
     )
-    placed = (
+    if sources.count() <= few_sources:
+        sources = F.broadcast(sources)
+    hashed = (
         sized.where("size > 0")
         .join(sources, "key")
         .withColumn("h", F.expr(f"md5(concat('{seed}-doc-', coalesce(cast(doc_id as string), '')))"))
         .withColumn("cell", F.expr("cast(conv(substr(h, 17, 8), 16, 10) as bigint) % cells"))
-        .withColumn("stop", F.expr("sum(size) over (partition by key, cell order by h, doc_id, size rows unbounded preceding)"))
+        .repartition("key", "cell")  # not by source alone: a hot source is many cells
     )
+    placed = hashed.withColumn("stop", F.expr("sum(size) over (partition by key, cell order by h, doc_id, size rows unbounded preceding)"))
     cells = (
-        sized.where("size > 0")
-        .join(sources, "key")
-        .groupBy("key", F.expr(f"cast(conv(substr(md5(concat('{seed}-doc-', coalesce(cast(doc_id as string), ''))), 17, 8), 16, 10) as bigint) % cells").alias("cell"))
+        hashed.groupBy("key", "cell")
         .agg(F.sum("size").alias("words"), F.first("rate").alias("rate"), F.first("shards").alias("shards"))
         .withColumn("n", F.expr(f"cast(ceil(words / {block_words}D) as bigint)"))
         .withColumn("shard", F.expr(f"({_number(f"concat('{seed}-shard-', key)")} + cell) % shards"))
