@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lotflow.llm import audio, edits, language, mixing, neighbours, packing, quality, simhash
+from lotflow.llm import audio, edits, language, licences, lm, mixing, neighbours, packing, quality, simhash
 from lotflow.runtime import table
 
 
@@ -33,16 +33,24 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_audio, op4_packing, op5_token_counts, op6_quality, op8_language, op10_neighbours)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_audio, op4_packing, op5_token_counts, op6_quality, op7_licences, op8_language, op9_lm, op10_neighbours)}
 
 
 def oracle_sql() -> dict:
