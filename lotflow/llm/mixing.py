@@ -44,7 +44,8 @@ def targets(sources: DataFrame, scale: float = 1.5, most: int = 2) -> DataFrame:
         .withColumn("lighter", F.expr("sum(weight) over (order by ratio, place) - weight"))
         .withColumn("level", F.expr(f"({scale}D * sum(total) over () - before) / (sum(weight) over () - lighter)"))
     )
-    return placed.withColumn("line", F.expr("min(case when ratio > level then level end) over ()")).select(
+    # in order of ratio, the first source that stays below its ceiling sets the line for all that do
+    return placed.withColumn("line", F.expr("min(case when ratio > level then struct(ratio, place, level) end) over ()").getField("level")).select(
         "key", "total", F.expr("case when line is null or ratio <= level then cast(ceiling as double) else weight * line end").alias("target")
     )
 
@@ -156,7 +157,7 @@ weighed as (select *, [3, 1, 2][1 + (place - 1) % 3] as weight, 2 * total as cei
 ratios as (select *, cast(ceiling as double) / weight as ratio from weighed),
 levels as (select *, (1.5::double * (sum(total) over ())::double - (sum(ceiling) over (order by ratio, place) - ceiling)::double)
   / (sum(weight) over () - (sum(weight) over (order by ratio, place) - weight))::double as level from ratios),
-lined as (select *, min(case when ratio > level then level end) over () as line from levels),
+lined as (select *, (select arg_min(level, ratio * 1000000 + place) from levels where ratio > level) as line from levels),
 aimed as (select key, total, case when line is null or ratio <= level then cast(ceiling as double) else weight * line end as target,
   greatest(1, cast(ceil(total / 1048576.0::double) as bigint)) as cells from lined),
 sources as (select *, max(cells) over () as shards, case when total > 0 then target / total else 0 end as rate from aimed),
