@@ -49,8 +49,14 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_audio, op4_packing, op5_token_counts, op6_quality, op7_licences, op8_language, op9_lm, op10_neighbours)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_audio, op4_packing, op5_token_counts, op6_quality, op7_licences, op8_language, op9_lm, op10_neighbours, pipeline)}
 
 
 def oracle_sql() -> dict:

@@ -213,11 +213,11 @@ def simhash_components(docs: DataFrame, radius: int = 2, bands: int = 4, max_buc
 def keep_one_each(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with one row left of each component: that of the smallest doc_id (of its copies, the first by content).
 
-    Rows with a null doc_id stay only if no row with an id shares their component; then one of equal rows stays.
+    Rows with a null doc_id have no name to be linked by: all stay, equal ones once.
     """
     found = simhash_components(docs, **params)
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
     rest = docs.columns
-    first = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in rest if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
-    loose = docs.where("doc_id is null").join(found.where("doc_id is null and component_id is null").select("doc_id").distinct(), F.lit(True), "left_semi").distinct()
-    return first.select(*rest).unionByName(loose.select(*rest))
+    row = F.struct(*[c for c in rest if c != "doc_id"])
+    first = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("r")).select("doc_id", "r.*")
+    return first.select(*rest).unionByName(docs.where("doc_id is null").distinct())
