@@ -167,6 +167,10 @@ def cleaning_edits(text: str) -> list[tuple[int, int, str]]:
     return out[::-1]
 
 
+def _whole(n) -> int:
+    return 0 if n is None or n != n else int(n)
+
+
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
 
 
@@ -187,7 +191,7 @@ def edited_counts(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         text = text or ""
         tree = TokenTree(text, bpe)
         before, parts = tree.total, sum(map(len, tree.leaves))
-        todo = [(e["start"] or 0, e["stop"] or 0, e["text"] or "") for e in (edits if edits is not None else []) if e is not None] if given else cleaning_edits(text)
+        todo = [(_whole(e["start"]), _whole(e["stop"]), e["text"] or "") for e in (edits if edits is not None else []) if e is not None] if given else cleaning_edits(text)
         for e in todo:
             tree.edit(*e)
         return before, len(todo), tree.total, parts, tree.recounted

@@ -21,6 +21,8 @@ from tokenizers import Tokenizer
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 _END = "</w>"
 _LONG = 1 << 16
+#: White space to str.split, but not to the tokenizer.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Signs that stand alone as a pre-token after a word.
 _CLOSING = frozenset(".,!?;:#$%&*()-")
 
@@ -82,6 +84,8 @@ class WordBpe:
     def _words(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if any(c in text for c in _SEPARATORS):
+            return [w for w in regex.split(r"\p{White_Space}+", text.lower()) if w]
         return text.lower().split()
 
     def ids(self, text: str | None) -> bytes:
