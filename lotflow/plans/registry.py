@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from lotflow.plans import ledger
+
+_FAMILIES = (ledger,)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for family in _FAMILIES for f in family.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for family in _FAMILIES for k, v in family.ORACLE.items()}
