@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lotflow.plans import ledger
+from lotflow.plans import events, ledger
 
-_FAMILIES = (ledger,)
+_FAMILIES = (ledger, events)
 
 
 def queries() -> dict:

@@ -96,11 +96,11 @@ def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approvals of finished orders, some twice, and some for workflows that do not exist."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_custkey")
-    row = lambda df, sign, plus: df.select(
-        F.concat(F.lit("evt-"), F.col("o_orderkey") * sign).alias("event_id"), (F.col("o_orderkey") * 10 + plus).alias("sequence_engine_key"), F.concat(F.lit("user-"), F.col("o_custkey")).alias("approved_by"), F.expr(f"timestampadd(DAY, {plus}, o_orderdate)").alias("approved_at")
+    row = lambda df, prefix, plus: df.select(
+        F.concat(F.lit(prefix), F.col("o_orderkey")).alias("event_id"), (F.col("o_orderkey") * 10 + plus).alias("sequence_engine_key"), F.concat(F.lit("user-"), F.col("o_custkey")).alias("approved_by"), F.expr(f"timestampadd(DAY, {plus}, o_orderdate)").alias("approved_at")
     )
     done = o.where("o_orderstatus = 'F'")
-    return row(done, 1, 1).unionByName(row(done.where("o_orderkey % 5 = 0"), 1, 2)).unionByName(row(o.where("o_orderkey % 50 = 0"), -1, 3))
+    return row(done, "evt-", 1).unionByName(row(done.where("o_orderkey % 5 = 0"), "evt-", 2)).unionByName(row(o.where("o_orderkey % 50 = 0"), "evt-absent-", 3))
 
 
 def uris(spark: SparkSession, sf_dir: str) -> DataFrame:
