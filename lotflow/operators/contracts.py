@@ -12,25 +12,26 @@ UNIT_COST = r"^[0-9]+(\.[0-9]+)?$"
 MAX_SEQUENCE = 2**63 - 1
 
 
-def _matches(name: str, pattern: str) -> Column:
-    return F.coalesce(F.col(name).rlike(pattern), F.lit(False))
+def _matches(name: str, pattern: str) -> str:
+    return f"coalesce({name} rlike r'{pattern}', false)"
 
 
-def _filled(name: str) -> Column:
-    return F.coalesce(F.length(name) >= 1, F.lit(False))
+def _filled(name: str) -> str:
+    return f"coalesce(length({name}) >= 1, false)"
 
 
-def sequence_key(name: str = "sequence_engine_key") -> Column:
-    """A 64-bit key from text: exact, and null beyond what storage takes."""
-    wide = F.expr(f"try_cast({name} as decimal(20,0))")
-    return F.when((wide >= 0) & (wide <= F.lit(MAX_SEQUENCE)), wide.cast("long"))
+def _number(name: str, pattern: str) -> str:
+    return f"{_matches(name, pattern)} and try_cast({name} as decimal(18,4)) is not null"
 
 
-def quantity(name: str) -> Column:
-    return F.expr(f"try_cast({name} as decimal(18,4))")
+def _between(name: str, low: int, high: int) -> str:
+    return f"coalesce({name} between {low} and {high}, false)"
 
 
-#: Rule name -> expression that holds for a good row.
+#: A 64-bit key from text: exact, and null beyond what storage takes.
+SEQUENCE = f"case when try_cast(sequence_engine_key as decimal(20,0)) between 0 and {MAX_SEQUENCE} then try_cast(sequence_engine_key as bigint) end"
+
+#: Rule name -> SQL that holds for a good row.
 MOVEMENT_RULES = {
     "event_id_uuid": _matches("event_id", UUID),
     "trace_parent_format": _matches("trace_parent", TRACE_PARENT),
@@ -38,23 +39,23 @@ MOVEMENT_RULES = {
     "sku_empty": _filled("sku"),
     "vendor_empty": _filled("mdm_vendor_id"),
     "location_empty": _filled("location_id"),
-    "occurred_at_missing": F.col("occurred_at").isNotNull(),
-    "published_at_missing": F.col("published_at").isNotNull(),
-    "movement_type_undefined": F.coalesce(F.col("movement_type").between(0, 3), F.lit(False)),
-    "quantity_format": _matches("quantity", QUANTITY) & quantity("quantity").isNotNull(),
-    "unit_cost_format": _matches("unit_cost", UNIT_COST) & quantity("unit_cost").isNotNull(),
-    "sequence_out_of_range": sequence_key().isNotNull(),
+    "occurred_at_missing": "occurred_at is not null",
+    "published_at_missing": "published_at is not null",
+    "movement_type_undefined": _between("movement_type", 0, 3),
+    "quantity_format": _number("quantity", QUANTITY),
+    "unit_cost_format": _number("unit_cost", UNIT_COST),
+    "sequence_out_of_range": f"({SEQUENCE}) is not null",
 }
 
-_URI = r"^[A-Za-z][A-Za-z0-9+.-]*:.+"
+_URI = "^[A-Za-z][A-Za-z0-9+.-]*:.+"
 EMAIL_RULES = {
     **{k: MOVEMENT_RULES[k] for k in ("event_id_uuid", "trace_parent_format", "aggregate_id_empty", "vendor_empty", "occurred_at_missing", "published_at_missing", "sequence_out_of_range")},
     "vendor_email_format": _matches("vendor_email", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"),
     "subject_uri_format": _matches("secure_subject_uri", _URI),
     "body_uri_format": _matches("secure_body_uri", _URI),
-    "attachments_too_many": F.coalesce(F.size("attachments"), F.lit(0)) <= 25,
-    "stage_undefined": F.coalesce(F.col("visualization_stage").between(0, 3), F.lit(False)),
-    "intent_undefined": F.coalesce(F.col("intent_classification").between(0, 4), F.lit(False)),
+    "attachments_too_many": "attachments is null or size(attachments) <= 25",
+    "stage_undefined": _between("visualization_stage", 0, 3),
+    "intent_undefined": _between("intent_classification", 0, 4),
 }
 
 SNAPSHOT_RULES = {
@@ -65,12 +66,12 @@ SNAPSHOT_RULES = {
 }
 
 
-def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+def violations(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     """``df`` with ``errors``: the names of the broken rules, in the order of the rules."""
-    return df.withColumn("errors", F.array_compact(F.array(*[F.when(~rule, F.lit(name)) for name, rule in rules.items()])))
+    return df.withColumn("errors", F.array_compact(F.array(*[F.when(~F.expr(rule), F.lit(name)) for name, rule in rules.items()])))
 
 
-def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+def split_valid(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Good rows, and bad rows with their ``errors``; a bad row is never an exception."""
     checked = violations(df, rules)
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
@@ -78,7 +79,7 @@ def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Dat
 
 def typed_movements(df: DataFrame) -> DataFrame:
     """Validated movements with exact types."""
-    return df.withColumns({"sequence_engine_key": sequence_key(), "quantity": quantity("quantity"), "unit_cost": quantity("unit_cost")})
+    return df.withColumns({"sequence_engine_key": F.expr(SEQUENCE), "quantity": F.expr("try_cast(quantity as decimal(18,4))"), "unit_cost": F.expr("try_cast(unit_cost as decimal(18,4))")})
 
 
 def disposition(duplicate: Column, reason: Column, transient: Column, attempts: Column, most: int = 5) -> Column:

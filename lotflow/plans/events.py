@@ -147,13 +147,11 @@ def token_bucket(spark, sf_dir):
 # dead letters and traces
 
 
-def _codes():
-    codes = [*dlq.TRANSIENT, *dlq.TERMINAL, "08P01", "57014", "25000", "XX000", "57"]
-    return codes, F.element_at(F.array(*[F.lit(c) for c in codes]), (F.col("event_id") % len(codes) + 1).cast("int"))
+_CODES = [*dlq.TRANSIENT, *dlq.TERMINAL, "08P01", "57014", "25000", "XX000", "57"]
 
 
 def error_triage(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", _codes()[1].alias("sqlstate"))
+    e = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*[F.lit(c) for c in _CODES]), (F.col("event_id") % len(_CODES) + 1).cast("int")).alias("sqlstate"))
     return dlq.triage(e).groupBy("sqlstate", "error_class").agg(F.count("*").alias("errors"))
 
 
@@ -213,11 +211,10 @@ _CLEAN = r"regexp_replace({}, '<\|endoftext\|>|<\|im_start\|>|<\|im_end\|>|<syst
 
 
 def _codes_sql() -> str:
-    codes = _codes()[0]
     quoted = lambda some: ", ".join(f"'{c}'" for c in some)
     return f"""select sqlstate, case when sqlstate in ({quoted(dlq.TRANSIENT)}) then 'transient' when sqlstate in ({quoted(dlq.TERMINAL)}) then 'terminal'
  when length(sqlstate) = 5 and substr(sqlstate, 1, 2) in ('08', '57') then 'transient' else 'unknown' end as error_class, count(*) as errors
- from (select ([{quoted(codes)}])[1 + event_id % {len(codes)}] as sqlstate from events) group by all"""
+ from (select ([{quoted(_CODES)}])[1 + event_id % {len(_CODES)}] as sqlstate from events) group by all"""
 
 
 ORACLE = {
