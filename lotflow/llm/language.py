@@ -1,12 +1,13 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton of labelled text is built for each language. A document is parsed greedily into the longest phrases
-that occur in that text; the language that needs the fewest phrases a letter wins. The parse starts anew every
+that occur in that text (a letter that the language's text lacks closes the phrase it follows); the language that needs the fewest phrases a letter wins. The parse starts anew every
 ``segment`` characters, alike for all languages, so that many segments step through the automata together as arrays:
 one table lookup a character and language. Whole texts are parsed.
 
 Bound on what is fitted: ``train_chars`` characters a language (whole texts chosen by a hash of the id, of at most
-``sample_chars`` characters and ``sample_rows`` rows a language), at most ``all_chars`` together.
+``sample_chars`` characters and ``sample_rows`` rows a language), at most
+``all_chars`` together; the thousand most frequent languages are learned.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lotflow.llm.arrow import only, small_batches
 from lotflow.llm.quality import HELD_OUT
+from lotflow.llm.sampling import hashed_sample
 
 UNKNOWN = "und"
 _SPACE, _OTHER = 0, 1
@@ -153,9 +155,9 @@ def _parser(samples: dict[str, list[str]], segment: int) -> CrossParser:
 def sample(docs: DataFrame, train_chars: int = 20_000, all_chars: int = 400_000, sample_chars: int = 5_000, sample_rows: int = 200) -> dict[str, list[str]]:
     """Labelled training text of each language from rows that are not held out."""
     rows = only(docs, "doc_id", "text", "lang").where(f"lang is not null and doc_id is not null and length(text) between 1 and {sample_chars} and not {HELD_OUT}")
-    place = F.expr("row_number() over (partition by lang order by xxhash64(doc_id, 'lang'), doc_id, text)")
+    chosen = hashed_sample(rows.select("doc_id", "text", "lang"), "lang", sample_rows, ("doc_id", "text"), "lang")
     found: dict[str, list[str]] = {}
-    for lang, text in rows.select("lang", "text", place.alias("place")).where(F.col("place") <= sample_rows).orderBy("lang", "place").select("lang", "text").collect():
+    for lang, text in chosen.orderBy("lang", "place").select("lang", "text").collect():
         found.setdefault(lang, []).append(text)
     room = min(train_chars, all_chars // max(1, len(found)))
     kept = {}

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lotflow.llm.arrow import only, small_batches
+from lotflow.llm.sampling import hashed_sample
 
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, false)"
 _PIECE = 512
@@ -83,8 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, calibrate: i
     An id with several labels counts as good only if all say so.
     """
     marked = only(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(f"not {HELD_OUT}").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    place = F.expr("row_number() over (partition by quality order by xxhash64(doc_id, 'quality'), doc_id)")
-    chosen = marked.withColumn("place", place).where(F.col("place") <= per_class + calibrate)  # at most 2 x (per_class + calibrate) rows
+    chosen = hashed_sample(marked, "quality", per_class + calibrate, ("doc_id",), "quality").select("doc_id", "quality")  # at most 2 x (per_class + calibrate) rows
     texts = only(docs, "doc_id", "text").where(f"length(text) between 1 and {sample_chars}")
     rows = [tuple(r) for r in texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").distinct().collect()]
     rows.sort(key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0], r[2]))
