@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotflow.runtime import cut
 from lotflow.schemas import KEYS, ORDER
 
 _KEY = "partition by sku, location_id"
@@ -106,8 +107,8 @@ def value(accepted: DataFrame) -> DataFrame:
 
 
 def facts(movements: DataFrame) -> DataFrame:
-    """Typed movements -> facts of the accepted ones."""
-    return value(accept(movements).where("rejected is null"))
+    """Typed movements -> facts of the accepted ones, which are computed once and read twice."""
+    return value(cut(accept(movements).where("rejected is null")))
 
 
 def balance(accepted: DataFrame) -> DataFrame:

@@ -16,12 +16,15 @@ _D = lambda name: F.round(F.col(name).cast("double"), 6).alias(name)  # noqa: E7
 
 
 def _typed(spark, sf_dir):
-    good, _ = contracts.split_valid(views.movements(spark, sf_dir), contracts.MOVEMENT_RULES)
-    return contracts.typed_movements(dedup.keep_first(good, ["event_id"], ["published_at"]))
+    """Each movement once, validated after the shuffle that the deduplication needs anyway, and typed."""
+    once = dedup.keep_first(views.movements(spark, sf_dir), ["event_id"], ["published_at"])
+    good, _ = contracts.split_valid(once, contracts.MOVEMENT_RULES)
+    return contracts.typed_movements(good)
 
 
 def _accepted(spark, sf_dir):
-    return fifo.accept(_typed(spark, sf_dir)).where("rejected is null")
+    """Read more than once by most queries, so it is computed once."""
+    return cut(fifo.accept(_typed(spark, sf_dir)).where("rejected is null"))
 
 
 def _fact_columns(df):
@@ -80,7 +83,7 @@ def inventory_value(spark, sf_dir):
 
 
 def ledger_reconcile(spark, sf_dir):
-    accepted = cut(_accepted(spark, sf_dir))
+    accepted = _accepted(spark, sf_dir)
     return snapshots.reconcile(fifo.value(accepted), fifo.balance(accepted)).select(*KEYS, "movements", _D("sum_delta"), _D("qty_on_hand"), _D("lots_on_hand"), _D("fifo_total_value"), _D("lots_value"), "balanced")
 
 
