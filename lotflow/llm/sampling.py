@@ -16,7 +16,7 @@ def hashed_sample(rows: DataFrame, by: str, per_class: int, keys: tuple[str, ...
     """
     counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(classes).collect()
     if not counts:
-        return rows.limit(0)
+        return rows.limit(0).withColumn("place", F.lit(0))
     share = F.create_map(*[x for value, n in counts for x in (F.lit(value), F.lit(min(_RANGE, 64 + _RANGE * (2 * per_class + 100) // n)))])
     hashed = F.xxhash64(F.lit(salt), *keys)
     near = rows.where(F.pmod(hashed, F.lit(_RANGE)) < F.element_at(share, F.col(by)))
