@@ -7,7 +7,8 @@ the probability that there is a notice at all. What it names is then compared wi
 the paragraph's word pairs must occur in one of them.
 
 Everything is DataFrame and SQL functions and Spark's own ML stages; no Python runs on the executors. Bounds on what is
-fitted: the templates below and ``negatives`` paragraphs of the documents, chosen by a hash of their text.
+fitted: the templates below and ``negatives`` paragraphs, their first 500 characters, from
+about as many documents, chosen by hashes of their texts.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def _pairs(words: str) -> str:
 class LicenceModel:
     """The fitted classifier, its calibration and the template table."""
 
-    def __init__(self, spark: SparkSession, negatives: DataFrame, features_log2: int = 14, penalty: float = 1e-4):
+    def __init__(self, spark: SparkSession, negatives: DataFrame, features_log2: int = 12, penalty: float = 1e-4):
         names = sorted([UNKNOWN, *FAMILIES])
         self.names, self.spark = names, spark
         code = F.element_at(F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(float(k)))]), F.col("family"))
@@ -89,7 +90,7 @@ class LicenceModel:
         ]).fit(table)
         self.hash = HashingTF(numFeatures=1 << features_log2, inputCol="grams", outputCol="features", binary=True)
         train = self._features(table).cache()
-        self.model = LogisticRegression(family="multinomial", regParam=penalty, maxIter=40, standardization=False).fit(train.where("part = 0"))
+        self.model = LogisticRegression(family="multinomial", regParam=penalty, maxIter=25, standardization=False).fit(train.where("part = 0"))
         self.margins = VectorAssembler(inputCols=["margin"], outputCol="margins")
         held = self.margins.transform(self._named(train.where("part = 1").select("family", "features"))).withColumn("label", F.expr(f"double(family <> '{UNKNOWN}')"))
         self.calibration = LogisticRegression(featuresCol="margins", labelCol="label", predictionCol="p1", rawPredictionCol="r1", probabilityCol="q1", regParam=1e-3, maxIter=60).fit(held.select("margins", "label"))
@@ -119,7 +120,7 @@ class LicenceModel:
         return found.withColumn("mine", F.expr(_pairs("words"))).join(F.broadcast(own), "named").where(F.expr(f"size(mine) > 0 and {shared} >= {overlap}")).select("doc_id", "place", "paragraph", F.col("named").alias("family"), "probability")
 
 
-def scan(docs: DataFrame, negatives: int = 4000, **params) -> DataFrame:
+def scan(docs: DataFrame, negatives: int = 2000, **params) -> DataFrame:
     """(doc_id, family, n_notices, n_families, first_line, probability) for every row of ``docs(doc_id, text)``.
 
     family is that of the most probable confirmed notice (ties: the earliest line), ``none`` without one. Lines count
@@ -128,8 +129,10 @@ def scan(docs: DataFrame, negatives: int = 4000, **params) -> DataFrame:
     """
     spark = docs.sparkSession
     lines = paragraphs(docs)
-    plain = lines.where("not lower(paragraph) rlike 'licen|copyright|rights reserved|public domain|permission|redistribut|creative commons'")
-    sample = plain.select(F.substring("paragraph", 1, 2000).alias("paragraph")).orderBy(F.xxhash64("paragraph"), "paragraph").limit(negatives)
+    share = min(1.0, negatives / max(1, docs.count()))
+    some = paragraphs(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
+    plain = some.where("not lower(paragraph) rlike 'licen|copyright|rights reserved|public domain|permission|redistribut|creative commons'")
+    sample = plain.select(F.substring("paragraph", 1, 500).alias("paragraph")).orderBy(F.xxhash64("paragraph"), "paragraph").limit(negatives)
     model = LicenceModel(spark, cut(sample))
     hits = model.classify(lines, **params).groupBy("doc_id").agg(
         F.max(F.struct("probability", (-F.col("place")).alias("p"), "family")).alias("top"), F.count("*").alias("n"), F.count_distinct("family").alias("k")
