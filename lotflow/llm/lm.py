@@ -1,29 +1,40 @@
 """Cross-entropy difference: how much better a target language model predicts a document than a background model.
 
-Both are word bigram models over one vocabulary, the most frequent words of all
-documents. The target is counted over
-documents labelled good, the background over all documents, and its counts are scaled to the target's total, so that
-both are smoothed alike. Bigram counts live in a fixed number of hashed cells; a cell counts at most as often as its two
-words do. Counting is one pass over whole texts: each task adds up its own rows and sends arrays, which are summed in
-two steps, so what is gathered follows the input while each group stays bounded.
+Both are word bigram models over one vocabulary, all words of all documents. The target is counted over documents
+labelled good, the background over all documents, and its counts are scaled to the target's total, so that both are
+smoothed alike. Words and bigrams are counted exactly, in Spark tables with the words themselves as keys.
+
+A word costs -log((pair + s * base[second]) / (seen[first] + s)). Every word of a text is once first and once second in a
+pair, and so is its edge; the sum over a text may therefore take ``seen`` of the second word instead. All a pair needs
+then stands under its second word: rows are dealt by that, and two windows give the word's counts and the pair's. Words
+that hold a large share of the text (at most ``1 / share`` of them can) are broadcast with their exact counts and their
+rows dealt by the first word too, so that no word's rows meet in one task. A document sends a pair once, with its count.
+
+``words`` and ``cells_log2`` ask for the bounded form instead: the most frequent words, and bigrams in a fixed number of
+hashed cells, in which a cell counts at most as often as its two words do.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lotflow.llm.arrow import only, small_batches
 from lotflow.runtime import cut
 
 _CHUNK = 4096
 _UNKNOWN, _EDGE = 0, 1
+_END = ""  # the edge of a text in the exact tables; no word is empty
+_DEALS = 1024
 _SUMS = "model int, chunk int, salt int, counts binary"
 
 
@@ -125,23 +136,96 @@ def _counts(rows: DataFrame, vocab: Vocabulary, salts: int) -> np.ndarray:
     return out[:, :size]
 
 
-def score_difference(docs: DataFrame, labels: DataFrame, words: int = 16_384, cells_log2: int = 20, salts: int = 64, small_labels: int = 1_000_000) -> DataFrame:
+def _word_counts(labelled: DataFrame) -> DataFrame:
+    """(word, t, b): how often each word, and the edge, occurs in the target and in all rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen[good].update((text or "").lower().split())
+                seen[good][_END] += 1
+            for good, words in enumerate(seen):
+                n = pa.array(words.values(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), n if good else pa.array(np.zeros(len(words), np.int64)), n], names=["word", "t", "b"])
+
+    return labelled.select("text", "good").mapInArrow(count, "word string, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def _pair_rows(labelled: DataFrame, hot: Broadcast) -> DataFrame:
+    """(row, doc_id, good, deal, first, second, n): each distinct pair of each document with its count.
+
+    ``deal`` spreads the rows of a hot second word by the first; it is -1 for all other words.
+    """
+    names = ["row", "doc_id", "good", "deal", "first", "second", "n"]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, spread = TaskContext.get().partitionId() << 33, hot.value
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for k, (text, good) in enumerate(zip(batch.column("text").to_pylist(), batch.column("good").to_pylist())):
+                words = [_END, *(text or "").lower().split(), _END]
+                found = Counter(zip(words, words[1:]))
+                first, second = zip(*found)
+                n = len(found)
+                deal = [zlib.crc32(a.encode()) % _DEALS if b in spread else -1 for a, b in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), ids.take(pa.array(np.full(n, k))), pa.array(np.full(n, good)), pa.array(deal, pa.int32()), pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(found.values(), pa.int64())], names=names)
+                row += 1
+
+    schema = StructType([StructField("row", LongType()), labelled.schema["doc_id"], *StructType.fromDDL("good boolean, deal int, first string, second string, n long").fields])
+    return labelled.select("doc_id", "text", "good").mapInArrow(pairs, schema)
+
+
+def _exact_difference(labelled: DataFrame, strength: float = 64.0, share: float = 1 / 2048) -> DataFrame:
+    words = cut(_word_counts(labelled))
+    total_t, total_b, size = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count("*")).first()
+    scale = total_t / max(1, total_b)
+    head = words.where(F.col("b") >= share * total_b).select(F.col("word").alias("second"), F.col("t").alias("head_t"), F.col("b").alias("head_b"))
+    hot = labelled.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in head.select("second").collect()))
+    counted = _pair_rows(labelled, hot).repartition("second", "deal").withColumns({"t": F.when(F.col("good"), F.col("n")).otherwise(0), "b": F.col("n")})
+    by_word, by_pair = Window.partitionBy("second", "deal"), Window.partitionBy("second", "deal", "first")
+    for name, window in (("pair", by_pair), ("word", by_word)):
+        counted = counted.withColumns({f"{name}_{m}": F.sum(m).over(window) for m in ("t", "b")})
+    counted = counted.join(F.broadcast(head), "second", "left")
+
+    def loss(model: str, scale: float, total: int) -> F.Column:
+        seen = F.coalesce(f"head_{model}", f"word_{model}") * F.lit(float(scale))
+        base = (seen + F.lit(0.5)) / F.lit(total * scale + 0.5 * size)
+        return F.log(seen + F.lit(strength)) - F.log(F.col(f"pair_{model}") * F.lit(float(scale)) + F.lit(strength) * base)
+
+    sums = counted.select("row", "doc_id", "n", (F.col("n") * loss("t", 1.0, total_t)).alias("lt"), (F.col("n") * loss("b", scale, total_b)).alias("lb"))
+    sums = sums.groupBy("row", "doc_id").agg(F.sum("n").alias("n"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
+    target, background = F.col("lt") / F.col("n"), F.col("lb") / F.col("n")
+    return sums.select("doc_id", (F.col("n") - 1).alias("n_tokens"), target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("difference"))
+
+
+def score_difference(docs: DataFrame, labels: DataFrame, words: int | None = None, cells_log2: int | None = None, salts: int = 64, small_labels: int = 1_000_000) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) for every row of ``docs(doc_id, text)``.
 
     Losses are means in nats over the words and the end of a text; difference = target_loss - background_loss, lower for
     text more like the target. A null text and one without words have 0 tokens and predict the end alone. The target is
     all texts with quality 1 in ``labels(doc_id, quality)`` and no other quality; without any, both models fall back on
     their smoothing. Good ids are broadcast if there are at most ``small_labels``, else joined. Repeated rows count and
-    score each; other columns are ignored; an empty table gives an empty result.
+    score each; other columns are ignored; an empty table gives an empty result. Every word and bigram is counted unless
+    ``words`` and ``cells_log2`` ask for the bounded form.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    if (words is None) != (cells_log2 is None):
+        raise ValueError("words and cells_log2 go together")
+    small_batches(docs.sparkSession)
     rows = only(docs, "doc_id", "text")
     good = only(labels, "doc_id", "quality").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id", F.lit(True).alias("good"))
     if good.count() <= small_labels:
         good = F.broadcast(good)
+    labelled = rows.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    if words is None:
+        return _exact_difference(labelled)
+    return _bounded_difference(rows, labelled, words, cells_log2, salts)
+
+
+def _bounded_difference(rows: DataFrame, labelled: DataFrame, words: int, cells_log2: int, salts: int) -> DataFrame:
+    spark = rows.sparkSession
     vocab = vocabulary(rows, words, cells_log2)
-    target, background = _counts(rows.join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good")), vocab, salts)
+    target, background = _counts(labelled.select("text", "good"), vocab, salts)
     share = target[: vocab.size].sum() / max(1, background[: vocab.size].sum())
     shared = spark.sparkContext.broadcast((vocab, Bigrams(target, vocab), Bigrams(background, vocab, float(share))))
 

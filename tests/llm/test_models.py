@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -150,6 +151,37 @@ def test_lm_odd_rows(spark, docs_of):
     assert lm.score_difference(docs.limit(0), none, words=50, cells_log2=8).count() == 0
 
 
+def test_lm_exact_counts(spark, docs_of):
+    rng = random.Random(9)
+    texts = [" ".join(f"W{rng.randint(0, 20_000)}" if rng.random() < 0.9 else "the" for _ in range(150)) for _ in range(300)] + [None, "", "the the the the", "the the the the"]
+    docs = docs_of([(k, t, None, None) for k, t in enumerate(texts)] + [(0, texts[0], None, None), (None, "the end", None, None)])
+    rows = [(r.doc_id, [(w, v) for ws in [["", *(r.text or "").lower().split(), ""]] for w, v in zip(ws, ws[1:])]) for r in docs.collect()]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int")
+    pairs, words = (Counter(), Counter()), (Counter(), Counter())
+    for d, found in rows:
+        for m in (0, 1) if d is not None and d < 100 and d % 2 else (1,):
+            pairs[m].update(found)
+            words[m].update(w for w, _ in found)
+    size, total = len(words[1]), [sum(w.values()) for w in words]
+    assert size > 16_384 and min(words[1].values()) == 1
+    scale = [1.0, total[0] / total[1]]
+    want = []
+    for d, found in rows:
+        loss = [-np.mean([np.log((pairs[m][w, v] * s + 64 * (words[m][v] * s + 0.5) / (total[m] * s + 0.5 * size)) / (words[m][w] * s + 64)) for w, v in found]) for m, s in enumerate(scale)]
+        want.append((-1 if d is None else d, len(found) - 1, *loss, loss[0] - loss[1]))
+    for small in (0, 10**6):
+        got = [(-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.target_loss, r.background_loss, r.difference) for r in lm.score_difference(docs, labels, small_labels=small).collect()]
+        assert len(got) == len(want) and np.allclose(sorted(got), sorted(want), rtol=1e-9)
+
+
+def test_lm_exact_odd_rows(spark, docs_of):
+    docs = docs_of([(1, None, None, None), (2, "", None, None), (None, "a b", None, None), (3, "a b", None, None), (3, "a b", None, None)])
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rows = lm.score_difference(docs, none).collect()
+    assert sorted(r.n_tokens for r in rows) == [0, 0, 2, 2, 2] and all(np.isfinite(r.difference) for r in rows)
+    assert lm.score_difference(docs.limit(0), none).count() == 0
+
+
 def test_licences(spark, docs_of):
     plain = [(k, f"Ordinary words number {k} stand here.\nAnd another line of plain prose follows it.", None, None) for k in range(10, 60)]
     docs = docs_of(plain + [
