@@ -1,10 +1,11 @@
 """Licence scans: a trained paragraph classifier with a calibrated unknown class, confirmed against templates.
 
-Paragraphs are lines of a text. A multinomial logistic regression over hashed word unigrams and bigrams, trained with a
+Paragraphs are lines of a text; a longer one is also taken by sentences, and a long sentence by overlapping windows of
+words, so that a notice inside other text is a piece of its own. A multinomial logistic regression over hashed word unigrams and bigrams, trained with a
 ridge penalty on notices written from the templates and on paragraphs of the documents, names a family or
 ``unknown``. A second logistic regression, on notices and paragraphs that the first did not see, turns its margin into
 the probability that there is a notice at all. What it names is then compared with the family's own templates: enough of
-the paragraph's word pairs must occur in one of them.
+the piece's word pairs must occur in one of them, or nearly all pairs of one of them in the piece.
 
 Everything is DataFrame and SQL functions and Spark's own ML stages; no Python runs on the executors. Bounds on what is
 fitted: the templates below and ``negatives`` paragraphs, their first 500 characters, from
@@ -17,7 +18,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotflow.llm.arrow import only
@@ -40,6 +41,30 @@ FAMILIES = {
     "mpl": (("Mozilla Public License, version 2.0", "MPL-2.0", "Mozilla Public License 2.0"), "This Source Code Form is subject to the terms of the Mozilla Public License. If a copy was not distributed with this file, you can obtain one."),
     "reserved": (("All rights reserved",), "No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher. All rights reserved."),
 }
+#: More sentences of the usual full texts and headers.
+_FULLER = {
+    "apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "bsd": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
+    "gpl": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "You should have received a copy of the GNU General Public License along with this program.",
+    ),
+    "lgpl": ("You should have received a copy of the GNU Lesser General Public License along with this library.",),
+    "mit": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+}
 _WAYS = (
     "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "Licensed under {}.", "Distributed under the terms of the {}.", "This software is released under the {}.",
     "SPDX-License-Identifier: {}", "License: {}", "Available under the {} license.", "This project is licensed under {}.", "See the {} for details.", "Published under {}.",
@@ -57,7 +82,7 @@ def _notices() -> list[tuple[str, str, int]]:
     out = []
     for family, (names, sentence) in FAMILIES.items():
         ways = [n + "." for n in names] + ["Copyright (c) 2020. " + n + "." for n in names] if family == "reserved" else [w.format(n) for n in names for w in _WAYS]
-        out += [(family, w, int(k % 4 == 3)) for k, w in enumerate(ways)] + [(family, sentence, 0), (family, sentence.split(",")[0], 1)]
+        out += [(family, w, int(k % 4 == 3)) for k, w in enumerate(ways)] + [(family, sentence, 0), (family, sentence.split(",")[0], 1)] + [(family, w, 0) for w in _FULLER.get(family, ())]
     return out + [(UNKNOWN, d, k % 2) for k, d in enumerate(_DECOYS)]
 
 
@@ -71,6 +96,19 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("place", "paragraph")).where(r"paragraph rlike '\\S'")
 
 
+def pieces(lines: DataFrame) -> DataFrame:
+    """``lines`` with every paragraph also by sentences, and sentences above 32 words by windows of 24 that overlap by half.
+
+    A line of more than 64 words comes by its pieces only: any template, or half of a long one, fits into one of them.
+    """
+    words = "split(trim({}), '\\\\s+')"
+    windows = f"transform(sequence(0, size({words.format('s')}) - 13, 12), i -> array_join(slice({words.format('s')}, i + 1, 24), ' '))"
+    parts = f"flatten(transform(filter(sentences, s -> s rlike '\\\\S'), s -> if(size({words.format('s')}) > 32, {windows}, array(s))))"
+    whole = f"if((size(sentences) > 1 or size({words.format('paragraph')}) > 32) and size({words.format('paragraph')}) <= 64, array(paragraph), slice(sentences, 1, 0))"
+    split = lines.withColumn("sentences", F.split("paragraph", r"(?<=[.!?])\s+"))
+    return split.select("doc_id", "place", F.explode(F.expr(f"array_distinct(concat({whole}, {parts}))")).alias("paragraph"))
+
+
 def _pairs(words: str) -> str:
     """SQL of the distinct adjacent word pairs of an array of words, or its words if there is but one."""
     return f"case when size({words}) > 1 then array_distinct(transform(sequence(1, size({words}) - 1), i -> concat(element_at({words}, i), ' ', element_at({words}, i + 1)))) else {words} end"
@@ -80,10 +118,14 @@ class LicenceModel:
     """The fitted classifier, its calibration and the template table."""
 
     def __init__(self, spark: SparkSession, negatives: DataFrame, features_log2: int = 12, penalty: float = 1e-4):
+        """Notices are learned alone and with words of a counter-example before and after them."""
         names = sorted([UNKNOWN, *FAMILIES])
         self.names, self.spark = names, spark
         code = F.element_at(F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(float(k)))]), F.col("family"))
-        table = _rows(spark, _notices(), ("family", "paragraph", "part")).unionByName(negatives.select(F.lit(UNKNOWN).alias("family"), "paragraph", F.pmod(F.xxhash64("paragraph"), F.lit(2)).cast("int").alias("part"))).withColumn("label", code).coalesce(2)
+        notices = _rows(spark, [(*n, k) for k, n in enumerate(_notices())], ("family", "paragraph", "part", "k"))
+        around = negatives.select(F.split("paragraph", r"\s+").alias("around"), (F.row_number().over(Window.orderBy(F.xxhash64("paragraph"), "paragraph")) - 1).alias("k"))
+        within = notices.where(F.col("family") != UNKNOWN).join(around, "k").select("family", F.concat_ws(" ", F.slice("around", 1, 6), "paragraph", F.slice("around", 7, 6)).alias("paragraph"), "part")
+        table = notices.drop("k").unionByName(within).unionByName(negatives.select(F.lit(UNKNOWN).alias("family"), "paragraph", F.pmod(F.xxhash64("paragraph"), F.lit(2)).cast("int").alias("part"))).withColumn("label", code).coalesce(2)
         self.stages = Pipeline(stages=[
             RegexTokenizer(inputCol="paragraph", outputCol="words", pattern=r"[^\p{L}\p{N}.+-]+|\.(?=\s|$)", toLowercase=True),
             NGram(n=2, inputCol="words", outputCol="pairs"),
@@ -110,31 +152,32 @@ class LicenceModel:
             .withColumn("margin", F.expr(f"best - element_at(raw, {unknown})"))
         )
 
-    def classify(self, rows: DataFrame, least: float = 0.5, overlap: float = 0.5) -> DataFrame:
+    def classify(self, rows: DataFrame, least: float = 0.5, overlap: float = 0.5, contained: float = 0.8) -> DataFrame:
         """(doc_id, place, paragraph, family, probability) of paragraphs that are confirmed notices."""
         found = self.margins.transform(self._named(self._features(rows)).select("doc_id", "place", "paragraph", "words", "named", "margin"))
         found = self.calibration.transform(found).withColumn("probability", F.element_at(vector_to_array("q1"), 2)).where(F.col("probability") >= least)
         own = self.stages.transform(_rows(self.spark, [(f, w) for f, w, _ in _notices() if f != UNKNOWN], ("named", "paragraph"))).select("named", F.expr(_pairs("words")).alias("template"))
         own = own.groupBy("named").agg(F.collect_list("template").alias("templates"))  # one row a family
-        shared = "array_max(transform(templates, t -> size(array_intersect(mine, t)))) / size(mine)"
-        return found.withColumn("mine", F.expr(_pairs("words"))).join(F.broadcast(own), "named").where(F.expr(f"size(mine) > 0 and {shared} >= {overlap}")).select("doc_id", "place", "paragraph", F.col("named").alias("family"), "probability")
+        confirmed = f"exists(templates, t -> size(array_intersect(mine, t)) >= {overlap} * size(mine) or size(array_intersect(mine, t)) >= {contained} * size(t))"
+        return found.withColumn("mine", F.expr(_pairs("words"))).join(F.broadcast(own), "named").where(F.expr(f"size(mine) > 0 and {confirmed}")).select("doc_id", "place", "paragraph", F.col("named").alias("family"), "probability")
 
 
 def scan(docs: DataFrame, negatives: int = 2000, **params) -> DataFrame:
     """(doc_id, family, n_notices, n_families, first_line, probability) for every row of ``docs(doc_id, text)``.
 
     family is that of the most probable confirmed notice (ties: the earliest line), ``none`` without one. Lines count
-    from 0. Null and empty texts have none. Rows that share an id share their notices, those of a null id among
+    from 0; the pieces of a line that name the same family are one notice. Null and empty texts have none. Rows that share an id share their notices, those of a null id among
     themselves. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    lines = paragraphs(docs)
+    lines = pieces(paragraphs(docs))
     share = min(1.0, negatives / max(1, docs.count()))
-    some = paragraphs(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
+    some = pieces(paragraphs(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)))
     plain = some.where("not lower(paragraph) rlike 'licen|copyright|rights reserved|public domain|permission|redistribut|creative commons'")
     sample = plain.select(F.substring("paragraph", 1, 500).alias("paragraph")).orderBy(F.xxhash64("paragraph"), "paragraph").limit(negatives)
     model = LicenceModel(spark, cut(sample))
-    hits = model.classify(lines, **params).groupBy("doc_id").agg(
+    notices = model.classify(lines, **params).groupBy("doc_id", "place", "family").agg(F.max("probability").alias("probability"))
+    hits = notices.groupBy("doc_id").agg(
         F.max(F.struct("probability", (-F.col("place")).alias("p"), "family")).alias("top"), F.count("*").alias("n"), F.count_distinct("family").alias("k")
     )
     ids = only(docs, "doc_id").withColumnRenamed("doc_id", "id")

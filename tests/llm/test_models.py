@@ -196,3 +196,20 @@ def test_licences(spark, docs_of):
     assert got[1][:2] == ("mit", 1) and got[2][0] == "gpl" and got[3][0] == got[4][0] == got[5][0] == got[7][0] == "none" and got[None][0] == "cc-by-nc" and got[6][1:] == (2, 2)
     assert all(got[k][0] == "none" for k in range(10, 60))
     assert licences.scan(docs.limit(0)).count() == 0
+
+
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+
+
+def test_licences_inside_longer_text(spark, docs_of):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choices("harbour stone winter lamp carried slowly under green windows the and of a river where people had walked before".split(), k=n))
+    docs = docs_of([(k, prose(30) + ". " + prose(70) + ".", None, None) for k in range(20, 80)] + [
+        (1, MIT, None, None), (2, APACHE, None, None), (3, f"{prose(40)}. Released under the MIT License. {prose(50)}.", None, None), (4, f"{prose(60)} {MIT} {prose(60)}", None, None),
+        (5, f"{prose(20)} this file is licensed under the Apache License, Version 2.0 {prose(20)}", None, None), (6, f"{prose(30)}. {APACHE} {prose(30)}. Released under the MIT License.", None, None),
+        (7, f"{prose(30)}. The driver's license expired last year. {prose(60)}", None, None),
+    ])
+    got = {r.doc_id: (r.family, r.n_notices, r.first_line) for r in licences.scan(docs, negatives=60).collect()}
+    assert {k: got[k] for k in range(1, 6)} == {1: ("mit", 1, 0), 2: ("apache-2.0", 1, 0), 3: ("mit", 1, 0), 4: ("mit", 1, 0), 5: ("apache-2.0", 1, 0)}
+    assert got[6][1:] == (2, 0) and got[7][0] == "none" and all(got[k][0] == "none" for k in range(20, 80))
