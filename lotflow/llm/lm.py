@@ -2,245 +2,249 @@
 
 Both are word bigram models over one vocabulary, all words of all documents. The target is counted over documents
 labelled good, the background over all documents, and its counts are scaled to the target's total, so that both are
-smoothed alike. Words and bigrams are counted exactly, in Spark tables with the words themselves as keys.
+smoothed alike. Every word and every bigram is counted; none is dropped, capped or folded with another.
 
-A word costs -log((pair + s * base[second]) / (seen[first] + s)). Every word of a text is once first and once second in a
-pair, and so is its edge; the sum over a text may therefore take ``seen`` of the second word instead. All a pair needs
-then stands under its second word: rows are dealt by that, and two windows give the word's counts and the pair's. Words
-that hold a large share of the text (at most ``1 / share`` of them can) are broadcast with their exact counts and their
-rows dealt by the first word too, so that no word's rows meet in one task. A document sends a pair once, with its count.
+1. A task reads its documents as chunks of about ``chunk_tokens`` words. A chunk's distinct words and bigrams become
+   64-bit keys (hashes; two of n keys agree with a chance below n^2 / 2^64), sorted and cut into ``buckets`` equal
+   ranges of keys. Each bucket gets the chunk's keys there with their counts, packed; a key is sent once a chunk,
+   however often it occurs, so that no word or bigram is a hot key. The chunk's words go along as small numbers.
+2. A bucket adds up its keys over all chunks and answers each chunk with the totals, in the order of the keys.
+3. A chunk puts its answers together and sums its documents' losses. Documents longer than a chunk go on in the next
+   one, so memory is bounded; sums by row come last.
+
+The rows between chunks and buckets are at most one for each key and chunk, so they grow with the input.
 
-``words`` and ``cells_log2`` ask for the bounded form instead: the most frequent words, and bigrams in a fixed number of
-hashed cells, in which a cell counts at most as often as its two words do.
+A word costs -log((pair + s * base[second]) / (seen[first] + s)). Every word of a text is once first and once second in a
+pair, and so is its edge; the sum over a text may therefore take ``seen`` of the second word instead.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, Window
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from lotflow.llm.arrow import only, small_batches
 from lotflow.runtime import cut
 
-_CHUNK = 4096
-_UNKNOWN, _EDGE = 0, 1
-_END = ""  # the edge of a text in the exact tables; no word is empty
-_DEALS = 1024
-_SUMS = "model int, chunk int, salt int, counts binary"
+_EDGE = ""  # the edge of a text; no word is empty
+_KEYS, _BODY = 0, 1
+_SENT = "bucket long, chunk long, kind int, one binary, two binary, three binary"
 
 
-class Vocabulary:
-    """Word ids; 0 for a word outside, 1 for the edge of a text."""
+def words_of(text: str | None) -> list[str]:
+    """The one way a text becomes words, for counting and for scoring."""
+    return (text or "").lower().split()
 
-    def __init__(self, words: list[str], cells_log2: int):
-        self.words, self.size, self.cells = words, len(words) + 2, 1 << cells_log2
-        self.shift = np.uint64(64 - cells_log2)
-        self._ids: dict[str, int] | None = None
 
-    def __getstate__(self):
-        return {**self.__dict__, "_ids": None}
+class _Numbers(dict):
+    """A number for each different word, in order of first sight."""
 
-    def ids(self, text: str) -> np.ndarray:
-        """Edge, words, edge."""
-        if self._ids is None:
-            self._ids = {w: k + 2 for k, w in enumerate(self.words)}
-        get = self._ids.get
-        return np.array([_EDGE, *[get(w, _UNKNOWN) for w in text.lower().split()], _EDGE], dtype=np.int64)
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
-    def cell(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        pair = (first * self.size + second).astype(np.uint64)
-        return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, compressed; small and sorted ones shrink most."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return zstandard.compress(planes.tobytes(), 1)
 
-class Bigrams:
-    """One smoothed model: word counts, then bigram cells."""
 
-    def __init__(self, counts: np.ndarray, vocabulary: Vocabulary, scale: float = 1.0, strength: float = 64.0):
-        words = counts[: vocabulary.size] * scale
-        self.words, self.strength = words, strength
-        self.base = (words + 0.5) / (words.sum() + 0.5 * vocabulary.size)
-        self.pairs = (counts[vocabulary.size :] * scale).astype(np.float32)
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-    def loss(self, first: np.ndarray, second: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """Negative log probability of each word after the one before."""
-        seen = self.words[first]
-        pair = np.minimum(self.pairs[cell], np.minimum(seen, self.words[second]))
-        return -np.log((pair + self.strength * self.base[second]) / (seen + self.strength))
 
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
 
-def vocabulary(docs: DataFrame, words: int = 16_384, cells_log2: int = 20) -> Vocabulary:
-    """The words above the lowest frequency step that at most ``words`` words reach.
 
-    Frequencies fall into steps of a 64th of an octave; the counts of words by step say where to cut, so that no task
-    sends more than it keeps of the vocabulary itself.
-    """
-    counted = only(docs, "text").select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("word").count()
-    stepped = cut(counted.withColumn("step", F.floor(F.log2("count") * 64).cast("int")).where("count > 1"))
-    room, least = words, None
-    for step, n in sorted(((r[0], r[1]) for r in stepped.groupBy("step").count().collect()), reverse=True):
-        if n > room:
-            break
-        room, least = room - n, step
-    kept = stepped.where(F.col("step") >= least).select("word", "count").collect() if least is not None else []
-    return Vocabulary([w for w, _ in sorted(kept, key=lambda r: (-r[1], r[0].encode()))], cells_log2)
-
-
-def _counts(rows: DataFrame, vocab: Vocabulary, salts: int) -> np.ndarray:
-    """Word and bigram counts of the target (0) and of all rows (1)."""
-    size = vocab.size + vocab.cells
-    chunks = -(-size // _CHUNK)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, chunks * _CHUNK), dtype=np.int64)
-        for batch in batches:
-            parts: tuple[list, list] = ([], [])
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    ids = vocab.ids(text)
-                    parts[1].append(ids)
-                    if good:
-                        parts[0].append(ids)
-            for model, some in enumerate(parts):
-                if some:
-                    flat = np.concatenate(some)
-                    inside = np.ones(len(flat) - 1, dtype=bool)
-                    inside[np.cumsum([len(s) for s in some])[:-1] - 1] = False
-                    first, second = flat[:-1][inside], flat[1:][inside]
-                    at = np.concatenate([first, vocab.size + vocab.cell(first, second)])
-                    total[model] += np.bincount(at, minlength=chunks * _CHUNK)
-        salt = TaskContext.get().partitionId() % salts
-        for model in (0, 1):
-            for k in range(chunks):
-                if (part := total[model, k * _CHUNK : (k + 1) * _CHUNK]).any():
-                    yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["model", "chunk", "salt", "counts"])
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_CHUNK, dtype=np.int64)
-        for c in rows["counts"]:
-            total += np.frombuffer(c, dtype=np.int64)
-        return rows.iloc[:1].assign(counts=[total.tobytes()])
 
-    sums = rows.mapInArrow(count, _SUMS).groupBy("model", "chunk", "salt").applyInPandas(add, _SUMS).groupBy("model", "chunk").applyInPandas(add, _SUMS)
-    out = np.zeros((2, chunks * _CHUNK), dtype=np.int64)
-    for model, chunk, counts in sums.select("model", "chunk", "counts").toLocalIterator():
-        out[model, chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(counts, dtype=np.int64)
-    return out[:, :size]
+def _word_keys(words: list[str]) -> np.ndarray:
+    """Odd 64-bit keys."""
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) | 1 for w in words], dtype=np.uint64)
 
 
-def _word_counts(labelled: DataFrame) -> DataFrame:
-    """(word, t, b): how often each word, and the edge, occurs in the target and in all rows."""
+def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Even 64-bit keys."""
+    x = first * np.uint64(0x9E3779B97F4A7C15) + second
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x & ~np.uint64(1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[good].update((text or "").lower().split())
-                seen[good][_END] += 1
-            for good, words in enumerate(seen):
-                n = pa.array(words.values(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), n if good else pa.array(np.zeros(len(words), np.int64)), n], names=["word", "t", "b"])
 
-    return labelled.select("text", "good").mapInArrow(count, "word string, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different values, the place of each value among them, and the order that sorts them."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.empty(len(values), bool)
+    new[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place, order
 
 
-def _pair_rows(labelled: DataFrame, hot: Broadcast) -> DataFrame:
-    """(row, doc_id, good, deal, first, second, n): each distinct pair of each document with its count.
+def _keys(stream: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a stream of word numbers: all different ones sorted, and those of each word and of each adjacent pair."""
+    at = words[stream]
+    keys, place, _ = _distinct(np.concatenate([words, _pair_keys(at[:-1], at[1:])]))
+    return keys, place[: len(words)], place[len(words) :]
 
-    ``deal`` spreads the rows of a hot second word by the first; it is -1 for all other words.
-    """
-    names = ["row", "doc_id", "good", "deal", "first", "second", "n"]
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, spread = TaskContext.get().partitionId() << 33, hot.value
+def _bounds(buckets: int) -> np.ndarray:
+    """The first key of every bucket but the first."""
+    return np.array([k * (1 << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
+
+
+class _Chunk:
+    """Words of documents, one after the other with edges between; ``lengths`` counts the pairs of each document here."""
+
+    def __init__(self, before: str = _EDGE):
+        self.numbers = _Numbers()
+        self.stream = [self.numbers[before]]
+        self.rows, self.ids, self.lengths, self.good = [], [], [], []
+
+    def add(self, row: int, doc, good: bool, words: list[str]) -> None:
+        self.stream.extend(map(self.numbers.__getitem__, words))
+        self.rows.append(row)
+        self.ids.append(doc)
+        self.lengths.append(len(words))
+        self.good.append(good)
+
+    def rows_for(self, number: int, buckets: int, ids: pa.DataType) -> pa.RecordBatch:
+        stream, words = np.array(self.stream, np.uint32), _word_keys(list(self.numbers))
+        keys, word_at, pair_at = _keys(stream, words)
+        second = word_at[stream[1:]]
+        good = np.repeat(np.array(self.good, bool), self.lengths)
+        b = (np.bincount(pair_at, minlength=len(keys)) + np.bincount(second, minlength=len(keys))).astype(np.uint32)
+        t = (np.bincount(pair_at[good], minlength=len(keys)) + np.bincount(second[good], minlength=len(keys))).astype(np.uint32)
+        ends = np.r_[0, np.searchsorted(keys, _bounds(buckets)), len(keys)]
+        some = np.flatnonzero(np.diff(ends))
+        parts = [slice(ends[k], ends[k + 1]) for k in some]
+        small = stream.astype(np.uint16) if len(words) < 1 << 16 else stream
+        one = [_packed(small), *[_pack_sorted(keys[p]) for p in parts]]
+        two = [words.tobytes(), *[_packed(t[p]) for p in parts]]
+        three = [_packed(np.array([self.rows, self.lengths], np.int64).ravel()), *[_packed(b[p]) for p in parts]]
+        n = len(one)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([self.ids] + [None] * (n - 1), pa.list_(ids)), pa.array([number % buckets, *some], pa.int64()), pa.array([number] * n, pa.int64()), pa.array([_BODY] + [_KEYS] * (n - 1), pa.int32()),
+                pa.array(one, pa.binary()), pa.array(two, pa.binary()), pa.array(three, pa.binary()),
+            ],
+            names=["ids", "bucket", "chunk", "kind", "one", "two", "three"],
+        )
+
+
+def _sent(labelled: DataFrame, buckets: int, chunk_tokens: int) -> DataFrame:
+    """What every chunk sends: its keys with counts to their buckets, and its own words to any one bucket."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = row = TaskContext.get().partitionId() << 33
+        chunk, kind = _Chunk(), pa.null()
         for batch in batches:
-            ids = batch.column("doc_id")
-            for k, (text, good) in enumerate(zip(batch.column("text").to_pylist(), batch.column("good").to_pylist())):
-                words = [_END, *(text or "").lower().split(), _END]
-                found = Counter(zip(words, words[1:]))
-                first, second = zip(*found)
-                n = len(found)
-                deal = [zlib.crc32(a.encode()) % _DEALS if b in spread else -1 for a, b in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), ids.take(pa.array(np.full(n, k))), pa.array(np.full(n, good)), pa.array(deal, pa.int32()), pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(found.values(), pa.int64())], names=names)
+            kind = batch.schema.field("doc_id").type
+            for doc, text, good in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "good"))):
+                words = [*words_of(text), _EDGE]
                 row += 1
+                while words:
+                    room = chunk_tokens - len(chunk.stream)
+                    chunk.add(row, doc, good, words[:room])
+                    if room <= len(words):
+                        yield chunk.rows_for(number, buckets, kind)
+                        chunk, number = _Chunk(words[room - 1]), number + 1
+                    words = words[room:]
+        if chunk.rows:
+            yield chunk.rows_for(number, buckets, kind)
+
+    return labelled.select("doc_id", "text", "good").mapInArrow(send, _schema(_SENT, labelled.schema["doc_id"].dataType))
+
+
+def _schema(fields: str, doc: DataType) -> StructType:
+    return StructType([StructField("ids", ArrayType(doc)), *StructType.fromDDL(fields).fields])
 
-    schema = StructType([StructField("row", LongType()), labelled.schema["doc_id"], *StructType.fromDDL("good boolean, deal int, first string, second string, n long").fields])
-    return labelled.select("doc_id", "text", "good").mapInArrow(pairs, schema)
-
-
-def _exact_difference(labelled: DataFrame, strength: float = 64.0, share: float = 1 / 2048) -> DataFrame:
-    words = cut(_word_counts(labelled))
-    total_t, total_b, size = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count("*")).first()
-    scale = total_t / max(1, total_b)
-    head = words.where(F.col("b") >= share * total_b).select(F.col("word").alias("second"), F.col("t").alias("head_t"), F.col("b").alias("head_b"))
-    hot = labelled.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in head.select("second").collect()))
-    counted = _pair_rows(labelled, hot).repartition("second", "deal").withColumns({"t": F.when(F.col("good"), F.col("n")).otherwise(0), "b": F.col("n")})
-    by_word, by_pair = Window.partitionBy("second", "deal"), Window.partitionBy("second", "deal", "first")
-    for name, window in (("pair", by_pair), ("word", by_word)):
-        counted = counted.withColumns({f"{name}_{m}": F.sum(m).over(window) for m in ("t", "b")})
-    counted = counted.join(F.broadcast(head), "second", "left")
-
-    def loss(model: str, scale: float, total: int) -> F.Column:
-        seen = F.coalesce(f"head_{model}", f"word_{model}") * F.lit(float(scale))
-        base = (seen + F.lit(0.5)) / F.lit(total * scale + 0.5 * size)
-        return F.log(seen + F.lit(strength)) - F.log(F.col(f"pair_{model}") * F.lit(float(scale)) + F.lit(strength) * base)
-
-    sums = counted.select("row", "doc_id", "n", (F.col("n") * loss("t", 1.0, total_t)).alias("lt"), (F.col("n") * loss("b", scale, total_b)).alias("lb"))
-    sums = sums.groupBy("row", "doc_id").agg(F.sum("n").alias("n"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
-    target, background = F.col("lt") / F.col("n"), F.col("lb") / F.col("n")
-    return sums.select("doc_id", (F.col("n") - 1).alias("n_tokens"), target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("difference"))
 
+def _answered(sent: DataFrame, doc: DataType) -> DataFrame:
+    """Totals for each chunk and bucket; the first row of a bucket also says how many words it has, and their counts."""
 
-def score_difference(docs: DataFrame, labels: DataFrame, words: int | None = None, cells_log2: int | None = None, salts: int = 64, small_labels: int = 1_000_000) -> DataFrame:
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        asked = (rows["kind"] == _KEYS).to_numpy()
+        one, two, three = (rows[c].tolist() for c in ("one", "two", "three"))
+        stats = np.zeros((3, len(rows)), np.int64)
+        mine = np.flatnonzero(asked)
+        if len(mine):
+            parts = [_unpack_sorted(one[k]) for k in mine]
+            keys, place, order = _distinct(np.concatenate(parts))
+            starts = np.flatnonzero(np.diff(place[order], prepend=-1))
+            ends = np.cumsum([0, *map(len, parts)])
+            word = (keys & np.uint64(1)).astype(bool)
+            stats[0, 0] = word.sum()
+            for model, column in enumerate((two, three)):
+                each = np.concatenate([_unpacked(column[k], np.uint32) for k in mine]).astype(np.int64)
+                total = np.add.reduceat(each[order], starts)
+                stats[1 + model, 0] = total[word].sum()
+                for k, a, b in zip(mine, ends, ends[1:]):
+                    one[k], column[k] = None, _packed(total[place[a:b]])
+        return rows.assign(one=one, two=two, three=three, words=stats[0], t=stats[1], b=stats[2])
+
+    return sent.groupBy("bucket").applyInPandas(add, _schema(f"{_SENT}, words long, t long, b long", doc))
+
+
+def _finished(answered: DataFrame, doc: DataType, size: int, total_t: int, total_b: int, strength: float) -> DataFrame:
+    """(row, doc_id, n, lt, lb): pairs and summed losses of each document in each chunk."""
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["kind", "bucket"])
+        body, answers = rows[rows["kind"] == _BODY].iloc[0], rows[rows["kind"] == _KEYS]
+        words = np.frombuffer(body["two"], np.uint64)
+        stream = _unpacked(body["one"], np.uint16 if len(words) < 1 << 16 else np.uint32)
+        row, lengths = _unpacked(body["three"], np.int64).reshape(2, -1)
+        _, word_at, pair_at = _keys(stream, words)
+        second, losses = word_at[stream[1:]], []
+        for column, total in (("two", total_t), ("three", total_b)):
+            counts = np.concatenate([_unpacked(d, np.int64) for d in answers[column]]) * (total_t / max(1, total))
+            seen = counts[second]
+            base = (seen + 0.5) / (total_t * min(1, total) + 0.5 * size)
+            loss = np.log(seen + strength) - np.log(counts[pair_at] + strength * base)
+            losses.append(np.add.reduceat(loss, np.r_[0, np.cumsum(lengths)[:-1]]))
+        return pd.DataFrame({"row": row, "doc_id": pd.Series(list(body["ids"]), dtype=object), "n": lengths, "lt": losses[0], "lb": losses[1]})
+
+    schema = StructType([StructField("doc_id", doc), *StructType.fromDDL("row long, n long, lt double, lb double").fields])
+    return answered.select("chunk", "kind", "bucket", "one", "two", "three", "ids").groupBy("chunk").applyInPandas(finish, schema)
+
+
+def score_difference(docs: DataFrame, labels: DataFrame, strength: float = 64.0, chunk_tokens: int = 1 << 20, bucket_chars: int = 1 << 23, small_labels: int = 1_000_000) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) for every row of ``docs(doc_id, text)``.
 
     Losses are means in nats over the words and the end of a text; difference = target_loss - background_loss, lower for
     text more like the target. A null text and one without words have 0 tokens and predict the end alone. The target is
     all texts with quality 1 in ``labels(doc_id, quality)`` and no other quality; without any, both models fall back on
     their smoothing. Good ids are broadcast if there are at most ``small_labels``, else joined. Repeated rows count and
-    score each; other columns are ignored; an empty table gives an empty result. Every word and bigram is counted unless
-    ``words`` and ``cells_log2`` ask for the bounded form.
+    score each; other columns are ignored; an empty table gives an empty result. There is a bucket for each
+    ``bucket_chars`` characters of text.
     """
-    if (words is None) != (cells_log2 is None):
-        raise ValueError("words and cells_log2 go together")
     small_batches(docs.sparkSession)
-    rows = only(docs, "doc_id", "text")
     good = only(labels, "doc_id", "quality").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id", F.lit(True).alias("good"))
     if good.count() <= small_labels:
         good = F.broadcast(good)
+    rows, doc = only(docs, "doc_id", "text"), docs.schema["doc_id"].dataType
     labelled = rows.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
-    if words is None:
-        return _exact_difference(labelled)
-    return _bounded_difference(rows, labelled, words, cells_log2, salts)
-
-
-def _bounded_difference(rows: DataFrame, labelled: DataFrame, words: int, cells_log2: int, salts: int) -> DataFrame:
-    spark = rows.sparkSession
-    vocab = vocabulary(rows, words, cells_log2)
-    target, background = _counts(labelled.select("text", "good"), vocab, salts)
-    share = target[: vocab.size].sum() / max(1, background[: vocab.size].sum())
-    shared = spark.sparkContext.broadcast((vocab, Bigrams(target, vocab), Bigrams(background, vocab, float(share))))
-
-    @F.pandas_udf("n_tokens long, target_loss double, background_loss double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        vocab, target, background = shared.value
-        for batch in batches:
-            coded = [vocab.ids(t or "") for t in batch]
-            flat = np.concatenate(coded) if coded else np.zeros(1, np.int64)
-            width = np.array([len(c) - 1 for c in coded], dtype=np.int64)
-            inside = np.ones(max(0, len(flat) - 1), dtype=bool)
-            inside[np.cumsum(width + 1)[:-1] - 1] = False
-            first, second = flat[:-1][inside], flat[1:][inside]
-            cell, owner = vocab.cell(first, second), np.repeat(np.arange(len(coded)), width)
-            loss = [np.bincount(owner, weights=m.loss(first, second, cell), minlength=len(coded)) / np.maximum(width, 1) for m in (target, background)]
-            yield pd.DataFrame({"n_tokens": width - 1, "target_loss": loss[0], "background_loss": loss[1]})
-
-    return rows.withColumn("s", scored("text")).select("doc_id", "s.*", (F.col("s.target_loss") - F.col("s.background_loss")).alias("difference"))
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    answered = cut(_answered(_sent(labelled, 1 + chars // bucket_chars, chunk_tokens), doc))
+    size, total_t, total_b = answered.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "t", "b")]).first()
+    sums = _finished(answered, doc, size, total_t, total_b, strength).groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n", "lt", "lb")])
+    target, background = F.col("lt") / F.col("n"), F.col("lb") / F.col("n")
+    return sums.select("doc_id", (F.col("n") - 1).alias("n_tokens"), target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("difference"))

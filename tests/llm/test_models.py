@@ -111,49 +111,9 @@ def test_given_edits_and_odd_rows(spark):
     assert edits.edited_counts(df.limit(0), BPE, public_tokenizers.PATTERN).count() == 0
 
 
-def plain_counts(vocab, texts):
-    out = np.zeros(vocab.size + vocab.cells, dtype=np.int64)
-    for t in texts:
-        ids = vocab.ids(t or "") if t else np.zeros(0, np.int64)
-        for a, b in zip(ids[:-1], ids[1:]):
-            out[a] += 1
-            out[vocab.size + int(vocab.cell(np.array([a]), np.array([b]))[0])] += 1
-    return out
-
-
-def test_lm_counts_and_scores(spark):
-    docs, labels = table(spark, SMALL, "documents").limit(60), table(spark, SMALL, "labels")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    good = {r.doc_id for r in labels.collect() if r.quality == 1}
-    vocab = lm.vocabulary(docs, 500, 12)
-    count = {}
-    for t in texts.values():
-        for w in t.lower().split():
-            count[w] = count.get(w, 0) + 1
-    ranked = sorted(count, key=lambda w: (-count[w], w.encode()))
-    assert 300 < len(vocab.words) <= 500 and vocab.words == ranked[: len(vocab.words)]
-    counts = [plain_counts(vocab, [t for d, t in texts.items() if d in good]), plain_counts(vocab, texts.values())]
-    share = counts[0][: vocab.size].sum() / counts[1][: vocab.size].sum()
-    target, background = lm.Bigrams(counts[0], vocab), lm.Bigrams(counts[1], vocab, float(share))
-    for small in (0, 10**6):
-        for r in lm.score_difference(docs, labels, words=500, cells_log2=12, salts=2, small_labels=small).collect():
-            ids = vocab.ids(texts[r.doc_id])
-            a, b = ids[:-1], ids[1:]
-            want = [float(m.loss(a, b, vocab.cell(a, b)).mean()) for m in (target, background)]
-            assert r.n_tokens == len(ids) - 2 and r.target_loss == pytest.approx(want[0]) and r.background_loss == pytest.approx(want[1]) and r.difference == pytest.approx(want[0] - want[1])
-
-
-def test_lm_odd_rows(spark, docs_of):
-    docs = docs_of([(1, None, None, None), (2, "", None, None), (None, "a b", None, None), (3, "a b", None, None), (3, "a b", None, None)])
-    none = spark.createDataFrame([], "doc_id long, quality int")
-    rows = lm.score_difference(docs, none, words=50, cells_log2=8).collect()
-    assert sorted(r.n_tokens for r in rows) == [0, 0, 2, 2, 2] and all(np.isfinite(r.difference) for r in rows)
-    assert lm.score_difference(docs.limit(0), none, words=50, cells_log2=8).count() == 0
-
-
 def test_lm_exact_counts(spark, docs_of):
     rng = random.Random(9)
-    texts = [" ".join(f"W{rng.randint(0, 20_000)}" if rng.random() < 0.9 else "the" for _ in range(150)) for _ in range(300)] + [None, "", "the the the the", "the the the the"]
+    texts = [" ".join(f"W{rng.randint(0, 20_000)}" if rng.random() < 0.9 else "the" for _ in range(150)) for _ in range(300)] + [None, "", "the the the the", "the the the the", "alpha\u00a0beta gamma", "ÉCOLE école"]
     docs = docs_of([(k, t, None, None) for k, t in enumerate(texts)] + [(0, texts[0], None, None), (None, "the end", None, None)])
     rows = [(r.doc_id, [(w, v) for ws in [["", *(r.text or "").lower().split(), ""]] for w, v in zip(ws, ws[1:])]) for r in docs.collect()]
     labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int")
@@ -169,8 +129,8 @@ def test_lm_exact_counts(spark, docs_of):
     for d, found in rows:
         loss = [-np.mean([np.log((pairs[m][w, v] * s + 64 * (words[m][v] * s + 0.5) / (total[m] * s + 0.5 * size)) / (words[m][w] * s + 64)) for w, v in found]) for m, s in enumerate(scale)]
         want.append((-1 if d is None else d, len(found) - 1, *loss, loss[0] - loss[1]))
-    for small in (0, 10**6):
-        got = [(-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.target_loss, r.background_loss, r.difference) for r in lm.score_difference(docs, labels, small_labels=small).collect()]
+    for sizes in ({"small_labels": 0}, {"chunk_tokens": 100, "bucket_chars": 20_000}, {"chunk_tokens": 7}):
+        got = [(-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.target_loss, r.background_loss, r.difference) for r in lm.score_difference(docs, labels, **sizes).collect()]
         assert len(got) == len(want) and np.allclose(sorted(got), sorted(want), rtol=1e-9)
 
 
