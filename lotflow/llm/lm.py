@@ -15,7 +15,9 @@ smoothed alike. Every word and every bigram is counted; none is dropped, capped
 The rows between chunks and buckets are at most one for each key and chunk, so they grow with the input.
 
 A word costs -log((pair + s * base[second]) / (seen[first] + s)). Every word of a text is once first and once second in a
-pair, and so is its edge; the sum over a text may therefore take ``seen`` of the second word instead.
+pair, and so is its edge; the sum over a text may therefore take ``seen`` of the second word instead. ``base`` is the
+word's share in the background; the target's is its share there, mixed with ``blend`` of the background's, so that a
+word the target lacks has a probability too.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from lotflow.llm.arrow import only, small_batches
-from lotflow.runtime import cut
 
 _EDGE = ""  # the edge of a text; no word is empty
 _KEYS, _BODY = 0, 1
@@ -178,32 +179,27 @@ def _schema(fields: str, doc: DataType) -> StructType:
 
 
 def _answered(sent: DataFrame, doc: DataType) -> DataFrame:
-    """Totals for each chunk and bucket; the first row of a bucket also says how many words it has, and their counts."""
+    """What was sent, with the keys' totals over all chunks in place of the keys and their counts."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        asked = (rows["kind"] == _KEYS).to_numpy()
         one, two, three = (rows[c].tolist() for c in ("one", "two", "three"))
-        stats = np.zeros((3, len(rows)), np.int64)
-        mine = np.flatnonzero(asked)
+        mine = np.flatnonzero(rows["kind"] == _KEYS)
         if len(mine):
             parts = [_unpack_sorted(one[k]) for k in mine]
-            keys, place, order = _distinct(np.concatenate(parts))
+            _, place, order = _distinct(np.concatenate(parts))
             starts = np.flatnonzero(np.diff(place[order], prepend=-1))
             ends = np.cumsum([0, *map(len, parts)])
-            word = (keys & np.uint64(1)).astype(bool)
-            stats[0, 0] = word.sum()
-            for model, column in enumerate((two, three)):
+            for column in (two, three):
                 each = np.concatenate([_unpacked(column[k], np.uint32) for k in mine]).astype(np.int64)
                 total = np.add.reduceat(each[order], starts)
-                stats[1 + model, 0] = total[word].sum()
                 for k, a, b in zip(mine, ends, ends[1:]):
                     one[k], column[k] = None, _packed(total[place[a:b]])
-        return rows.assign(one=one, two=two, three=three, words=stats[0], t=stats[1], b=stats[2])
+        return rows.assign(one=one, two=two, three=three)
 
-    return sent.groupBy("bucket").applyInPandas(add, _schema(f"{_SENT}, words long, t long, b long", doc))
+    return sent.groupBy("bucket").applyInPandas(add, _schema(_SENT, doc))
 
 
-def _finished(answered: DataFrame, doc: DataType, size: int, total_t: int, total_b: int, strength: float) -> DataFrame:
+def _finished(answered: DataFrame, doc: DataType, total_t: int, total_b: int, strength: float, blend: float) -> DataFrame:
     """(row, doc_id, n, lt, lb): pairs and summed losses of each document in each chunk."""
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
@@ -213,28 +209,42 @@ def _finished(answered: DataFrame, doc: DataType, size: int, total_t: int, total
         stream = _unpacked(body["one"], np.uint16 if len(words) < 1 << 16 else np.uint32)
         row, lengths = _unpacked(body["three"], np.int64).reshape(2, -1)
         _, word_at, pair_at = _keys(stream, words)
-        second, losses = word_at[stream[1:]], []
-        for column, total in (("two", total_t), ("three", total_b)):
-            counts = np.concatenate([_unpacked(d, np.int64) for d in answers[column]]) * (total_t / max(1, total))
-            seen = counts[second]
-            base = (seen + 0.5) / (total_t * min(1, total) + 0.5 * size)
-            loss = np.log(seen + strength) - np.log(counts[pair_at] + strength * base)
-            losses.append(np.add.reduceat(loss, np.r_[0, np.cumsum(lengths)[:-1]]))
-        return pd.DataFrame({"row": row, "doc_id": pd.Series(list(body["ids"]), dtype=object), "n": lengths, "lt": losses[0], "lb": losses[1]})
+        second, starts = word_at[stream[1:]], np.r_[0, np.cumsum(lengths)[:-1]]
+        t, b = (np.concatenate([_unpacked(d, np.int64) for d in answers[c]]) for c in ("two", "three"))
+        losses = []
+        for counts, scale, mixed in ((t, 1.0, blend if total_t else 1.0), (b, total_t / total_b, 1.0)):
+            seen = counts[second] * scale
+            base = (1 - mixed) * seen / max(1, total_t) + mixed * b[second] / total_b
+            loss = np.log(seen + strength) - np.log(counts[pair_at] * scale + strength * base)
+            losses.append(np.add.reduceat(loss, starts))
+        return pd.DataFrame({"doc_id": pd.Series(list(body["ids"]), dtype=object), "row": row, "n": lengths, "lt": losses[0], "lb": losses[1]})
 
     schema = StructType([StructField("doc_id", doc), *StructType.fromDDL("row long, n long, lt double, lb double").fields])
-    return answered.select("chunk", "kind", "bucket", "one", "two", "three", "ids").groupBy("chunk").applyInPandas(finish, schema)
+    return answered.groupBy("chunk").applyInPandas(finish, schema)
 
 
-def score_difference(docs: DataFrame, labels: DataFrame, strength: float = 64.0, chunk_tokens: int = 1 << 20, bucket_chars: int = 1 << 23, small_labels: int = 1_000_000) -> DataFrame:
+def _totals(labelled: DataFrame) -> tuple[int, int]:
+    """Words and edges of the target and of all rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = b = 0
+        for batch in batches:
+            for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist()):
+                n = len(words_of(text)) + 1
+                t, b = t + good * n, b + n
+        yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([b], pa.int64())], names=["t", "b"])
+
+    return tuple(labelled.select("text", "good").mapInArrow(count, "t long, b long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in "tb"]).first())
+
+
+def score_difference(docs: DataFrame, labels: DataFrame, strength: float = 64.0, blend: float = 0.1, chunk_tokens: int = 1 << 21, bucket_tokens: int = 1 << 21, small_labels: int = 1_000_000) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) for every row of ``docs(doc_id, text)``.
 
     Losses are means in nats over the words and the end of a text; difference = target_loss - background_loss, lower for
     text more like the target. A null text and one without words have 0 tokens and predict the end alone. The target is
-    all texts with quality 1 in ``labels(doc_id, quality)`` and no other quality; without any, both models fall back on
-    their smoothing. Good ids are broadcast if there are at most ``small_labels``, else joined. Repeated rows count and
+    all texts with quality 1 in ``labels(doc_id, quality)`` and no other quality; without any, the difference is 0. Good ids are broadcast if there are at most ``small_labels``, else joined. Repeated rows count and
     score each; other columns are ignored; an empty table gives an empty result. There is a bucket for each
-    ``bucket_chars`` characters of text.
+    ``bucket_tokens`` words of all texts.
     """
     small_batches(docs.sparkSession)
     good = only(labels, "doc_id", "quality").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id", F.lit(True).alias("good"))
@@ -242,9 +252,8 @@ def score_difference(docs: DataFrame, labels: DataFrame, strength: float = 64.0,
         good = F.broadcast(good)
     rows, doc = only(docs, "doc_id", "text"), docs.schema["doc_id"].dataType
     labelled = rows.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
-    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    answered = cut(_answered(_sent(labelled, 1 + chars // bucket_chars, chunk_tokens), doc))
-    size, total_t, total_b = answered.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "t", "b")]).first()
-    sums = _finished(answered, doc, size, total_t, total_b, strength).groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n", "lt", "lb")])
+    total_t, total_b = _totals(labelled)
+    answered = _answered(_sent(labelled, 1 + total_b // bucket_tokens, chunk_tokens), doc)
+    sums = _finished(answered, doc, total_t, total_b, strength, blend).groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n", "lt", "lb")])
     target, background = F.col("lt") / F.col("n"), F.col("lb") / F.col("n")
     return sums.select("doc_id", (F.col("n") - 1).alias("n_tokens"), target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("difference"))

@@ -122,14 +122,15 @@ def test_lm_exact_counts(spark, docs_of):
         for m in (0, 1) if d is not None and d < 100 and d % 2 else (1,):
             pairs[m].update(found)
             words[m].update(w for w, _ in found)
-    size, total = len(words[1]), [sum(w.values()) for w in words]
-    assert size > 16_384 and min(words[1].values()) == 1
+    total = [sum(w.values()) for w in words]
+    assert len(words[1]) > 16_384 and min(words[1].values()) == 1
     scale = [1.0, total[0] / total[1]]
+    share = [lambda w: 0.9 * words[0][w] / total[0] + 0.1 * words[1][w] / total[1], lambda w: words[1][w] / total[1]]
     want = []
     for d, found in rows:
-        loss = [-np.mean([np.log((pairs[m][w, v] * s + 64 * (words[m][v] * s + 0.5) / (total[m] * s + 0.5 * size)) / (words[m][w] * s + 64)) for w, v in found]) for m, s in enumerate(scale)]
+        loss = [-np.mean([np.log((pairs[m][w, v] * s + 64 * share[m](v)) / (words[m][w] * s + 64)) for w, v in found]) for m, s in enumerate(scale)]
         want.append((-1 if d is None else d, len(found) - 1, *loss, loss[0] - loss[1]))
-    for sizes in ({"small_labels": 0}, {"chunk_tokens": 100, "bucket_chars": 20_000}, {"chunk_tokens": 7}):
+    for sizes in ({"small_labels": 0}, {"chunk_tokens": 100, "bucket_tokens": 5_000}, {"chunk_tokens": 7}):
         got = [(-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.target_loss, r.background_loss, r.difference) for r in lm.score_difference(docs, labels, **sizes).collect()]
         assert len(got) == len(want) and np.allclose(sorted(got), sorted(want), rtol=1e-9)
 
