@@ -1,13 +1,15 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton of labelled text is built for each language. A document is parsed greedily into the longest phrases
-that occur in that text (a letter that the language's text lacks closes the phrase it follows); the language that needs the fewest phrases a letter wins. The parse starts anew every
-``segment`` characters, alike for all languages, so that many segments step through the automata together as arrays:
-one table lookup a character and language. Whole texts are parsed.
-
-Bound on what is fitted: ``train_chars`` characters a language (whole texts chosen by a hash of the id, of at most
-``sample_chars`` characters and ``sample_rows`` rows a language), at most
-``all_chars`` together; the thousand most frequent languages are learned.
+A suffix automaton of labelled text is built for each language, over all letters of that text. A document is parsed
+greedily into the longest phrases that occur in that text; a letter that the language's text lacks closes the phrase it
+follows and counts as one more. The language that needs the fewest phrases wins. The parse starts anew every ``segment`` characters, alike for
+all languages, so that many segments step through the automata together as arrays. Whole texts are parsed.
+
+Transitions are kept sparsely, as a double array: about 3 x ``train_chars`` entries a language, whatever its alphabet.
+
+Bound on what is fitted: ``train_chars`` characters a language, at most ``all_chars`` together, from at most
+``sample_rows`` labelled rows a language chosen by a hash of the id; a row longer than ``sample_chars`` gives a slice of
+that length from a hashed place. The thousand most frequent languages are learned.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lotflow.llm.arrow import only, small_batches
 from lotflow.llm.quality import HELD_OUT
-from lotflow.llm.sampling import hashed_sample
+from lotflow.llm.sampling import hashed_sample, slice_of
 
 UNKNOWN = "und"
 _SPACE, _OTHER = 0, 1
@@ -34,12 +36,59 @@ def _letters() -> np.ndarray:
     return table
 
 
-def automaton(codes: list[int], alphabet: int) -> np.ndarray:
-    """Complete transition table of the suffix automaton of ``codes``.
+class Automaton:
+    """Suffix automaton of ``codes`` as arrays; ``_OTHER`` ends a text and never continues a phrase.
 
-    An entry v >= 0 is the next state inside a phrase. An entry v < 0 ends the phrase before this character; -1 - v is
-    the state after starting a new phrase with it. ``_OTHER`` never continues a phrase.
+    The transition of state s by code c stands at ``base[s] + c`` if ``owner`` is s there; else there is none, and a new
+    phrase starts at ``start[c]``.
     """
+
+    def __init__(self, codes: list[int], alphabet: int):
+        follow = _suffix_states(codes)
+        self.start = np.zeros(alphabet, dtype=np.int32)
+        for c, s in follow[0].items():
+            self.start[c] = s
+        size = sum(map(len, follow)) + 2 * alphabet + 1
+        free, used = alphabet, bytearray(size)
+        self.base = np.zeros(len(follow), dtype=np.int32)
+        self.owner, self.next = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
+        for s in sorted(range(len(follow)), key=lambda s: -len(follow[s])):
+            codes_of = sorted(follow[s])
+            if not codes_of:
+                break
+            while used[free]:
+                free += 1
+            at = free
+            while True:
+                base = at - codes_of[0]
+                top = base + codes_of[-1]
+                if top >= len(used):
+                    used.extend(bytes(top + alphabet - len(used)))
+                if not any(used[base + c] for c in codes_of):
+                    break
+                at = used.index(0, at + 1)
+            self.base[s] = base
+            if len(used) > len(self.owner):
+                self.owner = np.r_[self.owner, np.full(len(used) - len(self.owner), -1, np.int32)]
+                self.next = np.r_[self.next, np.zeros(len(used) - len(self.next), np.int32)]
+            for c in codes_of:
+                used[base + c] = 1
+                self.owner[base + c], self.next[base + c] = s, follow[s][c]
+        room = int(self.base.max()) + alphabet + 1 - len(self.owner)
+        if room > 0:
+            self.owner, self.next = np.r_[self.owner, np.full(room, -1, np.int32)], np.r_[self.next, np.zeros(room, np.int32)]
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and the phrases that ended."""
+        at = self.base.take(state)
+        at += codes
+        broke = self.owner.take(at) != state
+        first = self.start.take(codes)
+        return np.where(broke, first, self.next.take(at)), broke.astype(np.int32) + (broke & (first == 0))
+
+
+def _suffix_states(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton."""
     follow, link, length, last = [{}], [-1], [0], 0
     for c in codes:
         if c == _OTHER:  # texts do not run into each other
@@ -70,14 +119,7 @@ def automaton(codes: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(follow), alphabet), -1, dtype=np.int32)
-    start = np.zeros(alphabet, dtype=np.int32)
-    for c, s in follow[0].items():
-        start[c] = s
-    table[:] = -1 - start
-    state = np.repeat(np.arange(len(follow)), [len(f) for f in follow])
-    table[state, np.fromiter((c for f in follow for c in f), np.int64, len(state))] = np.fromiter((s for f in follow for s in f.values()), np.int64, len(state))
-    return table
+    return follow
 
 
 class CrossParser:
@@ -86,12 +128,11 @@ class CrossParser:
     def __init__(self, samples: dict[str, list[str]], segment: int = 512):
         self.languages, self.segment = sorted(samples), segment
         letters = _letters()
-        points, counts = np.unique(np.concatenate([self._points(t) for texts in samples.values() for t in texts] or [np.zeros(0, np.uint32)]), return_counts=True)
-        known = points[letters[points]][np.argsort(-counts[letters[points]], kind="stable")][:126]
-        self.code = np.where(letters, _OTHER, _SPACE).astype(np.uint8)
-        self.code[known] = np.arange(2, 2 + len(known), dtype=np.uint8)
-        self.alphabet = 2 + len(known)
-        self.tables = [automaton([int(c) for t in samples[x] for c in [*self._codes(t), _OTHER]], self.alphabet).ravel() for x in self.languages]
+        points = np.unique(np.concatenate([self._points(t) for texts in samples.values() for t in texts] or [np.zeros(0, np.uint32)]))
+        known = points[letters[points]]
+        self.code = np.where(letters, _OTHER, _SPACE).astype(np.int32)
+        self.code[known] = np.arange(2, 2 + len(known), dtype=np.int32)
+        self.automata = [Automaton([int(c) for t in samples[x] for c in [*self._codes(t), _OTHER]], 2 + len(known)) for x in self.languages]
 
     @staticmethod
     def _points(text: str) -> np.ndarray:
@@ -105,7 +146,7 @@ class CrossParser:
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases that each text needs (rows) in each language (columns); letters in each text."""
         coded = [self._codes(t) for t in texts]
-        flat = np.concatenate([*coded, np.zeros(1, np.uint8)]).astype(np.int32)
+        flat = np.concatenate([*coded, np.zeros(1, np.int32)])
         begin = np.cumsum([0, *map(len, coded)])
         lanes = [-(-len(c) // self.segment) for c in coded]
         owner = np.repeat(np.arange(len(texts)), lanes)
@@ -114,18 +155,16 @@ class CrossParser:
         order = np.argsort(-width, kind="stable")
         owner, first, width = owner[order], first[order], width[order]
         active = np.searchsorted(-width, -np.arange(1, self.segment + 1), "right")
-        state = np.zeros((len(self.tables), len(owner)), dtype=np.int32)
-        count = np.zeros((len(self.tables), len(owner)), dtype=np.int32)
+        state = np.zeros((len(self.automata), len(owner)), dtype=np.int32)
+        count = np.zeros((len(self.automata), len(owner)), dtype=np.int32)
         for step in range(int(width[0]) if len(width) else 0):
             n = active[step]
             at = flat[first[:n] + step]
-            for s, seen, table in zip(state, count, self.tables):
-                v = table.take(s[:n] * self.alphabet + at)
-                sign = v >> 31
-                seen[:n] -= sign
-                s[:n] = v ^ sign
+            for s, seen, automaton in zip(state, count, self.automata):
+                s[:n], ended = automaton.step(s[:n], at)
+                seen[:n] += ended
         count += state != 0
-        total = np.zeros((len(texts), len(self.tables)))
+        total = np.zeros((len(texts), len(self.automata)))
         for k, seen in enumerate(count):
             total[:, k] = np.bincount(owner, weights=seen, minlength=len(texts))
         return total, np.array([np.count_nonzero(c) for c in coded])
@@ -154,16 +193,16 @@ def _parser(samples: dict[str, list[str]], segment: int) -> CrossParser:
 
 def sample(docs: DataFrame, train_chars: int = 20_000, all_chars: int = 400_000, sample_chars: int = 5_000, sample_rows: int = 200) -> dict[str, list[str]]:
     """Labelled training text of each language from rows that are not held out."""
-    rows = only(docs, "doc_id", "text", "lang").where(f"lang is not null and doc_id is not null and length(text) between 1 and {sample_chars} and not {HELD_OUT}")
-    chosen = hashed_sample(rows.select("doc_id", "text", "lang"), "lang", sample_rows, ("doc_id", "text"), "lang")
+    rows = only(docs, "doc_id", "text", "lang").where(f"lang is not null and doc_id is not null and length(text) > 0 and not {HELD_OUT}")
+    chosen = hashed_sample(rows, "lang", sample_rows, ("doc_id", "text"), "lang").withColumn("text", slice_of("text", sample_chars))
     found: dict[str, list[str]] = {}
     for lang, text in chosen.orderBy("lang", "place").select("lang", "text").collect():
         found.setdefault(lang, []).append(text)
-    room = min(train_chars, all_chars // max(1, len(found)))
+    room = max(1, min(train_chars, all_chars // max(1, len(found))))
     kept = {}
     for lang, texts in found.items():
-        ends = np.cumsum([len(t) for t in texts])
-        kept[lang] = [t for t, e in zip(texts, ends) if e <= room] or texts[:1]
+        before = np.cumsum([0, *map(len, texts)])
+        kept[lang] = [t[: room - b] for t, b in zip(texts, before) if b < room]
     return kept
 
 

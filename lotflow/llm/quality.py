@@ -6,7 +6,8 @@ it (a text that both shrink to nothing repeats itself). A logistic calibration o
 saw turns these into a score.
 
 Bounds on what is fitted: ``per_class`` rows a class for the dictionaries and ``calibrate`` rows a class for the
-calibration, texts of at most ``sample_chars`` characters, chosen by a hash of the id. Scoring reads every whole text.
+calibration, chosen by a hash of the id; of a text longer than ``sample_chars`` characters, a slice of that length from
+a hashed place. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lotflow.llm.arrow import only, small_batches
-from lotflow.llm.sampling import hashed_sample
+from lotflow.llm.sampling import hashed_sample, slice_of
 
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, false)"
 _PIECE = 512
@@ -85,8 +86,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, calibrate: i
     """
     marked = only(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(f"not {HELD_OUT}").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = hashed_sample(marked, "quality", per_class + calibrate, ("doc_id",), "quality").select("doc_id", "quality")  # at most 2 x (per_class + calibrate) rows
-    texts = only(docs, "doc_id", "text").where(f"length(text) between 1 and {sample_chars}")
-    rows = [tuple(r) for r in texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").distinct().collect()]
+    texts = only(docs, "doc_id", "text").where("length(text) > 0")
+    rows = [tuple(r) for r in texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", slice_of("text", sample_chars).alias("text")).distinct().collect()]
     rows.sort(key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0], r[2]))
     of = {q: [r for r in rows if r[1] == q] for q in (0, 1)}
     if not of[0] or not of[1]:

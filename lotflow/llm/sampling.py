@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _RANGE = 1 << 30
@@ -22,3 +22,8 @@ def hashed_sample(rows: DataFrame, by: str, per_class: int, keys: tuple[str, ...
     near = rows.where(F.pmod(hashed, F.lit(_RANGE)) < F.element_at(share, F.col(by)))
     place = F.row_number().over(Window.partitionBy(by).orderBy(hashed, *keys))
     return near.withColumn("place", place).where(F.col("place") <= per_class)
+
+
+def slice_of(text: str, chars: int) -> Column:
+    """A text, or of a longer one ``chars`` characters from a place chosen by its hash."""
+    return F.expr(f"case when length({text}) <= {chars} then {text} else substring({text}, 1 + cast(pmod(xxhash64({text}), length({text}) - {chars} + 1) as int), {chars}) end")

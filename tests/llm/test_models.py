@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lotflow.llm import edits, language, licences, lm, quality
@@ -40,13 +41,35 @@ def test_quality_odd_rows(spark, docs_of):
     assert quality.score_quality(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_quality_is_the_plain_computation(spark):
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    model = quality.train(docs, labels)
+    pair = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    scores = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+    for d in docs.collect():
+        data = d.text.encode()
+        g, b = (sum(len(c.compress(data[k : k + 512])) for k in range(0, len(data), 512)) for c in pair)
+        x = [(g - b) / (g + b), g / len(data), b / len(data)] if data else [0, 0, 0]
+        z = model.weights[5] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights, [*x, x[0] ** 2, x[1] ** 2], model.mean, model.spread))
+        assert scores[d.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+
+
+def test_quality_learns_from_classes_of_long_texts(spark, docs_of):
+    rng = random.Random(2)
+    prose = lambda words, n: " ".join(rng.choices(words.split(), k=n))
+    docs = docs_of([(k, prose("calm river stone bridge walked home evening lamp" if k % 2 else "xx qq zz jj 00 11 kk ww", 6000 if k % 2 else 50), None, None) for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in quality.score_quality(docs, labels).collect())
+
+
 def plain_phrases(train, text):
     n = i = 0
     while i < len(text):
         j = i
         while j < len(text) and any(text[i : j + 1] in t for t in train):
             j += 1
-        n, i = n + 1, j + (j < len(text) and not any(text[j] in t for t in train))  # a strange letter closes the phrase
+        strange = j < len(text) and not any(text[j] in t for t in train)  # closes the phrase and counts itself
+        n, i = n + 1 + strange, j + strange
     return n
 
 
@@ -73,6 +96,19 @@ def test_language_accuracy_and_odd_rows(spark, docs_of):
     assert language.identify(odd.limit(0)).count() == 0
 
 
+def test_language_of_long_texts_and_large_alphabets(spark, docs_of):
+    rng = random.Random(8)
+    english = "the cat sat on a mat and walked home with its friend over that hill".split()
+    french = "le chat est assis sur un tapis et rentre avec son ami vers cette colline".split()
+    signs = {"zh": range(0x4E00, 0x5600), "ko": range(0xAC00, 0xB400), "zz": range(0x5600, 0x5E00)}
+    rows = [(k, " ".join(rng.choices(english, k=20)), "en", None) for k in range(100)] + [(k, " ".join(rng.choices(french, k=2000)), "fr", None) for k in range(100, 200)]
+    for n, (lang, letters) in enumerate(signs.items()):
+        rows += [(k, "".join(map(chr, rng.choices(letters, k=300))), lang, None) for k in range(200 + 100 * n, 300 + 100 * n)]
+    got = language.identify(docs_of(rows)).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert all(r.lang_pred == truth[r.doc_id] for r in got if r.held_out) and {r.lang_pred for r in got} == {"en", "fr", *signs}
+
+
 def test_tree_counts_as_a_new_count_does():
     bpe = edits.ByteBpe(BPE, public_tokenizers.PATTERN, cached=500)
     rng, signs = random.Random(5), "abcZé漢1 2  \n\n\t'sdt.,!?'ll ’ñ   "
