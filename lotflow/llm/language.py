@@ -49,24 +49,28 @@ class Automaton:
         for c, s in follow[0].items():
             self.start[c] = s
         size = sum(map(len, follow)) + 2 * alphabet + 1
-        free, used = alphabet, bytearray(size)
+        free, hint, used = alphabet, alphabet, bytearray(size)
         self.base = np.zeros(len(follow), dtype=np.int32)
         self.owner, self.next = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
         for s in sorted(range(len(follow)), key=lambda s: -len(follow[s])):
             codes_of = sorted(follow[s])
             if not codes_of:
                 break
-            while used[free]:
-                free += 1
-            at = free
+            if len(codes_of) > 1:  # those with few ways out come last and fill what is left
+                at = used.index(0, hint)
+            else:
+                at = free = used.index(0, free)
+            tries = 0
             while True:
                 base = at - codes_of[0]
                 top = base + codes_of[-1]
-                if top >= len(used):
-                    used.extend(bytes(top + alphabet - len(used)))
+                if top + 1 >= len(used):
+                    used.extend(bytes(top + 2 * alphabet - len(used)))
                 if not any(used[base + c] for c in codes_of):
                     break
-                at = used.index(0, at + 1)
+                at, tries = used.index(0, at + 1), tries + 1
+            if tries > 8:
+                hint = at
             self.base[s] = base
             if len(used) > len(self.owner):
                 self.owner = np.r_[self.owner, np.full(len(used) - len(self.owner), -1, np.int32)]
