@@ -1,15 +1,20 @@
 """Licence scans: a trained paragraph classifier with a calibrated unknown class, confirmed against templates.
 
 Paragraphs are lines of a text; a longer one is also taken by sentences, and a long sentence by overlapping windows of
-words, so that a notice inside other text is a piece of its own. A multinomial logistic regression over hashed word unigrams and bigrams, trained with a
-ridge penalty on notices written from the templates and on paragraphs of the documents, names a family or
-``unknown``. A second logistic regression, on notices and paragraphs that the first did not see, turns its margin into
-the probability that there is a notice at all. What it names is then compared with the family's own templates: enough of
-the piece's word pairs must occur in one of them, or nearly all pairs of one of them in the piece.
+words, so that a notice inside other text is a piece of its own. A multinomial logistic regression over hashed word
+unigrams and bigrams, trained with a ridge penalty on notices written from the templates, on notices of licences outside
+the families and on paragraphs of the documents, names a family or ``unknown``. A second logistic regression, on notices
+and paragraphs that the first did not see (other licences' names among them), turns its margin into the probability that
+there is a notice of a family at all.
+
+What it names is then compared with the family's own templates. A piece is confirmed if it holds one of ``STEMS``, at
+least one word pair that only this family's templates have, and either half of its word pairs are in one template or
+nearly all pairs of one template are in it. Lines without any of the stems can therefore not be confirmed and are left
+out before they are cut into pieces.
 
 Everything is DataFrame and SQL functions and Spark's own ML stages; no Python runs on the executors. Bounds on what is
-fitted: the templates below and ``negatives`` paragraphs, their first 500 characters, from
-about as many documents, chosen by hashes of their texts.
+fitted: the templates below and ``negatives`` paragraphs (of longer ones a slice of 500 characters), from about as many
+documents, chosen by hashes of their texts.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotflow.llm.arrow import only
+from lotflow.llm.sampling import slice_of
 from lotflow.runtime import cut
 
 UNKNOWN = "unknown"
@@ -30,17 +36,35 @@ NONE = "none"
 #: Names by which each family is called, and a sentence of its text.
 FAMILIES = {
     "apache-2.0": (("Apache License, Version 2.0", "Apache-2.0", "Apache 2.0 license"), "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind."),
+    "agpl": (("GNU Affero General Public License, version 3", "AGPL-3.0", "GNU AGPL v3", "AGPL-3.0-or-later"), "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."),
+    "boost": (("Boost Software License, Version 1.0", "BSL-1.0", "Boost Software License"), "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license."),
     "bsd": (("BSD License", "BSD-3-Clause", "BSD-2-Clause license", "3-clause BSD license"), "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     "cc-by": (("CC BY 4.0", "Creative Commons Attribution 4.0 International License", "CC-BY-4.0"), "You are free to share and adapt the material for any purpose, even commercially, as long as you give appropriate credit."),
     "cc-by-nc": (("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"), "You may not use the material for commercial purposes."),
     "cc-by-sa": (("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"), "If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original."),
     "cc0": (("CC0 1.0 Universal", "CC0-1.0", "public domain dedication CC0"), "The person who associated a work with this deed has dedicated the work to the public domain by waiving all rights to the work worldwide."),
+    "epl": (("Eclipse Public License 2.0", "EPL-2.0", "Eclipse Public License, version 1.0", "EPL-1.0"), "This program and the accompanying materials are made available under the terms of the Eclipse Public License."),
     "gpl": (("GNU General Public License, version 3", "GPL-3.0", "GNU General Public License version 2", "GNU GPL v3", "GPL-2.0-or-later"), "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."),
+    "isc": (("ISC License", "ISC"), "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     "lgpl": (("GNU Lesser General Public License, version 3", "LGPL-3.0", "GNU Lesser General Public License version 2.1", "LGPL-2.1"), "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License."),
     "mit": (("MIT License", "MIT", "Expat license"), "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     "mpl": (("Mozilla Public License, version 2.0", "MPL-2.0", "Mozilla Public License 2.0"), "This Source Code Form is subject to the terms of the Mozilla Public License. If a copy was not distributed with this file, you can obtain one."),
     "reserved": (("All rights reserved",), "No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher. All rights reserved."),
 }
+_UNLICENSE = "This is free and unencumbered software released into the public domain."
+FAMILIES["unlicense"] = (("The Unlicense", "Unlicense"), _UNLICENSE)
+FAMILIES["zlib"] = (("zlib License", "zlib/libpng license"), "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.")
+#: Names of licences outside the families; they teach and calibrate ``unknown``.
+OTHERS = (
+    "European Union Public Licence 1.2", "SIL Open Font License 1.1", "Sun Public License 2.0", "Netscape Public License, version 1.1", "Artistic License 2.0", "Common Development and Distribution License 1.0",
+    "Academic Free License 3.0", "Python Software Foundation License", "Microsoft Public License", "Open Software License 3.0", "Sleepycat License", "IBM Public License 1.0",
+    "Business Source License 1.1", "Server Side Public License", "Elastic License 2.0", "Acme Commercial License, version 3", "end user agreement", "Open Database License",
+)
+#: Parts of lower-case words of which every notice has at least one.
+STEMS = (
+    "licen", "copyright", "rights reserved", "permission", "permit", "redistribut", "public domain", "creative commons", "cc0", "cc by", "cc-by", "apache", "mozilla", "mpl", "bsd", "gpl", "epl-", "bsl-",
+    "as is basis", "free software", "warrant", "appropriate credit", "commercial purpose", r"\bmit\b", r"\bisc\b", "zlib", "dedicated the work", "neither the name", "held liable", "in the software", "software is furnished", "applicable law", "share and adapt", "remix", "as-is",
+)
 #: More sentences of the usual full texts and headers.
 _FULLER = {
     "apache-2.0": (
@@ -57,6 +81,8 @@ _FULLER = {
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
         "You should have received a copy of the GNU General Public License along with this program.",
     ),
+    "agpl": ("You should have received a copy of the GNU Affero General Public License along with this program.",),
+    "isc": ('THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',),
     "lgpl": ("You should have received a copy of the GNU Lesser General Public License along with this library.",),
     "mit": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
@@ -67,7 +93,7 @@ _FULLER = {
 }
 _WAYS = (
     "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "Licensed under {}.", "Distributed under the terms of the {}.", "This software is released under the {}.",
-    "SPDX-License-Identifier: {}", "License: {}", "Available under the {} license.", "This project is licensed under {}.", "See the {} for details.", "Published under {}.",
+    "{}", "SPDX-License-Identifier: {}", "License: {}", "Available under the {} license.", "This project is licensed under {}.", "See the {} for details.", "Published under {}.",
 )
 #: Sentences that use a licence's words and are no notice of one.
 _DECOYS = (
@@ -83,7 +109,8 @@ def _notices() -> list[tuple[str, str, int]]:
     for family, (names, sentence) in FAMILIES.items():
         ways = [n + "." for n in names] + ["Copyright (c) 2020. " + n + "." for n in names] if family == "reserved" else [w.format(n) for n in names for w in _WAYS]
         out += [(family, w, int(k % 4 == 3)) for k, w in enumerate(ways)] + [(family, sentence, 0), (family, sentence.split(",")[0], 1)] + [(family, w, 0) for w in _FULLER.get(family, ())]
-    return out + [(UNKNOWN, d, k % 2) for k, d in enumerate(_DECOYS)]
+    others = [(UNKNOWN, w.format(n), k % 2) for k, n in enumerate(OTHERS) for w in _WAYS]
+    return out + others + [(UNKNOWN, d, k % 2) for k, d in enumerate(_DECOYS)]
 
 
 def _rows(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
@@ -96,6 +123,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("place", "paragraph")).where(r"paragraph rlike '\\S'")
 
 
+def with_stem(rows: DataFrame) -> DataFrame:
+    """Rows whose paragraph holds one of ``STEMS``."""
+    return rows.where(F.lower("paragraph").rlike("|".join(STEMS)))
+
+
 def pieces(lines: DataFrame) -> DataFrame:
     """``lines`` with every paragraph also by sentences, and sentences above 32 words by windows of 24 that overlap by half.
 
@@ -156,10 +188,16 @@ class LicenceModel:
         """(doc_id, place, paragraph, family, probability) of paragraphs that are confirmed notices."""
         found = self.margins.transform(self._named(self._features(rows)).select("doc_id", "place", "paragraph", "words", "named", "margin"))
         found = self.calibration.transform(found).withColumn("probability", F.element_at(vector_to_array("q1"), 2)).where(F.col("probability") >= least)
-        own = self.stages.transform(_rows(self.spark, [(f, w) for f, w, _ in _notices() if f != UNKNOWN], ("named", "paragraph"))).select("named", F.expr(_pairs("words")).alias("template"))
-        own = own.groupBy("named").agg(F.collect_list("template").alias("templates"))  # one row a family
+        templates = self.templates()
         confirmed = f"exists(templates, t -> size(array_intersect(mine, t)) >= {overlap} * size(mine) or size(array_intersect(mine, t)) >= {contained} * size(t))"
-        return found.withColumn("mine", F.expr(_pairs("words"))).join(F.broadcast(own), "named").where(F.expr(f"size(mine) > 0 and {confirmed}")).select("doc_id", "place", "paragraph", F.col("named").alias("family"), "probability")
+        known = found.withColumn("mine", F.expr(_pairs("words"))).join(F.broadcast(templates), "named").where(F.expr(f"size(mine) > 0 and arrays_overlap(mine, own) and {confirmed}"))
+        return known.select("doc_id", "place", "paragraph", F.col("named").alias("family"), "probability")
+
+    def templates(self) -> DataFrame:
+        """(named, templates, own): one row a family, its templates' word pairs and those that no other family has."""
+        rows = self.stages.transform(_rows(self.spark, [(f, w) for f, w, _ in _notices() if f != UNKNOWN], ("named", "paragraph"))).select("named", F.expr(_pairs("words")).alias("template"))
+        single = rows.select("named", F.explode("template").alias("pair")).groupBy("pair").agg(F.count_distinct("named").alias("k"), F.first("named").alias("named")).where("k = 1")
+        return rows.groupBy("named").agg(F.collect_list("template").alias("templates")).join(single.groupBy("named").agg(F.collect_list("pair").alias("own")), "named")
 
 
 def scan(docs: DataFrame, negatives: int = 2000, **params) -> DataFrame:
@@ -170,11 +208,11 @@ def scan(docs: DataFrame, negatives: int = 2000, **params) -> DataFrame:
     themselves. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    lines = pieces(paragraphs(docs))
+    lines = with_stem(pieces(with_stem(paragraphs(docs))))
     share = min(1.0, negatives / max(1, docs.count()))
     some = pieces(paragraphs(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)))
     plain = some.where("not lower(paragraph) rlike 'licen|copyright|rights reserved|public domain|permission|redistribut|creative commons'")
-    sample = plain.select(F.substring("paragraph", 1, 500).alias("paragraph")).orderBy(F.xxhash64("paragraph"), "paragraph").limit(negatives)
+    sample = plain.select(slice_of("paragraph", 500).alias("paragraph")).orderBy(F.xxhash64("paragraph"), "paragraph").limit(negatives)
     model = LicenceModel(spark, cut(sample))
     notices = model.classify(lines, **params).groupBy("doc_id", "place", "family").agg(F.max("probability").alias("probability"))
     hits = notices.groupBy("doc_id").agg(

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import zstandard
 from pyspark.sql import functions as F
 
@@ -210,3 +211,41 @@ def test_licences_inside_longer_text(spark, docs_of):
     got = {r.doc_id: (r.family, r.n_notices, r.first_line) for r in licences.scan(docs, negatives=60).collect()}
     assert {k: got[k] for k in range(1, 6)} == {1: ("mit", 1, 0), 2: ("apache-2.0", 1, 0), 3: ("mit", 1, 0), 4: ("mit", 1, 0), 5: ("apache-2.0", 1, 0)}
     assert got[6][1:] == (2, 0) and got[7][0] == "none" and all(got[k][0] == "none" for k in range(20, 80))
+
+
+ISC = 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.'
+BSD3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def test_licence_probes_and_plain_scores(spark, docs_of):
+    probes = {
+        1: (MIT, "mit"), 2: (APACHE + "\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache-2.0"), 3: ("word " * 300 + "Licensed under the MIT License.", "mit"), 4: (ISC, "isc"),
+        5: (BSD3, "bsd"), 6: ("MIT", "mit"), 7: ("Released under the GNU Affero General Public License.", "agpl"), 8: ("Eclipse Public License 2.0", "epl"), 9: ("Sun Public License 2.0", "none"),
+        10: ("Licensed under the European Union Public Licence 1.2", "none"), 11: ("MIT\nISC", "mit"), 12: ("x" * 300_000 + " MIT License.", "mit"),
+    }
+    plain = [(k, f"Ordinary words number {k} stand here and there.\nAnd another line of plain prose follows it.", None, None) for k in range(20, 60)]
+    docs = docs_of([(k, t, None, None) for k, (t, _) in probes.items()] + plain)
+    got = {r.doc_id: r.family for r in licences.scan(docs, negatives=60).collect()}
+    assert {k: got[k] for k in probes if k != 11} == {k: f for k, (_, f) in probes.items() if k != 11} and got[11] in ("mit", "isc")
+
+    rows = licences.paragraphs(docs)
+    model = licences.LicenceModel(spark, rows.where("doc_id >= 20").select("paragraph").limit(60))
+    table = {r.named: r for r in model.templates().collect()}
+    weights, bias = model.model.coefficientMatrix.toArray(), model.model.interceptVector.toArray()
+    unknown, want = model.names.index(licences.UNKNOWN), {}
+    some = licences.pieces(rows.where("doc_id < 12"))
+    for r in some.collect():
+        words = [w for w in regex.split(r"[^\p{L}\p{N}.+-]+|\.(?=\s|$)", r.paragraph.lower()) if w]
+        pairs = list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
+        at = sorted({model.hash.indexOf(g) for g in words + pairs})
+        raw = weights[:, at].sum(axis=1) + bias
+        best = max((k for k in range(len(raw)) if k != unknown), key=lambda k: raw[k])
+        z = (raw[best] - raw[unknown]) * model.calibration.coefficients[0] + model.calibration.intercept
+        family, mine = model.names[best], set(pairs or words)
+        near = any(len(mine & set(t)) >= min(0.5 * len(mine), 0.8 * len(t)) for t in table[family].templates)
+        if z >= 0 and near and mine & set(table[family].own) and regex.search("|".join(licences.STEMS), r.paragraph.lower()):
+            want[r.doc_id, r.place, r.paragraph] = (family, 1 / (1 + np.exp(-z)))
+    found = {(r.doc_id, r.place, r.paragraph): (r.family, r.probability) for r in model.classify(licences.with_stem(some)).collect()}
+    assert found.keys() == want.keys() and len(want) > 8
+    assert all(found[k][0] == want[k][0] and found[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+    assert all(regex.search("|".join(licences.STEMS), w.lower()) for f, w, _ in licences._notices() if f != licences.UNKNOWN)
