@@ -15,9 +15,11 @@ def sanitize(text: Column) -> Column:
 
 
 def first_bytes(text: Column, n: int) -> Column:
-    """At most ``n`` bytes of the text; a cut character is replaced."""
+    """At most ``n`` bytes of the text, in whole characters: one that the cut would split goes."""
     raw = F.encode(text, "UTF-8")
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.decode(F.substring(raw, 1, n), "UTF-8"))
+    inner = lambda k: F.substring(raw, k, 1).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+    kept = F.when(~inner(n + 1), n).when(~inner(n), n - 1).when(~inner(n - 1), n - 2).otherwise(n - 3)
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.decode(F.substring(raw, F.lit(1), kept), "UTF-8"))
 
 
 def body(text: Column) -> Column:

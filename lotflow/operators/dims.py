@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def dimension(df: DataFrame, natural: str, *attributes: str) -> DataFrame:
-    """One row a natural key, with a surrogate key from its hash."""
-    return df.groupBy(natural).agg(*[F.max(a).alias(a) for a in attributes]).withColumn("surrogate_key", F.md5(F.col(natural).cast("string")))
+    """One row a natural key, with a surrogate key from its hash; the attributes are those of one row, the greatest."""
+    return df.groupBy(natural).agg(F.max(F.struct(*attributes)).alias("_row")).select(natural, "_row.*", F.md5(F.col(natural).cast("string")).alias("surrogate_key"))
 
 
 def date_spine(df: DataFrame, at: str) -> DataFrame:

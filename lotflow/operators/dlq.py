@@ -24,9 +24,3 @@ def triage(df: DataFrame, code: str = "sqlstate") -> DataFrame:
     known = F.when(c.isin(*TRANSIENT), "transient").when(c.isin(*TERMINAL), "terminal")
     return df.withColumn("error_class", F.coalesce(known, F.when((F.length(c) == 5) & F.substring(c, 1, 2).isin("08", "57"), "transient"), F.lit("unknown")))
 
-
-def retry_ladder(df: DataFrame, attempts: int = 5, first_ms: int = 100) -> DataFrame:
-    """One row an attempt: the delay before the next, doubling, and what has been waited for until then."""
-    n = df.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    delay = (F.lit(first_ms) * F.pow(F.lit(2), F.col("attempt") - 1)).cast("long")
-    return n.withColumn("delay_ms", delay).withColumn("waited_ms", (F.lit(first_ms) * (F.pow(F.lit(2), F.col("attempt")) - 1)).cast("long"))

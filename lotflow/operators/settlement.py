@@ -44,6 +44,17 @@ def replay(df: DataFrame, from_seq: int = 0, to_seq: int | None = None, exclusiv
     return out if to_seq is None else out.where(key <= to_seq)
 
 
+def ordered(events: DataFrame, newest_first: bool = False) -> DataFrame:
+    """Events by their sequence key as a whole number, whatever its length as text."""
+    key = F.col("sequence_engine_key").cast("decimal(20,0)")
+    return events.orderBy(key.desc() if newest_first else key.asc())
+
+
+def newest_of_each(events: DataFrame, per: str = "aggregate_id") -> DataFrame:
+    """Events with their ``place`` in the newest-first order of their aggregate."""
+    return events.withColumn("place", F.expr(f"row_number() over (partition by {per} order by cast(sequence_engine_key as decimal(20,0)) desc)"))
+
+
 def hand_off(history: DataFrame, live: DataFrame, keys: list[str], start: int = 0, keep_late: bool = True) -> DataFrame:
     """History and what live adds to it, each event once.
 

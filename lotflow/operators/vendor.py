@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotflow.functions import text
+from lotflow.operators import contracts, dlq
 
 
 def _ipv4(ip: Column) -> Column:
@@ -59,9 +60,18 @@ def classified(messages: DataFrame, completion: str = "completion") -> tuple[Dat
     return good, bad
 
 
-def token_bucket(requests_: DataFrame, key: str, order: list[str], at: str, rate: float = 10.0, burst: int = 20) -> DataFrame:
-    """When each request of a key may start, with ``rate`` a second and ``burst`` at once; ``at`` is in seconds."""
-    by = f"partition by {key} order by {', '.join(order)}"
-    n = requests_.withColumn("_n", F.expr(f"row_number() over ({by})"))
-    lead = n.withColumn("_most", F.expr(f"max({at} - (_n - 1) / {float(rate)}D) over ({by} rows unbounded preceding)"))
-    return lead.withColumn("start", F.greatest(F.col(at), F.expr(f"_n / {float(rate)}D + _most - {burst / rate}D"))).drop("_n", "_most")
+
+def received(emails: DataFrame, processed: DataFrame, attempts: str = "attempts", sqlstate: str = "sqlstate") -> DataFrame:
+    """``emails`` with ``reason`` and ``disposition``: what becomes of each delivery of a vendor e-mail.
+
+    A broken contract is terminal, whatever came before. A failure of the effect (``sqlstate`` not null) is
+    retried while its class is transient and attempts are left. An id that ``processed(event_id)`` has, or that
+    an earlier valid delivery brought, is a duplicate.
+    """
+    checked = contracts.violations(emails, contracts.EMAIL_RULES)
+    failed = dlq.triage(checked, sqlstate).join(processed.select("event_id", F.lit(True).alias("_done")).distinct(), "event_id", "left")
+    turn = F.expr("row_number() over (partition by event_id, size(errors) = 0 order by offset)")
+    reason = F.when(F.size("errors") > 0, F.array_join("errors", ",")).when(F.col(sqlstate).isNotNull(), F.concat(F.lit("sqlstate_"), sqlstate))
+    duplicate = (F.size("errors") == 0) & (F.coalesce("_done", F.lit(False)) | (turn > 1))
+    transient = (F.size("errors") == 0) & (F.col("error_class") == "transient")
+    return failed.withColumn("reason", reason).withColumn("disposition", contracts.disposition(duplicate, F.col("reason"), transient, F.col(attempts))).drop("_done", "error_class", "errors")

@@ -49,6 +49,30 @@ def transitions(workflows: DataFrame, ledger: DataFrame | None = None) -> DataFr
     return rows if ledger is None else rows.join(ledger.select("workflow_id", "node_id", "attempt"), ["workflow_id", "node_id", "attempt"], "left_anti")
 
 
+def outbox(moves: DataFrame) -> DataFrame:
+    """Outbox rows of transitions: the workflow is the aggregate, the payload is bytes, and columns say what it holds."""
+    return moves.select(
+        F.col("workflow_id").alias("aggregate_id"), F.lit("workflow").alias("aggregate_type"), "event_type", "trace_parent", "sequence_engine_key", "occurred_at", F.encode("payload", "UTF-8").alias("payload")
+    )
+
+
+def outbox_of(outbox_rows: DataFrame, workflows: DataFrame, events: DataFrame) -> DataFrame:
+    """Outbox rows of the workflows that ``events(event_id)`` started; their aggregate is the workflow, not the event."""
+    mine = workflows.join(events.select("event_id"), "event_id", "left_semi").select(F.col("workflow_id").alias("aggregate_id"))
+    return outbox_rows.join(mine, "aggregate_id", "left_semi")
+
+
+def stitch(spans: DataFrame) -> DataFrame:
+    """One row a trace over ``spans(trace_parent, service, at)``: how many spans, of which services, from when to when.
+
+    Rows whose trace parent has no trace id go.
+    """
+    from lotflow.functions.text import trace
+
+    named = spans.select(trace(F.col("trace_parent"))["trace_id"].alias("trace_id"), "service", "at").where("length(trace_id) > 0")
+    return named.groupBy("trace_id").agg(F.count("*").alias("spans"), F.array_sort(F.collect_set("service")).alias("services"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
 def overdue(workflows: DataFrame, as_of: str) -> DataFrame:
     """Workflows that still wait when their lease has run out."""
     return workflows.where((F.col("state") == "SUSPENDED") & (F.col("lease_expires_at") < F.lit(as_of).cast("timestamp")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lotflow.functions import text
-from lotflow.operators import dedup, dims, dlq, settlement, vendor, workflow
+from lotflow.operators import contracts, dedup, dims, dlq, settlement, vendor, workflow
 from lotflow.plans.sql import MOVEMENTS, with_movements
 from lotflow.runtime import table
 from lotflow.sources import changefeed, views
@@ -49,9 +49,26 @@ def watermark_in_force(spark, sf_dir):
     return settlement.watermark_in_force(marked).groupBy("topic", F.coalesce("in_force", F.lit(0)).alias("in_force")).agg(F.count("*").alias("records"))
 
 
+def two_topic_decode(spark, sf_dir):
+    good, dead = changefeed.two_topics(views.two_topic_records(spark, sf_dir), "approval", "outbox_feed", "event_id string, approved_by string")
+    done = good.select("topic", "offset", "message.event_id", "message.approved_by", F.lit("decoded").alias("outcome"))
+    return done.unionByName(dead.select("topic", "offset", F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("approved_by"), F.col("reason").alias("outcome")))
+
+
 # settlement
 
 
+def _events(spark, sf_dir):
+    """Events, and how many there are: windows and hand-offs lie at shares of them."""
+    e = views.settlement_events(spark, sf_dir).select("aggregate_id", "sequence_engine_key", "status").withColumn("k", F.col("sequence_engine_key") - BASE)
+    return e, e.count()
+
+
+def newest_first(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("agg-"), F.col("user_id")).alias("aggregate_id"), F.col("event_id").cast("string").alias("sequence_engine_key"))
+    return settlement.ordered(settlement.newest_of_each(e), newest_first=True)
+
+
 def _marks(spark, sf_dir):
     return views.settlement_events(spark, sf_dir).agg((F.lit(BASE) + F.floor(F.count("*") * 0.8)).alias("watermark"))
 
@@ -67,21 +84,21 @@ def settlement_figures(spark, sf_dir):
 
 
 def projection_merge(spark, sf_dir):
-    e = views.settlement_events(spark, sf_dir).select("aggregate_id", "sequence_engine_key", "status")
-    old = e.where(f"sequence_engine_key - {BASE} < 6000")
-    new = e.where(f"sequence_engine_key - {BASE} >= 4000").withColumn("status", F.concat("status", F.lit("_NEW")))
+    e, n = _events(spark, sf_dir)
+    old, new = e.where(f"k < {n * 6 // 10}").drop("k"), e.where(f"k >= {n * 4 // 10}").drop("k").withColumn("status", F.concat("status", F.lit("_NEW")))
     return dedup.merge_unique(old, new.unionByName(new), ["aggregate_id", "sequence_engine_key"])
 
 
 def live_handoff(spark, sf_dir):
-    e = views.settlement_events(spark, sf_dir).select("aggregate_id", "sequence_engine_key", "status")
-    history = e.where(f"sequence_engine_key - {BASE} < 5000 and (sequence_engine_key - {BASE}) % 10 <> 0")
-    return settlement.hand_off(history, e.where(f"sequence_engine_key - {BASE} >= 3000 or (sequence_engine_key - {BASE}) % 20 = 0"), ["aggregate_id", "sequence_engine_key"])
+    e, n = _events(spark, sf_dir)
+    history = e.where(f"k < {n // 2} and k % 10 <> 0").drop("k")  # every tenth row came late and is live only
+    return settlement.hand_off(history, e.where(f"k >= {n * 3 // 10} or k % 10 = 0").drop("k"), ["aggregate_id", "sequence_engine_key"])
 
 
 def replay_range(spark, sf_dir):
-    wf = _workflows(spark, sf_dir)
-    return settlement.replay(wf, 10_000, 500_000).select(F.col("event_id").alias("aggregate_id"), F.col("state").alias("stage"), F.lit("SUCCESS").alias("status"), "sequence_engine_key").orderBy("sequence_engine_key")
+    newest = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 0
+    wf = settlement.replay(_workflows(spark, sf_dir), newest, 5 * newest)  # keys are ten times the order's
+    return settlement.ordered(wf.select(F.col("event_id").alias("aggregate_id"), F.col("state").alias("stage"), F.lit("SUCCESS").alias("status"), "sequence_engine_key"))
 
 
 # workflows
@@ -101,6 +118,17 @@ def workflow_transitions(spark, sf_dir):
     return workflow.transitions(wf, done).select("workflow_id", "node_id", "attempt", "event_type", "payload", _TS("occurred_at"))
 
 
+def workflow_outbox(spark, sf_dir):
+    out = workflow.outbox(workflow.transitions(_workflows(spark, sf_dir)))
+    return out.select("aggregate_id", "aggregate_type", "event_type", "sequence_engine_key", F.decode("payload", "UTF-8").alias("payload"))
+
+
+def outbox_of_repeated_approvals(spark, sf_dir):
+    wf = _workflows(spark, sf_dir)
+    again = workflow.approvals_with_disposition(views.triggers(spark, sf_dir), views.approvals(spark, sf_dir)).where("disposition = 'duplicate'")
+    return workflow.outbox_of(workflow.outbox(workflow.transitions(wf)), wf, again).groupBy("aggregate_id").agg(F.count("*").alias("outbox_rows"))
+
+
 def approval_dispositions(spark, sf_dir):
     return workflow.approvals_with_disposition(views.triggers(spark, sf_dir), views.approvals(spark, sf_dir)).select("event_id", "sequence_engine_key", "approved_by", "disposition")
 
@@ -131,7 +159,7 @@ def sanitize_text(spark, sf_dir):
 
 def prompt_build(spark, sf_dir):
     out = vendor.requests(views.messages(spark, sf_dir))
-    return out.select("conv_id", "turn", F.md5("prompt").alias("digest"), text.truncate(F.regexp_replace("prompt", "[^ -~\n]", "?"), 24).alias("shown"))
+    return out.select("conv_id", "turn", F.md5("prompt").alias("digest"), text.truncate(F.reverse("prompt"), 24).alias("shown"))
 
 
 def intent_parse(spark, sf_dir):
@@ -139,9 +167,19 @@ def intent_parse(spark, sf_dir):
     return good.select("conv_id", "turn", "intent", F.lit("classified").alias("outcome")).unionByName(bad.select("conv_id", "turn", F.lit(0).alias("intent"), F.col("reason").alias("outcome")))
 
 
-def token_bucket(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 3).alias("budget"), (F.col("event_id") * 0.015625).alias("at"))
-    return vendor.token_bucket(e, "budget", ["at", "event_id"], "at", 10.0, 20).select("event_id", "budget", _D("start"))
+def email_contract(spark, sf_dir):
+    checked = contracts.violations(views.deliveries(spark, sf_dir), contracts.EMAIL_RULES)
+    return checked.select(F.explode_outer("errors").alias("error")).groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("emails"))
+
+
+def email_dispositions(spark, sf_dir):
+    mail = views.deliveries(spark, sf_dir)
+    return vendor.received(mail, mail.where("conv_id % 10 = 9").select("event_id")).select("offset", "event_id", "reason", "disposition")
+
+
+def snapshot_contract(spark, sf_dir):
+    checked = contracts.violations(views.snapshots(spark, sf_dir), contracts.SNAPSHOT_RULES)
+    return checked.select(F.explode_outer("errors").alias("error")).groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("snapshots"))
 
 
 # dead letters and traces
@@ -155,14 +193,9 @@ def error_triage(spark, sf_dir):
     return dlq.triage(e).groupBy("sqlstate", "error_class").agg(F.count("*").alias("errors"))
 
 
-def retry_ladder(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id")
-    return dlq.retry_ladder(e)
-
-
 def trace_stitch(spark, sf_dir):
-    m = views.movements(spark, sf_dir).select(text.trace(F.col("trace_parent"))["trace_id"].alias("trace_id"), "aggregate_id", "sku", (F.col("sequence_engine_key") % 1000).alias("k"))
-    return m.groupBy(F.substring("trace_id", 1, 2).alias("shard")).agg(F.count_distinct("trace_id").alias("traces"), F.count_distinct("aggregate_id").alias("aggregates"), F.count("*").alias("spans"))
+    out = workflow.stitch(views.spans(spark, sf_dir))
+    return out.select("trace_id", "spans", F.array_join("services", ",").alias("services"), _TS("first_at"), _TS("last_at"))
 
 
 def event_latency(spark, sf_dir):
@@ -206,10 +239,22 @@ appr as (select 'evt-' || o_orderkey as event_id, o_orderkey * 10 + 1 as seq, 'u
  union all select 'evt-' || o_orderkey, o_orderkey * 10 + 2, 'user-' || o_custkey, o_orderdate + interval 2 day from orders where o_orderstatus = 'F' and o_orderkey % 5 = 0
  union all select 'evt-absent-' || o_orderkey, o_orderkey * 10 + 3, 'user-' || o_custkey, o_orderdate + interval 3 day from orders where o_orderkey % 50 = 0),
 wf as (select 'wf-' || t.event_id as workflow_id, t.event_id, t.seq as sequence_engine_key, t.occurred_at, a.approved_by, a.approved_at from trig t left join (select * from appr where seq % 10 = 1) a on t.event_id = a.event_id)"""
-_MESSAGE = "(select conv_id, turn, role, 'a' || tok || text || tok as body from (select *, (['', '<|endoftext|>', '<|im_start|>', '<|im_end|>', '<sys<system>tem>', '</system>'])[1 + turn % 6] as tok from conversations))"
+_MESSAGE = "(select conv_id, turn, role, 'a' || tok || text || tok || repeat('é漢🙂x', case when (conv_id + turn) % 40 = 7 then cast(3300 + turn as bigint) else 0 end) as body from (select *, (['', '<|endoftext|>', '<|im_start|>', '<|im_end|>', '<sys<system>tem>', '</system>'])[1 + turn % 6] as tok from conversations))"
 _CLEAN = r"regexp_replace({}, '<\|endoftext\|>|<\|im_start\|>|<\|im_end\|>|<system>|</system>', '', 'g')"
 
 
+_MAIL = """mail as (select *, case k when 1 then 'bad-id' else concat_ws('-',substr(h,1,8),substr(h,9,4),substr(h,13,4),substr(h,17,4),substr(h,21,12)) end as event_id,
+  case k when 1 then 'event_id_uuid' when 2 then 'published_at_missing' when 3 then 'intent_undefined' when 4 then 'vendor_email_format' when 5 then 'body_uri_format' when 6 then 'attachments_too_many' end as err,
+  case off % 11 when 3 then '40001' when 5 then '23505' when 7 then 'XX000' end as code
+ from (select conv_id, conv_id * 100 + turn as off, (conv_id * 31 + turn) % 20 as k, md5('mail-' || conv_id || '-' || case when conv_id % 3 = 0 then turn - turn % 2 else turn end) as h from conversations))"""
+
+
+def _cut(text: str, n: int, more: str) -> str:
+    """SQL of at most n bytes of a text in whole characters: the cut is made in hex, and a broken tail goes."""
+    tail = "(C[0-9A-F]|D[0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F])?([89AB][0-9A-F])?)$"
+    return f"case when octet_length(encode({text})) <= {n} then {text} else decode(unhex(regexp_replace(substr(hex(encode({text})), 1, {2 * n}), '{tail}', ''))) || '{more}' end"
+
+
 def _codes_sql() -> str:
     quoted = lambda some: ", ".join(f"'{c}'" for c in some)
     return f"""select sqlstate, case when sqlstate in ({quoted(dlq.TRANSIENT)}) then 'transient' when sqlstate in ({quoted(dlq.TERMINAL)}) then 'terminal'
@@ -225,9 +270,9 @@ ORACLE = {
     "watermark_in_force": f"select topic, coalesce(w, 0) as in_force, count(*) as records from (select {_TOPIC} as topic, last_value(case when {_KIND} = 'mark' then {_SEQ} end ignore nulls) over (partition by {_TOPIC} order by event_id rows unbounded preceding) as w from events) group by all",
     "settlement_split": f"with {_SETTLE} select aggregate_id, sequence_engine_key, sequence_engine_key <= w as settled, lower(replace(stage, '_', ' ')) as label, status = 'FAILURE' as exception from se",
     "settlement_figures": f"with {_SETTLE} select stage, count(*) filter (sequence_engine_key <= w) as settled, count(*) filter (sequence_engine_key > w) as in_flight, round(sum(case when sequence_engine_key <= w then coalesce(value, 0) else 0 end), 6) as settled_value, count(*) filter (sequence_engine_key <= w and status = 'FAILURE') as exceptions from se group by stage",
-    "projection_merge": f"with {_SETTLE} select aggregate_id, sequence_engine_key, case when sequence_engine_key - {BASE} < 6000 then status else status || '_NEW' end as status from se",
-    "live_handoff": f"with {_SETTLE} select aggregate_id, sequence_engine_key, status from se where sequence_engine_key - {BASE} >= 3000 or (sequence_engine_key - {BASE}) % 20 = 0 or (sequence_engine_key - {BASE}) % 10 <> 0",
-    "replay_range": f"with {_TRIGGERS} select event_id as aggregate_id, case when approved_at is null then 'SUSPENDED' else 'COMPLETED' end as stage, 'SUCCESS' as status, sequence_engine_key from wf where sequence_engine_key between 10000 and 500000",
+    "projection_merge": f"with {_SETTLE} select aggregate_id, sequence_engine_key, case when sequence_engine_key - {BASE} < (select count(*) * 6 // 10 from events) then status else status || '_NEW' end as status from se",
+    "live_handoff": f"with {_SETTLE} select aggregate_id, sequence_engine_key, status from se",
+    "replay_range": f"with {_TRIGGERS} select event_id as aggregate_id, case when approved_at is null then 'SUSPENDED' else 'COMPLETED' end as stage, 'SUCCESS' as status, sequence_engine_key from wf where sequence_engine_key between (select max(o_orderkey) from orders) and (select 5 * max(o_orderkey) from orders)",
     "workflow_states": f"with {_TRIGGERS} select workflow_id, event_id, sequence_engine_key, case when approved_at is null then 'SUSPENDED' else 'COMPLETED' end as state, case when approved_at is null then 0 else 2 end as current_node_index, case when approved_at is null then 'human_approval' else '' end as next_node, approved_by from wf",
     "workflow_transitions": f"""with {_TRIGGERS} select workflow_id, node as node_id, 1 as attempt, 'NodeTransition' as event_type, '{{"status":"' || case when node = 'final_step' then 'completed' else 'approved' end || '","node":"' || node || '"}}' as payload, approved_at as occurred_at from wf, unnest(['human_approval', 'final_step']) as u(node) where approved_at is not null and sequence_engine_key % 3 <> 0""",
     "approval_dispositions": f"with {_TRIGGERS} select event_id, seq as sequence_engine_key, approved_by, case seq % 10 when 1 then 'accepted' when 2 then 'duplicate' else 'no_workflow' end as disposition from appr",
@@ -235,12 +280,22 @@ ORACLE = {
     "uri_screen": r"""select page_id, host, case when not starts_with(url, 'https://') then 'scheme' when n % 4 = 0 then 'allowlist' when n % 5 = 0 then 'non_public' else 'accepted' end as outcome
  from (select *, cast('0x' || substr(md5(host), 1, 2) as integer) as n from (select page_id, url, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host from pages))""",
     "sanitize_text": f"select conv_id, turn, md5({_CLEAN.format('body')}) as digest, cast(length({_CLEAN.format('body')}) as integer) as kept from {_MESSAGE}",
-    "prompt_build": f"select conv_id, turn, md5(p) as digest, case when length(q) <= 24 then q else substr(q, 1, 24) || '…' end as shown from (select conv_id, turn, p, regexp_replace(p, '[^ -~\n]', '?', 'g') as q from (select *, 'Subject: ' || role || chr(10) || 'Body: ' || {_CLEAN.format('body')} as p from {_MESSAGE}))",
+    "prompt_build": f"select conv_id, turn, md5(p) as digest, {_cut('reverse(p)', 24, '…')} as shown from (select conv_id, turn, 'Subject: ' || role || chr(10) || 'Body: ' || {_CLEAN.format(_cut('body', 32768, ''))} as p from {_MESSAGE})",
+    "email_contract": f"with {_MAIL} select coalesce(err, 'ok') as error, count(*) as emails from mail group by all",
+    "email_dispositions": f"""with {_MAIL}, seen as (select *, row_number() over (partition by event_id, err is null order by off) as n, event_id in (select event_id from mail where conv_id % 10 = 9) as done from mail)
+ select off as "offset", event_id, coalesce(err, 'sqlstate_' || code) as reason, case when err is not null then 'terminal' when done or n > 1 then 'duplicate' when code is null then 'ok' when code = '40001' and off % 7 < 5 then 'retry' when code = '40001' then 'transient_exhausted' else 'terminal' end as disposition from seen""",
+    "snapshot_contract": with_movements("select case sequence_engine_key % 50 when 0 then 'snapshot_id_uuid' when 1 then 'quantity_format' when 2 then 'value_format' when 3 then 'average_format' else 'ok' end as error, count(*) as snapshots from movements group by all"),
+    "two_topic_decode": """select topic, "offset", case when outcome = 'decoded' then 'evt-' || "offset" end as event_id, case when outcome = 'decoded' then who || '-' || c end as approved_by, outcome from (
+ select 'approval' as topic, o_orderkey as "offset", 'user' as who, o_custkey as c, case when o_orderkey % 101 = 0 then 'malformed_message' else 'decoded' end as outcome from orders
+ union all select 'outbox_feed', o_orderkey, 'desk', o_custkey, case when o_orderkey % 89 = 0 or o_orderkey % 83 = 0 then 'none' when o_orderkey % 79 = 0 then 'malformed_json' when o_orderkey % 97 = 0 then 'malformed_payload' else 'decoded' end from orders) where outcome <> 'none'""",
+    "newest_first": "select 'agg-' || user_id as aggregate_id, cast(event_id as varchar) as sequence_engine_key, cast(row_number() over (partition by user_id order by event_id desc) as integer) as place from events",
+    "workflow_outbox": f"""with {_TRIGGERS} select workflow_id as aggregate_id, 'workflow' as aggregate_type, 'NodeTransition' as event_type, sequence_engine_key, '{{"status":"' || case when node = 'final_step' then 'completed' else 'approved' end || '","node":"' || node || '"}}' as payload from wf, unnest(['human_approval', 'final_step']) as u(node) where approved_at is not null""",
+    "outbox_of_repeated_approvals": "select 'wf-evt-' || o_orderkey as aggregate_id, cast(2 as bigint) as outbox_rows from orders where o_orderstatus = 'F' and o_orderkey % 5 = 0",
+    "trace_stitch": """select trace_id, count(*) as spans, array_to_string(list_sort(list(distinct service)), ',') as services, min(t) as first_at, max(t) as last_at from (
+ select md5('order-' || o_orderkey) as trace_id, 'messages' as service, o_orderdate as t from orders union all select md5('order-' || o_orderkey), 'workflows', o_orderdate + interval 1 day from orders where o_orderstatus = 'F'
+ union all select md5('order-' || l_orderkey), 'inventory', l_shipdate from lineitem) group by trace_id""",
     "intent_parse": "select conv_id, turn, case when k < 4 then k + 1 when k = 4 then 2 else 0 end as intent, case when k <= 4 then 'classified' when k in (5, 6) then 'out_of_range' else 'non_integer' end as outcome from (select *, (conv_id * 31 + turn) % 9 as k from conversations)",
-    "token_bucket": "select event_id, budget, round(greatest(t0, n / 10.0::double + max(t0 - (n - 1) / 10.0::double) over (partition by budget order by t0, event_id rows unbounded preceding) - 2), 6) as start from (select event_id, user_id % 3 as budget, event_id * 0.015625::double as t0, row_number() over (partition by user_id % 3 order by event_id) as n from events)",
     "error_triage": _codes_sql(),
-    "retry_ladder": "select event_id, a as attempt, cast(100 * pow(2, a - 1) as bigint) as delay_ms, cast(100 * (pow(2, a) - 1) as bigint) as waited_ms from events, unnest([1, 2, 3, 4, 5]) as u(a) where event_type = 'error'",
-    "trace_stitch": with_movements("select substr(split_part(trace_parent, '-', 2), 1, 2) as shard, count(distinct split_part(trace_parent, '-', 2)) as traces, count(distinct aggregate_id) as aggregates, count(*) as spans from movements group by all"),
     "event_latency": with_movements("select mdm_vendor_id, max(epoch_us(published_at) - epoch_us(occurred_at)) as max_us, cast(sum(epoch_us(published_at) - epoch_us(occurred_at)) as bigint) as sum_us from movements group by all"),
     "vendor_scd2": f"""with {MOVEMENTS}, hist as (select mdm_vendor_id, occurred_at, max(location_id) as location_id from movements group by all union all select 'C-' || o_custkey, o_orderdate, max(o_orderstatus) from orders group by all),
  lagged as (select *, lag(location_id) over k as was, row_number() over k as n from hist window k as (partition by mdm_vendor_id order by occurred_at)), kept as (select * from lagged where n = 1 or was is distinct from location_id)
@@ -252,6 +307,6 @@ ORACLE = {
 }
 
 QUERIES = [
-    changefeed_decode, changefeed_watermarks, changefeed_dead_letters, changefeed_roundtrip, watermark_in_force, settlement_split, settlement_figures, projection_merge, live_handoff, replay_range, workflow_states, workflow_transitions,
-    approval_dispositions, overdue_approvals, task_order, uri_screen, sanitize_text, prompt_build, intent_parse, token_bucket, error_triage, retry_ladder, trace_stitch, event_latency, vendor_scd2, date_spine, dim_product, dim_location, filtered_resume,
+    changefeed_decode, changefeed_watermarks, changefeed_dead_letters, changefeed_roundtrip, two_topic_decode, watermark_in_force, newest_first, settlement_split, settlement_figures, projection_merge, live_handoff, replay_range, workflow_states, workflow_transitions,
+    approval_dispositions, overdue_approvals, workflow_outbox, outbox_of_repeated_approvals, task_order, uri_screen, sanitize_text, prompt_build, intent_parse, email_contract, email_dispositions, snapshot_contract, error_triage, trace_stitch, event_latency, vendor_scd2, date_spine, dim_product, dim_location, filtered_resume,
 ]

@@ -49,6 +49,22 @@ def bytes_of(text: Column) -> Column:
     return F.when(text.startswith("\\x"), F.try_to_binary(F.substring(text, 3, 1 << 30), F.lit("hex"))).otherwise(F.try_to_binary(text, F.lit("base64")))
 
 
+def two_topics(records: DataFrame, raw_topic: str, feed_topic: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(messages, dead letters) of ``records(topic, value, ...)`` whose two topics differ in form.
+
+    ``raw_topic`` carries the message itself; ``feed_topic`` a change-feed envelope whose ``payload`` is the message as
+    hex or base64. Watermarks and tombstones go, as do other topics. What cannot be decoded comes back with its reason
+    and its original value. Messages are JSON with the columns of ``schema``.
+    """
+    raw = records.where(F.col("topic") == raw_topic).withColumn("_text", F.col("value"))
+    rows, _, broken = decode(records.where(F.col("topic") == feed_topic), on_error="dlq", resolved="non_null")
+    fed = rows.withColumn("_text", F.try_validate_utf8(bytes_of(text_of("payload")).cast("string"))).drop("after")
+    both = raw.unionByName(fed).withColumn("message", F.when(F.try_parse_json("_text").isNotNull(), F.from_json("_text", schema)))
+    good = both.where("message is not null").drop("_text")
+    dead = both.where("message is null").drop("_text", "message").withColumn("reason", F.when(F.col("topic") == raw_topic, "malformed_message").otherwise("malformed_payload"))
+    return good, dead.unionByName(broken)
+
+
 def projections(rows: DataFrame, movement_topics: tuple[str, ...] = ("fact_inventory_movement", "fact_inventory_snapshot"), workflow_topics: tuple[str, ...] = ("orchestrator_outbox",), compat: bool = False) -> DataFrame:
     """Decoded rows as events of the live page; other topics and rows without a sequence key go.
 

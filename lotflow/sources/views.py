@@ -118,10 +118,58 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation texts with chat-control tokens spliced in."""
+    """Conversation texts with chat-control tokens spliced in, some of them far above the cut and in wide characters."""
     c = table(spark, sf_dir, "conversations")
     token = F.element_at(F.array(*[F.lit(t) for t in ("", "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<sys<system>tem>", "</system>")]), (F.col("turn") % 6 + 1).cast("int"))
-    return c.select("conv_id", "turn", F.concat(F.lit("a"), token, F.col("text"), token).alias("body"), F.col("role").alias("subject"))
+    return c.select("conv_id", "turn", F.concat(F.lit("a"), token, F.col("text"), token, F.repeat(F.lit("é漢🙂x"), F.when((F.col("conv_id") + F.col("turn")) % 40 == 7, 3300 + F.col("turn")).otherwise(0).cast("int"))).alias("body"), F.col("role").alias("subject"))
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendor e-mails from conversations: with faults, redeliveries (odd turns of every third), and failed effects."""
+    c = table(spark, sf_dir, "conversations").withColumn("k", (F.col("conv_id") * 31 + F.col("turn")) % 20).withColumn("offset", F.col("conv_id") * 100 + F.col("turn"))
+    source = F.when(F.col("conv_id") % 3 == 0, F.col("turn") - F.col("turn") % 2).otherwise(F.col("turn"))
+    c = c.withColumn("h", F.md5(F.concat_ws("-", F.lit("mail"), F.col("conv_id").cast("string"), source.cast("string"))))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return c.select(
+        "offset", "conv_id", F.when(F.col("k") == 1, "bad-id").otherwise(F.regexp_replace("h", "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")).alias("event_id"),
+        F.regexp_replace("h", "^(.{16})(.{16})$", "00-$1$2-$1-01").alias("trace_parent"), F.concat(F.lit("CONV-"), "conv_id").alias("aggregate_id"), at.alias("occurred_at"), F.when(F.col("k") != 2, at).alias("published_at"),
+        F.col("offset").cast("string").alias("sequence_engine_key"), F.lit(1).alias("visualization_stage"), F.when(F.col("k") == 3, 9).otherwise(F.col("turn") % 5).cast("int").alias("intent_classification"),
+        F.when(F.col("k") == 4, "nobody").otherwise(F.concat(F.lit("desk"), "conv_id", F.lit("@vendor.example"))).alias("vendor_email"), F.concat(F.lit("VENDOR-"), F.col("conv_id") % 7).alias("mdm_vendor_id"),
+        F.concat(F.lit("store://mail/"), "offset").alias("secure_subject_uri"), F.when(F.col("k") == 5, "").otherwise(F.concat(F.lit("store://body/"), "offset")).alias("secure_body_uri"),
+        F.sequence(F.lit(1), F.when(F.col("k") == 6, 26).otherwise(1)).alias("attachments"), (F.col("offset") % 7).alias("attempts"),
+        F.when(F.col("offset") % 11 == 3, "40001").when(F.col("offset") % 11 == 5, "23505").when(F.col("offset") % 11 == 7, "XX000").alias("sqlstate"),
+    )
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot messages as text, with faults by sequence key."""
+    m, k = movements(spark, sf_dir), F.col("sequence_engine_key") % 50
+    return m.select(
+        F.when(k == 0, F.concat("sku", F.lit("_2024-01-01"))).otherwise(F.col("event_id")).alias("snapshot_id"), F.when(k == 1, "abc").otherwise(F.col("quantity")).alias("qty_on_hand"),
+        F.when(k == 2, F.concat(F.lit("-"), "unit_cost")).otherwise(F.col("unit_cost")).alias("fifo_total_value"), F.when(k == 3, "").otherwise(F.col("unit_cost")).alias("moving_avg_cost"),
+    )
+
+
+def two_topic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approvals as plain messages, and as hex or base64 inside change-feed envelopes; some broken, some watermarks."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("offset"), F.col("o_custkey").alias("c"))
+    text = lambda who: F.concat(F.lit('{"event_id":"evt-'), "offset", F.lit(f'","approved_by":"{who}-'), "c", F.lit('"}'))
+    raw = o.select("offset", F.lit("approval").alias("topic"), F.when(F.col("offset") % 101 == 0, '{"event_id": ').otherwise(text("user")).alias("value"))
+    data = F.encode(text("desk"), "UTF-8")
+    payload = F.when(F.col("offset") % 97 == 0, r"\\xzz").when(F.col("offset") % 2 == 0, F.concat(F.lit(r"\\x"), F.lower(F.hex(data)))).otherwise(F.base64(data))
+    value = F.when(F.col("offset") % 89 == 0, '{"resolved":"123"}').when(F.col("offset") % 83 == 0, '{"after":null}').when(F.col("offset") % 79 == 0, '{"after"').otherwise(F.concat(F.lit('{"after":{"payload":"'), payload, F.lit('"}}')))
+    return raw.unionByName(o.select("offset", F.lit("outbox_feed").alias("topic"), value.alias("value")))
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of three services that share the trace of an order: its message, its approval, its movements."""
+    def of(df: DataFrame, service: str, key: str, at: str) -> DataFrame:
+        span = F.substring(F.md5(F.concat(F.lit(f"{service}-"), key)), 1, 16)
+        return df.select(F.concat(F.lit("00-"), F.md5(F.concat(F.lit("order-"), key)), F.lit("-"), span, F.lit("-01")).alias("trace_parent"), F.lit(service).alias("service"), F.col(at).alias("at"))
+
+    orders = table(spark, sf_dir, "orders")
+    done = orders.where("o_orderstatus = 'F'").withColumn("approved_at", F.expr("timestampadd(DAY, 1, o_orderdate)"))
+    return of(orders, "messages", "o_orderkey", "o_orderdate").unionByName(of(done, "workflows", "o_orderkey", "approved_at")).unionByName(of(table(spark, sf_dir, "lineitem"), "inventory", "l_orderkey", "l_shipdate"))
 
 
 def task_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

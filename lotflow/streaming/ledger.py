@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lotflow.operators import contracts, dlq, workflow
 from lotflow.operators.restate import FACT, KeyLedger, events_of, fact_rows
-from lotflow.schemas import KEYS, MOVEMENT
+from lotflow.schemas import KEYS, MOVEMENT, VENDOR_EMAIL
 
 
 def movement_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
@@ -51,13 +51,16 @@ def arrival_facts(stream: DataFrame, late_sign: str = "reference") -> DataFrame:
     return needed.groupBy(*KEYS).applyInPandasWithState(step, FACT, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def split_writer(rules: dict, good_path: str, dead_path: str, topic: str) -> Callable[[DataFrame, int], None]:
+def split_writer(rules: dict, good_path: str, dead_path: str, topic: str, log_path: str | None = None) -> Callable[[DataFrame, int], None]:
     """A batch function: good rows typed and appended, bad ones appended as dead letters, before the batch commits.
 
-    A batch that runs again replaces its own files, so effects are exactly once.
+    With ``log_path`` every row is appended there as it came before anything is decided about it. A batch that runs
+    again replaces its own files, so effects are exactly once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if log_path:
+            batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
         good, bad = contracts.split_valid(batch, rules)
         contracts.typed_movements(good).write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
         records = bad.select(F.lit(topic).alias("topic"), F.col("event_id").alias("key"), F.to_json(F.struct(*batch.columns)).alias("value"), F.array().cast("array<struct<key:string,value:binary>>").alias("headers"), F.array_join("errors", ",").alias("reason"))
@@ -66,10 +69,10 @@ def split_writer(rules: dict, good_path: str, dead_path: str, topic: str) -> Cal
     return write
 
 
-def run_ingest(spark: SparkSession, source: str, good_path: str, dead_path: str, checkpoint: str, topic: str = "inventory.movement.v1") -> StreamingQuery:
-    """Everything that has arrived: validated, deduplicated, split."""
+def run_ingest(spark: SparkSession, source: str, good_path: str, dead_path: str, checkpoint: str, topic: str = "inventory.movement.v1", log: str | None = None) -> StreamingQuery:
+    """Everything that has arrived: deduplicated, logged raw if ``log`` names a folder, validated, split."""
     stream = deduplicated(movement_stream(spark, source))
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(split_writer(contracts.MOVEMENT_RULES, good_path, dead_path, topic)).start()
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(split_writer(contracts.MOVEMENT_RULES, good_path, dead_path, topic, log)).start()
 
 
 def run_facts(spark: SparkSession, source: str, out: str, checkpoint: str) -> StreamingQuery:
@@ -120,17 +123,47 @@ def workflow_transitions(stream: DataFrame) -> DataFrame:
     return stream.select("event_id", "kind", "sequence_engine_key").groupBy("event_id").applyInPandasWithState(step, TRANSITION, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def settled_figures(spark: SparkSession, source: str, checkpoint: str, out: str, schema: str) -> StreamingQuery:
-    """Settled counts and value after each batch, at the newest watermark among its rows (``resolved`` not null)."""
+def settled_figures(spark: SparkSession, source: str, checkpoint: str, out: str, waiting: str, schema: str) -> StreamingQuery:
+    """Settled figures of a feed after each batch: one row a batch in ``out``, over all rows so far.
+
+    Rows with ``resolved`` are watermarks; the newest so far holds. Rows above it wait in ``waiting``, a folder a batch,
+    until a later watermark settles them. A batch reads what the one before left and replaces its own folders when it
+    runs again.
+    """
     from lotflow.operators import settlement
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows, marks = batch.where("resolved is null"), batch.where("resolved is not null").select(F.col("resolved").alias("watermark"))
-        settlement.figures(settlement.split(rows, marks), "watermark").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        rows, marks = batch.where("resolved is null").drop("resolved"), batch.where("resolved is not null").select(F.col("resolved").alias("watermark"))
+        before = None
+        if batch_id:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{waiting}/batch={batch_id - 1}"))
+            before = spark.read.parquet(f"{out}/batch={batch_id - 1}")
+            marks = marks.unionByName(before.select(F.col("watermark").cast("long")))
+        split = settlement.split(rows, marks)
+        new = settlement.figures(split).join(marks.agg(F.max("watermark").cast("long").alias("watermark")))
+        if before is not None:
+            totals = ["settled", "settled_value", "exceptions"]
+            new = new.join(before.select(*[F.col(c).alias(f"_{c}") for c in totals])).withColumns({c: F.coalesce(c, F.lit(0)) + F.col(f"_{c}") for c in totals}).drop(*[f"_{c}" for c in totals])
+        new.select("watermark", "settled", "in_flight", F.coalesce("settled_value", F.lit(0.0)).alias("settled_value"), "exceptions").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        split.where("not settled").select(*rows.columns).write.mode("overwrite").parquet(f"{waiting}/batch={batch_id}")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
+def append_outbox(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that appends transitions as outbox rows; a batch that runs again replaces its own."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        workflow.outbox(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def email_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
+    """Vendor e-mails as they arrive in a folder."""
+    return spark.readStream.schema(VENDOR_EMAIL).option("maxFilesPerTrigger", max_files).parquet(path)
+
+
 def run_changefeed(stream: DataFrame, topic: str, updated: str, out: str, checkpoint: str) -> StreamingQuery:
     """Rows of a table as change-feed envelopes, with one watermark a batch."""
     from lotflow.sources.changefeed import encode

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -141,3 +142,54 @@ def test_query_matches_sql(spark, name):
     from .helpers import same
 
     same(spark, plans, name)
+
+
+def plain_lots(ops):
+    """On hand and value after each of (seq, id, type, quantity, cost), from nothing; None if one takes too much."""
+    lots, after = {}, {}
+    for seq, name, kind, quantity, cost in ops:
+        change = -quantity if kind == 2 else quantity
+        if kind == 1 or change > 0 and kind == 3:
+            lots[seq, name] = [quantity, cost]
+        elif change < 0:
+            if -change > sum(q for q, _ in lots.values() if q > 0):
+                return None
+            for key in sorted(lots):
+                take = max(0, min(-change, lots[key][0]))
+                lots[key][0] -= take
+                change += take
+        after[name] = (sum(q for q, _ in lots.values()), sum(q * c for q, c in lots.values()))
+    return lots, after
+
+
+def plain_arrivals(rows):
+    """id -> last (on hand, value): the whole history is folded anew at every arrival."""
+    ops, log, facts = [], [], {}
+    for event, age in rows:
+        if event[2] == 2 and event[3] == 0:
+            continue
+        lots = plain_lots(ops)[0]
+        late = any(q > 0 and seq > event[0] for (seq, _), (q, _) in lots.items())
+        new = sorted([*log, event]) if late and age <= 30 else [*ops, (*event[:2], 3 if late else event[2], *event[3:])]
+        folded = plain_lots(new)
+        if folded is None:
+            continue
+        ops = new
+        log.append(event)
+        facts.update(folded[1] if late and age <= 30 else {event[1]: folded[1][event[1]]})
+    return facts
+
+
+def test_arrival_ledger_against_a_fold_from_nothing(spark):
+    rng, data, want = random.Random(21), [], {}
+    for k in range(250):
+        rows = []
+        for n in range(rng.randint(1, 14)):
+            kind = rng.choice([1, 1, 2, 2, 3])
+            event = (rng.randint(1, 40), f"{k:03d}-{n:02d}", kind, rng.randint(-4, 6) if kind == 3 else rng.randint(0 if kind == 2 else 1, 6), rng.randint(1, 9))
+            rows.append((event, rng.choice([0, 1, 29, 31, 90])))
+            at = T0 + timedelta(minutes=n)
+            data.append((event[1], f"SKU-{k}", "L", "V", event[0], kind, Decimal(event[3]), Decimal(event[4]), at - timedelta(days=rows[-1][1]), at))
+        want.update(plain_arrivals(rows))
+    got = restate.arrival_ledger(spark.createDataFrame(data, TYPED)).collect()
+    assert {r.event_id: (r.qty_on_hand, r.fifo_total_value) for r in got} == want and len({r.outcome for r in got}) == 3

@@ -15,13 +15,14 @@ def test_ingest_splits_and_restarts(spark, tmp_path):
     t = datetime(2024, 1, 1)
     row = lambda n, qty: (f"550e8400-e29b-41d4-a716-44665544{n:04d}", "00-" + "a" * 32 + "-" + "b" * 16 + "-01", "agg", t, t, None, str(500 + n), 1, "S", "V", "L", qty, "3.00")
     put = lambda rows, name: spark.createDataFrame(rows, MOVEMENT).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
-    go = lambda: live.run_ingest(spark, f"{tmp_path}/in/*", f"{tmp_path}/good", f"{tmp_path}/dead", f"{tmp_path}/ck").awaitTermination(120)
+    go = lambda: live.run_ingest(spark, f"{tmp_path}/in/*", f"{tmp_path}/good", f"{tmp_path}/dead", f"{tmp_path}/ck", log=f"{tmp_path}/log").awaitTermination(120)
     put([row(1, "7"), row(2, "oops"), row(1, "7")], "a")
     assert go()
     put([row(1, "7"), row(3, "9")], "b")
     assert go()
     good = spark.read.parquet(f"{tmp_path}/good").orderBy("sequence_engine_key").collect()
     assert [(r.sequence_engine_key, r.quantity) for r in good] == [(501, 7), (503, 9)]
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 3  # raw rows of both batches, the bad one too
     dead = spark.read.parquet(f"{tmp_path}/dead").collect()
     assert [(r.topic, [bytes(h.value) for h in r.headers]) for r in dead] == [("inventory.movement.v1.dlq", [b"quantity_format", b"inventory.movement.v1"])]
 
@@ -46,6 +47,8 @@ def test_workflow_survives_a_restart(spark, tmp_path):
 
     go([("e1", "trigger", 1, None), ("e2", "trigger", 1, None), ("x", "approval", 5, "u")])
     go([("e1", "approval", 2, "u"), ("e1", "approval", 3, "v"), ("e1", "trigger", 4, None)])
+    live.append_outbox(f"{tmp_path}/outbox")(spark.createDataFrame([("wf-e", "t", 1, datetime(2024, 1, 1), "NodeTransition", "{}")], "workflow_id string, trace_parent string, sequence_engine_key long, occurred_at timestamp, event_type string, payload string"), 3)
+    assert [(r.aggregate_id, bytes(r.payload), r.batch) for r in spark.read.parquet(f"{tmp_path}/outbox").collect()] == [("wf-e", b"{}", 3)]
     rows = spark.read.parquet(f"{tmp_path}/out").collect()
     assert sorted(r.node_id for r in rows if r.event_id == "e1" and r.disposition == "accepted") == ["final_step", "human_approval"]
     assert sorted((r.event_id, r.disposition) for r in rows if r.disposition != "accepted") == [("e1", "created"), ("e1", "duplicate"), ("e1", "duplicate"), ("e2", "created"), ("x", "no_workflow")]
@@ -53,14 +56,21 @@ def test_workflow_survives_a_restart(spark, tmp_path):
 
 def test_settled_figures_and_changefeed(spark, tmp_path):
     schema = "sequence_engine_key long, status string, value double, sla_breached boolean, resolved long"
-    spark.createDataFrame([(1, "SUCCESS", 2.0, False, None), (2, "FAILURE", None, None, None), (9, "SUCCESS", 5.0, None, None), (None, None, None, None, 5)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    assert live.settled_figures(spark, f"{tmp_path}/in", f"{tmp_path}/ck", f"{tmp_path}/out", schema).awaitTermination(120)
-    r = spark.read.parquet(f"{tmp_path}/out").first()
-    assert (r.settled, r.in_flight, r.settled_value, r.exceptions) == (2, 1, 2.0, 1)
+    batches = [
+        [(1, "SUCCESS", 2.0, False, None), (2, "FAILURE", None, None, None), (9, "SUCCESS", 5.0, None, None), (None, None, None, None, 5)],
+        [(3, "SUCCESS", 1.0, None, None), (15, "SUCCESS", 4.0, True, None)],
+        [(None, None, None, None, 20)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        assert live.settled_figures(spark, f"{tmp_path}/in", f"{tmp_path}/ck", f"{tmp_path}/out", f"{tmp_path}/waiting", schema).awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("batch").collect()
+    assert [(r.watermark, r.settled, r.in_flight, r.settled_value, r.exceptions) for r in got] == [(5, 2, 1, 2.0, 1), (5, 3, 2, 3.0, 1), (20, 5, 0, 12.0, 2)]
+    assert spark.read.schema(schema).parquet(f"{tmp_path}/waiting/batch=2").count() == 0
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").where("resolved is null").select("sequence_engine_key", "status")
     assert live.run_changefeed(stream, "t", "sequence_engine_key", f"{tmp_path}/feed", f"{tmp_path}/ck2").awaitTermination(120)
     values = [r.value for r in spark.read.parquet(f"{tmp_path}/feed").collect()]
-    assert len(values) == 4 and sum('"resolved":"9"' in v for v in values) == 1
+    assert len(values) == 6 and sum('"resolved":"15"' in v for v in values) == 1
 
 
 def test_dedup_within_watermark(spark, tmp_path):
