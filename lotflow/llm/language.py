@@ -210,13 +210,8 @@ def sample(docs: DataFrame, train_chars: int = 20_000, all_chars: int = 400_000,
     return kept
 
 
-def identify(docs: DataFrame, segment: int = 512, carry: tuple[str, ...] = (), **params) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of ``docs(doc_id, text, lang)``, plus ``carry``.
-
-    ``und`` with score 0 for a null text, a text without a letter, and every text if nothing is labelled. Ties go to the
-    first language by code point, with score 0. A row with a null id is predicted and is not held out. Repeated rows
-    fare alike; other columns are ignored; an empty table gives an empty result.
-    """
+def _predicted(docs: DataFrame, segment: int, params: dict):
+    """The trained prediction as a function of a text column."""
     small_batches(docs.sparkSession)
     samples = sample(docs, **params)
 
@@ -227,5 +222,28 @@ def identify(docs: DataFrame, segment: int = 512, carry: tuple[str, ...] = (), *
             lang, score = parser.predict(batch.tolist())
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    rows = only(docs, *dict.fromkeys(("doc_id", "text", *carry))).withColumn("found", predicted("text"))
-    return rows.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "found.lang_pred", "found.score", *[c for c in carry if c != "doc_id"])
+    return predicted
+
+
+def identify(docs: DataFrame, segment: int = 512, **params) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row of ``docs(doc_id, text, lang)``.
+
+    ``und`` with score 0 for a null text, a text without a letter, and every text if nothing is labelled. Ties go to the
+    first language by code point, with score 0. A row with a null id is predicted and is not held out. Repeated rows
+    fare alike; other columns are ignored; an empty table gives an empty result.
+    """
+    predicted = _predicted(docs, segment, params)
+    rows = only(docs, "doc_id", "text").withColumn("found", predicted("text"))
+    return rows.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "found.lang_pred", "found.score")
+
+
+def told(docs: DataFrame, least: float = 0.0, segment: int = 512, **params) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, as they are, with the language where ``lang`` was null.
+
+    ``und`` and scores below ``least`` go: the runner-up needs hardly more phrases. All columns of ``docs`` come back,
+    whatever their names; rows are odd in the ways of ``identify``.
+    """
+    predicted = _predicted(docs, segment, params)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("found", predicted("row.text"))
+    kept = rows.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least))
+    return kept.withColumn("row", F.col("row").withField("lang", F.coalesce("row.lang", "found.lang_pred"))).select("row.*")

@@ -33,6 +33,10 @@ def _number(text: str, first: int = 1) -> str:
     return f"cast(conv(substr(md5({text}), {first}, 8), 16, 10) as bigint)"
 
 
+def _size(text: str) -> F.Column:
+    return F.coalesce(F.expr(f"regexp_count({text}, r'{WORD}')").cast("long"), F.lit(0).cast("long"))
+
+
 def targets(sources: DataFrame, scale: float = 1.5, most: int = 2) -> DataFrame:
     """``sources(key, source, total)`` with the target of each: one row a source, ranked as one small table."""
     placed = (
@@ -50,23 +54,22 @@ def targets(sources: DataFrame, scale: float = 1.5, most: int = 2) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, scale: float = 1.5, most: int = 2, block_words: int = 64, cell_words: int = 1 << 20, seed: int = 7, few_sources: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, scale: float = 1.5, most: int = 2, block_words: int = 64, cell_words: int = 1 << 20, seed: int = 7, few_sources: int = 20_000) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, and two word ranges) for every row of ``docs``.
 
-    ``docs(doc_id, text, source)``; ``carry`` names further columns to keep. The table of sources is broadcast if it has
+    ``docs(doc_id, text, source)``; other columns are ignored. The table of sources is broadcast if it has
     no more than ``few_sources`` rows, else joined. taken = copies x size + the lengths of the
     ranges [first_from, first_to) and [second_from, second_to). A null text has size 0; a document of size 0 takes
     nothing. A null source is a source of its own, after all others. Equal rows are placed one after the other, so the
     result is the same on every run. An empty table gives an empty result.
     """
     sized = (
-        only(docs, *dict.fromkeys(("doc_id", "text", "source", *carry)))
-        .withColumn("size", F.coalesce(F.expr(f"regexp_count(text, r'{WORD}')").cast("long"), F.lit(0).cast("long")))
+        only(docs, "doc_id", "text", "source")
+        .withColumn("size", _size("text"))
         .withColumn("key", F.expr("case when source is null then 'n' else concat('s', source) end"))
-        .select("doc_id", "source", "size", "key", *[c for c in carry if c != "source"])
+        .select("doc_id", "source", "size", "key")
     )
-    if not carry:
-        sized = cut(sized)
+    sized = cut(sized)
     sources = targets(sized.groupBy("key").agg(F.max("source").alias("source"), F.sum("size").alias("total")), scale, most)
     sources = cut(
         sources.withColumn("cells", F.expr(f"greatest(1L, cast(ceil(total / {cell_words}D) as bigint))"))
@@ -120,11 +123,11 @@ def mix(docs: DataFrame, scale: float = 1.5, most: int = 2, block_words: int = 6
     (a1, b1), (a2, b2) = span("f1", "t1"), span("0L", "t2")
     taken = (
         placed.join(quota, ["key", "cell"])
-        .select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", "copies", a1.alias("first_from"), b1.alias("first_to"), a2.alias("second_from"), b2.alias("second_to"), *[c for c in carry if c != "source"])
+        .select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", "copies", a1.alias("first_from"), b1.alias("first_to"), a2.alias("second_from"), b2.alias("second_to"))
         .withColumn("taken", F.expr("copies * size + (first_to - first_from) + (second_to - second_from)"))
     )
     empty = sized.where("size = 0").join(sources, "key").select(
-        "doc_id", "source", "size", F.col("total").alias("source_size"), "target", *[F.lit(0).cast("long").alias(c) for c in ("copies", "first_from", "first_to", "second_from", "second_to")], *[c for c in carry if c != "source"], F.lit(0).cast("long").alias("taken")
+        "doc_id", "source", "size", F.col("total").alias("source_size"), "target", *[F.lit(0).cast("long").alias(c) for c in ("copies", "first_from", "first_to", "second_from", "second_to")], F.lit(0).cast("long").alias("taken")
     )
     return taken.unionByName(empty)
 
@@ -132,17 +135,26 @@ def mix(docs: DataFrame, scale: float = 1.5, most: int = 2, block_words: int = 6
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: each document as often as it is taken whole, and once more the words of its partial range.
 
-    Returns the columns of ``docs``; a cut text keeps its words, joined by single spaces, and n_chars follows it.
+    Returns the columns of ``docs``, whatever their names; a cut text keeps its words, joined by single spaces, and
+    n_chars follows it. The mix is made of ids and sizes; whole rows are shuffled once, to meet what is taken of them.
+    Rows alike in id, source and size take their shares in any order; rows odd in other ways fare as in ``mix``.
     """
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    rows = mix(docs, carry=rest, **params)
-    whole = rows.where("copies > 0").withColumn("copy", F.expr("explode(sequence(1L, copies))"))
-    parts = rows.where("taken > copies * size").withColumn("w", F.expr(f"regexp_extract_all(text, r'{WORD}', 0)"))
-    part = F.expr("concat(slice(w, cast(second_from as int) + 1, cast(second_to - second_from as int)), slice(w, cast(first_from as int) + 1, cast(first_to - first_from as int)))")
-    parts = parts.withColumn("text", F.expr("case when taken - copies * size = size then text end")).withColumn("text", F.coalesce("text", F.array_join(part, " ")))
-    if "n_chars" in rest:
-        parts = parts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns).unionByName(parts.select(*docs.columns))
+    name = F.to_json(F.struct("doc_id", "source", "size")).alias("name")
+    take = F.struct("copies", "first_from", "first_to", "second_from", "second_to")
+    shares = mix(docs, **params).where("taken > 0").groupBy(name).agg(F.array_sort(F.collect_list(take)).alias("shares"))
+    fields = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"))
+    named = rows.select("row", F.to_json(F.struct(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), _size("row.text").alias("size"))).alias("name"))
+    met = named.join(shares, "name").withColumn("place", F.expr("row_number() over (partition by name order by name)")).withColumn("t", F.expr("get(shares, place - 1)")).where("t is not null")
+    words = f"regexp_extract_all(row.text, r'{WORD}', 0)"
+    part = f"array_join(transform(array({words}), w -> concat_ws(' ', slice(w, cast(t.second_from as int) + 1, cast(t.second_to - t.second_from as int)), slice(w, cast(t.first_from as int) + 1, cast(t.first_to - t.first_from as int)))), '')"
+    cut_text = f"case when t.second_to - t.second_from + t.first_to - t.first_from = 0 then array() else array({part}) end"
+    texts = met.withColumn("text", F.explode(F.expr(f"concat(array_repeat(row.text, cast(t.copies as int)), {cut_text})")))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in fields:
+        whole = F.expr("text = row.text")
+        row = row.withField("n_chars", F.when(whole, F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return texts.select(row.alias("row")).select("row.*")
 
 
 ORACLE = r"""

@@ -102,13 +102,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, calibrate: i
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, carry: tuple[str, ...] = (), **params) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs(doc_id, text)``, plus the columns of ``carry``.
-
-    A null text scores as an empty one. A row with a null id is scored and is not held out. Without labels of both
-    classes every row scores the share of good ones (0.5 without any). Repeated rows score alike; other columns of
-    either table are ignored. An empty table gives an empty result.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, params: dict):
+    """The trained score as a function of a text column."""
     small_batches(docs.sparkSession)
     model = train(docs, labels, **params)
 
@@ -117,5 +112,23 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, ca
         for batch in texts:
             yield pd.Series(model.score(batch.tolist()) if isinstance(model, CompressionModel) else np.full(len(batch), model))
 
-    rows = only(docs, *dict.fromkeys(("doc_id", "text", *carry))).withColumn("score", scored("text"))
-    return rows.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", F.expr(f"cast(score >= {threshold}D as int)").alias("predicted"), *[c for c in carry if c != "doc_id"])
+    return scored
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **params) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of ``docs(doc_id, text)``.
+
+    A null text scores as an empty one. A row with a null id is scored and is not held out. Without labels of both
+    classes every row scores the share of good ones (0.5 without any). Repeated rows score alike; other columns of
+    either table are ignored. An empty table gives an empty result.
+    """
+    scored = _scored(docs, labels, params)
+    rows = only(docs, "doc_id", "text").withColumn("score", scored("text"))
+    return rows.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", F.expr(f"cast(score >= {threshold}D as int)").alias("predicted"))
+
+
+def good_only(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **params) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns, whatever their names."""
+    scored = _scored(docs, labels, params)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("score", scored("row.text"))
+    return rows.where(F.col("score") >= threshold).select("row.*")

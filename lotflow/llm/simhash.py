@@ -10,6 +10,14 @@
    bit of the fingerprint instead. Two fingerprints at distance 2 or less share such a value, and at most 65 different
    fingerprints can meet under one, so this way is exact and has no hot keys.
 5. Components: star contraction over links between group representatives.
+
+Fingerprints of 64 bits tell copies with a word or so changed. For near copies of a given similarity of word shingles
+(``similar_components``) the fingerprint has 512 bits: two texts whose shingles have Jaccard similarity J, and so cosine
+2J / (1 + J), differ in a share arccos(cosine) / pi of the bits. Candidates are fingerprints that agree on all of k bits
+sampled anew for each table, with k from the number of fingerprints and as many tables as find a pair at the limit with
+the wanted probability; the same bit-sliced comparison decides. Similarity is what the fingerprints say: at the limit of
+0.8 the radius is 1.84 standard deviations wide. A bucket above ``max_bucket`` is dealt into blocks that all hold its
+64 smallest fingerprints, so that its members stay connected through those and through the other tables.
 """
 
 from __future__ import annotations
@@ -21,9 +29,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, MapType, StructType, VariantType
 
 from lotflow.llm.arrow import only, small_batches
 from lotflow.llm.components import connected_components
@@ -52,17 +60,45 @@ def _shingle_hashes(data: bytes, words: int, seed: int) -> Iterator[np.ndarray]:
         yield np.array([hashed(b" ".join(tail), seed)], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """Unsigned SimHash: a bit is set if more than half of the shingle hashes have it; zero for a text without words."""
-    if not text:
-        return 0
-    counts, n = np.zeros(BITS, dtype=np.int64), 0
-    for h in _shingle_hashes(text.encode("utf-8", "replace").lower(), words, seed):
-        for k in range(0, len(h), 4096):
-            part = np.unpackbits(h[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts += part.sum(axis=0, dtype=np.int64)
+def _bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many rows (of 64-bit words) have each bit set: of many, three become a sum and a carry of twice the weight."""
+    counts, weight = np.zeros(rows.shape[1] * 64, dtype=np.int64), 1
+    while len(rows):
+        carries = [rows[:0]]
+        while len(rows) > 192:  # fewer are quicker to count one by one
+            t = len(rows) // 3
+            a, b, c = rows[:t], rows[t : 2 * t], rows[2 * t : 3 * t]
+            x = a ^ b
+            carries.append(a & b | x & c)
+            rows = np.concatenate([x ^ c, rows[3 * t :]])
+        counts += weight * np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        rows, weight = np.concatenate(carries), 2 * weight
+    return counts
+
+
+#: Multipliers that give a hash further words.
+_MORE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], dtype=np.uint64)
+
+
+def wide_fingerprint(text: str | None, words: int, seed: int, width: int) -> np.ndarray:
+    """SimHash of ``width`` 64-bit words: a bit is set if more than half of the shingles have it; zero without words."""
+    counts, n = np.zeros(64 * width, dtype=np.int64), 0
+    for h in _shingle_hashes((text or "").encode("utf-8", "replace").lower(), words, seed):
+        for k in range(0, len(h), 1 << 16):
+            part = h[k : k + (1 << 16), None]
+            if width > 1:
+                more = part * _MORE[None, : width - 1]
+                more ^= more >> np.uint64(32)
+                more *= np.uint64(0xBF58476D1CE4E5B9)
+                part = np.c_[part, more ^ (more >> np.uint64(29))]
+            counts += _bit_counts(part)
         n += len(h)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """The unsigned 64-bit SimHash."""
+    return int(wide_fingerprint(text, words, seed, 1)[0])
 
 
 @F.pandas_udf(LongType())
@@ -72,10 +108,10 @@ def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def _planes(fp: np.ndarray) -> np.ndarray:
-    """64 bit planes over all lanes, as words of 64 lanes, with spare words at the end for shifts."""
-    lanes = -(-len(fp) // 64) * 64
-    bits = np.zeros((lanes, BITS), dtype=np.uint8)
-    bits[: len(fp)] = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes over all lanes, as words of 64 lanes; ``fp`` has a row of 64-bit words a lane, or one word."""
+    lanes, bytes_each = -(-len(fp) // 64) * 64, fp.nbytes // len(fp)
+    bits = np.zeros((lanes, 8 * bytes_each), dtype=np.uint8)
+    bits[: len(fp)] = np.unpackbits(fp.view(np.uint8).reshape(-1, bytes_each), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
@@ -98,7 +134,7 @@ def _near_at(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int, ste
     alive = valid[at]
     count = [np.zeros(len(at), np.uint64) for _ in range(max(1, radius.bit_length()))]
     spill = np.zeros(len(at), np.uint64)
-    for first in range(0, BITS, step):
+    for first in range(0, len(planes), step):
         if not len(at):
             break
         here, there = planes[first : first + step, at], np.minimum(at + skip, words - 1)
@@ -125,10 +161,15 @@ def linked(fp: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
     if n < 2:
         return root
     planes, lanes = _planes(fp), -(-n // 64) * 64
+    step = max(8, len(planes) // 16)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     longest = int(np.diff(np.r_[starts, n]).max())
     at = np.arange(n)
     for shift in range(1, longest):
+        if shift % 64 == 0:  # groups that are connected as a whole are done
+            apart = np.zeros(int(group[-1]) + 1, bool)
+            apart[group[root != root[starts][np.searchsorted(starts, np.arange(n), "right") - 1]]] = True
+            at = at[apart[group[at]]]
         at = at[at + shift < n]
         at = at[group[at] == group[at + shift]]
         todo = at[root[at] != root[at + shift]]
@@ -136,7 +177,7 @@ def linked(fp: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
             continue
         valid = np.zeros(lanes, np.uint8)
         valid[todo] = 1
-        for i in _near_at(planes, shift, np.packbits(valid, bitorder="little").view(np.uint64), radius):
+        for i in _near_at(planes, shift, np.packbits(valid, bitorder="little").view(np.uint64), radius, step):
             a, b = int(i), int(i) + shift
             while root[a] != a:
                 a = int(root[a])
@@ -148,13 +189,20 @@ def linked(fp: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each bucket; rows arrive sorted by bucket, and a bucket may span batches."""
+def _compare(batches: Iterator[pa.RecordBatch], radius: int, least: int = 0) -> Iterator[pa.RecordBatch]:
+    """Spanning links of each bucket; rows arrive sorted by bucket, and a bucket may span batches.
+
+    Whole buckets are held until they make ``least`` rows, so that many are compared at once.
+    """
 
     def links(rows: pa.Table) -> pa.RecordBatch:
-        kind, key, fp, rep = (rows.column(c).to_numpy() for c in ("kind", "key", "fp", "rep"))
+        kind, key, rep = (rows.column(c).to_numpy() for c in ("kind", "key", "rep"))
         group = np.cumsum(np.r_[0, (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])])
-        root = linked(fp.astype(np.int64).view(np.uint64), group, radius)
+        if pa.types.is_binary(rows.schema.field("fp").type):
+            fp = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(rep), -1)
+        else:
+            fp = rows.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+        root = linked(fp, group, radius)
         own = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[root[own]])], names=["a", "b"])
 
@@ -165,6 +213,9 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         kind, key = batch.column("kind").to_numpy(), batch.column("key").to_numpy()
         last = np.flatnonzero((kind != kind[-1]) | (key != key[-1]))
         first = int(last[-1]) + 1 if len(last) else 0
+        if sum(b.num_rows for b in held) + first < least:
+            held.append(batch)
+            continue
         if first:
             yield links(pa.Table.from_batches([*held, batch.slice(0, first)]))
             held = []
@@ -210,14 +261,71 @@ def simhash_components(docs: DataFrame, radius: int = 2, bands: int = 4, max_buc
     return prints.join(of_print, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tables_for(rows: int, similarity: float, found: float, bits: int) -> tuple[int, int, int]:
+    """(sampled bits a key, tables, radius) for so many fingerprints: a pair at the limit meets with probability ``found``."""
+    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    k = int(np.clip(np.ceil(np.log2(max(1, rows) / 64)), 8, 48))
+    tables = int(np.ceil(np.log(1 - found) / np.log(1 - (1 - differ) ** k)))
+    return k, tables, int(bits * differ + 1.84 * np.sqrt(bits * differ * (1 - differ)))
+
+
+def similar_links(unique: DataFrame, rows: int, similarity: float = 0.8, found: float = 0.97, max_bucket: int = 4096, anchors: int = 64, width: int = 8, seed: int = 7) -> DataFrame:
+    """Links (a, b) between the fingerprints of ``unique(fp binary, rep)`` that the sampled tables find similar."""
+    k, tables, radius = tables_for(rows, similarity, found, 64 * width)
+    rng = np.random.default_rng(seed)
+    chosen = [rng.permutation(64 * width)[:k] for _ in range(tables)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, rep = batch.column("fp"), batch.column("rep")
+            n = batch.num_rows
+            bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(n, -1), axis=1, bitorder="little")
+            for t, at in enumerate(chosen):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(bits[:, at] @ (np.int64(1) << np.arange(k))), fp, rep], names=["kind", "key", "fp", "rep"])
+
+    keys = unique.select("fp", "rep").mapInArrow(deal, "kind int, key long, fp binary, rep long")
+    hot = cut(keys.groupBy("kind", "key").count().where(F.col("count") > max_bucket).select("kind", "key", F.ceil(F.col("count") / max_bucket).alias("blocks")))
+    n_hot = hot.count()
+    if n_hot:
+        dealt = keys.join(F.broadcast(hot) if n_hot <= 100_000 else hot, ["kind", "key"], "left")
+        block = F.coalesce(F.pmod(F.xxhash64("fp", "kind"), "blocks"), F.lit(0)).alias("block")
+        place = F.expr("row_number() over (partition by kind, key order by fp)")
+        first = dealt.where("blocks is not null").withColumn("place", place).where(F.col("place") <= anchors).select("kind", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "fp", "rep")
+        keys = dealt.select("kind", "key", block, "fp", "rep").unionByName(first)
+        keys = keys.select("kind", F.when(F.col("block") == 0, F.col("key")).otherwise(F.xxhash64("key", "block")).alias("key"), "fp", "rep")
+    return keys.repartition("kind", "key").sortWithinPartitions("kind", "key", "fp").mapInArrow(lambda it: _compare(it, radius, 1 << 16), "a long, b long")
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8, seed: int = 42, **params) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs(doc_id, text)``: texts of that similarity of word shingles are linked.
+
+    A text with fewer words than a shingle is one shingle; texts without words are copies of each other. Rows with a
+    null doc_id get the component of equal fingerprints, but connect nothing. Repeated rows stay repeated. Other columns
+    are ignored; an empty table gives an empty result.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf(BinaryType())
+    def prints_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([wide_fingerprint(t, words, seed, width).tobytes() for t in batch], dtype=object)
+
+    prints = cut(only(docs, "doc_id", "text").select("doc_id", prints_of("text").alias("fp")))
+    unique = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    roots = connected_components(similar_links(unique, unique.count(), similarity, width=width, **params))
+    of_print = unique.join(roots, unique["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return prints.join(of_print, "fp", "left").select("doc_id", "component_id")
+
+
 def keep_one_each(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one row left of each component: that of the smallest doc_id (of its copies, the first by content).
+    """``docs`` with one row left of each component of ``similar_components``: that of the smallest doc_id.
 
-    Rows with a null doc_id have no name to be linked by: all stay, equal ones once.
+    Of rows that repeat that id, the first by text and then by the other plain columns stays. Rows with a null doc_id
+    have no name to be linked by: all stay.
     """
-    found = simhash_components(docs, **params)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    rest = docs.columns
-    row = F.struct(*[c for c in rest if c != "doc_id"])
-    first = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("r")).select("doc_id", "r.*")
-    return first.select(*rest).unionByName(docs.where("doc_id is null").distinct())
+    kept = similar_components(docs, **params).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    plain = [F.col("row").getField(f.name) for f in docs.schema if f.name != "text" and not isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))]
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text"), "row.text", *plain))
+    first = rows.join(kept, rows["doc_id"] == kept["kept_id"], "left_semi").withColumn("place", place).where("place = 1")
+    return first.select("row.*").unionByName(docs.where("doc_id is null"))

@@ -115,3 +115,18 @@ def test_components_of_long_chain_and_star(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1200)] + [(5, 5), (None, 3)]
     roots = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert roots == {**{k: 0 for k in range(1, 201)}, **{k: 1000 for k in range(1001, 1200)}}
+
+
+def test_similar_groups_above_the_bucket_bound(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 900)}" for _ in range(150)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        words[rng.randrange(150)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(f"w{rng.randint(0, 900)}" for _ in range(150))) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for max_bucket in (4096, 20):
+        got = {r.doc_id: r.component_id for r in simhash.similar_components(docs, max_bucket=max_bucket, anchors=4).collect()}
+        assert got == {k: 0 if k < 1000 else k for k, _ in rows}
