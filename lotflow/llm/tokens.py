@@ -3,11 +3,12 @@
 A text is split at white space, which that tokenizer drops, so every piece between is encoded on its own; pieces are
 kept in a bounded dictionary. A missing piece is cut by the tokenizer's pattern and its parts are merged by a
 byte-pair engine over the same vocabulary, in which a space byte stands for the end of a word. Texts that hold the
-vocabulary's special tokens take the library's own path.
+vocabulary's special tokens, or code points that Python's Unicode tables lack, take the library's own path.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import unicodedata
@@ -34,6 +35,21 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+@functools.cache
+def _unassigned() -> np.ndarray:
+    """For every code point, whether Python's Unicode tables lack it; the tokenizer's may know it."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+
+def _newer(text: str) -> bool:
+    """Whether a text holds a code point that Python's tables lack."""
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return bool(_unassigned()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+
 class WordBpe:
     """Ids of texts; ``path`` is the vocabulary file in the tokenizers library's form."""
 
@@ -59,11 +75,11 @@ class WordBpe:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
         missing = words.difference(cache)
-        for w in missing.intersection(older):
-            cache[w] = older[w]
         plain, mixed = [], []
-        for w in missing.difference(older):
-            if w.isalpha():
+        for w in missing:
+            if w in older:
+                cache[w] = older[w]
+            elif w.isalpha():
                 plain.append(w)
             elif w[-1] in _CLOSING and w[:-1].isalpha():
                 mixed.append((w, (w[:-1], w[-1])))
@@ -99,7 +115,7 @@ class WordBpe:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if "<|" in text and any(s in text for s in self.special):
+            if "<|" in text and any(s in text for s in self.special) or not text.isascii() and _newer(text):
                 out[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
                 continue
             words = self._words(text)

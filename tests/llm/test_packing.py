@@ -24,7 +24,7 @@ def bpe():
 def test_ids_are_the_library_s(bpe, spark):
     rng = random.Random(3)
     signs = "abcXYZ éÉßΣσςİıǅ'’.,!?#$%&*0123456789٣Ⅷ½ \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 ​　漢字かなハンкि👍🏽é<|>endoftext\x00﻿don't"
-    texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(1500)] + ["a<|endoftext|>b", "", "x" * 3000, "Word, word. WORD; (it's) they'll 're"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(1500)] + ["a<|endoftext|>b", "", "x" * 3000, "Word, word. WORD; (it's) they'll 're", "a\u208fb \u0378 c\U0001fadc d\u20c1"]
     texts += [r.text for r in table(spark, SMALL, "documents").limit(40).collect()]
     library = Tokenizer.from_file(PATH)
     for text, ids in zip(texts, bpe.ids_of(texts)):
