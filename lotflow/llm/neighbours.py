@@ -1,50 +1,109 @@
 """Approximate nearest neighbours by collision counting over sorted projections.
 
-Vectors are dealt by id into shards of bounded size, queries into blocks of bounded size, and each (block, shard) pair
-is one group. A shard is indexed by ``lines`` single random projections, each a sorted array. A query's windows on all
-lines start narrow and widen by the factor ``grow`` (virtual rehashing: the same arrays serve every radius). A vector
-that lies inside the windows of at least ``share`` of the lines is verified with its exact inner product. A query
-stops when it has verified ``verify`` of the shard and the k it needs.
+Vectors are dealt into shards of about ``shard_rows`` by ranges of their first principal axis (of ``fit_rows`` rows
+chosen by a hash of the id, which also say how far from a query along that axis its neighbours lie; every row is
+dealt). A range that one value fills is dealt on by a hash. A query goes to the shards that its window along the axis
+meets and to no other; how many that are depends on how much structure the vectors have.
+
+A shard is indexed once, by ``lines`` single random projections, each a sorted array, and its queries stream past it.
+A query's windows on all lines widen by the factor ``grow`` until enough vectors lie inside the windows of at least
+``share`` of the lines (virtual rehashing: the same arrays serve every radius); these are verified with their exact
+inner product. Enough is ``verify`` of the shard and 20 k more. The windows of a query begin where those of the query
+before it ended. Places on the lines are kept to a 256th, windows are rounded outwards.
 
 For the largest inner product, vectors of the shard are lengthened by one component to equal norm, so that the largest
-inner product is the smallest distance. Every vector is indexed; nothing is sampled or capped.
+inner product is the smallest distance. Every vector is indexed; none is sampled or capped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotflow.llm.arrow import only
+from lotflow.runtime import cut
 
+_DEALT = "shard int, kind int, id long, width int, vector binary"
 _FOUND = "query_id long, vec_id long, score double"
+_OWN, _ASKING = 0, 1
+_STEPS = 256
+
+
+@dataclass
+class Axis:
+    """How vectors of one length are dealt: by ranges of a projection, with the window of a query on it."""
+
+    direction: np.ndarray
+    bounds: np.ndarray
+    slope: float
+    low: float
+    high: float
+    first: int
+
+    @staticmethod
+    def fit(sample: np.ndarray, shards: int, first: int, near: int = 3) -> Axis:
+        direction = np.linalg.eigh(np.cov(sample.T).reshape(sample.shape[1], -1))[1][:, -1]
+        at, asking = sample @ direction, sample[:512] / np.linalg.norm(sample[:512], axis=1)[:, None]
+        score = asking @ sample.T
+        score[np.arange(len(asking)), np.arange(len(asking))] = -np.inf
+        best = np.argsort(-score, axis=1)[:, : max(1, min(near, len(sample) - 1))]
+        mine, theirs = np.repeat(asking @ direction, best.shape[1]), at[best].ravel()
+        slope = float(np.polyfit(mine, theirs, 1)[0]) if len(mine) > 2 and np.ptp(mine) > 0 else 0.0
+        low, high = np.quantile(theirs - slope * mine, [0.0005, 0.9995])
+        room = 0.1 * (high - low) + 1e-9
+        return Axis(direction, np.quantile(at, np.arange(1, shards) / shards), slope, low - room, high + room, first)
+
+    def shards_of(self, ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        at = vectors @ self.direction
+        left, right = np.searchsorted(self.bounds, at, "left"), np.searchsorted(self.bounds, at, "right")
+        return self.first + left + (ids * 2654435761 >> 7) % (right - left + 1)
+
+    def asked(self, vector: np.ndarray) -> range:
+        at = self.slope * float(vector @ self.direction) / float(np.linalg.norm(vector))
+        ends = np.searchsorted(self.bounds, at + self.low, "left"), np.searchsorted(self.bounds, at + self.high, "right")
+        return range(self.first + int(ends[0]), self.first + int(ends[1]) + 1)
 
 
 class CollisionIndex:
-    """Sorted projections of one shard (fewer than 65,536 vectors), and each vector's place on every line."""
+    """Sorted projections of one shard, and each vector's place on every line."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: int, seed: int):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.verified = ids, vectors, 0
         length = np.linalg.norm(vectors, axis=1)
         longest = float(length.max())
         flat = np.c_[vectors / longest, np.sqrt(np.maximum(0, 1 - (length / longest) ** 2))]
         self.directions = np.random.default_rng(seed).standard_normal((flat.shape[1], lines))
-        cast = np.ascontiguousarray((flat @ self.directions).T)
-        order = np.argsort(cast, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(cast, order, axis=1)
-        self.place = np.empty(order.shape, dtype=np.uint16)
-        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
-
-    def _windows(self, at: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
-        """Per query and line: the first place inside the window, and the number of places."""
-        low = np.array([np.searchsorted(line, x - half) for line, x in zip(self.sorted, at.T)]).T
-        high = np.array([np.searchsorted(line, x + half, "right") for line, x in zip(self.sorted, at.T)]).T
-        return low, high - low
+        self.sorted = np.ascontiguousarray((flat @ self.directions).T)
+        order = np.argsort(self.sorted, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(self.sorted, order, axis=1)
+        self.place = np.empty(order.shape, dtype=np.uint8)
+        steps = (np.arange(len(ids)) * _STEPS // len(ids)).astype(np.uint8)
+        for row, at in zip(self.place, order):
+            row[at] = steps
+        self.offset, self.hit = np.empty_like(self.place), np.empty(self.place.shape, dtype=bool)
+        self.half = 0.8
+
+    def _inside(self, at: np.ndarray, half: float) -> np.ndarray:
+        """For every vector, in how many lines' windows it lies."""
+        n = len(self.ids)
+        low = np.array([np.searchsorted(line, x - half) for line, x in zip(self.sorted, at)])
+        high = np.array([np.searchsorted(line, x + half, "right") for line, x in zip(self.sorted, at)]) - 1
+        some = low <= high
+        first, last = np.minimum(low, n - 1) * _STEPS // n, np.maximum(high, 0) * _STEPS // n
+        np.subtract(self.place, first.astype(np.uint8)[:, None], out=self.offset)
+        np.less_equal(self.offset, np.maximum(last - first, 0).astype(np.uint8)[:, None], out=self.hit)
+        if not some.all():
+            self.hit[~some] = False
+        return np.add.reduce(self.hit.view(np.uint8), axis=0, dtype=np.uint8)
 
     def _best(self, found: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Exact inner products of the verified vectors; the k largest, ties to the smaller id."""
+        self.verified += len(found)
         near = self.vectors[found] @ query
         if len(found) > k:
             found = found[near >= np.partition(near, -k)[-k] - 1e-9 * (1 + np.abs(near).max())]
@@ -52,33 +111,28 @@ class CollisionIndex:
         best = np.lexsort((self.ids[found], -score))[:k]
         return self.ids[found[best]], score[best]
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float, verify: float, start: float, grow: float):
-        """Yield (query id, ids, scores) of each query."""
-        n, lines = len(self.ids), len(self.sorted)
-        at = queries / np.linalg.norm(queries, axis=1)[:, None] @ self.directions[:-1]
-        need, enough = int(np.ceil(share * lines)), min(n, 20 * k + int(np.ceil(verify * n)))
-        going, half = np.arange(len(queries)), start
-        while len(going):
-            low, size = self._windows(at[going], half)
-            wide = half > self.sorted[:, -1].max() - self.sorted[:, 0].min() + np.abs(at).max()
-            left = []
-            for q, a, w in zip(going, low, size):
-                inside = (self.place - a.astype(np.uint16)[:, None]) < np.minimum(w, 65535).astype(np.uint16)[:, None]
-                found = np.flatnonzero((inside.sum(axis=0, dtype=np.uint16) >= need) & (self.ids != query_ids[q]))
-                if len(found) < enough and not wide:
-                    left.append(q)
-                    continue
-                yield (query_ids[q], *self._best(found if not wide else np.flatnonzero(self.ids != query_ids[q]), queries[q], k))
-            going, half = np.array(left, dtype=np.int64), half * grow
+    def search(self, query_id: int, query: np.ndarray, k: int, share: float, verify: float, grow: float) -> tuple[np.ndarray, np.ndarray]:
+        n, other = len(self.ids), self.ids != query_id
+        at = query / np.linalg.norm(query) @ self.directions[:-1]
+        need, enough = int(np.ceil(share * len(self.sorted))), min(n - 1, 20 * k + int(np.ceil(verify * n)))
+        widest = float(self.sorted[:, -1].max() - self.sorted[:, 0].min() + np.abs(at).max())
+        half = self.half
+        while True:
+            found = np.flatnonzero((self._inside(at, half) >= need) & other)
+            if len(found) >= enough or half > widest:
+                break
+            half *= grow
+        self.half = half / grow if len(found) > 1.5 * enough else half
+        return self._best(found if half <= widest else np.flatnonzero(other), query, k)
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+def _floats(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=np.float64)
 
 
 def nearest(
-    vectors: DataFrame, k: int = 20, query_every: int = 20, shard_rows: int = 16384, block_rows: int = 4096,
-    lines: int = 80, share: float = 0.53, verify: float = 0.3, start: float = 0.8, grow: float = 1.08, seed: int = 7,
+    vectors: DataFrame, k: int = 20, query_every: int = 20, shard_rows: int = 16384, fit_rows: int = 4096,
+    lines: int = 160, share: float = 0.6, verify: float = 0.03, grow: float = 1.03, seed: int = 7,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each query, in double precision.
 
@@ -89,26 +143,60 @@ def nearest(
     empty result.
     """
     good = F.expr("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
-    rows = only(vectors, "vec_id", "embedding").where(good).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n, asked = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % query_every == 0)).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
-    dealt = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    queries = rows.where(F.col("vec_id") % query_every == 0).select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("vec_id").alias("query_id"), "embedding")
-    held = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), dealt.alias("shard"), "vec_id", "embedding")
-
-    def search(asking: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asking) and len(own):
-            wide = own["embedding"].map(len)
-            for width, some in asking.groupby(asking["embedding"].map(len)):
-                mine = own[wide == width].sort_values("vec_id")
-                if not len(mine):
+    rows = cut(only(vectors, "vec_id", "embedding").where(good).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")))
+    n = rows.count()
+    sample: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).collect():
+        sample.setdefault(len(r.embedding), []).append(r.embedding)
+    axes, first, seen = {}, 1, sum(map(len, sample.values()))
+    for width, some in sorted(sample.items()):
+        if len(some) > 1:
+            shards = max(1, -(-n * len(some) // (seen * shard_rows)))
+            axes[width], first = Axis.fit(np.array(some, dtype=np.float64), shards, first), first + shards
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column("vec_id").to_numpy(), batch.column("embedding").to_pylist()
+            widths = np.array([len(v) for v in lists])
+            for width in np.unique(widths).tolist():
+                mine = np.flatnonzero(widths == width)
+                own, data = ids[mine].astype(np.int64), np.array([lists[i] for i in mine], dtype=np.float64)
+                axis = axes.get(width)  # lengths too rare for the sample share one shard
+                shard = axis.shards_of(own, data).tolist() if axis else [0] * len(own)
+                out = [(s, _OWN, i, v) for s, i, v in zip(shard, own.tolist(), data)]
+                out += [(s, _ASKING, i, v) for i, v in zip(own.tolist(), data) if i % query_every == 0 for s in (axis.asked(v) if axis else [0])]
+                columns = list(zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array([width] * len(out), pa.int32()), pa.array([v.tobytes() for v in columns[3]], pa.binary())],
+                    names=["shard", "kind", "id", "width", "vector"],
+                )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by shard and length, a shard's own before its queries."""
+        here, ids, data, index = None, [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.array([batch.column(c).to_numpy() for c in ("shard", "width", "kind")]).T
+            starts = np.r_[0, np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1, batch.num_rows]
+            for a, b in zip(starts.tolist(), starts[1:].tolist()):
+                part, (shard, width, kind) = batch.slice(a, b - a), place[a].tolist()
+                if here != (shard, width):
+                    here, ids, data, index = (shard, width), [], [], None
+                own, values = part.column("id").to_numpy(), _floats(part, "vector").reshape(-1, width)
+                if kind == _OWN:
+                    ids.append(own)
+                    data.append(values)
                     continue
-                index = CollisionIndex(mine["vec_id"].to_numpy(np.int64), _matrix(mine["embedding"]), lines, seed)
-                for q, ids, score in index.search(some["query_id"].to_numpy(np.int64), _matrix(some["embedding"]), k, share, verify, start, grow):
-                    out.append(pd.DataFrame({"query_id": np.full(len(ids), q), "vec_id": ids, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-
-    found = queries.groupBy("block", "shard").cogroup(held.groupBy("block", "shard")).applyInPandas(search, _FOUND)
+                if index is None and ids:
+                    index = CollisionIndex(np.concatenate(ids), np.concatenate(data), lines, seed)
+                if index is not None:
+                    found = [(q, *index.search(q, v, k, share, verify, grow)) for q, v in zip(own.tolist(), values)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([np.full(len(i), q) for q, i, _ in found]), pa.int64()), pa.array(np.concatenate([i for _, i, _ in found]), pa.int64()), pa.array(np.concatenate([s for *_, s in found]), pa.float64())],
+                        names=["query_id", "vec_id", "score"],
+                    )
+
+    dealt = rows.mapInArrow(deal, _DEALT).repartition("shard", "width").sortWithinPartitions("shard", "width", "kind", "id")
     rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.mapInArrow(search, _FOUND).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -32,7 +32,7 @@ def test_small_table_is_exact(spark):
 
 def test_recall_over_shards(spark):
     rows = [(k, [float(x) for x in v]) for k, v in enumerate(np.random.default_rng(1).standard_normal((6000, 48)) * np.random.default_rng(2).uniform(0.5, 2, (6000, 1)))]
-    got = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=2000, block_rows=150))
+    got = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=2000))
     want = brute(rows)
     hits = [len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want]
     assert all(len(got[q]) == 20 for q in want) and sum(hits) / (20 * len(hits)) >= 0.9
@@ -44,3 +44,39 @@ def test_odd_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     assert found(neighbours.nearest(df)) == {0: [(1, 1.0), (2, 1.0), (20, 0.5)], 20: [(0, 0.5), (1, 0.5), (2, 0.5)]}
     assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+def test_ranges_prune_structured_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 32)) * np.r_[6, np.ones(31)]
+    x = centres[rng.integers(0, 40, 6000)] + 0.3 * rng.standard_normal((6000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    axis = neighbours.Axis.fit(x[:2000], 12, 1)
+    shards, asked = axis.shards_of(np.arange(6000), x), [axis.asked(v) for v in x[::20]]
+    assert set(shards) == set(range(1, 13)) and np.mean([len(a) for a in asked]) < 6
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    got, want = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=500)), brute(rows)
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_one_value_fills_many_shards(spark):
+    rows = [(k, [1.0, 0.0, 0.0]) for k in range(3000)] + [(k, [float(c) for c in np.random.default_rng(k).standard_normal(3)]) for k in range(3000, 4000)]
+    x = np.array([v for _, v in rows])
+    axis = neighbours.Axis.fit(x[::2], 10, 1)
+    assert np.bincount(axis.shards_of(np.arange(4000), x)).max() < 900
+    got = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=400))
+    assert all(len(r) == 20 for r in got.values()) and len(got) == 200
+
+
+def test_few_vectors_are_verified():
+    x = np.random.default_rng(3).standard_normal((16384, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index, hits = neighbours.CollisionIndex(np.arange(16384), x, 160, 7), 0
+    for q in range(0, 16384, 400):
+        ids, _ = index.search(q, x[q], 20, 0.6, 0.03, 1.03)
+        score = x @ x[q]
+        score[q] = -9
+        hits += len(set(ids) & set(np.argsort(-score)[:20]))
+    n = len(range(0, 16384, 400))
+    assert hits / (20 * n) >= 0.9 and index.verified / (n * 16384) < 0.1
+    print(hits / (20 * n), index.verified / (n * 16384))
