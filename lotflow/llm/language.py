@@ -27,6 +27,7 @@ from lotflow.llm.sampling import hashed_sample, slice_of
 
 UNKNOWN = "und"
 _SPACE, _OTHER = 0, 1
+_AT_ONCE = 1 << 20
 
 
 def _letters() -> np.ndarray:
@@ -177,7 +178,13 @@ class CrossParser:
         """Language and score of each text: the share by which the winner needs fewer phrases than the runner-up."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        total, letters = self.phrases([t or "" for t in texts])
+        whole = [t or "" for t in texts]
+        ends = np.cumsum([0, *map(len, whole)]) // _AT_ONCE  # so many characters at once, to bound memory
+        cuts = [0, *(np.flatnonzero(np.diff(ends[:-1])) + 1), len(whole)]
+        parts = [self.phrases(whole[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b]
+        if not parts:
+            return [], np.zeros(0)
+        total, letters = (np.concatenate(x) for x in zip(*parts))
         best = total.argmin(axis=1)
         ranked = np.sort(total, axis=1)
         score = 1 - ranked[:, 0] / np.maximum(ranked[:, 1], 1) if len(self.languages) > 1 else np.ones(len(texts))
@@ -243,7 +250,7 @@ def told(docs: DataFrame, least: float = 0.0, segment: int = 512, **params) -> D
     ``und`` and scores below ``least`` go: the runner-up needs hardly more phrases. All columns of ``docs`` come back,
     whatever their names; rows are odd in the ways of ``identify``.
     """
-    predicted = _predicted(docs, segment, params)
+    predicted = _predicted(docs, segment, params).asNondeterministic()  # else the plan would run it for the filter and again for the result
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("found", predicted("row.text"))
     kept = rows.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least))
     return kept.withColumn("row", F.col("row").withField("lang", F.coalesce("row.lang", "found.lang_pred"))).select("row.*")

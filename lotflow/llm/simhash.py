@@ -109,10 +109,11 @@ def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def _planes(fp: np.ndarray) -> np.ndarray:
     """Bit planes over all lanes, as words of 64 lanes; ``fp`` has a row of 64-bit words a lane, or one word."""
-    lanes, bytes_each = -(-len(fp) // 64) * 64, fp.nbytes // len(fp)
-    bits = np.zeros((lanes, 8 * bytes_each), dtype=np.uint8)
-    bits[: len(fp)] = np.unpackbits(fp.view(np.uint8).reshape(-1, bytes_each), axis=1, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
+    bits, planes = np.zeros((-(-len(fp) // 64) * 64, 64), dtype=np.uint8), []
+    for word in fp.reshape(len(fp), -1).T:
+        bits[: len(fp)] = np.unpackbits(np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        planes.append(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64))
+    return np.concatenate(planes)
 
 
 def _over(count: list[np.ndarray], spill: np.ndarray, radius: int) -> np.ndarray:
@@ -189,6 +190,12 @@ def linked(fp: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
+def _matrix(prints: pa.Array) -> np.ndarray:
+    """Fingerprints of equal length as rows of 64-bit words."""
+    ends = np.frombuffer(prints.buffers()[1], np.int32)[prints.offset : prints.offset + len(prints) + 1]
+    return np.frombuffer(prints.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint64).reshape(len(prints), -1)
+
+
 def _compare(batches: Iterator[pa.RecordBatch], radius: int, least: int = 0) -> Iterator[pa.RecordBatch]:
     """Spanning links of each bucket; rows arrive sorted by bucket, and a bucket may span batches.
 
@@ -199,7 +206,7 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int, least: int = 0) ->
         kind, key, rep = (rows.column(c).to_numpy() for c in ("kind", "key", "rep"))
         group = np.cumsum(np.r_[0, (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])])
         if pa.types.is_binary(rows.schema.field("fp").type):
-            fp = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(rep), -1)
+            fp = _matrix(rows.column("fp").combine_chunks())
         else:
             fp = rows.column("fp").to_numpy().astype(np.int64).view(np.uint64)
         root = linked(fp, group, radius)
@@ -293,7 +300,7 @@ def similar_links(unique: DataFrame, rows: int, similarity: float = 0.8, found:
         first = dealt.where("blocks is not null").withColumn("place", place).where(F.col("place") <= anchors).select("kind", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "fp", "rep")
         keys = dealt.select("kind", "key", block, "fp", "rep").unionByName(first)
         keys = keys.select("kind", F.when(F.col("block") == 0, F.col("key")).otherwise(F.xxhash64("key", "block")).alias("key"), "fp", "rep")
-    return keys.repartition("kind", "key").sortWithinPartitions("kind", "key", "fp").mapInArrow(lambda it: _compare(it, radius, 1 << 16), "a long, b long")
+    return keys.repartition("kind", "key").sortWithinPartitions("kind", "key", "fp").mapInArrow(lambda it: _compare(it, radius, 1 << 15), "a long, b long")
 
 
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8, seed: int = 42, **params) -> DataFrame:
