@@ -123,7 +123,9 @@ def test_tree_counts_as_a_new_count_does():
             new = word(rng.choice([0, 1, 3, 20]))
             tree.edit(a, b, new)
             text = text[:a] + new + text[b:]
-            assert tree.text() == text and tree.total == len(bpe.engine.encode_ordinary(text))
+            assert tree.text() == text and tree.total == len(bpe.engine.encode_ordinary(text)) and max(map(len, tree.leaves)) <= 8 * tree.leaf
+            if rng.random() < 0.3:
+                tree = edits.TokenTree.load(text, tree.dump(), bpe, tree.leaf)
 
 
 def test_edits_touch_little(spark):
@@ -140,12 +142,30 @@ def test_edits_touch_little(spark):
     assert sum(r.n_edits for r in rows.values()) > 0
 
 
+def test_kept_trees_encode_only_what_edits_touch(spark):
+    docs = table(spark, SMALL, "documents").withColumn("edits", F.lit("a column of another type"))
+    assert edits.edited_counts(docs.limit(3), BPE, public_tokenizers.PATTERN).count() == 3
+    trees = edits.token_trees(docs, BPE, public_tokenizers.PATTERN)
+    kind = "array<struct<start:int,stop:int,text:string>>"
+    batch = lambda t, word: t.withColumn("edits", F.expr(f"cast(array(named_struct('start', length(text) div 3, 'stop', length(text) div 3 + 2, 'text', '{word}'), null) as {kind})"))
+    bpe, pattern = edits.ByteBpe(BPE, public_tokenizers.PATTERN), public_tokenizers.PATTERN
+    once = edits.edit_trees(batch(trees, "né w"), BPE, pattern)
+    twice = edits.edit_trees(batch(once, " xyz "), BPE, pattern).collect()
+    want = {r.doc_id: r.text for r in docs.collect()}
+    for word in ("né w", " xyz "):
+        want = {k: t[: len(t) // 3] + word + t[len(t) // 3 + 2 :] for k, t in want.items()}
+    assert all(r.text == want[r.doc_id] and r.n_tokens == len(bpe.engine.encode_ordinary(r.text)) for r in twice)
+    assert sum(r.n_recounted for r in twice) < 0.05 * sum(r.n_pretokens for r in twice)
+    none = edits.edit_trees(once.withColumn("edits", F.lit(None).cast(kind)), BPE, pattern)
+    assert {(r.doc_id, r.text, bytes(r.tree), r.n_recounted) for r in none.collect()} == {(r.doc_id, r.text, bytes(r.tree), 0) for r in once.collect()}
+
+
 def test_given_edits_and_odd_rows(spark):
     rows = [(1, None, None), (2, "", [(0, 0, "new text")]), (3, "one two", [(4, 7, None), None, (None, None, "x ")]), (None, "one two", [(5, 900, "")])]
     df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,stop:int,text:string>>")
-    got = {r.doc_id: (r.n_tokens, r.n_edits, r.n_tokens_after) for r in edits.edited_counts(df, BPE, public_tokenizers.PATTERN).collect()}
+    got = {r.doc_id: (r.n_tokens, r.n_edits, r.n_tokens_after) for r in edits.edited_counts(df, BPE, public_tokenizers.PATTERN, "edits").collect()}
     assert got == {1: (0, 0, 0), 2: (0, 1, 2), 3: (2, 2, 3), None: (2, 1, 2)}
-    assert edits.edited_counts(df.limit(0), BPE, public_tokenizers.PATTERN).count() == 0
+    assert edits.edited_counts(df.limit(0), BPE, public_tokenizers.PATTERN, "edits").count() == 0
 
 
 def test_lm_exact_counts(spark, docs_of):
