@@ -31,7 +31,7 @@ from lotflow.runtime import cut
 _DEALT = "shard int, kind int, id long, width int, vector binary"
 _FOUND = "query_id long, vec_id long, score double"
 _OWN, _ASKING = 0, 1
-_STEPS = 256
+_STEPS = 64
 
 
 @dataclass
@@ -69,37 +69,85 @@ class Axis:
         return range(self.first + int(ends[0]), self.first + int(ends[1]) + 1)
 
 
+def _carry_save(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and carry of three bits."""
+    odd = x ^ y
+    total = odd ^ z
+    odd &= z
+    odd |= x & y
+    return total, odd
+
+
+def _padded(planes: list[np.ndarray], parts: int) -> list[np.ndarray]:
+    """The planes with zero rows to a multiple of ``parts``."""
+    rows = -len(planes[0]) % parts
+    return [np.concatenate([p, np.zeros_like(p[:1].repeat(rows, axis=0))]) for p in planes] if rows else planes
+
+
+def _add_up(sets: np.ndarray) -> list[np.ndarray]:
+    """Bit planes, lowest first, of how many of ``sets`` each bit is in: by sevens into three planes, then in pairs."""
+    seven = np.split(_padded([sets], 7)[0], 7)
+    (a, b), (c, d) = _carry_save(*seven[:3]), _carry_save(*seven[3:6])
+    low, e = _carry_save(a, c, seven[6])
+    planes = [low, *_carry_save(b, d, e)]
+    while len(planes[0]) > 1:
+        pairs = [np.split(p, 2) for p in _padded(planes, 2)]
+        carry, total = np.zeros_like(pairs[0][0]), []
+        for x, y in pairs:
+            digit, carry = _carry_save(x, y, carry)
+            total.append(digit)
+        planes = [*total, carry]
+    return [p[0] for p in planes]
+
+
+def _at_least(planes: list[np.ndarray], need: int) -> np.ndarray:
+    """The bits whose number in ``planes`` is ``need`` or more."""
+    if need >> len(planes):
+        return np.zeros_like(planes[0])
+    more, same = np.zeros_like(planes[0]), np.full_like(planes[0], ~np.uint64(0))
+    for k in reversed(range(len(planes))):
+        if need >> k & 1:
+            same &= planes[k]
+        else:
+            more |= same & planes[k]
+            same &= ~planes[k]
+    return more | same
+
+
 class CollisionIndex:
-    """Sorted projections of one shard, and each vector's place on every line."""
+    """Sorted projections of one shard, each cut into steps of equally many vectors.
+
+    ``upto[line, s]`` is the set, as bits, of the vectors in the steps before ``s``: a window is the difference of two
+    such sets. How many windows each vector lies in is counted for 64 vectors at a time, by adding the sets as bit planes.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: int, seed: int):
         self.ids, self.vectors, self.verified = ids, vectors, 0
-        length = np.linalg.norm(vectors, axis=1)
+        n, length = len(ids), np.linalg.norm(vectors, axis=1)
         longest = float(length.max())
         flat = np.c_[vectors / longest, np.sqrt(np.maximum(0, 1 - (length / longest) ** 2))]
         self.directions = np.random.default_rng(seed).standard_normal((flat.shape[1], lines))
-        self.sorted = np.ascontiguousarray((flat @ self.directions).T)
-        order = np.argsort(self.sorted, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(self.sorted, order, axis=1)
-        self.place = np.empty(order.shape, dtype=np.uint8)
-        steps = (np.arange(len(ids)) * _STEPS // len(ids)).astype(np.uint8)
-        for row, at in zip(self.place, order):
-            row[at] = steps
-        self.offset, self.hit = np.empty_like(self.place), np.empty(self.place.shape, dtype=bool)
+        places = (flat @ self.directions).T
+        steps = min(_STEPS, n)
+        step_of, starts = np.arange(n) * steps // n, -(-np.arange(steps) * n // steps)
+        self.edges, self.last = np.empty((lines, steps)), float(places.max())
+        self.upto = np.zeros((lines, steps + 1, -(-n // 64)), dtype=np.uint64)
+        inside = np.empty((steps, n), dtype=bool)
+        for line, at in enumerate(places):
+            order = np.argsort(at, kind="stable")
+            self.edges[line] = at[order[starts]]
+            inside[:] = False
+            inside[step_of, order] = True
+            bits = np.packbits(inside, axis=1, bitorder="little")
+            self.upto[line, 1:].view(np.uint8)[:, : bits.shape[1]] = np.bitwise_or.accumulate(bits, axis=0)
         self.half = 0.8
 
-    def _inside(self, at: np.ndarray, half: float) -> np.ndarray:
-        """For every vector, in how many lines' windows it lies."""
-        n = len(self.ids)
-        low = np.array([np.searchsorted(line, x - half) for line, x in zip(self.sorted, at)])
-        high = np.array([np.searchsorted(line, x + half, "right") for line, x in zip(self.sorted, at)]) - 1
-        some = low <= high
-        first, last = np.minimum(low, n - 1) * _STEPS // n, np.maximum(high, 0) * _STEPS // n
-        np.subtract(self.place, first.astype(np.uint8)[:, None], out=self.offset)
-        np.less_equal(self.offset, np.maximum(last - first, 0).astype(np.uint8)[:, None], out=self.hit)
-        if not some.all():
-            self.hit[~some] = False
-        return np.add.reduce(self.hit.view(np.uint8), axis=0, dtype=np.uint8)
+    def _inside(self, at: np.ndarray, half: float, need: int) -> np.ndarray:
+        """The vectors, as bits, that lie in the windows of ``need`` lines or more; windows are rounded outwards."""
+        line = np.arange(len(at))
+        first = np.maximum((self.edges < (at - half)[:, None]).sum(axis=1) - 1, 0)
+        end = (self.edges <= (at + half)[:, None]).sum(axis=1)
+        return _at_least(_add_up(self.upto[line, end] ^ self.upto[line, first]), need)
 
     def _best(self, found: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Exact inner products of the verified vectors; the k largest, ties to the smaller id."""
@@ -112,18 +160,23 @@ class CollisionIndex:
         return self.ids[found[best]], score[best]
 
     def search(self, query_id: int, query: np.ndarray, k: int, share: float, verify: float, grow: float) -> tuple[np.ndarray, np.ndarray]:
-        n, other = len(self.ids), self.ids != query_id
+        n, own = len(self.ids), int(np.searchsorted(self.ids, query_id))
+        own = own if own < n and self.ids[own] == query_id else n
         at = query / np.linalg.norm(query) @ self.directions[:-1]
-        need, enough = int(np.ceil(share * len(self.sorted))), min(n - 1, 20 * k + int(np.ceil(verify * n)))
-        widest = float(self.sorted[:, -1].max() - self.sorted[:, 0].min() + np.abs(at).max())
-        half = self.half
-        while True:
-            found = np.flatnonzero((self._inside(at, half) >= need) & other)
-            if len(found) >= enough or half > widest:
+        need, enough = max(1, int(np.ceil(share * len(at)))), min(n - 1, 20 * k + int(np.ceil(verify * n)))
+        widest, half = float(self.last - self.edges[:, 0].min() + np.abs(at).max()), self.half
+        while half <= widest:
+            bits = self._inside(at, half, need)
+            count = int(np.bitwise_count(bits).sum())
+            if count > enough:  # the query itself may be among them
                 break
             half *= grow
-        self.half = half / grow if len(found) > 1.5 * enough else half
-        return self._best(found if half <= widest else np.flatnonzero(other), query, k)
+        if half > widest:
+            found, self.half = np.arange(n), half / grow
+        else:
+            found = np.flatnonzero(np.unpackbits(bits.view(np.uint8), count=n, bitorder="little"))
+            self.half = half / grow if count > 1.5 * enough else half
+        return self._best(found[found != own], query, k)
 
 
 def _floats(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -132,7 +185,7 @@ def _floats(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 def nearest(
     vectors: DataFrame, k: int = 20, query_every: int = 20, shard_rows: int = 16384, fit_rows: int = 4096,
-    lines: int = 160, share: float = 0.6, verify: float = 0.03, grow: float = 1.03, seed: int = 7,
+    lines: int = 161, share: float = 0.75, verify: float = 0.015, grow: float = 1.03, seed: int = 7,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each query, in double precision.
 

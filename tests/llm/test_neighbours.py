@@ -68,15 +68,40 @@ def test_one_value_fills_many_shards(spark):
     assert all(len(r) == 20 for r in got.values()) and len(got) == 200
 
 
+def test_planes_count():
+    rng = np.random.default_rng(9)
+    for lines in (1, 2, 6, 7, 20, 161):
+        inside = rng.random((lines, 192)) < 0.6
+        sets = np.packbits(inside, axis=1, bitorder="little").view(np.uint64)
+        for need in (1, lines // 2 + 1, lines, lines + 1, 1000):
+            got = neighbours._at_least(neighbours._add_up(sets), need)
+            assert (np.unpackbits(got.view(np.uint8), bitorder="little") == (inside.sum(axis=0) >= need)).all()
+
+
+def test_windows_hold_all_within():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 64, 1000):
+        x = rng.integers(-2, 3, (n, 3)) + 0.5  # many equal places
+        index = neighbours.CollisionIndex(np.arange(n), x, 8, 7)
+        length = np.linalg.norm(x, axis=1)
+        places = np.c_[x / length.max(), np.sqrt(np.maximum(0, 1 - (length / length.max()) ** 2))] @ index.directions
+        for half in (0.01, 0.3, 2.0):
+            at = places[0]
+            bits = np.unpackbits(index._inside(at, half, 8).view(np.uint8), count=n, bitorder="little")
+            assert bits[(np.abs(places - at) <= half).all(axis=1)].all()
+
+
 def test_few_vectors_are_verified():
-    x = np.random.default_rng(3).standard_normal((16384, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    index, hits = neighbours.CollisionIndex(np.arange(16384), x, 160, 7), 0
-    for q in range(0, 16384, 400):
-        ids, _ = index.search(q, x[q], 20, 0.6, 0.03, 1.03)
-        score = x @ x[q]
-        score[q] = -9
-        hits += len(set(ids) & set(np.argsort(-score)[:20]))
-    n = len(range(0, 16384, 400))
-    assert hits / (20 * n) >= 0.9 and index.verified / (n * 16384) < 0.1
-    print(hits / (20 * n), index.verified / (n * 16384))
+    for width in (64, 768):
+        x = np.random.default_rng(3).standard_normal((16384, width))
+        if width > 64:
+            x += 0.7 * np.random.default_rng(4).standard_normal((200, width))[np.arange(16384) % 200]
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        index, hits = neighbours.CollisionIndex(np.arange(16384), x, 161, 7), 0
+        for q in range(0, 16384, 400):
+            ids, _ = index.search(q, x[q], 20, 0.75, 0.015, 1.03)
+            score = x @ x[q]
+            score[q] = -9
+            hits += len(set(ids) & set(np.argsort(-score)[:20]))
+        n = len(range(0, 16384, 400))
+        assert hits / (20 * n) >= 0.9 and index.verified / (n * 16384) < 0.1
