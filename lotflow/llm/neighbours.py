@@ -78,23 +78,24 @@ def _carry_save(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray
     return total, odd
 
 
-def _padded(planes: list[np.ndarray], parts: int) -> list[np.ndarray]:
-    """The planes with zero rows to a multiple of ``parts``."""
-    rows = -len(planes[0]) % parts
-    return [np.concatenate([p, np.zeros_like(p[:1].repeat(rows, axis=0))]) for p in planes] if rows else planes
+def _parts(plane: np.ndarray, parts: int) -> np.ndarray:
+    """The rows of a plane in equal parts, with zero rows at the end where needed."""
+    rows = -len(plane) % parts
+    if rows:
+        plane = np.concatenate([plane, np.zeros((rows, plane.shape[1]), plane.dtype)])
+    return plane.reshape(parts, -1, plane.shape[1])
 
 
 def _add_up(sets: np.ndarray) -> list[np.ndarray]:
     """Bit planes, lowest first, of how many of ``sets`` each bit is in: by sevens into three planes, then in pairs."""
-    seven = np.split(_padded([sets], 7)[0], 7)
+    seven = _parts(sets, 7)
     (a, b), (c, d) = _carry_save(*seven[:3]), _carry_save(*seven[3:6])
     low, e = _carry_save(a, c, seven[6])
     planes = [low, *_carry_save(b, d, e)]
     while len(planes[0]) > 1:
-        pairs = [np.split(p, 2) for p in _padded(planes, 2)]
-        carry, total = np.zeros_like(pairs[0][0]), []
-        for x, y in pairs:
-            digit, carry = _carry_save(x, y, carry)
+        total, carry = [], None
+        for x, y in (_parts(p, 2) for p in planes):
+            digit, carry = (x ^ y, x & y) if carry is None else _carry_save(x, y, carry)
             total.append(digit)
         planes = [*total, carry]
     return [p[0] for p in planes]
