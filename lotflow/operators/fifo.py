@@ -1,15 +1,17 @@
 """FIFO cost layers over movements in sequence order.
 
 ``accept`` is a fold per key (a rejected depletion leaves no trace, so later ones may pass): rows are dealt by key and
-sorted, and one pass over each partition keeps a single number a key, whatever the key's length. All that follows is
-windows and joins: supply and demand are intervals on a key's running quantities, and an allocation is an overlap.
+sorted, and one pass over each partition keeps a single number a key, whatever the key's length. Stretches between two
+rejections are running sums over arrays. All that follows is windows and joins: supply and demand are intervals on a key's running quantities, and an allocation is an overlap.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,63 @@ def signed(df: DataFrame) -> DataFrame:
     )
 
 
+def _one_by_one(change: list[int], down: list[int], on_hand: int) -> tuple[list[bool], int]:
+    refused = []
+    for by, need in zip(change, down):
+        refused.append(need > on_hand)
+        if need <= on_hand:
+            on_hand += by
+    return refused, on_hand
+
+
+def refusals(starts: np.ndarray, change: np.ndarray, down: np.ndarray, carried: int) -> tuple[np.ndarray, int]:
+    """Which rows ask for more than is on hand, and what the last key has left.
+
+    ``starts`` marks the first row of each key; the first key begins with ``carried``, the others with nothing. A round
+    settles every key up to its next refusal; once rounds leave more than three quarters, rows are taken singly.
+    """
+    refused, rows = np.zeros(len(change), dtype=bool), np.arange(len(change))
+    first = np.flatnonzero(starts)
+    if carried + len(change) * int(max(np.abs(change).max(), down.max())) >= 1 << 62:  # sums might leave 64 bits
+        left = carried
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(change)]):
+            refused[a:b], left = _one_by_one(change[a:b].tolist(), down[a:b].tolist(), left if a == 0 else 0)
+        return refused, left
+    opening = np.zeros(len(first), dtype=np.int64)
+    opening[0], last = carried, len(first) - 1
+    key = np.cumsum(starts) - 1
+    before_round = 2 * len(rows)
+    while len(rows) <= 0.75 * before_round:
+        before_round = len(rows)
+        run = np.cumsum(change[rows])
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        before = run - change[rows] + np.repeat(opening[key[begins]] - (run - change[rows])[begins], np.diff(np.r_[begins, len(rows)]))
+        bad = np.flatnonzero(down[rows] > before)
+        bad = bad[np.r_[True, key[bad][1:] != key[bad][:-1]]] if len(bad) else bad  # the first of each key
+        refused[rows[bad]] = True
+        opening[key[bad]] = before[bad]
+        ends = np.full(len(first), -1)
+        ends[key[bad]] = bad
+        done = ends[key] < 0
+        if key[-1] == last and done[-1]:
+            opening[last] = before[-1] + change[rows[-1]]
+        more = ~done & (np.arange(len(rows)) > ends[key])
+        rows, key = rows[more], key[more]
+        if not len(rows):
+            return refused, int(opening[last])
+    begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(rows)]):
+        refused[rows[a:b]], opening[key[a]] = _one_by_one(change[rows[a:b]].tolist(), down[rows[a:b]].tolist(), int(opening[key[a]]))
+    return refused, int(opening[last])
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a column differs from the row before; nulls are alike."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+    return ~same.to_numpy(zero_copy_only=False)
+
+
 def accept(df: DataFrame) -> DataFrame:
     """Typed movements with ``rejected``: null, ``exceeds_on_hand`` or ``zero_quantity``.
 
@@ -40,17 +99,17 @@ def accept(df: DataFrame) -> DataFrame:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, on_hand = None, 0
         for batch in batches:
-            reasons = []
-            for sku, place, up, down, why in zip(*[batch.column(c).to_pylist() for c in (*KEYS, "_up", "_down", "rejected")]):
-                if (sku, place) != key:
-                    key, on_hand = (sku, place), 0
-                if down > on_hand:
-                    why = why or "exceeds_on_hand"
-                elif why is None:
-                    on_hand += up - down
-                reasons.append(why)
+            if not batch.num_rows:
+                continue
+            why, up, down = batch.column("rejected"), *(batch.column(c).to_numpy() for c in ("_up", "_down"))
+            head, tail = (tuple(batch.column(c)[i].as_py() for c in KEYS) for i in (0, batch.num_rows - 1))
+            starts = np.r_[True, _changes(batch.column(KEYS[0])) | _changes(batch.column(KEYS[1]))]
+            change = np.where(why.is_null().to_numpy(zero_copy_only=False), up - down, 0)
+            refused, on_hand = refusals(starts, change, down, on_hand if head == key else 0)
+            key = tail
+            reasons = pc.coalesce(why, pc.if_else(pa.array(refused), "exceeds_on_hand", pa.scalar(None, pa.string())))
             at = batch.schema.get_field_index("rejected")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(reasons, pa.string()), *batch.columns[at + 1 :]], schema=batch.schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], reasons, *batch.columns[at + 1 :]], schema=batch.schema)
 
     return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, *ORDER).mapInArrow(fold, rows.schema).drop("_up", "_down")
 

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,43 @@ def test_arrival_ledger_against_a_fold_from_nothing(spark):
         want.update(plain_arrivals(rows))
     got = restate.arrival_ledger(spark.createDataFrame(data, TYPED)).collect()
     assert {r.event_id: (r.qty_on_hand, r.fifo_total_value) for r in got} == want and len({r.outcome for r in got}) == 3
+
+
+def plain_refusals(starts, change, down, on_hand):
+    out = []
+    for n, (new, by, need) in enumerate(zip(starts, change, down)):
+        on_hand = 0 if new and n else on_hand
+        out.append(need > on_hand)
+        on_hand += 0 if need > on_hand else by
+    return out, on_hand
+
+
+def test_refusals_against_a_loop():
+    rng = np.random.default_rng(1)
+    for t in range(600):
+        n = int(rng.integers(1, 200))
+        starts = rng.random(n) < rng.choice([0.01, 0.1, 0.5])
+        starts[0] = True
+        down = np.where(rng.random(n) < rng.choice([0.3, 0.5, 0.9]), rng.integers(0, 10, n), 0)
+        up = np.where(down == 0, rng.integers(0, 6, n), 0)
+        if t % 50 == 0:  # beyond what a 64-bit running sum holds
+            up, down = up * 10**17, down * 10**17
+        refused, left = fifo.refusals(starts, up - down, down, t % 20)
+        assert (refused.tolist(), left) == plain_refusals(starts.tolist(), (up - down).tolist(), down.tolist(), t % 20)
+
+
+def test_accept_over_many_batches_and_null_keys(spark):
+    rng = random.Random(3)
+    rows = [(f"e{n:05d}", rng.choice(["S", None]), rng.choice(["L", None]), "V", n, rng.choice([1, 2, 2, 3]), Decimal(rng.randint(0, 9)), Decimal(1), T0, T0) for n in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = {r.event_id: r.rejected for r in fifo.accept(spark.createDataFrame(rows, TYPED)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, held = {}, {}
+    for name, sku, place, _, _, kind, q, *_ in rows:
+        have = held.get((sku, place), 0)
+        want[name] = "zero_quantity" if kind == 2 and not q else "exceeds_on_hand" if kind == 2 and q > have else None
+        if want[name] is None:
+            held[sku, place] = have + (-q if kind == 2 else q)
+    assert got == want
