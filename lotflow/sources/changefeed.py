@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` with further columns, each computed once a row: a filter on them is not pushed below to compute them again."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def decode(records: DataFrame, on_error: str = "drop", resolved: str = "present") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, watermarks, dead letters) of ``records(topic, value, ...)``.
 
@@ -15,14 +20,13 @@ def decode(records: DataFrame, on_error: str = "drop", resolved: str = "present"
     """
     if on_error not in ("drop", "dlq") or resolved not in ("present", "non_null"):
         raise ValueError("on_error is drop or dlq; resolved is present or non_null")
-    parsed = records.withColumn("doc", F.try_parse_json("value"))
     is_mark = F.expr("coalesce(array_contains(json_object_keys(value), 'resolved'), false)")
     if resolved == "non_null":
-        is_mark = is_mark & F.expr("coalesce(not is_variant_null(variant_get(doc, '$.resolved')), false)")
-    good = parsed.where("doc is not null").withColumn("is_mark", is_mark)
-    after = good.where("not is_mark").withColumn("after", F.expr("try_variant_get(doc, '$.after', 'variant')"))
-    rows = after.where("after is not null and schema_of_variant(after) like 'OBJECT%'").drop("doc", "is_mark")
-    marks = good.where("is_mark").withColumn("watermark", watermark(F.expr("try_variant_get(doc, '$.resolved', 'string')"))).drop("doc", "is_mark")
+        is_mark = F.expr("variant_get(doc, '$.resolved') is not null and not is_variant_null(variant_get(doc, '$.resolved'))")
+    parsed = _once(records, F.try_parse_json("value").alias("doc"))
+    good = _once(parsed.where("doc is not null"), is_mark.alias("is_mark"), F.expr("try_variant_get(doc, '$.after', 'variant')").alias("after"))
+    rows = good.where("not is_mark and after is not null and schema_of_variant(after) like 'OBJECT%'").drop("doc", "is_mark")
+    marks = good.where("is_mark").withColumn("watermark", watermark(F.expr("try_variant_get(doc, '$.resolved', 'string')"))).drop("doc", "is_mark", "after")
     dead = parsed.where("doc is null").drop("doc").withColumn("reason", F.lit("malformed_json"))
     return rows, marks, dead if on_error == "dlq" else dead.limit(0)
 
@@ -34,8 +38,10 @@ def watermark(text: Column) -> Column:
 
 def text_of(field: str) -> Column:
     """Strings and whole numbers as text; anything else, and a missing field, as the empty text."""
-    v = f"variant_get(after, '$.{field}')"
-    return F.expr(f"case when schema_of_variant({v}) in ('STRING', 'BIGINT') or schema_of_variant({v}) like 'DECIMAL(%,0)' then coalesce(try_variant_get(after, '$.{field}', 'string'), '') else '' end")
+    return F.expr(
+        f"transform(array(variant_get(after, '$.{field}')), v -> case when schema_of_variant(v) rlike '^(STRING|BIGINT|DECIMAL[(][0-9]+,0[)])$'"
+        " then coalesce(try_variant_get(v, '$', 'string'), '') else '' end)[0]"
+    )
 
 
 def number_of(field: str) -> Column:
@@ -72,7 +78,7 @@ def projections(rows: DataFrame, movement_topics: tuple[str, ...] = ("fact_inven
     have no event id: they go too, unless ``compat`` keeps them with an empty one.
     """
     movement = F.col("topic").isin(*movement_topics)
-    out = rows.where(movement | F.col("topic").isin(*workflow_topics)).select(
+    fields = [
         F.when(movement & text_of("aggregate_id").eqNullSafe(""), text_of("event_id")).otherwise(text_of("aggregate_id")).alias("aggregate_id"),
         F.when(movement, "RECEIVED").otherwise("PO_CREATED").alias("stage"),
         F.when(movement, F.lit("SUCCESS")).otherwise(text_of("event_type")).alias("status"),
@@ -80,7 +86,8 @@ def projections(rows: DataFrame, movement_topics: tuple[str, ...] = ("fact_inven
         F.expr("try_to_timestamp(try_variant_get(after, '$.occurred_at', 'string'))").alias("occurred_at"),
         text_of("trace_parent").alias("trace_parent"),
         F.when(movement, number_of("fifo_total_value")).otherwise(0.0).alias("value"),
-    )
+    ]
+    out = rows.where(movement | F.col("topic").isin(*workflow_topics)).select(F.inline(F.array(F.struct(*fields))))
     out = out.where(F.length("sequence_engine_key") > 0)
     return out if compat else out.where("aggregate_id <> ''")
 
