@@ -6,8 +6,11 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lotflow.operators import fifo
 from lotflow.schemas import ADJUSTMENT, CONSUMPTION, KEYS, RECEIPT
@@ -122,26 +125,47 @@ def events_of(rows: pd.DataFrame) -> Iterator[tuple[tuple, float]]:
         yield (int(seq), event_id, int(kind), quantity, cost), age
 
 
-def fact_rows(key: tuple, outcome_facts: list[tuple[str, list[tuple]]]) -> pd.DataFrame:
+def facts_of(key: tuple, outcome: str, facts: list[tuple]) -> Iterator[tuple]:
+    """Rows of ``FACT``."""
     q = lambda x, places: x.quantize(Decimal(1).scaleb(-places))
-    rows = [(f[0], *key, f[1], outcome, q(f[2], 4), q(f[3], 16), q(f[4], 4), q(f[5], 8)) for outcome, facts in outcome_facts for f in facts]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in FACT.split(", ")])
+    for f in facts:
+        yield f[0], *key, f[1], outcome, q(f[2], 4), q(f[3], 16), q(f[4], 4), q(f[5], 8)
+
+
+def fact_rows(key: tuple, outcome_facts: list[tuple[str, list[tuple]]]) -> pd.DataFrame:
+    return pd.DataFrame([row for o, facts in outcome_facts for row in facts_of(key, o, facts)], columns=[c.split()[0] for c in FACT.split(", ")])
 
 
 def arrival_ledger(df: DataFrame, late_sign: str = "reference") -> DataFrame:
     """The last fact of every event when movements are handled in order of arrival; ``outcome`` says how it came about.
 
-    A late movement within the horizon replays its key's log. A key's history is one group; the streaming form keeps
-    the same state between batches.
+    Rows are dealt by key, sorted by arrival and streamed; the log and the last facts of one key at a time are held. A
+    late movement within the horizon replays its key's log. The streaming form keeps the same state between batches.
     """
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ledger, last = KeyLedger(late_sign=late_sign), {}
-        for event, age in events_of(rows):
-            outcome, facts = ledger.arrive(event, age)
-            for f in facts:
-                last[f[0]] = (outcome, [f])
-        return fact_rows(key, list(last.values()))
-
-    needed = df.select(*KEYS, "event_id", "sequence_engine_key", "movement_type", "quantity", "unit_cost", "occurred_at", "published_at")
-    return needed.groupBy(*KEYS).applyInPandas(run, FACT)
+    arrow = to_arrow_schema(StructType.fromDDL(FACT))
+    fields = ("sequence_engine_key", "event_id", "movement_type", "quantity", "unit_cost")
+
+    def rows_of(key: list | None, last: dict) -> list[tuple]:
+        return [row for outcome, fact in last.values() for row in facts_of(key, outcome, [fact])]
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ledger, last = None, None, {}
+        for batch in batches:
+            out = []
+            for *key, age, seq, event_id, kind, quantity, cost in zip(*[batch.column(c).to_pylist() for c in (*KEYS, "age", *fields)]):
+                if ledger is None or key != here:
+                    out += rows_of(here, last)
+                    here, ledger, last = key, KeyLedger(late_sign=late_sign), {}
+                outcome, facts = ledger.arrive((seq, event_id, kind, quantity, cost), age)
+                last.update((f[0], (outcome, f)) for f in facts)
+            if out:
+                yield as_batch(out)
+        if last:
+            yield as_batch(rows_of(here, last))
+
+    age = F.expr("coalesce(timestampdiff(MICROSECOND, occurred_at, published_at) / 86400e6D, double('nan'))").alias("age")
+    needed = df.select(*KEYS, *fields, age, "published_at").repartition(*KEYS).sortWithinPartitions(*KEYS, *[F.asc_nulls_last(c) for c in ARRIVAL])
+    return needed.mapInArrow(run, FACT)
