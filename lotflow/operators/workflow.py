@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotflow.operators.dedup import keep_first
+from lotflow.runtime import cut
 
 TASKS = ("human_approval", "final_step")
 LEASE_HOURS = 24
@@ -82,32 +82,30 @@ def task_order(edges: DataFrame) -> DataFrame:
     """(graph_id, node_id, position, level, cyclic) over ``edges(graph_id, node_id, dependency_id)``.
 
     A node is ready once its last dependency is done; what one node makes ready follows in name order. A cycle, a self
-    loop or an unknown dependency marks the whole graph; its nodes have no position. One graph is one group.
-    """
+    loop or an unknown dependency marks the whole graph; its nodes have no position. Edges without a graph or a node go.
 
-    def order(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(rows["node_id"]))
-        needs = {n: set() for n in nodes}
-        for n, d in zip(rows["node_id"], rows["dependency_id"]):
-            if isinstance(d, str):
-                needs[n].add(d)
-        waiting = {n: len(d) for n, d in needs.items()}
-        feeds: dict[str, list[str]] = {}
-        for n in nodes:
-            for d in needs[n]:
-                feeds.setdefault(d, []).append(n)
-        ready, done, level = deque(n for n in nodes if not waiting[n]), [], {}
-        while ready:
-            n = ready.popleft()
-            level[n] = 1 + max((level[d] for d in needs[n]), default=-1)
-            done.append(n)
-            for m in sorted(feeds.get(n, ())):
-                waiting[m] -= 1
-                if not waiting[m]:
-                    ready.append(m)
-        cyclic = len(done) < len(nodes)
-        listed = nodes if cyclic else done
-        at = [None] * len(nodes) if cyclic else list(range(len(done)))
-        return pd.DataFrame({"graph_id": key[0], "node_id": listed, "position": pd.array(at, dtype="Int64"), "level": pd.array([None if cyclic else level[n] for n in listed], dtype="Int64"), "cyclic": cyclic})
-
-    return edges.groupBy("graph_id").applyInPandas(order, "graph_id string, node_id string, position long, level long, cyclic boolean")
+    All graphs advance together, one level a round: a level's nodes follow the place of their last dependency, then
+    their name. A round joins the newest level with the edges, so there are as many rounds as the longest chain has nodes.
+    """
+    named = edges.where("graph_id is not null and node_id is not null")
+    needs = cut(named.where("dependency_id is not null").select("graph_id", "node_id", "dependency_id").distinct())
+    missing = needs.groupBy("graph_id", "node_id").agg(F.count("*").alias("missing"))
+    waiting = named.select("graph_id", "node_id").distinct().join(missing, ["graph_id", "node_id"], "left")
+    waiting = cut(waiting.selectExpr("graph_id", "node_id", "coalesce(missing, 0L) as missing", "-1L as after", "0L as done"))
+    levels: list[DataFrame] = []
+    while True:
+        place = "done + row_number() over (partition by graph_id order by after, node_id) - 1 as position"
+        total = "done + count(*) over (partition by graph_id) as total"
+        newest = cut(waiting.where("missing = 0").selectExpr("graph_id", "node_id", place, f"{len(levels)}L as level", total))
+        if newest.isEmpty():
+            break
+        levels.append(newest)
+        freed = needs.join(newest.selectExpr("graph_id", "node_id as dependency_id", "position", "total"), ["graph_id", "dependency_id"])
+        freed = freed.groupBy("graph_id", "node_id").agg(F.count("*").alias("met"), F.max("position").alias("newest_after"), F.max("total").alias("newest_done"))
+        left = waiting.where("missing > 0").join(freed, ["graph_id", "node_id"], "left")
+        waiting = cut(left.selectExpr("graph_id", "node_id", "missing - coalesce(met, 0) as missing", "coalesce(newest_after, after) as after", "coalesce(newest_done, done) as done"))
+    stuck = waiting.select("graph_id").distinct().withColumn("cyclic", F.lit(True))
+    unplaced = waiting.selectExpr("graph_id", "node_id", "cast(null as long) as position", "cast(null as long) as level")
+    nodes = reduce(DataFrame.unionByName, [df.drop("total") for df in levels], unplaced).join(stuck, "graph_id", "left")
+    keep = lambda c: F.when(F.col("cyclic").isNull(), F.col(c)).alias(c)
+    return nodes.select("graph_id", "node_id", keep("position"), keep("level"), F.col("cyclic").isNotNull().alias("cyclic"))

@@ -294,6 +294,17 @@ ORACLE = {
     "trace_stitch": """select trace_id, count(*) as spans, array_to_string(list_sort(list(distinct service)), ',') as services, min(t) as first_at, max(t) as last_at from (
  select md5('order-' || o_orderkey) as trace_id, 'messages' as service, o_orderdate as t from orders union all select md5('order-' || o_orderkey), 'workflows', o_orderdate + interval 1 day from orders where o_orderstatus = 'F'
  union all select md5('order-' || l_orderkey), 'inventory', l_shipdate from lineitem) group by trace_id""",
+    "task_order": """with recursive lines as (select l_orderkey as g, l_linenumber as n, max(l_partkey) as p from lineitem group by all),
+ near as (select *, lag(n) over k as one, lag(n, 2) over k as two, row_number() over k = 1 as head, max(n) over (partition by g) as tail from lines window k as (partition by g order by n)),
+ tasks as (select g, 'n' || n as node, list_transform(list_distinct(list_filter([case when p % 3 <> 0 then one end, case when p % 4 = 0 then two end,
+  case when head and g % 10 = 0 then tail end, case when head and g % 17 = 0 then 99 end], lambda x: x is not null)), lambda x: 'n' || x) as needs from near),
+ walk(round, g, node, needs, place, level) as (select 0, g, node, needs, cast(null as bigint), cast(null as bigint) from tasks
+  union all select round + 1, g, node, needs, case when ready then done + row_number() over (partition by g, ready order by after, node) - 1 else place end, case when ready then round else level end
+  from (select *, place is null and len(met) = len(needs) as ready, coalesce(list_max(list_transform(met, lambda x: x.place)), -1) as after
+   from (select *, list_filter(placed, lambda x: x.place is not null and list_contains(needs, x.node)) as met
+    from (select *, list({'node': node, 'place': place}) over (partition by g) as placed, count(place) over (partition by g) as done from walk where round < (select max(c) from (select count(*) as c from tasks group by g))))))
+ select 'g' || g as graph_id, node as node_id, case when not cyclic then place end as position, case when not cyclic then level end as level, cyclic
+ from (select *, count(place) over (partition by g) < count(*) over (partition by g) as cyclic from walk where round = (select max(round) from walk))""",
     "intent_parse": "select conv_id, turn, case when k < 4 then k + 1 when k = 4 then 2 else 0 end as intent, case when k <= 4 then 'classified' when k in (5, 6) then 'out_of_range' else 'non_integer' end as outcome from (select *, (conv_id * 31 + turn) % 9 as k from conversations)",
     "error_triage": _codes_sql(),
     "event_latency": with_movements("select mdm_vendor_id, max(epoch_us(published_at) - epoch_us(occurred_at)) as max_us, cast(sum(epoch_us(published_at) - epoch_us(occurred_at)) as bigint) as sum_us from movements group by all"),

@@ -173,14 +173,9 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One task graph a region: a nation depends on two earlier ones; region 4 has a cycle."""
-    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("g"))
-    graph, node = F.concat(F.lit("g"), F.col("g")).alias("graph_id"), F.concat(F.lit("n"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
-    name = lambda k: F.concat(F.lit("n"), F.lpad(k.cast("string"), 2, "0"))
-    pairs = n.alias("a").join(n.alias("b"), F.expr("a.g = b.g and b.n_nationkey < a.n_nationkey and (a.n_nationkey + b.n_nationkey) % 3 <> 0"))
-    edges = pairs.select(F.concat(F.lit("g"), F.col("a.g")).alias("graph_id"), name(F.col("a.n_nationkey")).alias("node_id"), name(F.col("b.n_nationkey")).alias("dependency_id"))
-    alone = n.select(graph, node.alias("node_id"), F.lit(None).cast("string").alias("dependency_id"))
-    lows = n.where("g = 4").groupBy("g").agg(F.min("n_nationkey").alias("lo"), F.max("n_nationkey").alias("hi"))
-    back = lows.select(F.concat(F.lit("g"), F.col("g")).alias("graph_id"), name(F.col("lo")).alias("node_id"), name(F.col("hi")).alias("dependency_id"))
-    knot = lows.select(F.concat(F.lit("g"), F.col("g")).alias("graph_id"), name(F.col("hi")).alias("node_id"), name(F.col("lo")).alias("dependency_id"))
-    return edges.unionByName(alone).unionByName(back).unionByName(knot)
+    """One task graph an order: lines depend on one or two lines before; every tenth has a cycle, every 17th lacks a task."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.max("l_partkey").alias("p"))
+    order = "over (partition by l_orderkey order by n)"
+    lines = lines.selectExpr("*", f"lag(n) {order} as one", f"lag(n, 2) {order} as two", f"row_number() {order} = 1 as head", "max(n) over (partition by l_orderkey) as tail")
+    needs = "array(if(p % 3 <> 0, one, null), if(p % 4 = 0, two, null), if(head and l_orderkey % 10 = 0, tail, null), if(head and l_orderkey % 17 = 0, 99, null))"
+    return lines.select(F.expr("concat('g', l_orderkey)").alias("graph_id"), F.expr("concat('n', n)").alias("node_id"), F.explode_outer(F.expr(f"transform(array_compact({needs}), x -> concat('n', x))")).alias("dependency_id"))
