@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lotflow.llm import audio, bpe, edits, language, licences, lm, mixing, neighbours, packing, quality, simhash
+from lotflow.llm import audio, bpe, edits, language, licences, lm, mixing, neighbours, packing, quality, search, simhash
 from lotflow.runtime import table
 
 
@@ -49,6 +49,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary))
@@ -61,8 +65,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_audio, op4_packing, op5_token_counts, op6_quality, op7_licences, op8_language, op9_lm, op10_neighbours, op13_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_audio, op4_packing, op5_token_counts, op6_quality, op7_licences, op8_language, op9_lm, op10_neighbours, op11_search, op13_bpe, pipeline)}
 
 
 def oracle_sql() -> dict:
-    return {"op2_mixing": mixing.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op11_search": search.ORACLE}
