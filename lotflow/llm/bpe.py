@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 from lotflow.llm import transducer
 from lotflow.llm.arrow import only, small_batches
 from lotflow.llm.tokens import _byte_of, _newer
-from lotflow.runtime import shared_checkpoint_dir
+from lotflow.runtime import cut, shared_checkpoint_dir
 
 #: Fixed value: how byte-level BPE splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -37,7 +37,7 @@ _CUT_IN_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: Signs that stand alone as a word after letters.
 _CLOSING = frozenset(".,!?;:)")
 #: A text is worked off in windows of about so many characters, and distinct words are looked up after so many words.
-_WINDOW, _HELD = 1 << 20, 1 << 18
+_WINDOW, _HELD = 1 << 20, 1 << 17
 #: Words, and bytes a word, that the lexicon holds at most; what it lacks is merged, with the same result.
 WORDS, LONGEST = 1 << 16, 64
 
@@ -59,7 +59,7 @@ def stretches(text: str) -> Iterator[tuple[str, list[str]]]:
 class ByteBpe:
     """A vocabulary in the tokenizers library's form: byte-level, without a normaliser, split by ``PATTERN``."""
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 300_000):
         self._cached, self._cache, self._older = cached, {}, {}
         with open(path, encoding="utf-8") as f:
             stated = json.load(f)
@@ -67,8 +67,8 @@ class ByteBpe:
         if stated["normalizer"] or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before.get("use_regex", True):
             raise ValueError(f"{path} is no plain byte-level vocabulary")
         vocab, byte_of = stated["model"]["vocab"], _byte_of()
-        self.library = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.path = path
+        self.special = {t["content"]: t["id"] for t in stated["added_tokens"]}
         ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in vocab.items() if token not in self.special}
         self.bytes_of = [b""] * (1 + max([*ranks.values(), *self.special.values()]))
         for token, i in itertools.chain(ranks.items(), ((t.encode(), i) for t, i in self.special.items())):
@@ -79,6 +79,11 @@ class ByteBpe:
         self._split = regex.compile(PATTERN).findall
         self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """The library itself, loaded for the first text that needs it."""
+        return Tokenizer.from_file(self.path)
+
     def merged(self, text: str) -> bytes:
         """The ids of a text without special tokens, each of its words merged from its bytes."""
         return np.array([i for w in self._split(text) for i in self._merge(w.encode())], dtype="<u4").tobytes()
@@ -174,11 +179,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def compiled(docs: DataFrame, vocabulary: str, words: int = WORDS) -> bytes:
-    """The transducer of the ``words`` most frequent words of all of ``docs``, with the ids that they have after a space.
+    """The transducer of the most frequent words of all of ``docs``, with the ids that they have after a space.
 
-    At most ``words`` x ``LONGEST`` bytes are gathered.
+    A word of n occurrences is in step ``floor(16 * log2(n))``; as many of the highest steps are taken as hold at most
+    ``words`` words together, so no more than ``words`` x ``LONGEST`` bytes are gathered. Words that occur once stay out.
     """
-    top = word_counts(docs).where("n > 1").orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    counted = cut(word_counts(docs).where("n > 1").select("word", F.floor(F.log2("n") * 16).cast("int").alias("step")))
+    room, least = words, None
+    for r in counted.groupBy("step").count().orderBy(F.desc("step")).collect():  # 16 steps an octave
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.step
+    top = [] if least is None else counted.where(F.col("step") >= least).select("word").collect()
     order, bpe = sorted((r.word for r in top), key=str.encode), byte_bpe(vocabulary)
     return transducer.compile_lexicon([w.encode() for w in order], [np.frombuffer(bpe.merged(" " + w), "<u4").tolist() for w in order])
 
@@ -199,6 +212,21 @@ def share(spark: SparkSession, lexicon: bytes) -> str:
     return name
 
 
+def _encoded(docs: DataFrame, vocabulary: str, words: int, back: bool) -> DataFrame:
+    spark = docs.sparkSession
+    name = share(spark, compiled(docs, vocabulary, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, lexicon = byte_bpe(vocabulary), _fetched(name)
+        for batch in batches:
+            ids = bpe.encode(batch.column(1).to_pylist(), lexicon)
+            columns = [batch.column(0), pa.array(ids, pa.binary())] + ([pa.array(map(bpe.decode, ids), pa.binary()).cast(pa.string())] if back else [])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: len(columns)])
+
+    small_batches(spark)
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary" + ", text string" * back)
+
+
 def encode(docs: DataFrame, vocabulary: str, words: int = WORDS) -> DataFrame:
     """(doc_id, ids) for every row of ``docs(doc_id, text)``: little-endian unsigned 32-bit ids, as bytes.
 
@@ -206,22 +234,17 @@ def encode(docs: DataFrame, vocabulary: str, words: int = WORDS) -> DataFrame:
     columns are ignored, an empty table gives an empty result. Texts may be of any length: they are worked off in
     windows, and only the distinct words of a batch are held besides.
     """
-    spark = docs.sparkSession
-    name = share(spark, compiled(docs, vocabulary, words))
+    return _encoded(docs, vocabulary, words, False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, lexicon = byte_bpe(vocabulary), _fetched(name)
-        for batch in batches:
-            ids = bpe.encode(batch.column(1).to_pylist(), lexicon)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    small_batches(spark, 2048)
-    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+def round_trip(docs: DataFrame, vocabulary: str, words: int = WORDS) -> DataFrame:
+    """As ``encode``, with ``text`` decoded from the ids in the same task."""
+    return _encoded(docs, vocabulary, words, True)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``encoded(doc_id, ids)`` with ``text``, decoded from the ids, special tokens included; null ids are an empty text."""
-    small_batches(encoded.sparkSession, 2048)
+    small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocabulary)

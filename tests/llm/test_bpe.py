@@ -87,8 +87,9 @@ def test_query_is_the_library_on_whole_texts(spark):
 def test_odd_rows(spark, docs_of):
     rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, "one two", None, None), (3, "one two", None, None), (None, "one two three", "en", "b"), (5, "wide 漢字 " * 30000, "en", "a"), (6, "q" * 200_000, "en", "a")]
     docs = docs_of(rows).withColumnRenamed("found", "word").withColumnRenamed("h", "n").withColumnRenamed("fp", "ids")
-    got = bpe.digests(bpe.decode(bpe.encode(docs, PATH, words=3), PATH)).collect()
-    assert sorted(map(str, [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got])) == sorted(str((r[0], *expected(r[1]))) for r in rows)
+    for back in (bpe.decode(bpe.encode(docs, PATH, words=3), PATH), bpe.round_trip(docs, PATH)):
+        got = bpe.digests(back).collect()
+        assert sorted(map(str, [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got])) == sorted(str((r[0], *expected(r[1]))) for r in rows)
     assert bpe.encode(docs.limit(0), PATH).collect() == []
     assert bpe.decode(bpe.encode(docs, PATH).selectExpr("doc_id", "cast(null as binary) as ids").limit(1), PATH).first().text == ""
 
