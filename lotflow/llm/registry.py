@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lotflow.llm import audio, bpe, edits, language, licences, lm, mixing, neighbours, packing, quality, search, simhash
+from lotflow.llm import audio, bpe, edits, language, licences, lm, mixing, neighbours, packing, quality, search, simhash, variants
 from lotflow.runtime import table
 
 
@@ -53,6 +53,10 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -64,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_audio, op4_packing, op5_token_counts, op6_quality, op7_licences, op8_language, op9_lm, op10_neighbours, op11_search, op13_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_audio, op4_packing, op5_token_counts, op6_quality, op7_licences, op8_language, op9_lm, op10_neighbours, op11_search, op12_variants, op13_bpe, pipeline)}
 
 
 def oracle_sql() -> dict:
