@@ -36,9 +36,9 @@ def prompt(subject: Column, text: Column) -> Column:
 
 
 def intent(completion: Column) -> Column:
-    """struct(intent, reason): a strict whole number from 1 to 4, else 0 with why not."""
-    plain = F.regexp_replace(completion, r"^\s+|\s+$", "")
-    number = F.when(plain.rlike(r"^[+-]?[0-9]+$"), plain.try_cast("int"))
+    """struct(intent, reason): a strict whole number from 1 to 4, white space of any script around it, else 0 with why not."""
+    plain = F.regexp_replace(completion, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")
+    number = F.when(plain.rlike(r"^[+-]?[0-9]+\z"), plain.try_cast("int"))
     return F.struct(
         F.when(number.between(1, 4), number).otherwise(0).alias("intent"),
         F.when(number.isNull(), "non_integer").when(~number.between(1, 4), "out_of_range").alias("reason"),

@@ -1,4 +1,8 @@
-"""Contract validation: rules are column expressions, and both halves come back."""
+"""Contract validation: rules are column expressions, and both halves come back.
+
+Patterns end at the very end of a text: a line break after a good value breaks the rule. A number with more decimals
+than storage holds is refused rather than rounded.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Patterns and bounds that the wire contract states.
-UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-TRACE_PARENT = r"^00-[0-9a-f]{32}-[0-9a-f]{16}-[0-9a-f]{2}$"
-QUANTITY = r"^-?[0-9]+(\.[0-9]+)?$"
-UNIT_COST = r"^[0-9]+(\.[0-9]+)?$"
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
+TRACE_PARENT = r"^00-[0-9a-f]{32}-[0-9a-f]{16}-[0-9a-f]{2}\z"
+QUANTITY = r"^-?[0-9]+(\.[0-9]+)?\z"
+UNIT_COST = r"^[0-9]+(\.[0-9]+)?\z"
 MAX_SEQUENCE = 2**63 - 1
+#: What storage holds of a quantity or cost: four decimals, and noughts after them.
+EXACT = r"^-?[0-9]+(\.[0-9]{1,4}0*)?\z"
 
 
 def _matches(name: str, pattern: str) -> str:
@@ -25,6 +31,10 @@ def _number(name: str, pattern: str) -> str:
     return f"{_matches(name, pattern)} and try_cast({name} as decimal(18,4)) is not null"
 
 
+def _exact(name: str, pattern: str) -> str:
+    return f"not ({_number(name, pattern)}) or {_matches(name, EXACT)}"
+
+
 def _between(name: str, low: int, high: int) -> str:
     return f"coalesce({name} between {low} and {high}, false)"
 
@@ -46,12 +56,14 @@ MOVEMENT_RULES = {
     "quantity_format": _number("quantity", QUANTITY),
     "unit_cost_format": _number("unit_cost", UNIT_COST),
     "sequence_out_of_range": f"({SEQUENCE}) is not null",
+    "quantity_too_fine": _exact("quantity", QUANTITY),
+    "unit_cost_too_fine": _exact("unit_cost", UNIT_COST),
 }
 
 _URI = "^[A-Za-z][A-Za-z0-9+.-]*:.+"
 EMAIL_RULES = {
     **{k: MOVEMENT_RULES[k] for k in ("event_id_uuid", "trace_parent_format", "aggregate_id_empty", "vendor_empty", "occurred_at_missing", "published_at_missing", "sequence_out_of_range")},
-    "vendor_email_format": _matches("vendor_email", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"),
+    "vendor_email_format": _matches("vendor_email", r"^[^@\s]+@[^@\s]+\.[^@\s]+\z"),
     "subject_uri_format": _matches("secure_subject_uri", _URI),
     "body_uri_format": _matches("secure_body_uri", _URI),
     "attachments_too_many": "attachments is null or size(attachments) <= 25",

@@ -119,6 +119,22 @@ def _intervals(accepted: DataFrame) -> DataFrame:
     return accepted.withColumn("s_hi", F.expr(f"sum(supply) over ({_SEQ})")).withColumn("d_hi", F.expr(f"sum(demand) over ({_SEQ})"))
 
 
+#: Quotients up to these bounds are one decimal division; beyond them digits come in blocks of four, exactly.
+_PLAIN_TOP, _PLAIN_LOW = "1e12BD", "1e14BD"
+
+
+def _quotient(top: str, low: str) -> str:
+    """SQL of ``top / low`` to 16 places, half up, for decimals that are not negative and of any size that columns hold."""
+    plain = f"round(cast(cast({top} as decimal(20,8)) / cast({low} as decimal(18,4)) as decimal(38,16)), 16)"
+    digits = (
+        f"aggregate(sequence(1, 4), struct(0L as f, cast({top} % {low} as decimal(32,8)) as r),"
+        f" (x, k) -> struct(x.f * 10000L + cast(x.r * 10000BD as decimal(38,8)) div {low} as f, cast(cast(x.r * 10000BD as decimal(38,8)) % {low} as decimal(32,8)) as r),"
+        f" x -> x.f + if(x.r * 2BD >= {low}, 1L, 0L))"
+    )
+    long = f"cast({top} div {low} as decimal(34,16)) + cast(cast({digits} as decimal(17,0)) / 10000000000000000BD as decimal(34,16))"
+    return f"case when {top} < {_PLAIN_TOP} and {low} < {_PLAIN_LOW} then {plain} else cast({long} as decimal(38,16)) end"
+
+
 _TAKEN = "cast(taken as decimal(18,4)) as taken, cast(cast(taken as decimal(18,4)) * unit_cost as decimal(38,8)) as cost"
 
 
@@ -151,17 +167,19 @@ def allocate_by_overlap(accepted: DataFrame) -> DataFrame:
 
 
 def value(accepted: DataFrame) -> DataFrame:
-    """Accepted movements with FIFO facts: qty_delta, qty_on_hand, fifo_unit_cost, fifo_total_value, moving_avg_cost."""
-    cogs = allocate(accepted).groupBy(*KEYS, F.col("consumption_id").alias("event_id")).agg(F.sum("cost").alias("cogs"))
-    rows = accepted.join(cogs, [*KEYS, "event_id"], "left").withColumn("cogs", F.coalesce("cogs", F.lit(0)).cast("decimal(38,8)"))
+    """Accepted movements with FIFO facts: qty_delta, qty_on_hand, fifo_unit_cost, fifo_total_value, moving_avg_cost.
+
+    Values have 30 digits before the point; beyond that they are null, and the other facts stay.
+    """
+    cogs = allocate(accepted).groupBy(*KEYS, F.col("consumption_id").alias("event_id")).agg(F.try_sum("cost").alias("cogs"), F.lit(True).alias("_depletes"))
+    rows = accepted.join(cogs, [*KEYS, "event_id"], "left").withColumn("cogs", F.when(F.col("_depletes"), F.col("cogs")).otherwise(0).cast("decimal(38,8)"))
     rows = rows.withColumn("qty_on_hand", F.expr(f"cast(sum(supply - demand) over ({_SEQ}) as decimal(28,4))"))
-    rows = rows.withColumn("fifo_total_value", F.expr(f"cast(sum(cast(supply * unit_cost as decimal(38,8)) - cogs) over ({_SEQ}) as decimal(38,8))"))
-    per = lambda top, low: f"round(cast(cast({top} as decimal(20,8)) / cast({low} as decimal(18,4)) as decimal(38,16)), 16)"
+    rows = rows.withColumn("fifo_total_value", F.expr(f"try_sum(cast(cast(supply * unit_cost as decimal(38,8)) - cogs as decimal(38,8))) over ({_SEQ})"))
     return (
         rows.withColumn("qty_delta", F.expr("delta"))
-        .withColumn("fifo_unit_cost", F.expr(f"case when demand > 0 then {per('cogs', 'demand')} else cast(0 as decimal(38,16)) end"))
-        .withColumn("moving_avg_cost", F.expr(f"case when qty_on_hand > 0 then {per('fifo_total_value', 'qty_on_hand')} else cast(0 as decimal(38,16)) end"))
-        .drop("delta", "supply", "demand", "cogs", "rejected")
+        .withColumn("fifo_unit_cost", F.expr(f"case when demand > 0 then {_quotient('cogs', 'demand')} else cast(0 as decimal(38,16)) end"))
+        .withColumn("moving_avg_cost", F.expr(f"case when qty_on_hand > 0 then {_quotient('fifo_total_value', 'qty_on_hand')} else cast(0 as decimal(38,16)) end"))
+        .drop("delta", "supply", "demand", "cogs", "rejected", "_depletes")
     )
 
 
@@ -171,7 +189,7 @@ def facts(movements: DataFrame) -> DataFrame:
 
 
 def balance(accepted: DataFrame) -> DataFrame:
-    """(sku, location_id, lot_id, sequence_engine_key, remaining_qty, unit_cost): lots that are left, oldest first."""
+    """(sku, location_id, lot_id, sequence_engine_key, remaining_qty, unit_cost): lots that are left; the oldest have the smallest keys."""
     both = _intervals(accepted).withColumn("gone", F.expr(f"sum(demand) over ({_KEY})"))
     left = F.expr("cast(greatest(0, s_hi - greatest(s_hi - supply, gone)) as decimal(18,4))")
     return both.where("supply > 0").withColumn("remaining_qty", left).where("remaining_qty > 0").select(*KEYS, F.col("event_id").alias("lot_id"), "sequence_engine_key", "remaining_qty", "unit_cost")

@@ -18,10 +18,22 @@ def breached() -> Column:
     return F.coalesce(F.col("sla_breached"), F.lit(False)) | F.coalesce(F.col("status") == "FAILURE", F.lit(False))
 
 
+def _key() -> Column:
+    return F.col("sequence_engine_key").try_cast("decimal(20,0)")
+
+
+def readable(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events whose sequence key is a whole number, and the others, with ``reason``, for a dead-letter topic."""
+    return events.where(_key().isNotNull()), events.where(_key().isNull()).withColumn("reason", F.lit("sequence_key"))
+
+
 def split(events: DataFrame, marks: DataFrame) -> DataFrame:
-    """``events`` with ``settled``: at or below the newest watermark. The watermark is one row, so it is broadcast."""
-    newest = marks.agg(F.max("watermark").cast("decimal(20,0)").alias("watermark"))
-    return events.join(F.broadcast(newest)).withColumn("settled", F.coalesce(F.col("sequence_engine_key").cast("decimal(20,0)") <= F.col("watermark"), F.lit(False)))
+    """``events`` with ``settled``: at or below the newest watermark. The watermark is one row, so it is broadcast.
+
+    Events whose key is no whole number are neither settled nor in flight and go (see ``readable``).
+    """
+    newest = marks.agg(F.max(F.col("watermark").try_cast("decimal(20,0)")).alias("watermark"))
+    return readable(events)[0].join(F.broadcast(newest)).withColumn("settled", F.coalesce(_key() <= F.col("watermark"), F.lit(False)))
 
 
 def figures(settled: DataFrame, *by: str) -> DataFrame:
@@ -45,14 +57,13 @@ def replay(df: DataFrame, from_seq: int = 0, to_seq: int | None = None, exclusiv
 
 
 def ordered(events: DataFrame, newest_first: bool = False) -> DataFrame:
-    """Events by their sequence key as a whole number, whatever its length as text."""
-    key = F.col("sequence_engine_key").cast("decimal(20,0)")
-    return events.orderBy(key.desc() if newest_first else key.asc())
+    """Events by their sequence key as a whole number, whatever its length as text; events without one go."""
+    return readable(events)[0].orderBy(_key().desc() if newest_first else _key().asc())
 
 
 def newest_of_each(events: DataFrame, per: str = "aggregate_id") -> DataFrame:
-    """Events with their ``place`` in the newest-first order of their aggregate."""
-    return events.withColumn("place", F.expr(f"row_number() over (partition by {per} order by cast(sequence_engine_key as decimal(20,0)) desc)"))
+    """Events with their ``place`` in the newest-first order of their aggregate; events without a whole key go."""
+    return readable(events)[0].withColumn("place", F.expr(f"row_number() over (partition by {per} order by try_cast(sequence_engine_key as decimal(20,0)) desc)"))
 
 
 def hand_off(history: DataFrame, live: DataFrame, keys: list[str], start: int = 0, keep_late: bool = True) -> DataFrame:

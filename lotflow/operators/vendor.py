@@ -11,7 +11,8 @@ from lotflow.operators import contracts, dlq
 
 def _ipv4(ip: Column) -> Column:
     parts = F.split(ip, r"\.")
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.expr("0L") + sum((parts.getItem(k).cast("long") * 256 ** (3 - k) for k in range(4)), F.lit(0)))
+    octets = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
+    return F.when(ip.rlike(rf"^{octets}(\.{octets}){{3}}\z"), F.expr("0L") + sum((parts.getItem(k).cast("long") * 256 ** (3 - k) for k in range(4)), F.lit(0)))
 
 
 def _inside(number: Column, base: str, bits: int) -> Column:
@@ -20,12 +21,34 @@ def _inside(number: Column, base: str, bits: int) -> Column:
     return number.between(low, low + 2 ** (32 - bits) - 1)
 
 
+def _ipv6(ip: Column) -> Column:
+    """The eight groups of an IPv6 address as numbers; null for anything else. A zone goes, a dotted tail becomes two groups."""
+    plain = F.regexp_replace(F.lower(ip), "%.*$", "")
+    tail = F.split(F.regexp_extract(plain, r":(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1), r"\.")
+    part = lambda k: F.try_element_at(tail, F.lit(k)).try_cast("int")
+    octets = F.coalesce(part(1).between(0, 255) & part(2).between(0, 255) & part(3).between(0, 255) & part(4).between(0, 255), F.lit(False))
+    dotted = F.concat(F.regexp_replace(plain, r"[^:]*$", ""), F.lower(F.hex(part(1) * 256 + part(2))), F.lit(":"), F.lower(F.hex(part(3) * 256 + part(4))))
+    text = F.when(octets, dotted).otherwise(plain)
+    sides = F.split(text, "::")
+    groups = lambda side: F.filter(F.split(F.coalesce(F.try_element_at(sides, F.lit(side)), F.lit("")), ":"), lambda g: g != "")
+    missing = 8 - F.size(groups(1)) - F.size(groups(2))
+    whole = F.when(F.size(sides) == 1, groups(1)).otherwise(F.concat(groups(1), F.array_repeat(F.lit("0"), missing), groups(2)))
+    good = text.rlike(r"^[0-9a-f:]+\z") & ~text.rlike(r":::|^:[^:]|[^:]:\z|[0-9a-f]{5}") & (F.size(sides) <= 2) & F.when(F.size(sides) == 1, missing == 0).otherwise(missing >= 1)
+    return F.when(good, F.transform(whole, lambda g: F.conv(g, 16, 10).cast("long")))
+
+
 def non_public(ip: Column) -> Column:
-    """Loopback, private, link-local or unspecified."""
-    n, low = _ipv4(ip), F.lower(ip)
+    """Loopback, private, link-local or unspecified; also what is no address, as nothing is known of it.
+
+    An IPv4 address mapped into IPv6 (``::ffff:``) counts as what it maps.
+    """
+    six = _ipv6(ip)
+    group = lambda k: F.get(six, F.lit(k))
+    zeros = lambda n: F.forall(F.slice(six, 1, n), lambda g: g == 0)
+    n = F.coalesce(_ipv4(ip), F.when(zeros(5) & (group(5) == 0xFFFF), group(6) * 65536 + group(7)))
     v4 = _inside(n, "127.0.0.0", 8) | _inside(n, "10.0.0.0", 8) | _inside(n, "172.16.0.0", 12) | _inside(n, "192.168.0.0", 16) | _inside(n, "169.254.0.0", 16) | (n == 0)
-    v6 = low.isin("::1", "::", "0:0:0:0:0:0:0:1", "0:0:0:0:0:0:0:0") | low.rlike("^f[cd][0-9a-f]{2}:") | low.rlike("^fe[89ab][0-9a-f]:")
-    return F.coalesce(F.when(n.isNotNull(), v4).otherwise(v6), F.lit(False))
+    v6 = zeros(7) & group(7).isin(0, 1) | group(0).between(0xFC00, 0xFDFF) | group(0).between(0xFE80, 0xFEBF)
+    return F.coalesce(F.when(n.isNotNull(), v4).otherwise(v6), F.lit(True))
 
 
 def screen(uris: DataFrame, allowed: DataFrame, addresses: DataFrame, uri: str = "uri") -> DataFrame:
@@ -38,7 +61,7 @@ def screen(uris: DataFrame, allowed: DataFrame, addresses: DataFrame, uri: str =
     scheme = F.try_parse_url(F.col(uri), F.lit("PROTOCOL"))
     known = allowed.select(F.lower("host").alias("host"), F.lit(True).alias("_allowed")).distinct()
     found = addresses.groupBy(F.lower("host").alias("host")).agg(F.max(non_public(F.col("ip"))).alias("_inward"))
-    literal = F.col("host").rlike(r"^\d{1,3}(\.\d{1,3}){3}$|:")
+    literal = F.col("host").rlike(r"^\d{1,3}(\.\d{1,3}){3}\z|:")
     inward = F.when(literal, non_public(F.col("host"))).otherwise(F.col("_inward"))
     rejected = (
         F.when(F.coalesce(F.col(uri), F.lit("")) == "", "empty").when(~scheme.eqNullSafe("https"), "scheme").when(F.col("_allowed").isNull(), "allowlist").when(inward.isNull(), "unresolved").when(inward, "non_public")

@@ -149,7 +149,7 @@ def uri_screen(spark, sf_dir):
     hosts = u.select(F.try_parse_url("uri", F.lit("HOST")).alias("host")).where("host is not null").distinct()
     number = F.conv(F.substring(F.md5("host"), 1, 2), 16, 10).cast("int")
     allowed = hosts.where(number % 4 != 0).select("host")
-    addresses = hosts.select("host", F.when(number % 5 == 0, F.concat(F.lit("10.1.2."), number)).otherwise(F.concat(F.lit("93.184.216."), number)).alias("ip"))
+    addresses = hosts.select("host", F.when(number % 15 == 0, F.concat(F.lit("::ffff:10.1.2."), number)).when(number % 5 == 0, F.concat(F.lit("10.1.2."), number)).otherwise(F.concat(F.lit("93.184.216."), number)).alias("ip"))
     return vendor.screen(u, allowed, addresses).select("page_id", "host", F.coalesce("rejected", F.lit("accepted")).alias("outcome"))
 
 
@@ -263,7 +263,7 @@ def _codes_sql() -> str:
 
 
 ORACLE = {
-    "changefeed_decode": f"select 'agg-' || user_id as aggregate_id, case when event_id % 3 = 0 then 'RECEIVED' else 'PO_CREATED' end as stage, case when event_id % 3 = 0 then 'SUCCESS' else event_type end as status, cast({_SEQ} as varchar) as sequence_engine_key, date_trunc('second', ts) as occurred_at, 'tp-' || event_id as trace_parent, case when event_id % 3 = 0 then cast(event_id % 1000 as double) else 0 end as value from events where {_KIND} = 'row' and event_id % 3 < 2",
+    "changefeed_decode": f"select case when event_id % 37 = 0 then user_id || '.50e0' else 'agg-' || user_id end as aggregate_id, case when event_id % 3 = 0 then 'RECEIVED' else 'PO_CREATED' end as stage, case when event_id % 3 = 0 then 'SUCCESS' else event_type end as status, cast({_SEQ} as varchar) as sequence_engine_key, case when event_id % 31 <> 0 then date_trunc('second', ts) end as occurred_at, 'tp-' || event_id as trace_parent, case when event_id % 3 = 0 then cast(event_id % 1000 as double) else 0 end as value from events where {_KIND} = 'row' and event_id % 3 < 2",
     "changefeed_watermarks": f"select {_TOPIC} as topic, event_id as offset, {_SEQ} as watermark from events where {_KIND} = 'mark'",
     "changefeed_dead_letters": f"select {_TOPIC} || '.dlq' as topic, cast(event_id as varchar) as key, '{{\"after\": ' as value, 'error_reason=malformed_json' as first_header, 2 as n_headers from events where {_KIND} = 'bad'",
     "changefeed_roundtrip": "select event_id, user_id, event_type from events union all select max(event_id), -1, 'resolved' from events",
@@ -286,7 +286,7 @@ ORACLE = {
  select off as "offset", event_id, coalesce(err, 'sqlstate_' || code) as reason, case when err is not null then 'terminal' when done or n > 1 then 'duplicate' when code is null then 'ok' when code = '40001' and off % 7 < 5 then 'retry' when code = '40001' then 'transient_exhausted' else 'terminal' end as disposition from seen""",
     "snapshot_contract": with_movements("select case sequence_engine_key % 50 when 0 then 'snapshot_id_uuid' when 1 then 'quantity_format' when 2 then 'value_format' when 3 then 'average_format' else 'ok' end as error, count(*) as snapshots from movements group by all"),
     "two_topic_decode": """select topic, "offset", case when outcome = 'decoded' then 'evt-' || "offset" end as event_id, case when outcome = 'decoded' then who || '-' || c end as approved_by, outcome from (
- select 'approval' as topic, o_orderkey as "offset", 'user' as who, o_custkey as c, case when o_orderkey % 101 = 0 then 'malformed_message' else 'decoded' end as outcome from orders
+ select 'approval' as topic, o_orderkey as "offset", 'user' as who, o_custkey as c, case when o_orderkey % 101 = 0 or o_orderkey % 103 = 0 or o_orderkey % 107 = 0 then 'malformed_message' else 'decoded' end as outcome from orders
  union all select 'outbox_feed', o_orderkey, 'desk', o_custkey, case when o_orderkey % 89 = 0 or o_orderkey % 83 = 0 then 'none' when o_orderkey % 79 = 0 then 'malformed_json' when o_orderkey % 97 = 0 then 'malformed_payload' else 'decoded' end from orders) where outcome <> 'none'""",
     "newest_first": "select 'agg-' || user_id as aggregate_id, cast(event_id as varchar) as sequence_engine_key, cast(row_number() over (partition by user_id order by event_id desc) as integer) as place from events",
     "workflow_outbox": f"""with {_TRIGGERS} select workflow_id as aggregate_id, 'workflow' as aggregate_type, 'NodeTransition' as event_type, sequence_engine_key, '{{"status":"' || case when node = 'final_step' then 'completed' else 'approved' end || '","node":"' || node || '"}}' as payload from wf, unnest(['human_approval', 'final_step']) as u(node) where approved_at is not null""",

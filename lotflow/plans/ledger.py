@@ -174,7 +174,7 @@ ORACLE = {
     "fact_upsert": with_movements(f", {_TWICE} select event_id, max(published_at) as published_at, any_value(sku) as sku, any_value(quantity) as quantity from twice group by event_id"),
     "claim_once": with_movements(f", {_TWICE} select event_id, min(published_at) as published_at, any_value(location_id) as location_id from twice where event_id not in (select event_id from movements where location_id = 'LOC-1') group by event_id"),
     "contract_violations": with_movements("""select rule, count(*) as movements from (select case sequence_engine_key % 50 when 0 then 'event_id_uuid' when 1 then 'trace_parent_format' when 2 then 'sku_empty' when 3 then 'quantity_format'
- when 4 then 'unit_cost_format' when 5 then 'occurred_at_missing' when 6 then 'sequence_out_of_range' else 'ok' end as rule from movements) group by rule"""),
+ when 4 then 'unit_cost_format' when 5 then 'occurred_at_missing' when 6 then 'sequence_out_of_range' when 7 then 'event_id_uuid' when 8 then 'quantity_format' when 9 then 'quantity_too_fine' else 'ok' end as rule from movements) group by rule"""),
     "signed_deltas": with_movements(f", {_TYPED} select movement_type, count(*) as movements, round(cast(sum(case when movement_type = 2 then -quantity else quantity end) as double), 6) as delta, round(cast(sum(case when movement_type <> 2 and quantity > 0 then quantity else 0 end) as double), 6) as supply, round(cast(sum(case when movement_type = 2 then quantity when quantity < 0 then -quantity else 0 end) as double), 6) as demand from typed group by all"),
 }
 

@@ -15,8 +15,8 @@ def decode(records: DataFrame, on_error: str = "drop", resolved: str = "present"
     """(rows, watermarks, dead letters) of ``records(topic, value, ...)``.
 
     ``rows`` has ``after`` as VARIANT, which keeps long integers exact. ``resolved``: 'present' takes any line that has
-    the key for a watermark, 'non_null' only one with a value. ``on_error``: malformed lines are dropped, or with 'dlq'
-    come back with their original value.
+    the key for a watermark, 'non_null' only one with a value. ``on_error``: malformed lines, and those that repeat a key,
+    are dropped, or with 'dlq' come back with their original value.
     """
     if on_error not in ("drop", "dlq") or resolved not in ("present", "non_null"):
         raise ValueError("on_error is drop or dlq; resolved is present or non_null")
@@ -37,13 +37,24 @@ def watermark(text: Column) -> Column:
 
 
 def text_of(field: str) -> Column:
-    """Strings and whole numbers as text; anything else, and a missing field, as the empty text."""
+    """Strings and numbers as text, with every digit that the line has; anything else, and a missing field, as the empty text.
+
+    Whole numbers of 64 bits are exact in the parsed row. Of any other number the row keeps a value, not how it is
+    written; so its digits are those that follow the field's name in ``value`` and have that value.
+    """
+    written = rf"regexp_extract_all(value, r'\"\Q{field}\E\"\s*:\s*(-?[0-9]+(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?)', 1)"
     return F.expr(
-        f"transform(array(variant_get(after, '$.{field}')), v -> case when schema_of_variant(v) rlike '^(STRING|BIGINT|DECIMAL[(][0-9]+,0[)])$'"
-        " then coalesce(try_variant_get(v, '$', 'string'), '') else '' end)[0]"
+        f"transform(array(variant_get(after, '$.{field}')), v -> case when schema_of_variant(v) in ('STRING', 'BIGINT') then coalesce(try_variant_get(v, '$', 'string'), '')"
+        f" when schema_of_variant(v) rlike '^(DECIMAL|DOUBLE|FLOAT)' then coalesce(get(filter({written}, t -> try_cast(t as double) = try_variant_get(v, '$', 'double')), 0), '') else '' end)[0]"
     )
 
 
+def time_of(field: str) -> Column:
+    """A date and time with an offset, as RFC 3339 writes them; null for anything else."""
+    pattern = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})\z"
+    return F.expr(f"transform(array(try_variant_get(after, '$.{field}', 'string')), t -> case when t rlike r'{pattern}' then try_to_timestamp(t) end)[0]")
+
+
 def number_of(field: str) -> Column:
     """Numbers as double; anything else, and a missing field, as zero."""
     v = f"variant_get(after, '$.{field}')"
@@ -59,13 +70,13 @@ def two_topics(records: DataFrame, raw_topic: str, feed_topic: str, schema: str)
     """(messages, dead letters) of ``records(topic, value, ...)`` whose two topics differ in form.
 
     ``raw_topic`` carries the message itself; ``feed_topic`` a change-feed envelope whose ``payload`` is the message as
-    hex or base64. Watermarks and tombstones go, as do other topics. What cannot be decoded comes back with its reason
-    and its original value. Messages are JSON with the columns of ``schema``.
+    hex or base64. Watermarks and tombstones go, as do other topics. What cannot be decoded, or is no JSON object, comes
+    back with its reason and its original value. Messages are JSON with the columns of ``schema``.
     """
     raw = records.where(F.col("topic") == raw_topic).withColumn("_text", F.col("value"))
     rows, _, broken = decode(records.where(F.col("topic") == feed_topic), on_error="dlq", resolved="non_null")
     fed = rows.withColumn("_text", F.try_validate_utf8(bytes_of(text_of("payload")).cast("string"))).drop("after")
-    both = raw.unionByName(fed).withColumn("message", F.when(F.try_parse_json("_text").isNotNull(), F.from_json("_text", schema)))
+    both = raw.unionByName(fed).withColumn("message", F.when(F.expr("schema_of_variant(try_parse_json(_text)) like 'OBJECT%'"), F.from_json("_text", schema)))
     good = both.where("message is not null").drop("_text")
     dead = both.where("message is null").drop("_text", "message").withColumn("reason", F.when(F.col("topic") == raw_topic, "malformed_message").otherwise("malformed_payload"))
     return good, dead.unionByName(broken)
@@ -83,7 +94,7 @@ def projections(rows: DataFrame, movement_topics: tuple[str, ...] = ("fact_inven
         F.when(movement, "RECEIVED").otherwise("PO_CREATED").alias("stage"),
         F.when(movement, F.lit("SUCCESS")).otherwise(text_of("event_type")).alias("status"),
         text_of("sequence_engine_key").alias("sequence_engine_key"),
-        F.expr("try_to_timestamp(try_variant_get(after, '$.occurred_at', 'string'))").alias("occurred_at"),
+        time_of("occurred_at").alias("occurred_at"),
         text_of("trace_parent").alias("trace_parent"),
         F.when(movement, number_of("fifo_total_value")).otherwise(0.0).alias("value"),
     ]

@@ -43,7 +43,7 @@ def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("sequence_engine_key") % 50
     df = movements(spark, sf_dir)
     return df.select(
-        F.when(k == 0, "definitely-not-a-uuid").otherwise(F.col("event_id")).alias("event_id"),
+        F.when(k == 0, "definitely-not-a-uuid").when(k == 7, F.concat("event_id", F.lit("\n"))).otherwise(F.col("event_id")).alias("event_id"),
         F.when(k == 1, "00-xyz-01").otherwise(F.col("trace_parent")).alias("trace_parent"),
         "aggregate_id",
         F.when(k == 5, None).otherwise(F.col("occurred_at")).alias("occurred_at"),
@@ -53,7 +53,7 @@ def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 2, "").otherwise(F.col("sku")).alias("sku"),
         "mdm_vendor_id",
         "location_id",
-        F.when(k == 3, "1e3").otherwise(F.col("quantity")).alias("quantity"),
+        F.when(k == 3, "1e3").when(k == 8, F.concat("quantity", F.lit("\n"))).when(k == 9, F.lit("0.00004")).otherwise(F.col("quantity")).alias("quantity"),
         F.when(k == 4, F.concat(F.lit("-"), "unit_cost")).otherwise(F.col("unit_cost")).alias("unit_cost"),
     )
 
@@ -64,8 +64,9 @@ def changefeed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.col("event_id") + F.lit(1784933243325766766)
     after = F.to_json(F.struct(
         F.concat(F.lit("agg-"), F.col("user_id")).alias("aggregate_id"), F.col("event_type").alias("event_type"), seq.alias("sequence_engine_key"),
-        F.concat(F.lit("tp-"), F.col("event_id")).alias("trace_parent"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("occurred_at"), (F.col("event_id") % 1000).alias("fifo_total_value"),
+        F.concat(F.lit("tp-"), F.col("event_id")).alias("trace_parent"), F.when(F.col("event_id") % 31 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("occurred_at"), (F.col("event_id") % 1000).alias("fifo_total_value"),
     ))
+    after = F.when(F.col("event_id") % 37 == 0, F.regexp_replace(after, '"aggregate_id":"agg-([0-9]+)"', '"aggregate_id":$1.50e0')).otherwise(after)
     value = (
         F.when(F.col("event_id") % 101 == 0, '{"after": ')
         .when(F.col("event_id") % 97 == 0, '{"after": null}')
@@ -113,7 +114,7 @@ def uris(spark: SparkSession, sf_dir: str) -> DataFrame:
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classifier outputs as text."""
     c = table(spark, sf_dir, "conversations")
-    texts = F.array(*[F.lit(t) for t in ("1", "2", "3", "4", "  2\n", "0", "5", "1.0", "The intent is 1")])
+    texts = F.array(*[F.lit(t) for t in ("1", "2", "3", "4", "\u00a0 2\u0085\n", "0", "5", "1.0", "The intent is 1")])
     return c.select("conv_id", "turn", F.element_at(texts, ((F.col("conv_id") * 31 + F.col("turn")) % 9 + 1).cast("int")).alias("completion"))
 
 
@@ -154,7 +155,7 @@ def two_topic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approvals as plain messages, and as hex or base64 inside change-feed envelopes; some broken, some watermarks."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("offset"), F.col("o_custkey").alias("c"))
     text = lambda who: F.concat(F.lit('{"event_id":"evt-'), "offset", F.lit(f'","approved_by":"{who}-'), "c", F.lit('"}'))
-    raw = o.select("offset", F.lit("approval").alias("topic"), F.when(F.col("offset") % 101 == 0, '{"event_id": ').otherwise(text("user")).alias("value"))
+    raw = o.select("offset", F.lit("approval").alias("topic"), F.when(F.col("offset") % 101 == 0, '{"event_id": ').when(F.col("offset") % 103 == 0, "3").when(F.col("offset") % 107 == 0, "[]").otherwise(text("user")).alias("value"))
     data = F.encode(text("desk"), "UTF-8")
     payload = F.when(F.col("offset") % 97 == 0, r"\\xzz").when(F.col("offset") % 2 == 0, F.concat(F.lit(r"\\x"), F.lower(F.hex(data)))).otherwise(F.base64(data))
     value = F.when(F.col("offset") % 89 == 0, '{"resolved":"123"}').when(F.col("offset") % 83 == 0, '{"after":null}').when(F.col("offset") % 79 == 0, '{"after"').otherwise(F.concat(F.lit('{"after":{"payload":"'), payload, F.lit('"}}')))

@@ -1,6 +1,6 @@
 import random
 from datetime import datetime, timedelta
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import numpy as np
 import pytest
@@ -234,3 +234,40 @@ def test_accept_over_many_batches_and_null_keys(spark):
         if want[name] is None:
             held[sku, place] = have + (-q if kind == 2 else q)
     assert got == want
+
+
+@pytest.mark.parametrize("quantity,cost", [(1_000_000, 2_000_000), (5_000_000, 2_000_000), (10**13, 10**13), (99_999_999_999_999, 99_999_999_999_999)])
+def test_values_beyond_a_million_million(spark, quantity, cost):
+    df = moves(spark, [(100, "R", quantity, cost), (200, "R", 7, Decimal("0.0003")), (300, "C", quantity - 4, 0), (400, "C", 8, 0)])
+    got = {r.sequence_engine_key: r for r in fifo.facts(df).collect()}
+    assert got[100].fifo_total_value == quantity * cost and got[100].moving_avg_cost == cost
+    assert got[300].fifo_unit_cost == cost and got[300].fifo_total_value == 4 * cost + Decimal("0.0021")
+    assert got[400].fifo_unit_cost == Decimal(4 * cost + Decimal("0.0012")) / 8
+
+
+def test_quotients_are_exact(spark):
+    rng = random.Random(9)
+    with localcontext() as exact:
+        exact.prec = 90
+        rows = [(Decimal(rng.randint(0, 10 ** rng.randint(1, 30))) / 10 ** rng.randint(0, 8), Decimal(rng.randint(1, 10 ** rng.randint(1, 18))) / 10 ** rng.randint(0, 4)) for _ in range(1500)]
+        rows = [(t, low) for t, low in ((t.quantize(Decimal("1e-8")), low.quantize(Decimal("1e-4"))) for t, low in rows) if low and t / low < 10**18]
+        got = spark.createDataFrame(rows, "t decimal(38,8), low decimal(28,4)").select("t", "low", F.expr(fifo._quotient("t", "low")).alias("q")).collect()
+        assert all(r.q == (r.t / r.low).quantize(Decimal("1e-16"), rounding=ROUND_HALF_UP) for r in got) and len(got) > 1000
+
+
+def test_values_beyond_their_column_are_null(spark):
+    most = 99_999_999_999_999
+    df = moves(spark, [(k, "R", most, most) for k in range(1, 130)] + [(500, "C", 1, 0)])
+    got = {r.sequence_engine_key: r for r in fifo.facts(df).collect()}
+    assert got[50].fifo_total_value == 50 * most * most and got[129].fifo_total_value is None
+    assert got[500].fifo_unit_cost == most and got[500].qty_on_hand == 129 * most - 1
+
+
+def test_contract_holds_to_the_end_of_a_text(spark):
+    from lotflow.schemas import MOVEMENT
+
+    good = ("550e8400-e29b-41d4-a716-446655440000", "00-" + "a" * 32 + "-" + "b" * 16 + "-01", "agg", T0, T0, None, "17", 1, "S", "V", "L", "7.50000", "3.00")
+    put = lambda at, v: (*good[:at], v, *good[at + 1 :])
+    rows = [good, put(0, good[0] + "\n"), put(1, good[1] + "\n"), put(11, "5\n"), put(12, "5\n"), put(11, "0.00004"), put(12, "1.123450"), put(6, "17\n")]
+    got = contracts.violations(spark.createDataFrame(rows, MOVEMENT), contracts.MOVEMENT_RULES).select("errors").collect()
+    assert [r.errors for r in got][:7] == [[], ["event_id_uuid"], ["trace_parent_format"], ["quantity_format"], ["unit_cost_format"], ["quantity_too_fine"], ["unit_cost_too_fine"]]
