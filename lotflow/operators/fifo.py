@@ -123,7 +123,7 @@ def _intervals(accepted: DataFrame) -> DataFrame:
 _PLAIN_TOP, _PLAIN_LOW = "1e12BD", "1e14BD"
 
 
-def _quotient(top: str, low: str) -> str:
+def quotient(top: str, low: str) -> str:
     """SQL of ``top / low`` to 16 places, half up, for decimals that are not negative and of any size that columns hold."""
     plain = f"round(cast(cast({top} as decimal(20,8)) / cast({low} as decimal(18,4)) as decimal(38,16)), 16)"
     digits = (
@@ -177,8 +177,8 @@ def value(accepted: DataFrame) -> DataFrame:
     rows = rows.withColumn("fifo_total_value", F.expr(f"try_sum(cast(cast(supply * unit_cost as decimal(38,8)) - cogs as decimal(38,8))) over ({_SEQ})"))
     return (
         rows.withColumn("qty_delta", F.expr("delta"))
-        .withColumn("fifo_unit_cost", F.expr(f"case when demand > 0 then {_quotient('cogs', 'demand')} else cast(0 as decimal(38,16)) end"))
-        .withColumn("moving_avg_cost", F.expr(f"case when qty_on_hand > 0 then {_quotient('fifo_total_value', 'qty_on_hand')} else cast(0 as decimal(38,16)) end"))
+        .withColumn("fifo_unit_cost", F.expr(f"case when demand > 0 then {quotient('cogs', 'demand')} else cast(0 as decimal(38,16)) end"))
+        .withColumn("moving_avg_cost", F.expr(f"case when qty_on_hand > 0 then {quotient('fifo_total_value', 'qty_on_hand')} else cast(0 as decimal(38,16)) end"))
         .drop("delta", "supply", "demand", "cogs", "rejected", "_depletes")
     )
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from decimal import Decimal
+from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from lotflow.operators import fifo
 from lotflow.schemas import ADJUSTMENT, CONSUMPTION, KEYS, RECEIPT
@@ -41,131 +39,238 @@ def restated(processed: DataFrame, late: DataFrame) -> DataFrame:
     return pick(old, "old").join(pick(new, "new"), [*KEYS, "event_id"]).where("old_unit_cost <> new_unit_cost or old_total_value <> new_total_value")
 
 
+def _parts(kind: int, quantity, cost) -> tuple:
+    """What a movement opens and what it depletes, the change that it states, and what it pays."""
+    up = quantity if kind in (RECEIPT, ADJUSTMENT) and quantity > 0 else 0
+    down = quantity if kind == CONSUMPTION and quantity > 0 else -quantity if kind == ADJUSTMENT and quantity < 0 else 0
+    return up, down, -quantity if kind == CONSUMPTION else quantity, up * cost
+
+
 class KeyLedger:
-    """One key in order of arrival: surviving lots, the log, and what the last decision produced.
+    """One key in order of arrival: the log in order of sequence, what a replay of it sums up to, and each row's last fact.
+
+    A replay is prefix sums: supply, demand, what the supply cost, and the cost of the demand, which takes supply from its
+    beginning. They hold for the first ``clean`` rows of the log. A row in sequence extends them. A late row within the
+    horizon is put in its place, and only the sums and facts from there on are computed anew. A row that is applied out of
+    sequence (beyond the horizon, or behind lots that are gone) changes the lots as they are; sums from its place on are
+    left to the next restatement, and until then lots are a list of their own.
 
     ``late_sign``: 'reference' applies a stale movement's quantity as it is, so a stale consumption adds stock; 'signed'
-    turns it into the change that it meant.
+    turns it into the change that it meant. Quantities and costs are numbers of any one kind.
     """
 
-    def __init__(self, state: dict | None = None, late_sign: str = "reference"):
-        state = state or {}
-        self.lots: list[list] = state.get("lots", [])  # [sequence key, event id, remaining, unit cost]
-        self.log: list[tuple] = state.get("log", [])
-        self.seen: set = set(state.get("seen", ()))
-        self.late_sign = late_sign
-
-    def state(self) -> dict:
-        return {"lots": self.lots, "log": self.log, "seen": sorted(self.seen)}
-
-    @staticmethod
-    def _apply(lots: list[list], kind: int, event: tuple) -> tuple | None:
-        """Change ``lots``; (event id, sequence key, delta, unit cost, on hand, value), or None if it cannot be."""
-        seq, event_id, _, quantity, cost = event
-        unit, delta, need = Decimal(0), quantity, Decimal(0)
-        if kind == CONSUMPTION:
-            need, delta = quantity, -quantity
-        elif kind == ADJUSTMENT and quantity < 0:
-            need = -quantity
-        if kind == RECEIPT or kind == ADJUSTMENT and quantity > 0:
-            lots.append([seq, event_id, quantity, cost])
-            lots.sort(key=lambda x: (x[0], x[1]))
-        elif need > 0:
-            if need > sum((x[2] for x in lots if x[2] > 0), Decimal(0)):
-                return None
-            left, cogs = need, Decimal(0)
-            for lot in lots:
-                take = min(left, lot[2]) if lot[2] > 0 else Decimal(0)
-                lot[2] -= take
-                cogs += take * lot[3]
-                left -= take
-            unit = cogs / need
-            lots[:] = [x for x in lots if x[2] != 0]
-        held = [x for x in lots if x[2] > 0]
-        return event_id, seq, delta, unit, sum((x[2] for x in held), Decimal(0)), sum((x[2] * x[3] for x in held), Decimal(0))
+    #: Of each row of the log, in order of sequence.
+    _ROWS = ("log", "up", "down", "paid", "gone", "delta", "need", "cogs", "held", "worth", "nth", "how")
 
-    def arrive(self, event: tuple, age_days: float) -> tuple[str, list[tuple]]:
-        """``event``: (sequence key, event id, type, quantity, unit cost). The outcome and every fact that it emits."""
+    def __init__(self, late_sign: str = "reference"):
+        for name in self._ROWS:
+            setattr(self, name, [])
+        self.late_sign = late_sign
+        self.seen: set = set()
+        self.clean, self.at, self.newest = 0, 0, None  # rows with sums; the lot in use; the newest sequence key of a supply
+        self.lots: list[tuple] | None = None  # (sequence key, event id, remaining, cost), if a replay would leave others
+        self.head, self.on_hand, self.value = 0, 0, 0
+        self.accepted, self.restated = 0, 0  # how many rows, and how many when the last restatement ended
+
+    def __len__(self) -> int:
+        return len(self.log)
+
+    def _newest_held(self) -> int | None:
+        if self.lots is not None:
+            return self.lots[-1][0] if self.head < len(self.lots) else None
+        return self.newest if self.log and self.up[-1] > self.down[-1] else None
+
+    def _deplete(self, before, after):
+        """The cost of the supply between two sums of demand; the lot in use moves on."""
+        cost, at = 0, self.at
+        while before < after:
+            while self.up[at] <= before:
+                at += 1
+            take = min(self.up[at], after) - before
+            cost += take * self.log[at][4]
+            before += take
+        self.at = at
+        return cost
+
+    def _extend(self, event: tuple) -> bool:
+        """Take a row that follows all others, if what it depletes is there."""
+        up, down, delta, paid = _parts(*event[2:])
+        supply, demand = (self.up[-1], self.down[-1]) if self.log else (0, 0)
+        if down > supply - demand:
+            return False
+        cogs = self._deplete(demand, demand + down) if down else 0
+        self.log.append(event)
+        self.up.append(supply + up)
+        self.down.append(demand + down)
+        self.paid.append((self.paid[-1] if self.paid else 0) + paid)
+        self.gone.append((self.gone[-1] if self.gone else 0) + cogs)
+        for name, value in (("delta", delta), ("need", down), ("cogs", cogs), ("held", supply + up - demand - down), ("worth", self.paid[-1] - self.gone[-1])):
+            getattr(self, name).append(value)
+        self.clean = len(self.log)
+        return True
+
+    def _leave_sums(self) -> None:
+        """From now on lots are a list of their own."""
+        self.on_hand, self.value = (self.up[-1] - self.down[-1], self.paid[-1] - self.gone[-1]) if self.log else (0, 0)
+        first = bisect_right(self.up, self.down[-1]) if self.log else 0
+        left = [(e[0], e[1], self.up[k] - max(self.down[-1], self.up[k - 1] if k else 0), e[4]) for k, e in enumerate(self.log[first:], first) if self.up[k] > (self.up[k - 1] if k else 0)]
+        self.lots, self.head = left, 0
+
+    def _apply(self, event: tuple, kind: int, quantity) -> int | None:
+        """Change the lots as they are; the row's place in the log, or None if what it depletes is not there."""
+        seq, event_id, _, _, cost = event
+        up, down, delta, paid = _parts(kind, quantity, cost)
+        if down > (self.on_hand if self.lots is not None else self.up[-1] - self.down[-1] if self.log else 0):
+            return None
+        if self.lots is None:
+            self._leave_sums()
+        cogs, left = 0, down
+        while left > 0:
+            lot = self.lots[self.head]
+            take = min(left, lot[2])
+            cogs, left = cogs + take * lot[3], left - take
+            if take == lot[2]:
+                self.head += 1
+            else:
+                self.lots[self.head] = (*lot[:2], lot[2] - take, lot[3])
+        if self.head > 64 and 2 * self.head > len(self.lots):
+            del self.lots[: self.head]
+            self.head = 0
+        if up:
+            insort(self.lots, (seq, event_id, up, cost), lo=self.head)
+        self.on_hand, self.value = self.on_hand + up - down, self.value + paid - cogs
+        place = bisect_left(self.log, event)
+        for name, value in (("log", event), ("up", 0), ("down", 0), ("paid", 0), ("gone", 0), ("delta", delta), ("need", down), ("cogs", cogs), ("held", self.on_hand), ("worth", self.value)):
+            getattr(self, name).insert(place, value)
+        self.clean = min(self.clean, place)
+        return place
+
+    def _restate(self, event: tuple) -> int | None:
+        """Put a late row in its place; the first place that is computed anew, or None if a depletion would lack stock."""
+        place = bisect_left(self.log, event)
+        p = min(place, self.clean)
+        rows = self.log[p:]
+        rows.insert(place - p, event)
+        parts = [_parts(*e[2:]) for e in rows]
+        sums = lambda column, start: list(accumulate((x[column] for x in parts), initial=start))[1:]
+        before = [getattr(self, name)[p - 1] if p else 0 for name in ("up", "down", "paid", "gone")]
+        up, down = sums(0, before[0]), sums(1, before[1])
+        if any(x[1] and d > u for x, u, d in zip(parts, up, down)):
+            return None
+        self.log.insert(place, event)
+        self.up[p:], self.down[p:], self.paid[p:] = up, down, sums(3, before[2])
+        self.delta[p:], self.need[p:] = [x[2] for x in parts], [x[1] for x in parts]
+        self.at = bisect_right(self.up, before[1])
+        self.cogs[p:] = [self._deplete(d - x[1], d) if x[1] else 0 for x, d in zip(parts, down)]
+        self.gone[p:] = list(accumulate(self.cogs[p:], initial=before[3]))[1:]
+        self.held[p:] = [u - d for u, d in zip(up, down)]
+        self.worth[p:] = [a - b for a, b in zip(self.paid[p:], self.gone[p:])]
+        self.clean, self.lots = len(self.log), None
+        self.nth.insert(place, 0)
+        self.how.insert(place, "restated")
+        return p
+
+    def take(self, event: tuple, age_days: float) -> tuple[str, int, int]:
+        """``event``: (sequence key, event id, type, quantity, unit cost). The outcome, and the places whose facts it changes."""
         seq, event_id, kind, quantity, cost = event
         if event_id in self.seen:
-            return "duplicate", []
+            return "duplicate", 0, 0
         if kind == CONSUMPTION and quantity == 0:
-            return "zero_quantity", []
-        held = [x[0] for x in self.lots if x[2] > 0]
-        if held and seq < max(held) and age_days <= HORIZON_DAYS:
-            lots, facts = [], []
-            log = sorted([*self.log, event])
-            for old in log:
-                fact = self._apply(lots, old[2], old)
-                if fact is None:
-                    return "rejected", []
-                facts.append(fact)
-            self.lots, self.log = lots, log
-            self.seen.add(event_id)
-            return "restated", facts
-        late = bool(held) and seq < max(held)
-        if late and self.late_sign == "signed" and kind == CONSUMPTION:
-            quantity = -quantity
-        fact = self._apply(self.lots, ADJUSTMENT if late else kind, (seq, event_id, kind, quantity, cost))
-        if fact is None:
-            return "rejected", []
-        self.log.append(event)
+            return "zero_quantity", 0, 0
+        newest = self._newest_held()
+        late = newest is not None and seq < newest
+        if late and age_days <= HORIZON_DAYS:
+            first = self._restate(event)
+            outcome = "restated"
+        elif not late and self.lots is None and (not self.log or event > self.log[-1]):
+            first = len(self.log) if self._extend(event) else None
+            outcome = "appended"
+        else:
+            if late and self.late_sign == "signed" and kind == CONSUMPTION:
+                quantity = -quantity
+            first = self._apply(event, ADJUSTMENT if late else kind, quantity)
+            outcome = "adjusted" if late else "appended"
+        if first is None:
+            return "rejected", 0, 0
         self.seen.add(event_id)
-        return "adjusted" if late else "appended", [fact]
+        self.accepted += 1
+        if outcome == "restated":
+            self.restated, end = self.accepted, len(self.log)
+        else:
+            self.nth.insert(first, self.accepted)
+            self.how.insert(first, outcome)
+            end = first + 1
+        if _parts(kind, quantity, cost)[0]:
+            self.newest = seq if self.newest is None else max(self.newest, seq)
+        return outcome, first, end
+
+    def facts(self, first: int, end: int) -> list[tuple]:
+        """(event id, sequence key, delta, (cost of what was depleted, how much), on hand, value) of some places."""
+        return [(e[1], e[0], *rest) for e, *rest in zip(*(getattr(self, c)[first:end] for c in ("log", "delta")), zip(self.cogs[first:end], self.need[first:end]), self.held[first:end], self.worth[first:end])]
 
+    def arrive(self, event: tuple, age_days: float) -> tuple[str, list[tuple]]:
+        """The outcome and every fact that changes."""
+        outcome, first, end = self.take(event, age_days)
+        return outcome, self.facts(first, end)
 
-FACT = "event_id string, sku string, location_id string, sequence_engine_key long, outcome string, qty_delta decimal(18,4), fifo_unit_cost decimal(38,16), qty_on_hand decimal(28,4), fifo_total_value decimal(38,8)"
+    def outcomes(self) -> list[str]:
+        """How each row's last fact came about: a restatement restates every row before it."""
+        return ["restated" if n <= self.restated else how for n, how in zip(self.nth, self.how)]
 
 
-def events_of(rows: pd.DataFrame) -> Iterator[tuple[tuple, float]]:
-    """Events of one key in order of arrival, with their age in days on arrival."""
-    rows = rows.sort_values(list(ARRIVAL), kind="stable")
-    ages = (rows["published_at"] - rows["occurred_at"]).dt.total_seconds() / 86400
-    for seq, event_id, kind, quantity, cost, age in zip(rows["sequence_engine_key"], rows["event_id"], rows["movement_type"], rows["quantity"], rows["unit_cost"], ages):
-        yield (int(seq), event_id, int(kind), quantity, cost), age
+#: A fact as the ledger gives it: quantities and costs in ten-thousandths, values in 1e-8.
+_RAW = "event_id string, sku string, location_id string, sequence_engine_key long, outcome string, qty_delta decimal(38,4), cogs decimal(38,8), need decimal(38,4), qty_on_hand decimal(38,4), fifo_total_value decimal(38,8)"
+_FIELDS = ("sequence_engine_key", "event_id", "movement_type", "quantity", "unit_cost")
 
 
-def facts_of(key: tuple, outcome: str, facts: list[tuple]) -> Iterator[tuple]:
-    """Rows of ``FACT``."""
-    q = lambda x, places: x.quantize(Decimal(1).scaleb(-places))
-    for f in facts:
-        yield f[0], *key, f[1], outcome, q(f[2], 4), q(f[3], 16), q(f[4], 4), q(f[5], 8)
+def exact(numbers: list[int], places: int) -> pa.Array:
+    """Whole numbers as decimals with so many of their digits behind the point; null beyond 38 digits."""
+    whole = pa.array([n if abs(n) < 10**38 else None for n in numbers], pa.decimal128(38, 0))
+    return pa.Array.from_buffers(pa.decimal128(38, places), len(whole), whole.buffers(), whole.null_count, whole.offset)
 
 
-def fact_rows(key: tuple, outcome_facts: list[tuple[str, list[tuple]]]) -> pd.DataFrame:
-    return pd.DataFrame([row for o, facts in outcome_facts for row in facts_of(key, o, facts)], columns=[c.split()[0] for c in FACT.split(", ")])
+def raw_facts(key: tuple, outcomes: list[str], facts: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``_RAW`` from a ledger over ten-thousandths."""
+    ids, seqs, delta, costs, held, worth = zip(*facts) if facts else ([],) * 6
+    columns = [pa.array(ids, pa.string()), *(pa.array([k] * len(ids), pa.string()) for k in key), pa.array(seqs, pa.int64()), pa.array(outcomes, pa.string())]
+    columns += [exact(delta, 4), exact([c for c, _ in costs], 8), exact([n for _, n in costs], 4), exact(held, 4), exact(worth, 8)]
+    return pa.RecordBatch.from_arrays(columns, names=[field.split()[0] for field in _RAW.split(", ")])
+
+
+def priced(raw: DataFrame) -> DataFrame:
+    """Facts with their unit cost, in the types of the ledger; a value beyond its column is null."""
+    cost = F.expr(f"case when need > 0 then {fifo.quotient('cogs', 'cast(need as decimal(28,4))')} else cast(0 as decimal(38,16)) end")
+    return raw.select(
+        "event_id", *KEYS, "sequence_engine_key", "outcome", F.expr("try_cast(qty_delta as decimal(18,4)) as qty_delta"), cost.alias("fifo_unit_cost"), F.expr("try_cast(qty_on_hand as decimal(28,4)) as qty_on_hand"), "fifo_total_value"
+    )
+
+
+def arriving(df: DataFrame) -> DataFrame:
+    """Typed movements with ``age`` in days on arrival and numbers in ten-thousandths, as the ledger takes them."""
+    age = F.expr("coalesce(timestampdiff(MICROSECOND, occurred_at, published_at) / 86400e6D, double('nan'))").alias("age")
+    tenth = lambda c: F.expr(f"cast({c} * 10000 as bigint) as {c}")
+    return df.select(*KEYS, "sequence_engine_key", "event_id", "movement_type", tenth("quantity"), tenth("unit_cost"), age, "published_at")
 
 
 def arrival_ledger(df: DataFrame, late_sign: str = "reference") -> DataFrame:
     """The last fact of every event when movements are handled in order of arrival; ``outcome`` says how it came about.
 
-    Rows are dealt by key, sorted by arrival and streamed; the log and the last facts of one key at a time are held. A
-    late movement within the horizon replays its key's log. The streaming form keeps the same state between batches.
+    Rows are dealt by key, sorted by arrival and streamed; one key at a time is held. A row in sequence costs the same
+    whatever the key's length; a late one within the horizon costs what the rows behind its place do.
     """
-    arrow = to_arrow_schema(StructType.fromDDL(FACT))
-    fields = ("sequence_engine_key", "event_id", "movement_type", "quantity", "unit_cost")
-
-    def rows_of(key: list | None, last: dict) -> list[tuple]:
-        return [row for outcome, fact in last.values() for row in facts_of(key, outcome, [fact])]
-
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, ledger, last = None, None, {}
+        here, ledger = None, KeyLedger(late_sign)
+        last = lambda: raw_facts(here, ledger.outcomes(), ledger.facts(0, len(ledger)))
         for batch in batches:
-            out = []
-            for *key, age, seq, event_id, kind, quantity, cost in zip(*[batch.column(c).to_pylist() for c in (*KEYS, "age", *fields)]):
-                if ledger is None or key != here:
-                    out += rows_of(here, last)
-                    here, ledger, last = key, KeyLedger(late_sign=late_sign), {}
-                outcome, facts = ledger.arrive((seq, event_id, kind, quantity, cost), age)
-                last.update((f[0], (outcome, f)) for f in facts)
-            if out:
-                yield as_batch(out)
-        if last:
-            yield as_batch(rows_of(here, last))
-
-    age = F.expr("coalesce(timestampdiff(MICROSECOND, occurred_at, published_at) / 86400e6D, double('nan'))").alias("age")
-    needed = df.select(*KEYS, *fields, age, "published_at").repartition(*KEYS).sortWithinPartitions(*KEYS, *[F.asc_nulls_last(c) for c in ARRIVAL])
-    return needed.mapInArrow(run, FACT)
+            for *key, age, seq, event_id, kind, quantity, cost in zip(*[batch.column(c).to_pylist() for c in (*KEYS, "age", *_FIELDS)]):
+                if key != here:
+                    if len(ledger):
+                        yield last()
+                    here, ledger = key, KeyLedger(late_sign)
+                ledger.take((seq, event_id, kind, quantity, cost), age)
+        if len(ledger):
+            yield last()
+
+    dealt = arriving(df).repartition(*KEYS).sortWithinPartitions(*KEYS, *[F.asc_nulls_last(c) for c in ARRIVAL])
+    return priced(dealt.mapInArrow(run, _RAW))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lotflow.operators import contracts, dedup, fifo, restate, snapshots
-from lotflow.plans.sql import with_ledger, with_movements
+from lotflow.plans.sql import ARRIVALS, MOVEMENTS, with_ledger, with_movements
 from lotflow.runtime import cut, table
 from lotflow.schemas import KEYS
 from lotflow.sources import views
@@ -169,6 +169,8 @@ ORACLE = {
     "ledger_reconcile": with_ledger("select sku, location_id, count(*) as movements, round(cast(sum(delta) as double), 6) as sum_delta, round(cast(sum(delta) as double), 6) as qty_on_hand, round(cast(sum(delta) as double), 6) as lots_on_hand, round(cast(sum(supply * unit_cost) - sum(cogs) as double), 6) as fifo_total_value, round(cast(sum(supply * unit_cost) - sum(cogs) as double), 6) as lots_value, true as balanced from facts group by all"),
     "late_arrivals": with_movements(f", {_TYPED}, {_LATE} select event_id, sku, location_id, sequence_engine_key, newest_before from flagged where sequence_engine_key < newest_before"),
     "horizon_adjustments": with_movements(f", {_TYPED}, {_LATE}, policies as (select *, case when coalesce(sequence_engine_key < newest_before, false) then case when published_at - occurred_at > interval 30 day then 'adjust' else 'restate' end else 'append' end as policy from flagged) select policy, case when policy = 'adjust' then 3 else movement_type end as applied_type, count(*) as movements, round(cast(sum(quantity) as double), 6) as quantity from policies group by all"),
+    "arrival_ledger": f"""with recursive {MOVEMENTS}, {ARRIVALS} select id as event_id, sku, location_id, seq as sequence_engine_key, outcome, round(cast(held as double) / 1e4, 6) as qty_on_hand,
+ floor((case when need > 0 then cast(cogs as double) / 1e4 / cast(need as double) else 0 end) * 1e6 + 0.501) / 1e6 as fifo_unit_cost, round(cast(worth as double) / 1e8, 6) as fifo_total_value from last_facts""",
     "restatement_delta": _restatement_sql(),
     "dedup_redelivery": with_movements(f", {_TWICE} select event_id, min(published_at) as published_at, any_value(sku) as sku, any_value(quantity) as quantity from twice group by event_id"),
     "fact_upsert": with_movements(f", {_TWICE} select event_id, max(published_at) as published_at, any_value(sku) as sku, any_value(quantity) as quantity from twice group by event_id"),
