@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -183,7 +183,7 @@ class KeyLedger:
             first = self._restate(event)
             outcome = "restated"
         elif not late and self.lots is None and (not self.log or event > self.log[-1]):
-            first = len(self.log) if self._extend(event) else None
+            first = len(self.log) - 1 if self._extend(event) else None
             outcome = "appended"
         else:
             if late and self.late_sign == "signed" and kind == CONSUMPTION:
@@ -204,6 +204,30 @@ class KeyLedger:
             self.newest = seq if self.newest is None else max(self.newest, seq)
         return outcome, first, end
 
+    @classmethod
+    def restored(cls, rows: list[tuple], sums: tuple, lots: list[tuple], late_sign: str = "reference") -> KeyLedger:
+        """A ledger as ``rows_at`` and ``sums`` told of it, rows in any order; ``lots`` are those of a ledger that has its own."""
+        ledger = cls(late_sign)
+        for row in sorted(rows):
+            for name, value in zip(cls._ROWS, row):
+                getattr(ledger, name).append(value)
+        ledger.seen = {e[1] for e in ledger.log}
+        ledger.clean, ledger.newest, ledger.accepted, ledger.restated, apart = sums
+        if apart:
+            ledger.lots = sorted(lots)
+            ledger.on_hand, ledger.value = sum(x[2] for x in lots), sum(x[2] * x[3] for x in lots)
+        elif ledger.log:
+            ledger.at = bisect_right(ledger.up, ledger.down[-1])
+        return ledger
+
+    def rows_at(self, places: Iterable[int]) -> Iterator[tuple]:
+        columns = [getattr(self, name) for name in self._ROWS]
+        for k in places:
+            yield tuple(c[k] for c in columns)
+
+    def sums(self) -> tuple:
+        return self.clean, self.newest, self.accepted, self.restated, self.lots is not None
+
     def facts(self, first: int, end: int) -> list[tuple]:
         """(event id, sequence key, delta, (cost of what was depleted, how much), on hand, value) of some places."""
         return [(e[1], e[0], *rest) for e, *rest in zip(*(getattr(self, c)[first:end] for c in ("log", "delta")), zip(self.cogs[first:end], self.need[first:end]), self.held[first:end], self.worth[first:end])]
@@ -219,8 +243,8 @@ class KeyLedger:
 
 
 #: A fact as the ledger gives it: quantities and costs in ten-thousandths, values in 1e-8.
-_RAW = "event_id string, sku string, location_id string, sequence_engine_key long, outcome string, qty_delta decimal(38,4), cogs decimal(38,8), need decimal(38,4), qty_on_hand decimal(38,4), fifo_total_value decimal(38,8)"
-_FIELDS = ("sequence_engine_key", "event_id", "movement_type", "quantity", "unit_cost")
+RAW = "event_id string, sku string, location_id string, sequence_engine_key long, outcome string, qty_delta decimal(38,4), cogs decimal(38,8), need decimal(38,4), qty_on_hand decimal(38,4), fifo_total_value decimal(38,8)"
+FIELDS = ("sequence_engine_key", "event_id", "movement_type", "quantity", "unit_cost")
 
 
 def exact(numbers: list[int], places: int) -> pa.Array:
@@ -230,11 +254,11 @@ def exact(numbers: list[int], places: int) -> pa.Array:
 
 
 def raw_facts(key: tuple, outcomes: list[str], facts: list[tuple]) -> pa.RecordBatch:
-    """Rows of ``_RAW`` from a ledger over ten-thousandths."""
+    """Rows of ``RAW`` from a ledger over ten-thousandths."""
     ids, seqs, delta, costs, held, worth = zip(*facts) if facts else ([],) * 6
     columns = [pa.array(ids, pa.string()), *(pa.array([k] * len(ids), pa.string()) for k in key), pa.array(seqs, pa.int64()), pa.array(outcomes, pa.string())]
     columns += [exact(delta, 4), exact([c for c, _ in costs], 8), exact([n for _, n in costs], 4), exact(held, 4), exact(worth, 8)]
-    return pa.RecordBatch.from_arrays(columns, names=[field.split()[0] for field in _RAW.split(", ")])
+    return pa.RecordBatch.from_arrays(columns, names=[field.split()[0] for field in RAW.split(", ")])
 
 
 def priced(raw: DataFrame) -> DataFrame:
@@ -263,7 +287,7 @@ def arrival_ledger(df: DataFrame, late_sign: str = "reference") -> DataFrame:
         here, ledger = None, KeyLedger(late_sign)
         last = lambda: raw_facts(here, ledger.outcomes(), ledger.facts(0, len(ledger)))
         for batch in batches:
-            for *key, age, seq, event_id, kind, quantity, cost in zip(*[batch.column(c).to_pylist() for c in (*KEYS, "age", *_FIELDS)]):
+            for *key, age, seq, event_id, kind, quantity, cost in zip(*[batch.column(c).to_pylist() for c in (*KEYS, "age", *FIELDS)]):
                 if key != here:
                     if len(ledger):
                         yield last()
@@ -273,4 +297,4 @@ def arrival_ledger(df: DataFrame, late_sign: str = "reference") -> DataFrame:
             yield last()
 
     dealt = arriving(df).repartition(*KEYS).sortWithinPartitions(*KEYS, *[F.asc_nulls_last(c) for c in ARRIVAL])
-    return priced(dealt.mapInArrow(run, _RAW))
+    return priced(dealt.mapInArrow(run, RAW))

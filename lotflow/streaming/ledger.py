@@ -1,19 +1,15 @@
-"""Structured Streaming forms of the stateful operators. Every query takes a checkpoint folder and can be restarted."""
+"""Sources and stream jobs without state of their own. Every query takes a checkpoint folder and can be restarted."""
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lotflow.operators import contracts, dlq, workflow
-from lotflow.operators.restate import FACT, KeyLedger, events_of, fact_rows
-from lotflow.schemas import KEYS, MOVEMENT, VENDOR_EMAIL
+from lotflow.schemas import MOVEMENT, VENDOR_EMAIL
 
 
 def movement_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
@@ -33,24 +29,6 @@ def deduplicated(stream: DataFrame, event_time: str | None = None, delay: str =
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def arrival_facts(stream: DataFrame, late_sign: str = "reference") -> DataFrame:
-    """Facts of typed movements in order of arrival: append, restate, adjust or reject, with state per key.
-
-    Rows of a key are sorted inside each micro-batch by arrival; a restatement emits every fact of the key again, so the
-    newest row of an event replaces the older ones (``upsert``). State keeps the key's lots, log and seen ids.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ledger = KeyLedger(pickle.loads(state.get[0]) if state.exists else None, late_sign)
-        rows = pd.concat(list(batches))
-        out = [ledger.arrive(event, age) for event, age in events_of(rows)]
-        state.update((pickle.dumps(ledger.state()),))
-        yield fact_rows(key, out)
-
-    needed = stream.select(*KEYS, "event_id", "sequence_engine_key", "movement_type", "quantity", "unit_cost", "occurred_at", "published_at")
-    return needed.groupBy(*KEYS).applyInPandasWithState(step, FACT, "state binary", "append", GroupStateTimeout.NoTimeout)
-
-
 def split_writer(rules: dict, good_path: str, dead_path: str, topic: str, log_path: str | None = None) -> Callable[[DataFrame, int], None]:
     """A batch function: good rows typed and appended, bad ones appended as dead letters, before the batch commits.
 
@@ -75,54 +53,6 @@ def run_ingest(spark: SparkSession, source: str, good_path: str, dead_path: str,
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(split_writer(contracts.MOVEMENT_RULES, good_path, dead_path, topic, log)).start()
 
 
-def run_facts(spark: SparkSession, source: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Typed movements in a folder -> a log of facts, one folder a batch."""
-    typed = spark.readStream.schema("event_id string, sku string, location_id string, sequence_engine_key long, movement_type int, quantity decimal(18,4), unit_cost decimal(18,4), occurred_at timestamp, published_at timestamp").parquet(source)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("emit_no", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return arrival_facts(typed).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-
-
-def upserted(spark: SparkSession, out: str, key: str = "event_id") -> DataFrame:
-    """The newest row of each key in a log that ``run_facts`` wrote."""
-    from lotflow.operators.dedup import keep_last
-
-    return keep_last(spark.read.option("basePath", out).parquet(out), [key], ["batch", "emit_no"])
-
-
-TRANSITION = "workflow_id string, event_id string, node_id string, attempt int, payload string, state string, disposition string"
-
-
-def workflow_transitions(stream: DataFrame) -> DataFrame:
-    """Transitions of ``stream(event_id, kind, sequence_engine_key, approved_by)`` with durable state per event id.
-
-    A trigger suspends its workflow; the first approval after it is accepted and completes it; anything else comes back
-    with its disposition and no transition.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get[0] if state.exists else ""
-        out = []
-        wf = f"wf-{key[0]}"
-        for kind in pd.concat(list(batches)).sort_values(["sequence_engine_key", "kind"], ascending=[True, False])["kind"]:
-            if kind == "trigger":
-                out.append((wf, key[0], None, 0, None, current or "SUSPENDED", "duplicate" if current else "created"))
-                current = current or "SUSPENDED"
-            elif current == "SUSPENDED":
-                current = "COMPLETED"
-                for node, status in zip(workflow.TASKS, ("approved", "completed")):
-                    out.append((wf, key[0], node, 1, f'{{"status":"{status}","node":"{node}"}}', current, "accepted"))
-            else:
-                out.append((wf, key[0], None, 0, None, current, "duplicate" if current else "no_workflow"))
-        if current:
-            state.update((current,))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in TRANSITION.split(", ")])
-
-    return stream.select("event_id", "kind", "sequence_engine_key").groupBy("event_id").applyInPandasWithState(step, TRANSITION, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
 def settled_figures(spark: SparkSession, source: str, checkpoint: str, out: str, waiting: str, schema: str) -> StreamingQuery:
     """Settled figures of a feed after each batch: one row a batch in ``out``, over all rows so far.
 

@@ -7,6 +7,7 @@ from lotflow.operators import restate
 from lotflow.plans.ledger import _typed
 from lotflow.schemas import MOVEMENT
 from lotflow.streaming import ledger as live
+from lotflow.streaming import stateful
 
 from .helpers import DIR
 
@@ -32,9 +33,9 @@ def test_arrival_facts_over_batches_equal_the_batch_form(spark, tmp_path):
     typed = _typed(spark, DIR).select(*cols).where("sku in ('SKU-1', 'SKU-2', 'SKU-3')").withColumns({c: F.col(c).cast("timestamp") for c in ("occurred_at", "published_at")})
     for k, (a, b) in enumerate((("1990-01-01", "1997-01-01"), ("1997-01-01", "2000-01-01"), ("2000-01-01", "2100-01-01"))):
         typed.where(f"published_at >= timestamp'{a}' and published_at < timestamp'{b}'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        assert live.run_facts(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(180)
+        assert stateful.run_facts(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(180)
     pick = lambda df: sorted((r.event_id, r.qty_on_hand, r.fifo_total_value) for r in df.collect())
-    assert pick(live.upserted(spark, f"{tmp_path}/out")) == pick(restate.arrival_ledger(typed))
+    assert pick(stateful.upserted(spark, f"{tmp_path}/out")) == pick(restate.arrival_ledger(typed))
 
 
 def test_workflow_survives_a_restart(spark, tmp_path):
@@ -42,16 +43,16 @@ def test_workflow_survives_a_restart(spark, tmp_path):
 
     def go(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = live.workflow_transitions(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
-        assert stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
+        stream = stateful.workflow_transitions(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        assert stateful.started(stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True), spark).awaitTermination(120)
 
-    go([("e1", "trigger", 1, None), ("e2", "trigger", 1, None), ("x", "approval", 5, "u")])
+    go([("e1", "trigger", 1, None), ("e2", "trigger", 1, None), ("x", "approval", 5, "u"), ("y", "approval", 1, "u"), ("y", "trigger", 2, None)])
     go([("e1", "approval", 2, "u"), ("e1", "approval", 3, "v"), ("e1", "trigger", 4, None)])
     live.append_outbox(f"{tmp_path}/outbox")(spark.createDataFrame([("wf-e", "t", 1, datetime(2024, 1, 1), "NodeTransition", "{}")], "workflow_id string, trace_parent string, sequence_engine_key long, occurred_at timestamp, event_type string, payload string"), 3)
     assert [(r.aggregate_id, bytes(r.payload), r.batch) for r in spark.read.parquet(f"{tmp_path}/outbox").collect()] == [("wf-e", b"{}", 3)]
     rows = spark.read.parquet(f"{tmp_path}/out").collect()
     assert sorted(r.node_id for r in rows if r.event_id == "e1" and r.disposition == "accepted") == ["final_step", "human_approval"]
-    assert sorted((r.event_id, r.disposition) for r in rows if r.disposition != "accepted") == [("e1", "created"), ("e1", "duplicate"), ("e1", "duplicate"), ("e2", "created"), ("x", "no_workflow")]
+    assert sorted((r.event_id, r.disposition) for r in rows if r.disposition != "accepted") == [("e1", "created"), ("e1", "duplicate"), ("e1", "duplicate"), ("e2", "created"), ("x", "no_workflow"), ("y", "created"), ("y", "stray")]
 
 
 def test_settled_figures_and_changefeed(spark, tmp_path):
@@ -80,3 +81,31 @@ def test_dedup_within_watermark(spark, tmp_path):
     assert stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b"]
     assert Decimal(1)
+
+
+def test_leases_run_out_once_and_workflows_are_forgotten(spark, tmp_path):
+    schema = "event_id string, kind string, sequence_engine_key long, at timestamp"
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+
+    def go(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = stateful.workflow_transitions(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "at", "1 hour", keep_days=10)
+        assert stateful.started(stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True), spark).awaitTermination(120)
+
+    go([("slow", "trigger", 1, day(0)), ("fast", "trigger", 1, day(0)), ("fast", "approval", 2, day(0))])
+    go([("other", "trigger", 1, day(2))])  # the watermark passes the lease of the slow one
+    go([("slow", "approval", 2, day(3)), ("fast", "approval", 3, day(3))])
+    go([("other", "approval", 2, day(20))])
+    go([("fast", "approval", 4, day(21)), ("other", "approval", 3, day(21))])
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    told = sorted((r.event_id, r.disposition) for r in rows if r.disposition not in ("created", "accepted"))
+    assert told == [("fast", "duplicate"), ("fast", "no_workflow"), ("other", "duplicate"), ("slow", "overdue")]
+    assert sorted({r.event_id for r in rows if r.disposition == "accepted"}) == ["fast", "other", "slow"]
+
+
+def test_state_store_is_set_for_its_query_alone(spark, tmp_path):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    stream = stateful.workflow_transitions(spark.readStream.schema("event_id string, kind string, sequence_engine_key long").parquet(f"{tmp_path}"))
+    stateful.started(stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True), spark).awaitTermination(120)
+    assert spark.conf.get(name) == before
