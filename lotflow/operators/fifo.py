@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotflow.operators import scan
 from lotflow.runtime import cut
 from lotflow.schemas import KEYS, ORDER
 
@@ -166,15 +167,21 @@ def allocate_by_overlap(accepted: DataFrame) -> DataFrame:
     return pairs.selectExpr(*KEYS, "lot_id", "consumption_id", "least(s_hi, d_hi) - greatest(s_lo, d_lo) as taken", "unit_cost").selectExpr(*KEYS, "lot_id", "consumption_id", "unit_cost", *_TAKEN.split(", ", 1))
 
 
-def value(accepted: DataFrame) -> DataFrame:
+def value(accepted: DataFrame, segments: int | None = None) -> DataFrame:
     """Accepted movements with FIFO facts: qty_delta, qty_on_hand, fifo_unit_cost, fifo_total_value, moving_avg_cost.
 
-    Values have 30 digits before the point; beyond that they are null, and the other facts stay.
+    Values have 30 digits before the point; beyond that they are null, and the other facts stay. With ``segments`` the
+    running sums are a scan in so many segments, for hot keys (values beyond their column then end the job).
     """
     cogs = allocate(accepted).groupBy(*KEYS, F.col("consumption_id").alias("event_id")).agg(F.try_sum("cost").alias("cogs"), F.lit(True).alias("_depletes"))
     rows = accepted.join(cogs, [*KEYS, "event_id"], "left").withColumn("cogs", F.when(F.col("_depletes"), F.col("cogs")).otherwise(0).cast("decimal(38,8)"))
-    rows = rows.withColumn("qty_on_hand", F.expr(f"cast(sum(supply - demand) over ({_SEQ}) as decimal(28,4))"))
-    rows = rows.withColumn("fifo_total_value", F.expr(f"try_sum(cast(cast(supply * unit_cost as decimal(38,8)) - cogs as decimal(38,8))) over ({_SEQ})"))
+    worth = "cast(cast(supply * unit_cost as decimal(38,8)) - cogs as decimal(38,8))"
+    if segments:
+        rows = scan.running(cut(rows), list(KEYS), list(ORDER), {"qty_on_hand": "supply - demand", "fifo_total_value": worth}, segments=segments)
+        rows = rows.withColumns({"qty_on_hand": F.col("qty_on_hand").cast("decimal(28,4)"), "fifo_total_value": F.col("fifo_total_value").cast("decimal(38,8)")})
+    else:
+        rows = rows.withColumn("qty_on_hand", F.expr(f"cast(sum(supply - demand) over ({_SEQ}) as decimal(28,4))"))
+        rows = rows.withColumn("fifo_total_value", F.expr(f"try_sum({worth}) over ({_SEQ})"))
     return (
         rows.withColumn("qty_delta", F.expr("delta"))
         .withColumn("fifo_unit_cost", F.expr(f"case when demand > 0 then {quotient('cogs', 'demand')} else cast(0 as decimal(38,16)) end"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotflow.operators import scan
+
 #: Stage names as a buyer would say them.
 STAGE_LABELS = {"PO_CREATED": "Order raised", "VENDOR_CONFIRMED": "Vendor confirmed", "APPROVED": "Approved", "IN_TRANSIT": "In transit", "RECEIVED": "Received"}
 
@@ -43,8 +45,11 @@ def figures(settled: DataFrame, *by: str) -> DataFrame:
 
 
 def watermark_in_force(records: DataFrame, feed: str = "topic", order: str = "offset") -> DataFrame:
-    """``records(.., watermark)`` with the last watermark of the feed at each record."""
-    return records.withColumn("in_force", F.expr(f"last(watermark, true) over (partition by {feed} order by {order} rows unbounded preceding)"))
+    """``records(.., watermark)`` with the last watermark of the feed at each record.
+
+    A scan in segments: a feed may hold any share of the records, as no task holds a whole one.
+    """
+    return scan.running(records, [feed], [order], lasts={"in_force": "watermark"})
 
 
 def replay(df: DataFrame, from_seq: int = 0, to_seq: int | None = None, exclusive: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotflow.operators import scan
 from lotflow.schemas import KEYS, ORDER
 
 GRAINS = {"sku_day": ["sku"], "sku_location_day": ["sku", "location_id"]}
@@ -20,17 +21,22 @@ def daily(facts: DataFrame, grain: str = "sku_location_day", order: tuple[str, .
     return flat.withColumn("snapshot_id", F.concat_ws("_", *by, F.date_format("snapshot_date", "yyyy-MM-dd")))
 
 
-def before(probes: DataFrame, facts: DataFrame, at: str = "at_sequence") -> DataFrame:
+def before(probes: DataFrame, facts: DataFrame, at: str = "at_sequence", segments: int | None = None) -> DataFrame:
     """For each probe the key's last fact strictly before its sequence key; nulls if there is none.
 
-    Probes and facts are sorted together by key, probes first on ties, and the last fact is carried forward.
+    Probes and facts are sorted together by key, probes first on ties, and the last fact is carried forward. With
+    ``segments`` that is a scan in so many segments, for hot keys; it reads both sides three times.
     """
     kept = [c for c in facts.columns if c not in (*KEYS, "sequence_engine_key")]
     found = F.struct("sequence_engine_key", *kept)
     probe = [c for c in probes.columns if c not in (*KEYS, at)]
     a = probes.select(*KEYS, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.struct(*probe).alias("_probe"), F.lit(None).cast(facts.select(found.alias("f")).schema["f"].dataType).alias("_fact"))
     b = facts.select(*KEYS, F.col("sequence_engine_key").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_probe"].dataType).alias("_probe"), found.alias("_fact"))
-    filled = a.unionByName(b).withColumn("_fact", F.expr("last(_fact, true) over (partition by sku, location_id order by _at, _side rows unbounded preceding)"))
+    both = a.unionByName(b)
+    if segments:
+        filled = scan.running(both, list(KEYS), ["_at", "_side"], lasts={"_fact": "_fact"}, segments=segments)
+    else:
+        filled = both.withColumn("_fact", F.expr("last(_fact, true) over (partition by sku, location_id order by _at, _side rows unbounded preceding)"))
     return filled.where("_side = 0").select("_probe.*", *KEYS, F.col("_at").alias(at), "_fact.*")
 
 
