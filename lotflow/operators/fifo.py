@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotflow.operators import scan
-from lotflow.runtime import cut
+from lotflow.runtime import by_key, cut
 from lotflow.schemas import KEYS, ORDER
 
 _KEY = "partition by sku, location_id"
@@ -112,7 +112,7 @@ def accept(df: DataFrame) -> DataFrame:
             at = batch.schema.get_field_index("rejected")
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], reasons, *batch.columns[at + 1 :]], schema=batch.schema)
 
-    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, *ORDER).mapInArrow(fold, rows.schema).drop("_up", "_down")
+    return by_key(rows, KEYS, *ORDER).mapInArrow(fold, rows.schema).drop("_up", "_down")
 
 
 def _intervals(accepted: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotflow.operators import fifo
+from lotflow.runtime import by_key, cut
 from lotflow.schemas import ADJUSTMENT, CONSUMPTION, KEYS, RECEIPT
 
 ARRIVAL = ("published_at", "sequence_engine_key", "event_id")
@@ -35,6 +37,10 @@ def restated(processed: DataFrame, late: DataFrame) -> DataFrame:
     touched = late.select(*KEYS).distinct()
     old = fifo.facts(processed.join(touched, list(KEYS), "left_semi"))
     new = fifo.facts(processed.join(touched, list(KEYS), "left_semi").unionByName(late))
+    return _changed(old, new)
+
+
+def _changed(old: DataFrame, new: DataFrame) -> DataFrame:
     pick = lambda df, tag: df.select(*KEYS, "event_id", F.col("fifo_unit_cost").alias(f"{tag}_unit_cost"), F.col("fifo_total_value").alias(f"{tag}_total_value"))
     return pick(old, "old").join(pick(new, "new"), [*KEYS, "event_id"]).where("old_unit_cost <> new_unit_cost or old_total_value <> new_total_value")
 
@@ -46,6 +52,35 @@ def _parts(kind: int, quantity, cost) -> tuple:
     return up, down, -quantity if kind == CONSUMPTION else quantity, up * cost
 
 
+def stored_lots(accepted: DataFrame, marks: list[int]) -> DataFrame:
+    """(as_of, sku, location_id, lot_id, sequence_engine_key, remaining_qty, unit_cost): lots left at each of ``marks``.
+
+    ``accepted`` are accepted movements; a mark is a sequence key, itself included.
+    """
+    at = [fifo.balance(accepted.where(F.col("sequence_engine_key") <= m)).select(F.lit(m).cast("long").alias("as_of"), "*") for m in marks]
+    return reduce(DataFrame.unionByName, at)
+
+
+def restated_since(processed: DataFrame, late: DataFrame, stored: DataFrame, marks: list[int]) -> DataFrame:
+    """As ``restated``, valued forward from ``stored`` lots instead of from the first movement.
+
+    A key that late rows touch starts from the newest of ``marks`` before its first late row: the lots of then are its
+    opening receipts, and of ``processed`` it needs later movements alone. What is older than all starts is not read.
+    Keys whose late rows come before every mark start from nothing.
+    """
+    start = F.array_max(F.filter(F.array(*[F.lit(m).cast("long") for m in marks]), lambda m: m < F.col("first"))) if marks else F.lit(None).cast("long")
+    touched = cut(late.groupBy(*KEYS).agg(F.min("sequence_engine_key").alias("first")).select(*KEYS, start.alias("as_of")))
+    oldest = touched.agg(F.min(F.coalesce("as_of", F.lit(-1)))).first()[0]
+    if oldest is None:  # no late rows
+        oldest = 1 << 62
+    recent = processed.where(F.col("sequence_engine_key") > oldest).join(touched, list(KEYS)).where("sequence_engine_key > coalesce(as_of, -1)")
+    opening = stored.join(touched, [*KEYS, "as_of"], "left_semi").select(*KEYS, "sequence_engine_key", "unit_cost", F.col("lot_id").alias("event_id"), F.lit(RECEIPT).alias("movement_type"), F.col("remaining_qty").alias("quantity"), F.lit(True).alias("_opening"))
+    columns = [*KEYS, "sequence_engine_key", "unit_cost", "event_id", "movement_type", "quantity", "_opening"]
+    moved = lambda df: df.withColumn("_opening", F.lit(False)).select(*columns)
+    before = opening.select(*columns).unionByName(moved(recent))
+    return _changed(fifo.facts(before).where("not _opening"), fifo.facts(before.unionByName(moved(late))).where("not _opening"))
+
+
 class KeyLedger:
     """One key in order of arrival: the log in order of sequence, what a replay of it sums up to, and each row's last fact.
 
@@ -296,5 +331,5 @@ def arrival_ledger(df: DataFrame, late_sign: str = "reference") -> DataFrame:
         if len(ledger):
             yield last()
 
-    dealt = arriving(df).repartition(*KEYS).sortWithinPartitions(*KEYS, *[F.asc_nulls_last(c) for c in ARRIVAL])
+    dealt = by_key(arriving(df), KEYS, *[F.asc_nulls_last(c) for c in ARRIVAL])
     return priced(dealt.mapInArrow(run, RAW))

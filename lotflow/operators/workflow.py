@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotflow.operators.dedup import keep_first
-from lotflow.runtime import cut
+from lotflow.runtime import by_key, cut
 
 TASKS = ("human_approval", "final_step")
 LEASE_HOURS = 24
@@ -125,7 +125,7 @@ def _orders_by_graph(named: DataFrame) -> DataFrame:
         if needs:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows()), kinds)], names=_ORDER)
 
-    dealt = named.select("graph_id", "node_id", "dependency_id").repartition("graph_id").sortWithinPartitions("graph_id")
+    dealt = by_key(named.select("graph_id", "node_id", "dependency_id"), ("graph_id",))
     return dealt.mapInArrow(run, f"graph_id {types['graph_id']}, node_id {types['node_id']}, position long, level long, cyclic boolean")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotflow.operators import contracts, dedup, fifo, restate, snapshots
+from lotflow.operators import contracts, dedup, fifo, restate, seen, snapshots
 from lotflow.plans.sql import ARRIVALS, MOVEMENTS, with_ledger, with_movements
 from lotflow.runtime import cut, table
 from lotflow.schemas import KEYS
@@ -110,6 +110,14 @@ def restatement_delta(spark, sf_dir):
     return restate.restated(early, late).select("event_id", *KEYS, _Q("old_unit_cost"), _Q("new_unit_cost"), _D("old_total_value"), _D("new_total_value"))
 
 
+def incremental_valuation(spark, sf_dir):
+    typed = cut(_typed(spark, sf_dir))
+    early, late = typed.where("published_at < timestamp'1998-06-01'"), typed.where("published_at >= timestamp'1998-06-01'")
+    marks = [int(m) for m in early.agg(F.percentile_approx("sequence_engine_key", [0.25, 0.5, 0.75, 0.9]).alias("m")).first().m or []]
+    stored = restate.stored_lots(cut(fifo.accept(early).where("rejected is null")), marks)
+    return restate.restated_since(early, late, stored, marks).select("event_id", *KEYS, _Q("old_unit_cost"), _Q("new_unit_cost"), _D("old_total_value"), _D("new_total_value"))
+
+
 def dedup_redelivery(spark, sf_dir):
     return dedup.keep_first(views.redelivered(spark, sf_dir), ["event_id"], ["published_at"]).select("event_id", "published_at", "sku", "quantity")
 
@@ -120,6 +128,12 @@ def claim_once(spark, sf_dir):
     return dedup.claim(rows, done, ["event_id"], ["published_at"]).select("event_id", "published_at", "location_id")
 
 
+def claim_unseen(spark, sf_dir):
+    done = views.movements(spark, sf_dir).where("location_id = 'LOC-1'").select("event_id", F.date_trunc("year", "published_at").alias("day"))
+    first = dedup.keep_first(views.redelivered(spark, sf_dir), ["event_id"], ["published_at"])
+    return seen.unprocessed(first, done, cut(seen.filters(done))).select("event_id", "published_at", "location_id")
+
+
 def fact_upsert(spark, sf_dir):
     return dedup.keep_last(views.redelivered(spark, sf_dir), ["event_id"], ["published_at"]).select("event_id", "published_at", "sku", "quantity")
 
@@ -146,8 +160,8 @@ _TYPED = "typed as (select * replace (cast(quantity as decimal(18,4)) as quantit
 _TWICE = "twice as (select * from movements union all select * replace (published_at + interval 1 day as published_at) from movements where redelivered)"
 
 
-def _restatement_sql() -> str:
-    old = with_ledger("select event_id, sku, location_id, cogs, demand, fifo_total_value from facts").replace("from lineitem)", "from lineitem where l_shipdate + to_days(cast(l_orderkey % 45 as integer)) < timestamp '1998-01-01')")
+def _restatement_sql(day: str) -> str:
+    old = with_ledger("select event_id, sku, location_id, cogs, demand, fifo_total_value from facts").replace("from lineitem)", "from lineitem where l_shipdate + to_days(cast(l_orderkey % 45 as integer)) < timestamp '" + day + "')")
     new = with_ledger("select event_id, sku, location_id, cogs, demand, fifo_total_value from facts")
     cost = lambda t: f"(case when {t}.demand > 0 then cast({t}.cogs as double) / cast({t}.demand as double) else 0 end)"
     return f"""select o.event_id, o.sku, o.location_id, floor({cost('o')} * 1e6 + 0.501) / 1e6 as old_unit_cost, floor({cost('n')} * 1e6 + 0.501) / 1e6 as new_unit_cost,
@@ -171,10 +185,12 @@ ORACLE = {
     "horizon_adjustments": with_movements(f", {_TYPED}, {_LATE}, policies as (select *, case when coalesce(sequence_engine_key < newest_before, false) then case when published_at - occurred_at > interval 30 day then 'adjust' else 'restate' end else 'append' end as policy from flagged) select policy, case when policy = 'adjust' then 3 else movement_type end as applied_type, count(*) as movements, round(cast(sum(quantity) as double), 6) as quantity from policies group by all"),
     "arrival_ledger": f"""with recursive {MOVEMENTS}, {ARRIVALS} select id as event_id, sku, location_id, seq as sequence_engine_key, outcome, round(cast(held as double) / 1e4, 6) as qty_on_hand,
  floor((case when need > 0 then cast(cogs as double) / 1e4 / cast(need as double) else 0 end) * 1e6 + 0.501) / 1e6 as fifo_unit_cost, round(cast(worth as double) / 1e8, 6) as fifo_total_value from last_facts""",
-    "restatement_delta": _restatement_sql(),
+    "restatement_delta": _restatement_sql("1998-01-01"),
+    "incremental_valuation": _restatement_sql("1998-06-01"),
     "dedup_redelivery": with_movements(f", {_TWICE} select event_id, min(published_at) as published_at, any_value(sku) as sku, any_value(quantity) as quantity from twice group by event_id"),
     "fact_upsert": with_movements(f", {_TWICE} select event_id, max(published_at) as published_at, any_value(sku) as sku, any_value(quantity) as quantity from twice group by event_id"),
     "claim_once": with_movements(f", {_TWICE} select event_id, min(published_at) as published_at, any_value(location_id) as location_id from twice where event_id not in (select event_id from movements where location_id = 'LOC-1') group by event_id"),
+    "claim_unseen": with_movements(f", {_TWICE} select event_id, min(published_at) as published_at, any_value(location_id) as location_id from twice where event_id not in (select event_id from movements where location_id = 'LOC-1') group by event_id"),
     "contract_violations": with_movements("""select rule, count(*) as movements from (select case sequence_engine_key % 50 when 0 then 'event_id_uuid' when 1 then 'trace_parent_format' when 2 then 'sku_empty' when 3 then 'quantity_format'
  when 4 then 'unit_cost_format' when 5 then 'occurred_at_missing' when 6 then 'sequence_out_of_range' when 7 then 'event_id_uuid' when 8 then 'quantity_format' when 9 then 'quantity_too_fine' else 'ok' end as rule from movements) group by rule"""),
     "signed_deltas": with_movements(f", {_TYPED} select movement_type, count(*) as movements, round(cast(sum(case when movement_type = 2 then -quantity else quantity end) as double), 6) as delta, round(cast(sum(case when movement_type <> 2 and quantity > 0 then quantity else 0 end) as double), 6) as supply, round(cast(sum(case when movement_type = 2 then quantity when quantity < 0 then -quantity else 0 end) as double), 6) as demand from typed group by all"),
@@ -182,5 +198,5 @@ ORACLE = {
 
 QUERIES = [
     fifo_facts, fifo_allocation, fifo_allocation_sweep, lot_balance, on_hand_from_lots, rejected_movements, sku_day_snapshot, sku_location_day_snapshot, snapshot_before, inventory_value, ledger_reconcile,
-    late_arrivals, horizon_adjustments, arrival_ledger, restatement_delta, dedup_redelivery, fact_upsert, claim_once, contract_violations, signed_deltas,
+    late_arrivals, horizon_adjustments, arrival_ledger, restatement_delta, incremental_valuation, dedup_redelivery, fact_upsert, claim_once, claim_unseen, contract_violations, signed_deltas,
 ]

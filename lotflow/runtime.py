@@ -6,7 +6,8 @@ import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_key(df: DataFrame, keys: tuple[str, ...], *order: str | Column) -> DataFrame:
+    """Rows dealt by key and sorted by key and ``order``, for one pass over each partition.
+
+    They are dealt by a struct of the keys. An exchange by the columns themselves is left out of a plan that has dealt by
+    them already, for a join or a union of joins; such a join may become a broadcast while the query runs, and then the
+    rows of a key would lie in several partitions.
+    """
+    return df.repartition(F.struct(*keys)).sortWithinPartitions(*keys, *order)
+
+
 @contextmanager
 def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
     """Settings, with ``__`` for each point of a name, that hold inside the block alone; the session has its own again after it."""
