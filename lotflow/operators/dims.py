@@ -23,3 +23,26 @@ def scd2(history: DataFrame, key: str, value: str, at: str) -> DataFrame:
     by = f"partition by {key} order by {at}"
     changed = history.withColumn("_was", F.expr(f"lag({value}) over ({by})")).withColumn("_first", F.expr(f"row_number() over ({by})")).where(f"_first = 1 or not ({value} <=> _was)")
     return changed.select(key, value, F.col(at).alias("valid_from"), F.expr(f"lead({at}) over ({by})").alias("valid_to")).withColumn("current", F.col("valid_to").isNull())
+
+
+def splice(history: DataFrame, late: DataFrame, key: str, value: str, at: str) -> DataFrame:
+    """What ``late`` observations change in the versions of ``history``: rows of ``scd2`` with ``action``, put or drop.
+
+    Only keys that ``late`` has are looked at. A put replaces the version of the key that begins at the same time, or is
+    new; a dropped version has been merged into the one before it. Of observations of one key and time the greatest holds.
+    """
+    columns = [key, value, at]
+    touched = late.select(key).distinct()
+    once = lambda df: df.groupBy(key, at).agg(F.max(value).alias(value)).select(*columns)
+    mine = history.select(*columns).join(touched, key, "left_semi")
+    old, new = scd2(once(mine), key, value, at), scd2(once(mine.unionByName(late.select(*columns))), key, value, at)
+    rows = lambda df: df.select(key, "valid_from", F.struct(value, "valid_to", "current").alias("row"))
+    both = rows(old).withColumnRenamed("row", "was").join(rows(new), [key, "valid_from"], "full_outer").where(~F.col("was").eqNullSafe(F.col("row")))
+    kept = F.coalesce("row", "was")
+    return both.select(key, kept[value].alias(value), "valid_from", kept["valid_to"].alias("valid_to"), kept["current"].alias("current"), F.when(F.col("row").isNull(), "drop").otherwise("put").alias("action"))
+
+
+def spliced(versions: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Stored ``versions`` with the ``changes`` that ``splice`` gave."""
+    kept = versions.join(changes.select(key, "valid_from"), [key, "valid_from"], "left_anti")
+    return kept.unionByName(changes.where("action = 'put'").select(*versions.columns))

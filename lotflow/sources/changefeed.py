@@ -103,8 +103,11 @@ def projections(rows: DataFrame, movement_topics: tuple[str, ...] = ("fact_inven
     return out if compat else out.where("aggregate_id <> ''")
 
 
-def encode(df: DataFrame, topic: str, updated: str) -> DataFrame:
-    """(topic, value): one envelope a row, and one watermark at the newest ``updated``."""
+def encode(df: DataFrame, topic: str, updated: str, resolved: DataFrame | None = None) -> DataFrame:
+    """(topic, value): one envelope a row, and one watermark: the one row of ``resolved(m)``, or the newest ``updated``.
+
+    The newest of a whole table holds; of a batch of a stream it is no promise, and ``resolved`` has to be given.
+    """
     row = F.to_json(F.struct(F.struct(*df.columns).alias("after"), F.col(updated).cast("string").alias("updated"), F.col(updated).cast("string").alias("mvcc_timestamp")))
-    mark = df.agg(F.max(updated).alias("m")).where("m is not null").select(F.to_json(F.struct(F.col("m").cast("string").alias("resolved"))).alias("value"))
+    mark = (df.agg(F.max(updated).alias("m")) if resolved is None else resolved).where("m is not null").select(F.to_json(F.struct(F.col("m").cast("string").alias("resolved"))).alias("value"))
     return df.select(F.lit(topic).alias("topic"), row.alias("value")).unionByName(mark.select(F.lit(topic).alias("topic"), "value"))

@@ -94,11 +94,31 @@ def email_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFr
     return spark.readStream.schema(VENDOR_EMAIL).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def run_changefeed(stream: DataFrame, topic: str, updated: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Rows of a table as change-feed envelopes, with one watermark a batch."""
+def run_changefeed(stream: DataFrame, topic: str, updated: str, out: str, checkpoint: str, source: str | None = None, sources: int = 1) -> StreamingQuery:
+    """Rows of a table as change-feed envelopes, with watermarks that hold: no later row is at or below one.
+
+    ``source`` names the column of the source partition, of which there are ``sources``; in each ``updated`` ascends. A
+    batch's watermark is the least of the newest ``updated`` of all of them, so there is none before every one was heard
+    of, and none that repeats the last. What each had reached is kept in ``out`` beside the envelopes, a folder a batch.
+    A row at or below a watermark that is out breaks its source's order: it is not sent, but kept in ``late``.
+    """
     from lotflow.sources.changefeed import encode
 
+    name = F.lit("") if source is None else F.col(source).cast("string")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        encode(batch, topic, updated).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        reached = batch.groupBy(name.alias("source")).agg(F.max(updated).alias("newest"))
+        before = None
+        if batch_id:
+            before = spark.read.parquet(f"{out}/reached/batch={batch_id - 1}")
+            reached = reached.unionByName(before).groupBy("source").agg(F.max("newest").alias("newest"))
+        reached.write.mode("overwrite").parquet(f"{out}/reached/batch={batch_id}")
+        frontier = lambda df: df.agg(F.when(F.count("*") >= sources, F.min("newest")).alias("m")).first().m
+        last, now = None if before is None else frontier(before), frontier(spark.read.parquet(f"{out}/reached/batch={batch_id}"))
+        behind = F.lit(False) if last is None else F.coalesce(F.col(updated) <= F.lit(last), F.lit(False))
+        batch.where(behind).write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
+        mark = spark.range(1).select(F.lit(None if now == last else now).alias("m"))
+        encode(batch.where(~behind), topic, updated, mark).write.mode("overwrite").parquet(f"{out}/sent/batch={batch_id}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

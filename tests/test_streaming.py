@@ -1,6 +1,9 @@
+import json
+import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from lotflow.operators import restate
@@ -70,7 +73,7 @@ def test_settled_figures_and_changefeed(spark, tmp_path):
     assert spark.read.schema(schema).parquet(f"{tmp_path}/waiting/batch=2").count() == 0
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").where("resolved is null").select("sequence_engine_key", "status")
     assert live.run_changefeed(stream, "t", "sequence_engine_key", f"{tmp_path}/feed", f"{tmp_path}/ck2").awaitTermination(120)
-    values = [r.value for r in spark.read.parquet(f"{tmp_path}/feed").collect()]
+    values = [r.value for r in spark.read.parquet(f"{tmp_path}/feed/sent").collect()]
     assert len(values) == 6 and sum('"resolved":"15"' in v for v in values) == 1
 
 
@@ -109,3 +112,51 @@ def test_state_store_is_set_for_its_query_alone(spark, tmp_path):
     stream = stateful.workflow_transitions(spark.readStream.schema("event_id string, kind string, sequence_engine_key long").parquet(f"{tmp_path}"))
     stateful.started(stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True), spark).awaitTermination(120)
     assert spark.conf.get(name) == before
+
+
+def test_watermarks_are_promises(spark, tmp_path):
+    schema = "part int, updated long, v string"
+
+    def go(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        assert live.run_changefeed(stream, "t", "updated", f"{tmp_path}/feed", f"{tmp_path}/ck", "part", 2).awaitTermination(120)
+
+    go([(0, 10, "a"), (0, 30, "b")])  # the other source is not heard of yet
+    go([(1, 5, "c"), (1, 12, "d")])  # older than what went out
+    go([(0, 31, "e"), (1, 40, "f")])
+    go([(1, 7, "broken"), (1, 41, "g")])  # out of its source's order, behind what was promised
+    go([(1, 42, "h")])
+    sent = spark.read.parquet(f"{tmp_path}/feed/sent").select("batch", "value").collect()
+    marks = {r.batch: int(json.loads(r.value)["resolved"]) for r in sent if "resolved" in r.value}
+    rows = [(r.batch, int(json.loads(r.value)["updated"])) for r in sent if "resolved" not in r.value]
+    assert marks == {1: 12, 2: 31}
+    assert sorted(u for _, u in rows) == [5, 10, 12, 30, 31, 40, 41, 42]
+    assert all(u > m for b, u in rows for at, m in marks.items() if b > at)
+    assert [(r.batch, r.v) for r in spark.read.parquet(f"{tmp_path}/feed/late").collect()] == [(3, "broken")]
+
+
+def test_store_of_many_batches(spark, tmp_path):
+    from lotflow.streaming.store import Upserts
+
+    rng, newest, runs = random.Random(3), {}, []
+    open_store = lambda: Upserts(spark, f"{tmp_path}/store", "k string, v long, at int", ["k"], ["at"], fan=4, levels=3)
+    store = open_store()
+    for b in range(50):
+        rows = [(f"k{rng.randint(0, 40)}", rng.randint(0, 9), rng.randint(0, 5)) for _ in range(rng.randint(0, 12))]
+        batch = spark.createDataFrame(list({(k, at): (k, v, at) for k, v, at in rows}.values()), "k string, v long, at int")
+        if b in (7, 15, 16, 40):  # dies inside its merge, and comes again
+            broken = open_store()
+            broken._publish = lambda *_: 1 / 0
+            with pytest.raises(ZeroDivisionError):
+                broken.merge(batch, b)
+        store.merge(batch, b)
+        if b % 9 == 0:
+            open_store().merge(spark.createDataFrame([("k0", -1, 99)], "k string, v long, at int"), b)  # this batch was merged already
+        for r in sorted(batch.collect(), key=lambda r: r.at):
+            newest[r.k] = (r.v, r.at)
+        runs.append(len(store.runs()))
+    assert {r.k: (r.v, r.at) for r in open_store().read().collect()} == newest
+    assert max(runs) <= 3 + 3 + 1, "reads do not grow with the batches"
+    assert open_store().read().columns == ["k", "v", "at"]
+    assert Upserts(spark, f"{tmp_path}/none", "k string", ["k"], []).read().collect() == []
