@@ -45,4 +45,4 @@ def splice(history: DataFrame, late: DataFrame, key: str, value: str, at: str) -
 def spliced(versions: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Stored ``versions`` with the ``changes`` that ``splice`` gave."""
     kept = versions.join(changes.select(key, "valid_from"), [key, "valid_from"], "left_anti")
-    return kept.unionByName(changes.where("action = 'put'").select(*versions.columns))
+    return kept.select(*versions.columns).unionByName(changes.where("action = 'put'").select(*versions.columns))
