@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lotflow.llm.arrow import only, small_batches
 from lotflow.llm.quality import HELD_OUT
-from lotflow.llm.sampling import hashed_sample, slice_of
+from lotflow.llm.sampling import class_counts, hashed_sample, slice_of
 
 UNKNOWN = "und"
 _SPACE, _OTHER = 0, 1
@@ -203,13 +203,19 @@ def _parser(samples: dict[str, list[str]], segment: int) -> CrossParser:
 
 
 def sample(docs: DataFrame, train_chars: int = 20_000, all_chars: int = 400_000, sample_chars: int = 5_000, sample_rows: int = 200) -> dict[str, list[str]]:
-    """Labelled training text of each language from rows that are not held out."""
+    """Labelled training text of each language from rows that are not held out.
+
+    What comes to the driver is ``train_chars`` characters a language, or a like share of ``all_chars`` where there are
+    many, and ``sample_chars`` more at most.
+    """
     rows = only(docs, "doc_id", "text", "lang").where(f"lang is not null and doc_id is not null and length(text) > 0 and not {HELD_OUT}")
-    chosen = hashed_sample(rows, "lang", sample_rows, ("doc_id", "text"), "lang").withColumn("text", slice_of("text", sample_chars))
+    counts = class_counts(rows, "lang")
+    room = max(1, min(train_chars, all_chars // max(1, len(counts))))
+    chosen = hashed_sample(rows, "lang", sample_rows, ("doc_id", "text"), "lang", counts).withColumn("text", slice_of("text", sample_chars))
+    before = F.coalesce(F.expr("sum(length(text)) over (partition by lang order by place rows between unbounded preceding and 1 preceding)"), F.lit(0))
     found: dict[str, list[str]] = {}
-    for lang, text in chosen.orderBy("lang", "place").select("lang", "text").collect():
+    for lang, text in chosen.withColumn("before", before).where(F.col("before") < room).orderBy("lang", "place").select("lang", "text").collect():
         found.setdefault(lang, []).append(text)
-    room = max(1, min(train_chars, all_chars // max(1, len(found))))
     kept = {}
     for lang, texts in found.items():
         before = np.cumsum([0, *map(len, texts)])

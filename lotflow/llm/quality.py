@@ -82,12 +82,12 @@ class CompressionModel:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, calibrate: int = 1000, sample_chars: int = 20_000, dictionary_bytes: int = 65_536) -> CompressionModel | float:
     """A model from labelled rows that are not held out; the share of good rows if one class has no text at all.
 
-    An id with several labels counts as good only if all say so.
+    An id with several labels counts as good only if all say so; of several texts of an id the first in order is taken.
     """
     marked = only(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(f"not {HELD_OUT}").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = hashed_sample(marked, "quality", per_class + calibrate, ("doc_id",), "quality").select("doc_id", "quality")  # at most 2 x (per_class + calibrate) rows
     texts = only(docs, "doc_id", "text").where("length(text) > 0")
-    rows = [tuple(r) for r in texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", slice_of("text", sample_chars).alias("text")).distinct().collect()]
+    rows = [tuple(r) for r in texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", slice_of("text", sample_chars).alias("text")).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()]
     rows.sort(key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0], r[2]))
     of = {q: [r for r in rows if r[1] == q] for q in (0, 1)}
     if not of[0] or not of[1]:

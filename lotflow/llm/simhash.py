@@ -16,8 +16,8 @@ Fingerprints of 64 bits tell copies with a word or so changed. For near copies o
 2J / (1 + J), differ in a share arccos(cosine) / pi of the bits. Candidates are fingerprints that agree on all of k bits
 sampled anew for each table, with k from the number of fingerprints and as many tables as find a pair at the limit with
 the wanted probability; the same bit-sliced comparison decides. Similarity is what the fingerprints say: at the limit of
-0.8 the radius is 1.84 standard deviations wide. A bucket above ``max_bucket`` is dealt into blocks that all hold its
-64 smallest fingerprints, so that its members stay connected through those and through the other tables.
+0.8 the radius is 1.84 standard deviations wide. A bucket above ``max_bucket`` is compared in blocks, and members that
+are then apart from its largest component meet every block, so that no pair of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -277,7 +277,12 @@ def tables_for(rows: int, similarity: float, found: float, bits: int) -> tuple[i
 
 
 def similar_links(unique: DataFrame, rows: int, similarity: float = 0.8, found: float = 0.97, max_bucket: int = 4096, anchors: int = 64, width: int = 8, seed: int = 7) -> DataFrame:
-    """Links (a, b) between the fingerprints of ``unique(fp binary, rep)`` that the sampled tables find similar."""
+    """Links (a, b) that connect the fingerprints of ``unique(fp binary, rep)`` that share a sampled table and are similar.
+
+    Buckets above ``max_bucket`` are never gathered. They are compared in blocks, each with the bucket's ``anchors``
+    smallest fingerprints, which mostly connects a bucket as a whole. Members that are still apart from the bucket's
+    largest component then meet every block. So each pair of a bucket is compared, or is connected already.
+    """
     k, tables, radius = tables_for(rows, similarity, found, 64 * width)
     rng = np.random.default_rng(seed)
     chosen = [rng.permutation(64 * width)[:k] for _ in range(tables)]
@@ -290,17 +295,30 @@ def similar_links(unique: DataFrame, rows: int, similarity: float = 0.8, found:
             for t, at in enumerate(chosen):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(bits[:, at] @ (np.int64(1) << np.arange(k))), fp, rep], names=["kind", "key", "fp", "rep"])
 
+    def compared(rows: DataFrame) -> DataFrame:
+        """Links inside each block of each bucket of ``rows(kind, key, block, fp, rep)``."""
+        keyed = rows.select("kind", F.when(F.col("block") == 0, F.col("key")).otherwise(F.xxhash64("key", "block")).alias("key"), "fp", "rep")
+        return keyed.repartition("kind", "key").sortWithinPartitions("kind", "key", "fp").mapInArrow(lambda it: _compare(it, radius, 1 << 15), "a long, b long")
+
     keys = unique.select("fp", "rep").mapInArrow(deal, "kind int, key long, fp binary, rep long")
     hot = cut(keys.groupBy("kind", "key").count().where(F.col("count") > max_bucket).select("kind", "key", F.ceil(F.col("count") / max_bucket).alias("blocks")))
-    n_hot = hot.count()
-    if n_hot:
-        dealt = keys.join(F.broadcast(hot) if n_hot <= 100_000 else hot, ["kind", "key"], "left")
-        block = F.coalesce(F.pmod(F.xxhash64("fp", "kind"), "blocks"), F.lit(0)).alias("block")
-        place = F.expr("row_number() over (partition by kind, key order by fp)")
-        first = dealt.where("blocks is not null").withColumn("place", place).where(F.col("place") <= anchors).select("kind", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "fp", "rep")
-        keys = dealt.select("kind", "key", block, "fp", "rep").unionByName(first)
-        keys = keys.select("kind", F.when(F.col("block") == 0, F.col("key")).otherwise(F.xxhash64("key", "block")).alias("key"), "fp", "rep")
-    return keys.repartition("kind", "key").sortWithinPartitions("kind", "key", "fp").mapInArrow(lambda it: _compare(it, radius, 1 << 15), "a long, b long")
+    if hot.isEmpty():
+        return compared(keys.select("kind", "key", F.lit(0).cast("long").alias("block"), "fp", "rep"))
+    dealt = keys.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, ["kind", "key"], "left")
+    dealt = dealt.withColumn("block", F.coalesce(F.pmod(F.xxhash64("fp", "kind"), "blocks"), F.lit(0)))
+    members = cut(dealt.where("blocks is not null"))
+    place = F.expr("row_number() over (partition by kind, key order by fp)")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    first = members.withColumn("place", place).where(F.col("place") <= anchors).select("kind", "key", every, "fp", "rep")
+    links = cut(compared(dealt.select("kind", "key", "block", "fp", "rep").unionByName(first)))
+    roots = connected_components(links)
+    grouped = members.join(roots, members["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
+    largest = grouped.groupBy("kind", "key", "root").count().groupBy("kind", "key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    apart = cut(grouped.join(largest, ["kind", "key"]).where("root <> main").select("kind", "key", "blocks", "fp", "rep"))
+    if apart.isEmpty():
+        return links
+    again = members.join(apart.select("kind", "key").distinct(), ["kind", "key"], "left_semi").select("kind", "key", "block", "fp", "rep")
+    return links.unionByName(compared(again.unionByName(apart.select("kind", "key", every, "fp", "rep")).distinct()))
 
 
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8, seed: int = 42, **params) -> DataFrame:

@@ -130,3 +130,36 @@ def test_similar_groups_above_the_bucket_bound(spark):
     for max_bucket in (4096, 20):
         got = {r.doc_id: r.component_id for r in simhash.similar_components(docs, max_bucket=max_bucket, anchors=4).collect()}
         assert got == {k: 0 if k < 1000 else k for k, _ in rows}
+
+
+def test_no_pair_of_a_hot_bucket_is_lost(spark):
+    rng = np.random.default_rng(11)
+    head = rng.integers(0, 256, 64, dtype=np.uint8)
+    prints = []
+    for c in range(12):  # chains whose ends are far apart, all in the same buckets of the sampled bits that they share
+        fp = head.copy()
+        for bit in rng.choice(512, 90, replace=False) if c else []:
+            fp[bit // 8] ^= 1 << bit % 8
+        for _ in range(25):
+            fp = fp.copy()
+            for bit in rng.choice(512, 20, replace=False):
+                fp[bit // 8] ^= 1 << bit % 8
+            prints.append(bytes(fp))
+    rows = [(bytearray(p), k) for k, p in enumerate(dict.fromkeys(prints))]
+    df = spark.createDataFrame(rows, "fp binary, rep long")
+    roots = lambda **p: {r.node: r.root for r in connected_components(simhash.similar_links(df, len(rows), **p)).collect()}
+    whole = roots()
+    assert len(whole) > 100
+    for max_bucket, anchors in ((40, 8), (12, 1), (5, 2)):
+        assert roots(max_bucket=max_bucket, anchors=anchors) == whole
+
+
+def test_every_labelled_language_is_learned(spark):
+    from lotflow.llm import language
+    from lotflow.llm.sampling import class_counts
+
+    rows = spark.range(6000).selectExpr("id as doc_id", "repeat(concat('w', id % 1500, ' '), 40) as text", "concat('l', id % 1500) as lang")
+    learned = language.sample(rows)
+    assert len(learned) == 1500 and all(1 <= sum(map(len, t)) <= 400_000 // 1500 for t in learned.values())
+    with pytest.raises(ValueError):
+        class_counts(rows, "lang", 1000)
