@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Have executors import this package, where it is not installed on them: it is sent as a zip file, once a session.
+
+    The file is built in a temporary folder of the driver, from where Spark's own file server hands it out.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "lotflow"), "zip", root, "lotflow"))
+
+
 def shared_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for reliable checkpoints: the session's own; without one, a temporary one on a local master only."""
     sc = spark.sparkContext

@@ -185,3 +185,41 @@ def workflow_transitions(stream: DataFrame, event_time: str | None = None, delay
     if timed:
         needed = needed.withWatermark("at", delay)
     return needed.groupBy("event_id").transformWithStateInPandas(WorkflowProcessor(timed, lease_hours, keep_days), TRANSITION, "Append", "EventTime" if timed else "None")
+
+
+class HandOffProcessor(StatefulProcessor):
+    """Live rows of an aggregate that neither history nor an earlier live row brought. State: the sequence keys so far."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", f"key {self.kind}", "live boolean")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for k in initialState["sequence_engine_key"].dropna().tolist():
+            self.seen.updateValue((k,), (False,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows))
+        fresh = []
+        for place, k in enumerate(rows["sequence_engine_key"].tolist()):
+            if not self.seen.containsKey((k,)):
+                self.seen.updateValue((k,), (True,))
+                fresh.append(place)
+        yield rows.iloc[fresh]
+
+    def close(self) -> None:
+        pass
+
+
+def live_after(history: DataFrame, stream: DataFrame) -> DataFrame:
+    """Rows of ``stream`` that add to ``history``, each once, late ones with them; both have aggregate_id and sequence_engine_key.
+
+    The first batch takes the keys of ``history`` as its state, so the stream may begin before history was read: what both
+    have is history's. After a restart the checkpoint holds them, and ``history`` is not read again. Rows without a key go.
+    """
+    keyed = stream.where("aggregate_id is not null and sequence_engine_key is not null")
+    known = history.select("aggregate_id", "sequence_engine_key").where("aggregate_id is not null").groupBy("aggregate_id")
+    kind = dict(stream.dtypes)["sequence_engine_key"]
+    return keyed.groupBy("aggregate_id").transformWithStateInPandas(HandOffProcessor(kind), stream.schema, "Append", "None", known)

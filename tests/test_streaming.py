@@ -160,3 +160,19 @@ def test_store_of_many_batches(spark, tmp_path):
     assert max(runs) <= 3 + 3 + 1, "reads do not grow with the batches"
     assert open_store().read().columns == ["k", "v", "at"]
     assert Upserts(spark, f"{tmp_path}/none", "k string", ["k"], []).read().collect() == []
+
+
+def test_live_rows_after_history(spark, tmp_path):
+    schema = "aggregate_id string, sequence_engine_key long, status string"
+    history = spark.createDataFrame([("a", 1, "h"), ("a", 5, "h"), ("b", 3, "h"), ("quiet", 9, "h")], schema)
+
+    def go(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        live_rows = stateful.live_after(history, spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        writer = live_rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True)
+        assert stateful.started(writer, spark).awaitTermination(120)
+
+    go([("a", 5, "l"), ("a", 2, "late"), ("a", 7, "l"), ("a", 7, "again"), ("new", 1, "l"), (None, 4, "l"), ("b", None, "l")])
+    go([("a", 7, "l"), ("a", 8, "l"), ("a", 1, "l"), ("b", 3, "l"), ("b", 2, "late"), ("quiet", 9, "l"), ("quiet", 10, "l")])
+    got = sorted((r.aggregate_id, r.sequence_engine_key) for r in spark.read.schema(schema).parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", 2), ("a", 7), ("a", 8), ("b", 2), ("new", 1), ("quiet", 10)]
