@@ -170,23 +170,45 @@ def allocate_by_overlap(accepted: DataFrame) -> DataFrame:
 def value(accepted: DataFrame, segments: int | None = None) -> DataFrame:
     """Accepted movements with FIFO facts: qty_delta, qty_on_hand, fifo_unit_cost, fifo_total_value, moving_avg_cost.
 
-    Values have 30 digits before the point; beyond that they are null, and the other facts stay. With ``segments`` the
-    running sums are a scan in so many segments, for hot keys (values beyond their column then end the job).
+    Every window is over the key, so rows are shuffled once. In the order of the ends of all intervals, the cost of demand
+    up to an end is a running sum over the gaps between ends, each at the cost of the next lot end; a depletion costs what
+    that sum grows by from the depletion before it. Values have 30 digits before the point; beyond that they are null, and
+    the other facts stay. With ``segments`` the running sums are a scan in so many segments, for hot keys (values beyond
+    their column then end the job).
     """
-    cogs = allocate(accepted).groupBy(*KEYS, F.col("consumption_id").alias("event_id")).agg(F.try_sum("cost").alias("cogs"), F.lit(True).alias("_depletes"))
-    rows = accepted.join(cogs, [*KEYS, "event_id"], "left").withColumn("cogs", F.when(F.col("_depletes"), F.col("cogs")).otherwise(0).cast("decimal(38,8)"))
-    worth = "cast(cast(supply * unit_cost as decimal(38,8)) - cogs as decimal(38,8))"
     if segments:
-        rows = scan.running(cut(rows), list(KEYS), list(ORDER), {"qty_on_hand": "supply - demand", "fifo_total_value": worth}, segments=segments)
-        rows = rows.withColumns({"qty_on_hand": F.col("qty_on_hand").cast("decimal(28,4)"), "fifo_total_value": F.col("fifo_total_value").cast("decimal(38,8)")})
-    else:
-        rows = rows.withColumn("qty_on_hand", F.expr(f"cast(sum(supply - demand) over ({_SEQ}) as decimal(28,4))"))
-        rows = rows.withColumn("fifo_total_value", F.expr(f"try_sum({worth}) over ({_SEQ})"))
+        return _with_quotients(_valued_in_segments(accepted, segments))
+    paid = F.expr(f"try_sum(cast(supply * unit_cost as decimal(38,8))) over ({_SEQ}) as _paid")
+    rows = _intervals(accepted).select("*", paid)
+    ends = rows.withColumn("_pos", F.expr("case when supply > 0 then s_hi when demand > 0 then d_hi end"))
+    gap = f"_pos - coalesce(lead(_pos) over ({_KEY} order by _pos desc), 0)"
+    lot = f"last(case when supply > 0 then unit_cost end, true) over ({_KEY} order by _pos desc range between unbounded preceding and current row)"
+    priced = ends.selectExpr("*", f"cast(cast({gap} as decimal(18,4)) * {lot} as decimal(38,8)) as _step")
+    spent = priced.selectExpr("*", f"case when demand > 0 then try_sum(_step) over ({_KEY} order by _pos range between unbounded preceding and current row) end as _spent")
+    before = f"last(if(demand > 0, struct(_spent), null), true) over ({_KEY} order by sequence_engine_key, event_id rows between unbounded preceding and 1 preceding)"
+    known = spent.selectExpr("*", f"{before} as _before")
+    zero = "cast(0 as decimal(38,8))"
+    earlier = f"if(_before is null, {zero}, _before._spent)"
+    sums = known.selectExpr("*", f"cast(if(demand > 0, _spent - {earlier}, {zero}) as decimal(38,8)) as cogs", f"try_subtract(_paid, if(demand > 0, _spent, {earlier})) as _worth")
+    valued = sums.withColumns({"qty_on_hand": F.expr("cast(s_hi - d_hi as decimal(28,4))"), "fifo_total_value": F.expr("cast(_worth as decimal(38,8))")})
+    return _with_quotients(valued.drop("s_hi", "d_hi", "_paid", "_pos", "_step", "_spent", "_before", "_worth"))
+
+
+def _valued_in_segments(accepted: DataFrame, segments: int) -> DataFrame:
+    """Costs from the allocation, joined back, and running sums by segments."""
+    cogs = allocate(accepted).groupBy(*KEYS, F.col("consumption_id").alias("event_id")).agg(F.sum("cost").alias("cogs"))
+    rows = accepted.join(cogs, [*KEYS, "event_id"], "left").withColumn("cogs", F.coalesce("cogs", F.lit(0)).cast("decimal(38,8)"))
+    worth = "cast(cast(supply * unit_cost as decimal(38,8)) - cogs as decimal(38,8))"
+    summed = scan.running(cut(rows), list(KEYS), list(ORDER), {"qty_on_hand": "supply - demand", "fifo_total_value": worth}, segments=segments)
+    return summed.withColumns({"qty_on_hand": F.col("qty_on_hand").cast("decimal(28,4)"), "fifo_total_value": F.col("fifo_total_value").cast("decimal(38,8)")})
+
+
+def _with_quotients(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("qty_delta", F.expr("delta"))
         .withColumn("fifo_unit_cost", F.expr(f"case when demand > 0 then {quotient('cogs', 'demand')} else cast(0 as decimal(38,16)) end"))
         .withColumn("moving_avg_cost", F.expr(f"case when qty_on_hand > 0 then {quotient('fifo_total_value', 'qty_on_hand')} else cast(0 as decimal(38,16)) end"))
-        .drop("delta", "supply", "demand", "cogs", "rejected", "_depletes")
+        .drop("delta", "supply", "demand", "cogs", "rejected")
     )
 
 
