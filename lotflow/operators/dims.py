@@ -11,6 +11,11 @@ def dimension(df: DataFrame, natural: str, *attributes: str) -> DataFrame:
     return df.groupBy(natural).agg(F.max(F.struct(*attributes)).alias("_row")).select(natural, "_row.*", F.md5(F.col(natural).cast("string")).alias("surrogate_key"))
 
 
+def seen_between(df: DataFrame, natural: str, at: str) -> DataFrame:
+    """One row a natural key, with when it was first and last seen and a surrogate key from its hash."""
+    return df.groupBy(natural).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen")).withColumn("surrogate_key", F.md5(F.col(natural).cast("string")))
+
+
 def date_spine(df: DataFrame, at: str) -> DataFrame:
     """Every day from the first to the last."""
     ends = df.agg(F.min(F.to_date(at)).alias("a"), F.max(F.to_date(at)).alias("b")).where("a is not null")

@@ -222,7 +222,7 @@ def dim_product(spark, sf_dir):
 
 
 def dim_location(spark, sf_dir):
-    return dims.dimension(views.movements(spark, sf_dir), "location_id", "sku")
+    return dims.seen_between(views.movements(spark, sf_dir), "location_id", "occurred_at").select("location_id", _TS("first_seen"), _TS("last_seen"), "surrogate_key")
 
 
 def filtered_resume(spark, sf_dir):
@@ -313,7 +313,7 @@ ORACLE = {
  select mdm_vendor_id, location_id, occurred_at as valid_from, lead(occurred_at) over (partition by mdm_vendor_id order by occurred_at) as valid_to, lead(occurred_at) over (partition by mdm_vendor_id order by occurred_at) is null as current from kept""",
     "date_spine": "select cast(d as date) as day, year(d) as year, month(d) as month, day(d) as day_of_month, quarter(d) as quarter, isodow(d) - 1 as weekday from (select unnest(generate_series(min(cast(o_orderdate as date)), max(cast(o_orderdate as date)), interval 1 day)) as d from orders)",
     "dim_product": with_movements("select sku, max(mdm_vendor_id) as mdm_vendor_id, md5(sku) as surrogate_key from movements group by sku"),
-    "dim_location": with_movements("select location_id, max(sku) as sku, md5(location_id) as surrogate_key from movements group by location_id"),
+    "dim_location": with_movements("select location_id, min(occurred_at) as first_seen, max(occurred_at) as last_seen, md5(location_id) as surrogate_key from movements group by location_id"),
     "filtered_resume": with_movements("select event_id, mdm_vendor_id, sku, sequence_engine_key from movements where mdm_vendor_id in ('VENDOR-1', 'VENDOR-7') and sequence_engine_key > 200000000000000"),
 }
 

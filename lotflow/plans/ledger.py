@@ -112,7 +112,7 @@ def restatement_delta(spark, sf_dir):
 
 def incremental_valuation(spark, sf_dir):
     typed = cut(_typed(spark, sf_dir))
-    early, late = typed.where("published_at < timestamp'1998-06-01'"), typed.where("published_at >= timestamp'1998-06-01'")
+    early, late = typed.where("published_at < timestamp'1998-01-01'"), typed.where("published_at >= timestamp'1998-01-01'")
     marks = [int(m) for m in early.agg(F.percentile_approx("sequence_engine_key", [0.25, 0.5, 0.75, 0.9]).alias("m")).first().m or []]
     stored = restate.stored_lots(cut(fifo.accept(early).where("rejected is null")), marks)
     return restate.restated_since(early, late, stored, marks).select("event_id", *KEYS, _Q("old_unit_cost"), _Q("new_unit_cost"), _D("old_total_value"), _D("new_total_value"))
@@ -186,7 +186,7 @@ ORACLE = {
     "arrival_ledger": f"""with recursive {MOVEMENTS}, {ARRIVALS} select id as event_id, sku, location_id, seq as sequence_engine_key, outcome, round(cast(held as double) / 1e4, 6) as qty_on_hand,
  floor((case when need > 0 then cast(cogs as double) / 1e4 / cast(need as double) else 0 end) * 1e6 + 0.501) / 1e6 as fifo_unit_cost, round(cast(worth as double) / 1e8, 6) as fifo_total_value from last_facts""",
     "restatement_delta": _restatement_sql("1998-01-01"),
-    "incremental_valuation": _restatement_sql("1998-06-01"),
+    "incremental_valuation": _restatement_sql("1998-01-01"),
     "dedup_redelivery": with_movements(f", {_TWICE} select event_id, min(published_at) as published_at, any_value(sku) as sku, any_value(quantity) as quantity from twice group by event_id"),
     "fact_upsert": with_movements(f", {_TWICE} select event_id, max(published_at) as published_at, any_value(sku) as sku, any_value(quantity) as quantity from twice group by event_id"),
     "claim_once": with_movements(f", {_TWICE} select event_id, min(published_at) as published_at, any_value(location_id) as location_id from twice where event_id not in (select event_id from movements where location_id = 'LOC-1') group by event_id"),
