@@ -56,15 +56,24 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again.
+    """All stages over ``documents``; each result is written to the shared folder and read again, and goes after the next.
 
     Null and empty texts go in the first stage, so no later one meets them from ``documents``. Rows with a null id are
     judged like others but never taken for copies; repeated rows are copies. Extra columns of any names come through all
     stages but the last. An empty table gives an empty result.
     """
     base = f"{shared_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
+        if before:
+            _discard(spark, before)
+        before = f"{base}/{k}-{name}"
     return docs
+
+
+def _discard(spark: SparkSession, folder: str) -> None:
+    """Delete what a stage wrote once the next one's result is written whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
