@@ -84,6 +84,11 @@ def violations(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     return df.withColumn("errors", F.array_compact(F.array(*[F.when(~F.expr(rule), F.lit(name)) for name, rule in rules.items()])))
 
 
+def holds(rules: dict[str, str]) -> Column:
+    """Whether a row breaks none of the rules: one flag, for rows that are to be shuffled before bad ones may go."""
+    return F.expr(" and ".join(f"({rule})" for rule in rules.values()))
+
+
 def split_valid(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Good rows, and bad rows with their ``errors``; a bad row is never an exception."""
     checked = violations(df, rules)

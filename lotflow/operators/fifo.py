@@ -92,10 +92,13 @@ def _changes(column: pa.Array) -> np.ndarray:
 def accept(df: DataFrame) -> DataFrame:
     """Typed movements with ``rejected``: null, ``exceeds_on_hand`` or ``zero_quantity``.
 
-    A depletion larger than what is on hand at its place in the sequence is rejected and changes nothing.
+    A depletion larger than what is on hand at its place in the sequence is rejected and changes nothing. All columns go
+    through the shuffle and the pass, so rows are best given with those that are needed.
     """
-    rows = signed(df).withColumn("_up", F.expr("cast(supply * 10000 as bigint)")).withColumn("_down", F.expr("cast(demand * 10000 as bigint)"))
+    rows = by_key(df, KEYS, *ORDER)  # what follows from other columns is computed on either side of the shuffle
+    rows = signed(rows).withColumns({"_up": F.expr("cast(supply * 10000 as bigint)"), "_down": F.expr("cast(demand * 10000 as bigint)")}).drop("delta", "supply", "demand")
     rows = rows.withColumn("rejected", F.expr("case when movement_type = 2 and quantity = 0 then 'zero_quantity' end"))
+    out = rows.drop("_up", "_down").schema
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, on_hand = None, 0
@@ -109,15 +112,19 @@ def accept(df: DataFrame) -> DataFrame:
             refused, on_hand = refusals(starts, change, down, on_hand if head == key else 0)
             key = tail
             reasons = pc.coalesce(why, pc.if_else(pa.array(refused), "exceeds_on_hand", pa.scalar(None, pa.string())))
-            at = batch.schema.get_field_index("rejected")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], reasons, *batch.columns[at + 1 :]], schema=batch.schema)
+            yield pa.RecordBatch.from_arrays([reasons if c == "rejected" else batch.column(c) for c in names], names=names)
 
-    return by_key(rows, KEYS, *ORDER).mapInArrow(fold, rows.schema).drop("_up", "_down")
+    names = out.names
+    return signed(rows.mapInArrow(fold, out))
 
 
-def _intervals(accepted: DataFrame) -> DataFrame:
-    """Each row's interval of cumulative supply or demand."""
-    return accepted.withColumn("s_hi", F.expr(f"sum(supply) over ({_SEQ})")).withColumn("d_hi", F.expr(f"sum(demand) over ({_SEQ})"))
+def intervals(accepted: DataFrame, deal: tuple[str, ...] = KEYS) -> DataFrame:
+    """Each row's interval of cumulative supply or demand, rows dealt by ``deal``: the key or a part of it.
+
+    What follows from type and quantity is computed after the exchange.
+    """
+    dealt = signed(accepted.drop("delta", "supply", "demand", "rejected").repartition(*deal))
+    return dealt.withColumn("s_hi", F.expr(f"sum(supply) over ({_SEQ})")).withColumn("d_hi", F.expr(f"sum(demand) over ({_SEQ})"))
 
 
 #: Quotients up to these bounds are one decimal division; beyond them digits come in blocks of four, exactly.
@@ -145,10 +152,10 @@ def allocate(accepted: DataFrame) -> DataFrame:
     A linear sweep: the ends of all intervals of a key in order, each gap between two ends belonging to the next lot end
     and the next depletion end above it. One window pass, whatever the number of lots and depletions.
     """
-    both = _intervals(accepted)
+    both, id_type = intervals(accepted), accepted.schema["event_id"].dataType.simpleString()
     ends = both.select(*KEYS, F.inline(F.expr(
-        "filter(array(struct(if(supply > 0, s_hi, null) as pos, struct(event_id as lot_id, unit_cost) as lot, cast(null as string) as consumption_id),"
-        " struct(if(demand > 0, d_hi, null) as pos, cast(null as struct<lot_id:string,unit_cost:decimal(18,4)>) as lot, event_id as consumption_id)), x -> x.pos is not null)"
+        f"filter(array(struct(if(supply > 0, s_hi, null) as pos, struct(event_id as lot_id, unit_cost) as lot, cast(null as {id_type}) as consumption_id),"
+        f" struct(if(demand > 0, d_hi, null) as pos, cast(null as struct<lot_id:{id_type},unit_cost:decimal(18,4)>) as lot, event_id as consumption_id)), x -> x.pos is not null)"
     )))
     swept = (
         ends.withColumn("low", F.expr(f"coalesce(lead(pos) over ({_KEY} order by pos desc), 0)"))
@@ -160,26 +167,33 @@ def allocate(accepted: DataFrame) -> DataFrame:
 
 def allocate_by_overlap(accepted: DataFrame) -> DataFrame:
     """As ``allocate``, as an overlap join of lot and depletion intervals of the key; for short keys."""
-    both = _intervals(accepted)
+    both = intervals(accepted)
     lots = both.where("supply > 0").selectExpr(*KEYS, "event_id as lot_id", "unit_cost", "s_hi - supply as s_lo", "s_hi")
     asks = both.where("demand > 0").selectExpr("sku as d_sku", "location_id as d_location", "event_id as consumption_id", "d_hi - demand as d_lo", "d_hi")
     pairs = lots.join(asks, F.expr("sku = d_sku and location_id = d_location and s_lo < d_hi and d_lo < s_hi"))
     return pairs.selectExpr(*KEYS, "lot_id", "consumption_id", "least(s_hi, d_hi) - greatest(s_lo, d_lo) as taken", "unit_cost").selectExpr(*KEYS, "lot_id", "consumption_id", "unit_cost", *_TAKEN.split(", ", 1))
 
 
-def value(accepted: DataFrame, segments: int | None = None) -> DataFrame:
+#: What is left of a row's supply once ``gone`` of the key's demand was met, oldest supply first.
+REMAINING = "cast(greatest(0, s_hi - greatest(s_hi - supply, gone)) as decimal(18,4))"
+
+
+def value(accepted: DataFrame, segments: int | None = None, deal: tuple[str, ...] = KEYS, lots: bool = False) -> DataFrame:
     """Accepted movements with FIFO facts: qty_delta, qty_on_hand, fifo_unit_cost, fifo_total_value, moving_avg_cost.
 
     Every window is over the key, so rows are shuffled once. In the order of the ends of all intervals, the cost of demand
     up to an end is a running sum over the gaps between ends, each at the cost of the next lot end; a depletion costs what
     that sum grows by from the depletion before it. Values have 30 digits before the point; beyond that they are null, and
     the other facts stay. With ``segments`` the running sums are a scan in so many segments, for hot keys (values beyond
-    their column then end the job).
+    their column then end the job). ``deal`` may be a part of the key, if what follows groups by that part. ``lots`` adds
+    ``remaining_qty``: what is left in the end of the lot that a row opened.
     """
     if segments:
         return _with_quotients(_valued_in_segments(accepted, segments))
     paid = F.expr(f"try_sum(cast(supply * unit_cost as decimal(38,8))) over ({_SEQ}) as _paid")
-    rows = _intervals(accepted).select("*", paid)
+    rows = intervals(accepted, deal).select("*", paid)
+    if lots:
+        rows = rows.withColumn("gone", F.expr(f"sum(demand) over ({_KEY})")).withColumn("remaining_qty", F.expr(REMAINING)).drop("gone")
     ends = rows.withColumn("_pos", F.expr("case when supply > 0 then s_hi when demand > 0 then d_hi end"))
     gap = f"_pos - coalesce(lead(_pos) over ({_KEY} order by _pos desc), 0)"
     lot = f"last(case when supply > 0 then unit_cost end, true) over ({_KEY} order by _pos desc range between unbounded preceding and current row)"
@@ -213,15 +227,14 @@ def _with_quotients(rows: DataFrame) -> DataFrame:
 
 
 def facts(movements: DataFrame) -> DataFrame:
-    """Typed movements -> facts of the accepted ones, which are computed once and read twice."""
-    return value(cut(accept(movements).where("rejected is null")))
+    """Typed movements -> facts of the accepted ones."""
+    return value(accept(movements).where("rejected is null"))
 
 
 def balance(accepted: DataFrame) -> DataFrame:
     """(sku, location_id, lot_id, sequence_engine_key, remaining_qty, unit_cost): lots that are left; the oldest have the smallest keys."""
-    both = _intervals(accepted).withColumn("gone", F.expr(f"sum(demand) over ({_KEY})"))
-    left = F.expr("cast(greatest(0, s_hi - greatest(s_hi - supply, gone)) as decimal(18,4))")
-    return both.where("supply > 0").withColumn("remaining_qty", left).where("remaining_qty > 0").select(*KEYS, F.col("event_id").alias("lot_id"), "sequence_engine_key", "remaining_qty", "unit_cost")
+    both = intervals(accepted).withColumn("gone", F.expr(f"sum(demand) over ({_KEY})"))
+    return both.where("supply > 0").withColumn("remaining_qty", F.expr(REMAINING)).where("remaining_qty > 0").select(*KEYS, F.col("event_id").alias("lot_id"), "sequence_engine_key", "remaining_qty", "unit_cost")
 
 
 def on_hand(lots: DataFrame) -> DataFrame:

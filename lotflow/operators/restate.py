@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
-from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
@@ -32,12 +31,25 @@ def late_policy(flagged: DataFrame, arrival: str = "published_at") -> DataFrame:
     return flagged.withColumn("policy", policy).withColumn("applied_type", F.when(F.col("policy") == "adjust", ADJUSTMENT).otherwise(F.col("movement_type")))
 
 
+def overtaken(movements: DataFrame, late: str = "late") -> DataFrame:
+    """Movements of keys in which a row that is not ``late`` (a flag) comes after a late one in sequence, or level with it.
+
+    A fact depends on the rows up to its own, so late rows change no fact of any other key.
+    """
+    key, at = "partition by sku, location_id", f"coalesce(sequence_engine_key, cast('{-(1 << 63)}' as bigint))"
+    ends = movements.withColumns({"_first": F.expr(f"min(case when {late} then {at} end) over ({key})"), "_last": F.expr(f"max(case when not {late} then {at} end) over ({key})")})
+    return ends.where("_last >= _first").drop("_first", "_last")
+
+
 def restated(processed: DataFrame, late: DataFrame) -> DataFrame:
-    """Facts that late movements change, old against new; only keys that the late rows touch are valued again."""
-    touched = late.select(*KEYS).distinct()
-    old = fifo.facts(processed.join(touched, list(KEYS), "left_semi"))
-    new = fifo.facts(processed.join(touched, list(KEYS), "left_semi").unionByName(late))
-    return _changed(old, new)
+    """Facts that late movements change, old against new; only keys in which a late row precedes others are valued again."""
+    return restated_by(processed.withColumn("_is_late", F.lit(False)).unionByName(late.withColumn("_is_late", F.lit(True))), "_is_late")
+
+
+def restated_by(movements: DataFrame, late: str = "late") -> DataFrame:
+    """As ``restated``, the late ones of all movements told by a flag: those are shuffled by key once."""
+    rows = cut(overtaken(movements, late))
+    return _changed(fifo.facts(rows.where(f"not {late}").drop(late)), fifo.facts(rows.drop(late)))
 
 
 def _changed(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -57,8 +69,13 @@ def stored_lots(accepted: DataFrame, marks: list[int]) -> DataFrame:
 
     ``accepted`` are accepted movements; a mark is a sequence key, itself included.
     """
-    at = [fifo.balance(accepted.where(F.col("sequence_engine_key") <= m)).select(F.lit(m).cast("long").alias("as_of"), "*") for m in marks]
-    return reduce(DataFrame.unionByName, at)
+    spans = fifo.intervals(accepted)
+    gone = {f"_gone{k}": F.expr(f"sum(if(sequence_engine_key <= {m}L, demand, 0)) over (partition by sku, location_id)") for k, m in enumerate(marks)}
+    at = [F.struct(F.lit(m).cast("long").alias("as_of"), F.col(name).alias("gone")) for m, name in zip(marks, gone)]
+    none = F.lit(None).cast("array<struct<as_of:bigint,gone:decimal(28,4)>>")
+    lots = spans.withColumns(gone).where("supply > 0").select("*", F.inline(F.array(*at) if at else none))
+    left = lots.where("sequence_engine_key <= as_of").withColumn("remaining_qty", F.expr(fifo.REMAINING)).where("remaining_qty > 0")
+    return left.select("as_of", *KEYS, F.col("event_id").alias("lot_id"), "sequence_engine_key", "remaining_qty", "unit_cost")
 
 
 def restated_since(processed: DataFrame, late: DataFrame, stored: DataFrame, marks: list[int]) -> DataFrame:
@@ -288,10 +305,10 @@ def exact(numbers: list[int], places: int) -> pa.Array:
     return pa.Array.from_buffers(pa.decimal128(38, places), len(whole), whole.buffers(), whole.null_count, whole.offset)
 
 
-def raw_facts(key: tuple, outcomes: list[str], facts: list[tuple]) -> pa.RecordBatch:
-    """Rows of ``RAW`` from a ledger over ten-thousandths."""
+def raw_facts(key: tuple, outcomes: list[str], facts: list[tuple], id_type: pa.DataType = pa.string()) -> pa.RecordBatch:
+    """Rows of ``RAW`` from a ledger over ten-thousandths; ids may be texts or bytes."""
     ids, seqs, delta, costs, held, worth = zip(*facts) if facts else ([],) * 6
-    columns = [pa.array(ids, pa.string()), *(pa.array([k] * len(ids), pa.string()) for k in key), pa.array(seqs, pa.int64()), pa.array(outcomes, pa.string())]
+    columns = [pa.array(ids, id_type), *(pa.array([k] * len(ids), pa.string()) for k in key), pa.array(seqs, pa.int64()), pa.array(outcomes, pa.string())]
     columns += [exact(delta, 4), exact([c for c, _ in costs], 8), exact([n for _, n in costs], 4), exact(held, 4), exact(worth, 8)]
     return pa.RecordBatch.from_arrays(columns, names=[field.split()[0] for field in RAW.split(", ")])
 
@@ -320,7 +337,7 @@ def arrival_ledger(df: DataFrame, late_sign: str = "reference") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, ledger = None, KeyLedger(late_sign)
-        last = lambda: raw_facts(here, ledger.outcomes(), ledger.facts(0, len(ledger)))
+        last = lambda: raw_facts(here, ledger.outcomes(), ledger.facts(0, len(ledger)), pa.binary() if packed else pa.string())
         for batch in batches:
             for *key, age, seq, event_id, kind, quantity, cost in zip(*[batch.column(c).to_pylist() for c in (*KEYS, "age", *FIELDS)]):
                 if key != here:
@@ -331,5 +348,6 @@ def arrival_ledger(df: DataFrame, late_sign: str = "reference") -> DataFrame:
         if len(ledger):
             yield last()
 
+    packed = df.schema["event_id"].dataType.simpleString() == "binary"
     dealt = by_key(arriving(df), KEYS, *[F.asc_nulls_last(c) for c in ARRIVAL])
-    return priced(dealt.mapInArrow(run, RAW))
+    return priced(dealt.mapInArrow(run, RAW.replace("event_id string", "event_id binary") if packed else RAW))

@@ -51,9 +51,18 @@ def total_value(facts: DataFrame, *by: str) -> DataFrame:
     return last_facts(facts).groupBy(*by).agg(F.count("*").alias("keys"), F.sum("qty_on_hand").alias("qty_on_hand"), F.sum("fifo_total_value").alias("fifo_total_value"))
 
 
-def reconcile(facts: DataFrame, lots: DataFrame) -> DataFrame:
-    """Per key: do deltas, the newest fact and the surviving lots agree?"""
-    a = facts.groupBy(*KEYS).agg(F.count("*").alias("movements"), F.sum("qty_delta").alias("sum_delta"), F.max_by(F.struct("qty_on_hand", "fifo_total_value"), F.struct(*ORDER)).alias("r")).select(*KEYS, "movements", "sum_delta", "r.*")
-    b = lots.groupBy(*KEYS).agg(F.sum("remaining_qty").alias("lots_on_hand"), F.sum(F.expr("cast(remaining_qty * unit_cost as decimal(38,8))")).alias("lots_value"))
-    both = a.join(b, list(KEYS), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("lots_on_hand", "lots_value")})
+def reconcile(facts: DataFrame, lots: DataFrame | None = None) -> DataFrame:
+    """Per key: do deltas, the newest fact and the surviving lots agree?
+
+    Without ``lots``, facts say what is left of the lot that each opened (``fifo.value(..., lots=True)``), and rows that are
+    dealt by key are not shuffled again.
+    """
+    of_facts = [F.count("*").alias("movements"), F.sum("qty_delta").alias("sum_delta"), F.max_by(F.struct("qty_on_hand", "fifo_total_value"), F.struct(*ORDER)).alias("r")]
+    of_lots = [F.sum("remaining_qty").alias("lots_on_hand"), F.sum(F.expr("cast(remaining_qty * unit_cost as decimal(38,8))")).alias("lots_value")]
+    if lots is None:
+        both = facts.groupBy(*KEYS).agg(*of_facts, *of_lots).select(*KEYS, "movements", "sum_delta", "r.*", "lots_on_hand", "lots_value")
+    else:
+        a = facts.groupBy(*KEYS).agg(*of_facts).select(*KEYS, "movements", "sum_delta", "r.*")
+        both = a.join(lots.groupBy(*KEYS).agg(*of_lots), list(KEYS), "left")
+    both = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("lots_on_hand", "lots_value")})
     return both.withColumn("balanced", F.expr("sum_delta = qty_on_hand and qty_on_hand = lots_on_hand and fifo_total_value = lots_value"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lotflow.functions import ids
 from lotflow.operators import contracts, dedup, fifo, restate, seen, snapshots
 from lotflow.plans.sql import ARRIVALS, MOVEMENTS, with_ledger, with_movements
 from lotflow.runtime import cut, table
@@ -16,19 +17,31 @@ _D = lambda name: F.round(F.col(name).cast("double"), 6).alias(name)  # noqa: E7
 
 
 def _typed(spark, sf_dir):
-    """Each movement once, validated after the shuffle that the deduplication needs anyway, and typed."""
-    once = dedup.keep_first(views.movements(spark, sf_dir), ["event_id"], ["published_at"])
-    good, _ = contracts.split_valid(once, contracts.MOVEMENT_RULES)
-    return contracts.typed_movements(good)
+    """Each movement once, valid and typed, with a packed id.
 
+    A row is checked and typed before the shuffle of the deduplication, which then carries a flag for what only the rules
+    read; the flag is looked at after it, as the first arrival of an id counts and not its first good one.
+    """
+    checked = views.movements(spark, sf_dir).withColumn("good", contracts.holds(contracts.MOVEMENT_RULES))
+    once = dedup.keep_first(contracts.typed_movements(checked).withColumn("event_id", ids.packed("event_id")), ["event_id"], ["published_at"])
+    return once.where("good").drop("good")
 
-def _accepted(spark, sf_dir):
-    """Read more than once by most queries, so it is computed once."""
-    return cut(fifo.accept(_typed(spark, sf_dir)).where("rejected is null"))
+
+def _named(df, *names):
+    """``df`` with ids as text."""
+    return df.withColumns({name: ids.unpacked(name) for name in names or ("event_id",)})
+
+
+_COLUMNS = ("event_id", *KEYS, "sequence_engine_key", "movement_type", "quantity", "unit_cost")
+
+
+def _accepted(spark, sf_dir, *more):
+    """Accepted movements with the columns that valuation reads; each query reads them once."""
+    return fifo.accept(_typed(spark, sf_dir).select(*_COLUMNS, *more)).where("rejected is null")
 
 
 def _fact_columns(df):
-    return df.select("event_id", *KEYS, "sequence_engine_key", "movement_type", _D("qty_delta"), _D("qty_on_hand"), _Q("fifo_unit_cost"), _D("fifo_total_value"), _Q("moving_avg_cost"))
+    return _named(df).select("event_id", *KEYS, "sequence_engine_key", "movement_type", _D("qty_delta"), _D("qty_on_hand"), _Q("fifo_unit_cost"), _D("fifo_total_value"), _Q("moving_avg_cost"))
 
 
 def fifo_facts(spark, sf_dir):
@@ -36,7 +49,7 @@ def fifo_facts(spark, sf_dir):
 
 
 def _allocation(df):
-    return df.select(*KEYS, "lot_id", "consumption_id", _D("taken"), _D("cost"))
+    return _named(df, "lot_id", "consumption_id").select(*KEYS, "lot_id", "consumption_id", _D("taken"), _D("cost"))
 
 
 def fifo_allocation(spark, sf_dir):
@@ -48,7 +61,7 @@ def fifo_allocation_sweep(spark, sf_dir):
 
 
 def lot_balance(spark, sf_dir):
-    return fifo.balance(_accepted(spark, sf_dir)).select(*KEYS, "lot_id", "sequence_engine_key", _D("remaining_qty"), _D("unit_cost"))
+    return _named(fifo.balance(_accepted(spark, sf_dir)), "lot_id").select(*KEYS, "lot_id", "sequence_engine_key", _D("remaining_qty"), _D("unit_cost"))
 
 
 def on_hand_from_lots(spark, sf_dir):
@@ -56,19 +69,25 @@ def on_hand_from_lots(spark, sf_dir):
 
 
 def rejected_movements(spark, sf_dir):
-    return fifo.accept(_typed(spark, sf_dir)).where("rejected is not null").select("event_id", *KEYS, "sequence_engine_key", F.col("rejected").alias("reason"), F.lit("inventory.movement.v1.dlq").alias("dlq_topic"))
+    return _named(fifo.accept(_typed(spark, sf_dir).select(*_COLUMNS)).where("rejected is not null")).select("event_id", *KEYS, "sequence_engine_key", F.col("rejected").alias("reason"), F.lit("inventory.movement.v1.dlq").alias("dlq_topic"))
 
 
 def _snapshot(df):
     return df.select("snapshot_id", "snapshot_date", *KEYS, "mdm_vendor_id", "sequence_engine_key", _D("qty_on_hand"), _D("fifo_total_value"), _Q("moving_avg_cost"))
 
 
+def _valued(spark, sf_dir, **options):
+    """Facts with what a snapshot shows and is chosen by, and no other columns."""
+    facts = fifo.value(_accepted(spark, sf_dir, "occurred_at", "mdm_vendor_id"), **options)
+    return facts.select("event_id", "occurred_at", *KEYS, "mdm_vendor_id", "sequence_engine_key", "qty_on_hand", "fifo_total_value", "moving_avg_cost")
+
+
 def sku_day_snapshot(spark, sf_dir):
-    return _snapshot(snapshots.daily(fifo.value(_accepted(spark, sf_dir)), grain="sku_day"))
+    return _snapshot(snapshots.daily(_valued(spark, sf_dir, deal=("sku",)), grain="sku_day"))
 
 
 def sku_location_day_snapshot(spark, sf_dir):
-    return _snapshot(snapshots.daily(fifo.value(_accepted(spark, sf_dir)), grain="sku_location_day"))
+    return _snapshot(snapshots.daily(_valued(spark, sf_dir), grain="sku_location_day"))
 
 
 def snapshot_before(spark, sf_dir):
@@ -79,16 +98,16 @@ def snapshot_before(spark, sf_dir):
 
 
 def inventory_value(spark, sf_dir):
-    return snapshots.total_value(fifo.value(_accepted(spark, sf_dir)), "mdm_vendor_id").select("mdm_vendor_id", "keys", _D("qty_on_hand"), _D("fifo_total_value"))
+    facts = fifo.value(_accepted(spark, sf_dir, "mdm_vendor_id")).select("event_id", *KEYS, "mdm_vendor_id", "sequence_engine_key", "qty_on_hand", "fifo_total_value")
+    return snapshots.total_value(facts, "mdm_vendor_id").select("mdm_vendor_id", "keys", _D("qty_on_hand"), _D("fifo_total_value"))
 
 
 def ledger_reconcile(spark, sf_dir):
-    accepted = _accepted(spark, sf_dir)
-    return snapshots.reconcile(fifo.value(accepted), fifo.balance(accepted)).select(*KEYS, "movements", _D("sum_delta"), _D("qty_on_hand"), _D("lots_on_hand"), _D("fifo_total_value"), _D("lots_value"), "balanced")
+    return snapshots.reconcile(fifo.value(_accepted(spark, sf_dir), lots=True)).select(*KEYS, "movements", _D("sum_delta"), _D("qty_on_hand"), _D("lots_on_hand"), _D("fifo_total_value"), _D("lots_value"), "balanced")
 
 
 def late_arrivals(spark, sf_dir):
-    return restate.flag_late(_typed(spark, sf_dir)).where("late").select("event_id", *KEYS, "sequence_engine_key", "newest_before")
+    return _named(restate.flag_late(_typed(spark, sf_dir)).where("late")).select("event_id", *KEYS, "sequence_engine_key", "newest_before")
 
 
 def horizon_adjustments(spark, sf_dir):
@@ -100,22 +119,25 @@ def _sum(name):
 
 
 def arrival_ledger(spark, sf_dir):
-    return restate.arrival_ledger(_typed(spark, sf_dir)).select("event_id", *KEYS, "sequence_engine_key", "outcome", _D("qty_on_hand"), _Q("fifo_unit_cost"), _D("fifo_total_value"))
+    return _named(restate.arrival_ledger(_typed(spark, sf_dir))).select("event_id", *KEYS, "sequence_engine_key", "outcome", _D("qty_on_hand"), _Q("fifo_unit_cost"), _D("fifo_total_value"))
+
+
+def _since_1998(spark, sf_dir):
+    """Movements, those published from 1998 on as ``late``; a null time is none."""
+    flagged = _typed(spark, sf_dir).withColumn("late", F.expr("published_at >= timestamp'1998-01-01'"))
+    return flagged.where("late is not null").select(*_COLUMNS, "late")
 
 
 def restatement_delta(spark, sf_dir):
-    typed = cut(_typed(spark, sf_dir))
-    early = typed.where("published_at < timestamp'1998-01-01'")
-    late = typed.where("published_at >= timestamp'1998-01-01'")
-    return restate.restated(early, late).select("event_id", *KEYS, _Q("old_unit_cost"), _Q("new_unit_cost"), _D("old_total_value"), _D("new_total_value"))
+    return _named(restate.restated_by(_since_1998(spark, sf_dir))).select("event_id", *KEYS, _Q("old_unit_cost"), _Q("new_unit_cost"), _D("old_total_value"), _D("new_total_value"))
 
 
 def incremental_valuation(spark, sf_dir):
-    typed = cut(_typed(spark, sf_dir))
-    early, late = typed.where("published_at < timestamp'1998-01-01'"), typed.where("published_at >= timestamp'1998-01-01'")
+    rows = cut(restate.overtaken(_since_1998(spark, sf_dir)))  # lots are stored of the keys whose facts can change
+    early, late = rows.where("not late").drop("late"), rows.where("late").drop("late")
     marks = [int(m) for m in early.agg(F.percentile_approx("sequence_engine_key", [0.25, 0.5, 0.75, 0.9]).alias("m")).first().m or []]
-    stored = restate.stored_lots(cut(fifo.accept(early).where("rejected is null")), marks)
-    return restate.restated_since(early, late, stored, marks).select("event_id", *KEYS, _Q("old_unit_cost"), _Q("new_unit_cost"), _D("old_total_value"), _D("new_total_value"))
+    stored = restate.stored_lots(fifo.accept(early).where("rejected is null"), marks)
+    return _named(restate.restated_since(early, late, stored, marks)).select("event_id", *KEYS, _Q("old_unit_cost"), _Q("new_unit_cost"), _D("old_total_value"), _D("new_total_value"))
 
 
 def dedup_redelivery(spark, sf_dir):
