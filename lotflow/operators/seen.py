@@ -8,51 +8,59 @@ text and takes one new id in several thousand for an old one; filters are built
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WORDS = 8
 
 
-def _bit(key: str, word: int) -> Column:
+def _hash(key: str) -> Column:
+    return F.xxhash64(key, F.lit("bits"))
+
+
+def _bit(bits: str, word: int) -> Column:
     """One of 64 bits, chosen by six bits of a hash of its own."""
-    return F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({key}, 'bits'), {7 * word}), 64L) as int))")
+    return F.expr(f"shiftleft(1L, cast(pmod(shiftright({bits}, {7 * word}), 64L) as int))")
 
 
 def filters(ids: DataFrame, key: str = "event_id", day: str = "day", bits: int = 20, rows: int | None = None) -> DataFrame:
     """(day, block, blocks, w0 .. w7): the filters of ``ids(day, key)``, at ``bits`` an id.
 
-    ``rows`` is the most ids that a day has, counted if it is not given; all days have the same number of blocks. Null
-    ids are left out.
+    ``rows`` is the most ids that a day has, counted without a look at them if it is not given; all days have the same
+    number of blocks. Null ids are left out. Two hashes an id are dealt by block, and its bits are set there.
     """
     known = ids.where(F.col(key).isNotNull())
     if rows is None:
-        rows = known.groupBy(day).count().agg(F.max("count")).first()[0] or 0
+        rows = ids.groupBy(day).count().agg(F.max("count")).first()[0] or 0
     blocks = max(1, -(-rows * bits // (64 * _WORDS)))
-    dealt = known.select(F.col(day).alias("day"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), *[_bit(key, w).alias(f"w{w}") for w in range(_WORDS)])
-    return dealt.groupBy("day", "block").agg(F.lit(blocks).cast("long").alias("blocks"), *[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(_WORDS)])
+    dealt = known.select(F.col(day).alias("day"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), _hash(key).alias("_bits")).repartition("day", "block")
+    return dealt.groupBy("day", "block").agg(F.lit(blocks).cast("long").alias("blocks"), *[F.bit_or(_bit("_bits", w)).alias(f"w{w}") for w in range(_WORDS)])
+
+
+def _pointed(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``_days``: the days whose filters may hold a row's id. A join a size of filter, of which there are a few."""
+    sizes = [r.blocks for r in known.select("blocks").distinct().collect()]
+    days = f"array<{known.schema['day'].dataType.simpleString()}>"
+    out = df.withColumn("_days", F.expr(f"cast(array() as {days})"))
+    holds = " and ".join(f"x.w{w} & shiftleft(1L, cast(pmod(shiftright(_bits, {7 * w}), 64L) as int)) <> 0" for w in range(_WORDS))
+    for size in sizes:
+        by_block = known.where(F.col("blocks") == size).groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("day", *[f"w{w}" for w in range(_WORDS)])).alias("_known"))
+        met = out.withColumn("_block", F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(size)))).join(by_block, "_block", "left").withColumn("_bits", _hash(key))
+        found = F.expr(f"transform(filter(_known, x -> {holds}), x -> x.day)")
+        out = met.withColumn("_days", F.concat("_days", F.coalesce(found, F.expr(f"cast(array() as {days})")))).drop("_block", "_known", "_bits")
+    return out
 
 
 def maybe_seen(df: DataFrame, known: DataFrame, key: str = "event_id") -> DataFrame:
     """(key, day): distinct ids of ``df`` that the filters ``known`` of a day may hold; none that it holds is missing."""
-    ids = df.select(key).where(F.col(key).isNotNull()).distinct()
-    sizes = [r.blocks for r in known.select("blocks").distinct().collect()]  # one a size of filter, so a few
-    if not sizes:
-        return ids.limit(0).withColumn("day", F.lit(None).cast(known.schema["day"].dataType))
-    asked = ids.select(key, F.xxhash64(key).alias("_h"), *[_bit(key, w).alias(f"_b{w}") for w in range(_WORDS)], F.explode(F.array(*[F.lit(s).cast("long") for s in sizes])).alias("blocks"))
-    asked = asked.withColumn("block", F.pmod("_h", "blocks"))
-    holds = reduce(and_, [F.col(f"w{w}").bitwiseAND(F.col(f"_b{w}")) != 0 for w in range(_WORDS)])
-    return asked.join(known, ["blocks", "block"]).where(holds).select(key, "day")
+    return _pointed(df.select(key).where(F.col(key).isNotNull()).distinct(), known, key).select(key, F.explode("_days").alias("day"))
 
 
 def unprocessed(df: DataFrame, processed: DataFrame, known: DataFrame, key: str = "event_id", day: str = "day") -> DataFrame:
     """Rows of ``df`` whose id is in no day of ``processed(day, key)``; ``known`` are its ``filters``.
 
-    Of ``processed`` only ids of days that a filter points to are compared. Rows with a null id are never processed.
+    Of ``processed`` only ids of days that a filter points to are compared. Rows with a null id are never processed. ``df``
+    is read once.
     """
-    asked = maybe_seen(df, known, key)
-    old = asked.join(processed.select(key, F.col(day).alias("day")), [key, "day"], "left_semi").select(key).distinct()
-    return df.join(old, key, "left_anti")
+    old = processed.select(F.col(key).alias("_old"), F.col(day).alias("_day"))
+    return _pointed(df, known, key).join(old, F.expr(f"{key} = _old and array_contains(_days, _day)"), "left_anti").drop("_days")

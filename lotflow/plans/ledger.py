@@ -152,8 +152,9 @@ def claim_once(spark, sf_dir):
 
 def claim_unseen(spark, sf_dir):
     done = views.movements(spark, sf_dir).where("location_id = 'LOC-1'").select("event_id", F.date_trunc("year", "published_at").alias("day"))
-    first = dedup.keep_first(views.redelivered(spark, sf_dir), ["event_id"], ["published_at"])
-    return seen.unprocessed(first, done, cut(seen.filters(done))).select("event_id", "published_at", "location_id")
+    done = done.withColumn("event_id", ids.packed("event_id"))
+    first = dedup.keep_first(views.redelivered(spark, sf_dir).withColumn("event_id", ids.packed("event_id")), ["event_id"], ["published_at"])
+    return _named(seen.unprocessed(first.select("event_id", "published_at", "location_id"), done, cut(seen.filters(done))))
 
 
 def fact_upsert(spark, sf_dir):

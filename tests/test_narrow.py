@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotflow.functions import ids
-from lotflow.operators import fifo, restate, snapshots
+from lotflow.operators import fifo, restate, seen, snapshots
 from lotflow.plans import ledger as plans
 from lotflow.runtime import shared_checkpoint_dir
 
@@ -95,3 +95,20 @@ def test_lots_of_all_marks_come_from_one_exchange(spark):
     for m in marks:
         assert rows(got.where(F.col("as_of") == m).drop("as_of")) == rows(fifo.balance(accepted.where(F.col("sequence_engine_key") <= m)))
     assert restate.stored_lots(accepted, []).isEmpty()
+
+
+def test_rows_meet_filters_of_two_sizes_and_are_read_once(spark):
+    old = spark.range(3000).selectExpr("concat('id-', id) as event_id", "id % 3 as day")
+    known = seen.filters(old.where("day < 2")).unionByName(seen.filters(old.where("day = 2"), rows=5000)).localCheckpoint()
+    new = spark.range(2000, 6000).selectExpr("concat('id-', id) as event_id", "id as x").unionByName(spark.createDataFrame([(None, -1)], "event_id string, x long"))
+    got = seen.unprocessed(new, old, known)
+    assert {r.x for r in got.select("x").collect()} == {-1, *range(3000, 6000)} and got.count() == 3001
+    assert got.columns == ["event_id", "x"] and plan_of(got).count("Range (2000, 6000") == 1
+    asked = {(r.event_id, r.day) for r in seen.maybe_seen(new, known).collect()}
+    assert asked >= {(f"id-{k}", k % 3) for k in range(2000, 3000)} and len(asked) < 1100
+
+
+@pytest.mark.parametrize("name", ["dedup_redelivery", "claim_once", "fact_upsert"])
+def test_redeliveries_match_sql_from_one_scan(spark, name):
+    same(spark, plans, name)
+    assert plan_of(plans.views.redelivered(spark, DIR)).count("FileScan") == 1
