@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_SMALL = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 _UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 _NO_UUID = "repeat('0', 32)"
 
@@ -20,12 +21,11 @@ def packed(name: str) -> Column:
     capital = f"concat(unhex({below}), encode({name}, 'UTF-8'))"
     other = f"concat(unhex({_NO_UUID}), encode(concat('.', {name}), 'UTF-8'))"
     uuid = f"length({name}) = 36 and {name} rlike '{_UUID}'"
-    return F.expr(f"case when {uuid} then if({bare} rlike '[A-F]', {capital}, unhex({bare})) when {name} is not null then {other} end")
+    return F.expr(f"case when {name} rlike r'{_SMALL}' then unhex({bare}) when {uuid} then {capital} when {name} is not null then {other} end")
 
 
 def unpacked(name: str) -> Column:
     """The text that ``packed`` was made of."""
-    digits = f"lower(hex({name}))"
-    text = ", ".join(f"substring({digits}, {at}, {n})" for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    text = ", ".join(f"hex(substring({name}, {at}, {n}))" for at, n in ((1, 4), (5, 2), (7, 2), (9, 2), (11, 6)))
     rest = f"decode(substring({name}, if(substring({name}, 1, 16) = unhex({_NO_UUID}), 18, 17)), 'UTF-8')"
-    return F.expr(f"if(length({name}) = 16, concat_ws('-', {text}), {rest})")
+    return F.expr(f"if(length({name}) = 16, lower(concat_ws('-', {text})), {rest})")

@@ -85,8 +85,16 @@ def violations(df: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 
 def holds(rules: dict[str, str]) -> Column:
-    """Whether a row breaks none of the rules: one flag, for rows that are to be shuffled before bad ones may go."""
-    return F.expr(" and ".join(f"({rule})" for rule in rules.values()))
+    """Whether a row breaks none of the rules: one flag, for rows that are to be shuffled before bad ones may go.
+
+    Where two rules are about one number, the second repeats the first; here each pattern is met once.
+    """
+    wanted = dict(rules)
+    for name, pattern in (("quantity", QUANTITY), ("unit_cost", UNIT_COST)):
+        if (rules.get(f"{name}_format"), rules.get(f"{name}_too_fine")) == (_number(name, pattern), _exact(name, pattern)):
+            wanted[f"{name}_format"] = _number(name, EXACT if pattern == QUANTITY else EXACT.replace("-?", ""))
+            del wanted[f"{name}_too_fine"]
+    return F.expr(" and ".join(f"({rule})" for rule in wanted.values()))
 
 
 def split_valid(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -20,6 +20,8 @@ from lotflow.runtime import by_key, cut
 from lotflow.schemas import KEYS, ORDER
 
 _KEY = "partition by sku, location_id"
+#: The same groups for rows that have ``_hash``; their sort tells most keys apart by that number. It is no order by the key.
+_HASHED = "partition by _hash, sku, location_id"
 _SEQ = f"{_KEY} order by sequence_engine_key, event_id rows unbounded preceding"
 
 
@@ -89,42 +91,100 @@ def _changes(column: pa.Array) -> np.ndarray:
     return ~same.to_numpy(zero_copy_only=False)
 
 
+def _up_and_down(kind: pa.Array, quantity: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Supply and demand in ten-thousandths, and which rows are consumptions of zero; the same as ``signed``, for a fold."""
+    known = pc.and_(kind.is_valid(), quantity.is_valid()).to_numpy(zero_copy_only=False)
+    units = np.frombuffer(quantity.buffers()[1], dtype=np.int64)[2 * quantity.offset :][: 2 * len(quantity) : 2]  # 18 digits fit the low half
+    units, kind = np.where(known, units, 0), np.where(known, pc.fill_null(kind, 0).to_numpy(zero_copy_only=False), 0)
+    up = np.where((units > 0) & ((kind == 1) | (kind == 3)), units, 0)
+    return up, np.where((kind == 2) & (units > 0), units, np.where((kind == 3) & (units < 0), -units, 0)), (kind == 2) & (units == 0) & known
+
+
 def accept(df: DataFrame) -> DataFrame:
     """Typed movements with ``rejected``: null, ``exceeds_on_hand`` or ``zero_quantity``.
 
     A depletion larger than what is on hand at its place in the sequence is rejected and changes nothing. All columns go
     through the shuffle and the pass, so rows are best given with those that are needed.
     """
-    rows = by_key(df, KEYS, *ORDER)  # what follows from other columns is computed on either side of the shuffle
-    rows = signed(rows).withColumns({"_up": F.expr("cast(supply * 10000 as bigint)"), "_down": F.expr("cast(demand * 10000 as bigint)")}).drop("delta", "supply", "demand")
-    rows = rows.withColumn("rejected", F.expr("case when movement_type = 2 and quantity = 0 then 'zero_quantity' end"))
-    out = rows.drop("_up", "_down").schema
+    rows = _dealt(df)
+    names = rows.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _, zero, refused, _, _ in _decided(batches):
+            reasons = pc.if_else(pa.array(zero), "zero_quantity", pc.if_else(pa.array(refused), "exceeds_on_hand", pa.scalar(None, pa.string())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), reasons], names=[*names, "rejected"])
+
+    return signed(rows.mapInArrow(fold, f"{_ddl(rows)}, rejected string"))
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows for the fold; what follows from other columns is computed after the shuffle."""
+    rows = df.drop("delta", "supply", "demand", "rejected")
+    return by_key(rows.withColumn("quantity", F.col("quantity").cast("decimal(18,4)")), KEYS, *ORDER)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Each batch with its supply and demand, what is zero, what is refused, where keys start, and whether the first goes on."""
+    key, on_hand = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        up, down, zero = _up_and_down(batch.column("movement_type"), batch.column("quantity"))
+        head, tail = (tuple(batch.column(c)[i].as_py() for c in KEYS) for i in (0, batch.num_rows - 1))
+        starts = np.r_[True, _changes(batch.column(KEYS[0])) | _changes(batch.column(KEYS[1]))]
+        refused, on_hand = refusals(starts, up - down, down, on_hand if head == key else 0)
+        yield batch, up, down, zero, refused, starts, head == key
+        key = tail
+
+
+def _running(x: np.ndarray, starts: np.ndarray, carried: int) -> np.ndarray:
+    """Sums from each start on, the first on top of ``carried``; whole numbers of any size where 64 bits might not do."""
+    run = np.cumsum(x.astype(object) if carried + len(x) * int(x.max()) >= 1 << 62 else x)
+    first = np.flatnonzero(starts)
+    base = (run - x)[first]
+    base[0] -= carried
+    return run - np.repeat(base, np.diff(np.r_[first, len(x)]))
+
+
+#: An end of an interval is ``high`` times this and ``low``, in ten-thousandths: two numbers that sort as the sum, whatever its size.
+_HIGH = 10**18
+
+
+def ends(movements: DataFrame) -> DataFrame:
+    """(sku, location_id, event_id, unit_cost, lot, high, low): where the interval of each accepted movement ends.
+
+    One pass decides what is accepted, as ``accept`` does, and sums it up; ``lot`` tells supply from demand.
+    """
+    rows = _dealt(movements)
+    kept = [*KEYS, "event_id", "unit_cost"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, on_hand = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            why, up, down = batch.column("rejected"), *(batch.column(c).to_numpy() for c in ("_up", "_down"))
-            head, tail = (tuple(batch.column(c)[i].as_py() for c in KEYS) for i in (0, batch.num_rows - 1))
-            starts = np.r_[True, _changes(batch.column(KEYS[0])) | _changes(batch.column(KEYS[1]))]
-            change = np.where(why.is_null().to_numpy(zero_copy_only=False), up - down, 0)
-            refused, on_hand = refusals(starts, change, down, on_hand if head == key else 0)
-            key = tail
-            reasons = pc.coalesce(why, pc.if_else(pa.array(refused), "exceeds_on_hand", pa.scalar(None, pa.string())))
-            yield pa.RecordBatch.from_arrays([reasons if c == "rejected" else batch.column(c) for c in names], names=names)
-
-    names = out.names
-    return signed(rows.mapInArrow(fold, out))
-
-
-def intervals(accepted: DataFrame, deal: tuple[str, ...] = KEYS) -> DataFrame:
+        supply, demand = 0, 0
+        for batch, up, down, _, refused, starts, goes_on in _decided(batches):
+            s, d = (_running(np.where(refused, 0, x), starts, before if goes_on else 0) for x, before in ((up, supply), (down, demand)))
+            supply, demand = int(s[-1]), int(d[-1])
+            take = ~refused & (up + down > 0)
+            end, of = np.where(up > 0, s, d)[take], batch.filter(pa.array(take))
+            numbers = [pa.array(up[take] > 0), *(pa.array(x.astype(np.int64)) for x in (end // _HIGH, end % _HIGH))]
+            yield pa.RecordBatch.from_arrays([*(of.column(c) for c in kept), *numbers], names=[*kept, "lot", "high", "low"])
+
+    return rows.mapInArrow(fold, f"{_ddl(rows.select(*kept))}, lot boolean, high bigint, low bigint")
+
+
+def intervals(accepted: DataFrame, deal: tuple[str, ...] = KEYS, key: str = _KEY) -> DataFrame:
     """Each row's interval of cumulative supply or demand, rows dealt by ``deal``: the key or a part of it.
 
     What follows from type and quantity is computed after the exchange.
     """
     dealt = signed(accepted.drop("delta", "supply", "demand", "rejected").repartition(*deal))
-    return dealt.withColumn("s_hi", F.expr(f"sum(supply) over ({_SEQ})")).withColumn("d_hi", F.expr(f"sum(demand) over ({_SEQ})"))
+    if key == _HASHED:
+        dealt = dealt.withColumn("_hash", F.xxhash64(*KEYS))
+    run = f"over ({key} order by {', '.join(ORDER)} rows unbounded preceding)"
+    return dealt.selectExpr("*", f"sum(supply) {run} as s_hi", f"sum(demand) {run} as d_hi")
 
 
 #: Quotients up to these bounds are one decimal division; beyond them digits come in blocks of four, exactly.
@@ -147,22 +207,33 @@ _TAKEN = "cast(taken as decimal(18,4)) as taken, cast(cast(taken as decimal(18,4
 
 
 def allocate(accepted: DataFrame) -> DataFrame:
-    """(sku, location_id, lot_id, consumption_id, taken, unit_cost, cost): which lot fed which depletion.
+    """(sku, location_id, lot_id, consumption_id, taken, unit_cost, cost): which lot fed which depletion, of accepted movements."""
+    both = intervals(accepted, key=_HASHED).where("supply > 0 or demand > 0").withColumn("_end", F.expr("if(supply > 0, s_hi, d_hi)"))
+    whole = f"{_HIGH // 10**4}BD"
+    return sweep(both.selectExpr(*KEYS, "event_id", "unit_cost", "supply > 0 as lot", f"cast(_end div {whole} as bigint) as high", f"cast(_end % {whole} * 10000BD as bigint) as low"), dealt=True)
+
+
+def allocation(movements: DataFrame) -> DataFrame:
+    """As ``allocate``, of typed movements: the pass that accepts them sums them up too, so they are sorted twice and not three times."""
+    return sweep(ends(movements))
 
-    A linear sweep: the ends of all intervals of a key in order, each gap between two ends belonging to the next lot end
-    and the next depletion end above it. One window pass, whatever the number of lots and depletions.
+
+def sweep(ends: DataFrame, dealt: bool = False) -> DataFrame:
+    """The allocation from the ends of all intervals.
+
+    A linear sweep: the ends of a key in order, each gap between two ends belonging to the next lot end and the next
+    depletion end above it. One window pass, whatever the number of lots and depletions. ``dealt``: by key, already.
     """
-    both, id_type = intervals(accepted), accepted.schema["event_id"].dataType.simpleString()
-    ends = both.select(*KEYS, F.inline(F.expr(
-        f"filter(array(struct(if(supply > 0, s_hi, null) as pos, struct(event_id as lot_id, unit_cost) as lot, cast(null as {id_type}) as consumption_id),"
-        f" struct(if(demand > 0, d_hi, null) as pos, cast(null as struct<lot_id:{id_type},unit_cost:decimal(18,4)>) as lot, event_id as consumption_id)), x -> x.pos is not null)"
-    )))
-    swept = (
-        ends.withColumn("low", F.expr(f"coalesce(lead(pos) over ({_KEY} order by pos desc), 0)"))
-        .withColumn("lot", F.expr(f"last(lot, true) over ({_KEY} order by pos desc range between unbounded preceding and current row)"))
-        .withColumn("consumption_id", F.expr(f"last(consumption_id, true) over ({_KEY} order by pos desc range between unbounded preceding and current row)"))
-    )
-    return swept.where("pos > low and lot is not null and consumption_id is not null").selectExpr(*KEYS, "lot.lot_id", "consumption_id", "pos - low as taken", "lot.unit_cost").selectExpr(*KEYS, "lot_id", "consumption_id", "unit_cost", *_TAKEN.split(", ", 1))
+    rows = (ends if dealt else ends.repartition(*KEYS)).withColumn("_hash", F.xxhash64(*KEYS))
+    order = f"over ({_HASHED} order by high desc, low desc"
+    above = f"{order} range between unbounded preceding and current row)"
+    swept = rows.selectExpr(
+        *KEYS, f"high - coalesce(lead(high) {order}), 0) as _high", f"low - coalesce(lead(low) {order}), 0) as _low",
+        f"last(if(lot, struct(event_id as lot_id, unit_cost), null), true) {above} as lot", f"last(if(lot, null, event_id), true) {above} as consumption_id",
+    )
+    gaps = swept.selectExpr("*", f"_high * {_HIGH} + _low as taken").where("taken > 0 and lot is not null and consumption_id is not null")  # no more than one row's quantity
+    taken = "cast(cast(taken as decimal(18,0)) * 0.0001BD as decimal(18,4)) as taken"
+    return gaps.selectExpr(*KEYS, "lot.lot_id", "consumption_id", "lot.unit_cost", taken).selectExpr("*", "cast(taken * unit_cost as decimal(38,8)) as cost")
 
 
 def allocate_by_overlap(accepted: DataFrame) -> DataFrame:
@@ -233,7 +304,7 @@ def facts(movements: DataFrame) -> DataFrame:
 
 def balance(accepted: DataFrame) -> DataFrame:
     """(sku, location_id, lot_id, sequence_engine_key, remaining_qty, unit_cost): lots that are left; the oldest have the smallest keys."""
-    both = intervals(accepted).withColumn("gone", F.expr(f"sum(demand) over ({_KEY})"))
+    both = intervals(accepted, key=_HASHED).withColumn("gone", F.expr(f"sum(demand) over ({_HASHED})"))
     return both.where("supply > 0").withColumn("remaining_qty", F.expr(REMAINING)).where("remaining_qty > 0").select(*KEYS, F.col("event_id").alias("lot_id"), "sequence_engine_key", "remaining_qty", "unit_cost")
 
 

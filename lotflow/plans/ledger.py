@@ -53,11 +53,11 @@ def _allocation(df):
 
 
 def fifo_allocation(spark, sf_dir):
-    return _allocation(fifo.allocate(_accepted(spark, sf_dir)))
+    return _allocation(fifo.allocation(_typed(spark, sf_dir).select(*_COLUMNS)))
 
 
 def fifo_allocation_sweep(spark, sf_dir):
-    return _allocation(fifo.allocate(_accepted(spark, sf_dir)))
+    return _allocation(fifo.allocation(_typed(spark, sf_dir).select(*_COLUMNS)))
 
 
 def lot_balance(spark, sf_dir):

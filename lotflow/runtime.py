@@ -48,9 +48,11 @@ def by_key(df: DataFrame, keys: tuple[str, ...], *order: str | Column) -> DataFr
 
     They are dealt by a struct of the keys. An exchange by the columns themselves is left out of a plan that has dealt by
     them already, for a join or a union of joins; such a join may become a broadcast while the query runs, and then the
-    rows of a key would lie in several partitions.
+    rows of a key would lie in several partitions. Keys come in the order of a hash: the sort tells most rows apart by that
+    number, and compares the texts of keys only where it is the same.
     """
-    return df.repartition(F.struct(*keys)).sortWithinPartitions(*keys, *order)
+    hashed = df.repartition(F.struct(*keys)).withColumn("_hash", F.xxhash64(*keys))
+    return hashed.sortWithinPartitions("_hash", *keys, *order).drop("_hash")
 
 
 @contextmanager

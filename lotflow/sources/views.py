@@ -15,8 +15,8 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")]))
     keyed = line.withColumn("h", h).withColumn("day", F.expr("datediff(cast(l_shipdate as date), date'1992-01-01')"))
     return keyed.select(
-        F.regexp_replace("h", "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5").alias("event_id"),
-        F.regexp_replace("h", "^(.{16})(.{16})$", "00-$1$2-$1-01").alias("trace_parent"),
+        F.expr("concat(substring(h, 1, 8), '-', substring(h, 9, 4), '-', substring(h, 13, 4), '-', substring(h, 17, 4), '-', substring(h, 21, 12))").alias("event_id"),
+        F.expr("concat('00-', h, '-', substring(h, 1, 16), '-01')").alias("trace_parent"),
         F.expr("concat('VENDOR-', l_suppkey)").alias("aggregate_id"),
         F.col("l_shipdate").alias("occurred_at"),
         F.expr("timestampadd(DAY, cast(l_orderkey % 45 as int), l_shipdate)").alias("published_at"),

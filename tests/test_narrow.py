@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotflow.functions import ids
-from lotflow.operators import fifo, restate, seen, snapshots
+from lotflow.operators import contracts, fifo, restate, seen, snapshots
 from lotflow.plans import ledger as plans
-from lotflow.runtime import shared_checkpoint_dir
+from lotflow.runtime import settings, shared_checkpoint_dir
 
 from .helpers import DIR, same
 from .test_ledger import moves
@@ -112,3 +112,37 @@ def test_rows_meet_filters_of_two_sizes_and_are_read_once(spark):
 def test_redeliveries_match_sql_from_one_scan(spark, name):
     same(spark, plans, name)
     assert plan_of(plans.views.redelivered(spark, DIR)).count("FileScan") == 1
+
+
+@pytest.mark.parametrize("name", ["fifo_allocation", "fifo_allocation_sweep"])
+def test_allocation_sorts_a_key_twice_and_by_numbers(spark, name):
+    plan = plan_of(plans.__dict__[name](spark, DIR))
+    sorts = re.findall(r"Sort \[(.*?)\]", plan)
+    assert len(sorts) == 3 and sum(s.startswith("_hash#") for s in sorts) == 2  # by id, by sequence, by ends
+    assert "sum(supply" not in plan and "decimal(28,4)" not in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("most", [9, 10**14 - 1])
+def test_ends_summed_in_the_pass_give_the_allocation_of_accepted_movements(spark, most):
+    df = spark.range(900).selectExpr(
+        "concat('e', lpad(id, 4, '0')) as event_id", "concat('S', hash(id) % 7) as sku", "if(id % 11 = 0, null, concat('L', id % 2)) as location_id", "id div 2 as sequence_engine_key",
+        "cast(if(id % 97 = 0, null, 1 + pmod(hash(id, 1), 3)) as int) as movement_type",
+        f"cast(if(id % 89 = 0, null, (pmod(hash(id, 2), 4) - 1) * {most}BD / 3 + pmod(id, 5)) as decimal(18,4)) as quantity", "cast(1 + id % 13 as decimal(18,4)) as unit_cost",
+    ).localCheckpoint()
+    rows = lambda d: sorted(map(str, d.select(sorted(d.columns)).collect()))
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="7"):
+        got = rows(fifo.allocation(df))
+    accepted = fifo.accept(df).where("rejected is null").localCheckpoint()
+    assert got == rows(fifo.allocate(accepted)) and len(got) > 200
+    known = df.where("location_id is not null")
+    assert rows(fifo.allocation(known)) == rows(fifo.allocate_by_overlap(accepted.where("location_id is not null")))
+
+
+def test_a_row_holds_if_it_breaks_no_rule(spark):
+    odd = ["5", "5\n", "-5", "-0.5", "1.00001", "1.00010", "1.000100000", "1e3", "", ".5", "5.", "99999999999999.9999", "999999999999999", "-1.00001", "\u0665", None]
+    good = plans.views.movements(spark, DIR).limit(2)
+    rows = good.drop("quantity", "unit_cost").crossJoin(spark.createDataFrame([(v,) for v in odd], "quantity string")).crossJoin(spark.createDataFrame([(v,) for v in odd], "unit_cost string"))
+    both = contracts.violations(rows, contracts.MOVEMENT_RULES).withColumn("good", contracts.holds(contracts.MOVEMENT_RULES))
+    assert both.where("good is null or good <> (size(errors) = 0)").isEmpty() and both.where("good").count() > 40
+    text = str(contracts.holds(contracts.MOVEMENT_RULES))
+    assert text.count("RLIKE") == 4 or text.count("rlike") == 4
